@@ -63,7 +63,7 @@ def row_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Repeated rows share the key and so the decision taken for it; nulls have keys of their own.
     """
-    return df.withColumn("_rk", F.struct(F.col(id_col).cast("string").alias("i"), F.xxhash64(F.col(text_col), F.col(id_col).cast("string")).alias("h")))
+    return df.withColumn("_rk", F.struct(F.col(id_col).alias("i"), F.xxhash64(F.col(text_col), F.col(id_col)).alias("h")))
 
 
 def small_arrow_batches(spark: SparkSession, rows: int = 512) -> None:
