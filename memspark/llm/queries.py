@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import line_dedup, quality, secrets, url_filter
+from memspark.llm import line_dedup, ngram_join, quality, secrets, url_filter
 
 # The host rules, and the listed sites and pages.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -66,6 +66,10 @@ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed,
 """
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), n=4, threshold=0.85)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_recurring_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_kept"), "text")
@@ -76,7 +80,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op7_line_dedup": op7_line_dedup, "op8_secrets": op8_secrets}
+    return {"op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op3_ngram_join": op3_ngram_join, "op7_line_dedup": op7_line_dedup, "op8_secrets": op8_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
