@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import bpe, line_dedup, ngram_join, quality, secrets, token_count, url_filter
+from memspark.llm import bpe, decontam, lang_id, line_dedup, ngram_join, quality, secrets, token_count, url_filter
 
 # The host rules, and the listed sites and pages.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -71,6 +71,13 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), n=4, threshold=0.85)
 
 
+def op4_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    dictionaries = lang_id.fit(docs.where(~lang_id.held_out(F.col("doc_id"))), "doc_id", "text", "lang")
+    out = lang_id.identify(docs, dictionaries)
+    return out.select("doc_id", lang_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -84,13 +91,17 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op3_ngram_join": op3_ngram_join, "op5_token_count": op5_token_count, "op7_line_dedup": op7_line_dedup, "op8_secrets": op8_secrets, "op10_bpe": op10_bpe}
+    return {"op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op3_ngram_join": op3_ngram_join, "op4_lang_id": op4_lang_id, "op5_token_count": op5_token_count, "op7_line_dedup": op7_line_dedup, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
