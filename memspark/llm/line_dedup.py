@@ -3,8 +3,8 @@
 A line's path in the tree is its number of tokens, then its leading tokens; tokens that hold a digit, an address or
 a link are variable from the start. At the leaf the rest of the line is four fields, and the line supports five
 templates: the one that fixes all four, and the four that leave one of them variable. A template that recurs in
-``min_docs`` documents or more is boilerplate: its lines are dropped, but for the first in order of document
-and position, so that a text of which copies exist is not lost altogether.
+``min_docs`` documents or more is boilerplate: its lines are dropped but in the document of smallest id, so that
+a text of which copies exist is not lost altogether.
 
 All of it is DataFrame work. Templates are 64-bit hashes; texts are moved once, to put the kept lines together.
 
@@ -41,9 +41,9 @@ def _with_keys(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) ->
 
 
 def recurring(keyed: DataFrame, min_docs: int) -> DataFrame:
-    """t, first: the templates found in ``min_docs`` documents or more, and where each comes first."""
-    once = keyed.select("_rk", F.explode(F.expr("filter(_keys, (x, k) -> k = 0 or _keys[k - 1].t != x.t)")).alias("k"))
-    counted = once.groupBy(F.col("k.t").alias("t")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_rk", "k.p")).alias("first"))
+    """t, first: the templates found in ``min_docs`` documents or more, and the smallest id that each is found in."""
+    once = keyed.select(F.col("_rk.i").alias("_id"), F.explode_outer(F.expr("filter(_keys, (x, k) -> k = 0 or _keys[k - 1].t != x.t)")).alias("k")).where("k is not null")
+    counted = once.groupBy(F.col("k.t").alias("t")).agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
     return counted.where(F.col("n") >= min_docs).drop("n")
 
 
@@ -51,8 +51,8 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with its recurring lines dropped from ``text_col``, and n_lines and n_dropped added."""
     keyed = _with_keys(docs, id_col, text_col, min_tokens)
     again = recurring(keyed, min_docs).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    lines = keyed.select("_rk", F.explode("_keys").alias("k")).select("_rk", "k.t", "k.p", F.pmod(F.xxhash64("_rk"), F.lit(salts)).cast("int").alias("_s"))
-    hit = lines.join(again, ["t", "_s"]).where(F.col("first") != F.struct("_rk", "p"))
+    lines = keyed.select("_rk", F.explode_outer("_keys").alias("k")).where("k is not null").select("_rk", "k.t", "k.p", F.pmod(F.xxhash64("_rk"), F.lit(salts)).cast("int").alias("_s"))
+    hit = lines.join(again, ["t", "_s"]).where(~F.col("first").eqNullSafe(F.col("_rk.i")))
     gone = hit.groupBy("_rk").agg(F.collect_set("p").alias("_gone"))
     out = row_key(docs.drop("n_lines", "n_dropped", "_rk"), id_col, text_col).join(gone, "_rk", "left")
     out = out.withColumns({"_l": F.split(text_col, "\n"), "_g": F.coalesce("_gone", F.array().cast("array<int>"))})
