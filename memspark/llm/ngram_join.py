@@ -2,10 +2,11 @@
 
 1. Sets. Each document's distinct shingle hashes; documents of equal sets are one class, represented by the smallest id.
 2. Blocking without loss. Two linked sets differ in at most D = (1-t)/(1+t) * (|A|+|B|) shingles. The hash range is cut
-   into more than D cells for the sizes at hand, so a linked pair agrees on the whole content of some cell. Each
-   document emits a hash of each non-empty cell; documents that share one are joined to the smallest of them, within each
-   task and then across tasks. (A document with so many empty cells that agreement may be on these alone also
-   emits a prefix of its sorted hashes, which linked sets must share.) The components of these edges hold every link.
+   into D + 1 + c cells or more for the sizes at hand, so a linked pair agrees on the whole content of c + 1 cells at least. Each
+   document emits a hash of each non-empty cell but the c of the fewest shingles, which chance may share (of the
+   common cells the fullest is dropped by neither side, as the order is the cells' own). Documents that
+   share one are joined to the smallest of them, within each task and then across tasks. (A document with so many empty cells that agreement may
+   be on these alone also emits a prefix of its sorted hashes, which linked sets must share.) The components of these edges hold every link.
 3. Signature trees. Within a component, representatives are ordered by their smallest hashes and put under a tree whose nodes hold an
    OR-combined bitmap of tokens, a range of sizes and the greatest excess of size over bits. The tree is traversed against itself;
    a pair of nodes goes when the sizes exclude each other, when the common bits and the excess cannot give the needed
@@ -34,8 +35,12 @@ from memspark.llm._shared import durable, small_arrow_batches
 from memspark.llm.graph import components
 
 _SALT1, _SALT2 = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-#: Sizes are taken in families, each this many times the one before.
-_RATIO = 1.5
+#: Sizes are taken in families, each this many times the one before; narrow ones keep cells full.
+_RATIO = 1.2
+#: Cells beyond those needed, as a share of D: so many of the smallest are dropped.
+SPARE = 0.1
+#: Cells that may be empty (besides one in 33) before a document falls back to a prefix of its hashes.
+EMPTY = 3
 #: Cells kept in a task before they are sent on.
 _HELD = 2_000_000
 #: A component of more shingles than this is cut into blocks.
@@ -66,11 +71,12 @@ def cell_signatures(hashes: np.ndarray, at: np.ndarray, t: float) -> tuple[np.nd
     alpha = (1 - t) / (1 + t)
     own = np.floor(np.log(np.maximum(sizes, 1)) / math.log(_RATIO) + 1e-9).astype(np.int64)
     sigs, docs = [], []
-    for step in (0, 1):
+    for step in range(2 + int(math.log(1 / t) / math.log(_RATIO))):
         family = own + step
         member = (sizes > 0) & ((step == 0) | (sizes >= np.floor(t * _RATIO**family)))
-        most = np.floor(alpha * 2 * np.ceil(_RATIO ** (family + 1)) + 1e-9).astype(np.int64)
-        cells = most + 1 + np.maximum(1, most // 12)
+        most = np.floor(alpha * 2 * (np.ceil(_RATIO ** (family + 1)) - 1) + 1e-9).astype(np.int64)
+        spare = (most * SPARE).astype(np.int64) + (most > 0)
+        cells = most + 1 + spare + EMPTY + most // 33
         rows = np.flatnonzero(np.repeat(member, sizes))
         if not len(rows):
             continue
@@ -80,10 +86,16 @@ def cell_signatures(hashes: np.ndarray, at: np.ndarray, t: float) -> tuple[np.nd
         first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (cell[1:] != cell[:-1])]))
         total = _words.range_sums(_words.mix(h ^ _SALT1), np.concatenate([first, [len(h)]]))
         label = cell[first] * np.uint64(256) + family[doc[first]].astype(np.uint64)
-        sigs.append(_words.mix(total + _words.mix(label)))
-        docs.append(doc[first])
-        full = np.bincount(doc[first], minlength=len(sizes))
-        for d in np.flatnonzero(member & (cells - full >= cells - most)):
+        sig, of = _words.mix(total + _words.mix(label)), doc[first]
+        full = np.bincount(of, minlength=len(sizes))
+        content = np.diff(np.concatenate([first, [len(h)]]))
+        order = np.lexsort((sig, content, of))
+        place = np.arange(len(sig)) - np.searchsorted(of, of)
+        kept = order[place >= spare[of]]
+        sig, of = sig[kept], of[kept]
+        sigs.append(sig)
+        docs.append(of)
+        for d in np.flatnonzero(member & (full - most < spare + 1)):
             prefix = hashes[at[d] : at[d] + sizes[d] - math.ceil(t * sizes[d] - 1e-9) + 1]
             sigs.append(_words.mix(prefix ^ _SALT2))
             docs.append(np.full(len(prefix), d))
@@ -105,7 +117,9 @@ def _stars(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def candidate_edges(docs: DataFrame, id_col: str, text_col: str, n: int, t: float) -> DataFrame:
     """Edges (a, b) whose components hold every linked pair. Signatures travel as packed arrays by range of the hash."""
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    spark = docs.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).where("_id is not null")
 
     def pack(sigs, ids):
         sigs, ids, a, b = _stars(sigs, ids)
@@ -138,7 +152,6 @@ def candidate_edges(docs: DataFrame, id_col: str, text_col: str, n: int, t: floa
             _, _, a, b = _stars(np.concatenate(got["sigs"]), np.concatenate(got["ids"]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, *got[k]])) for k, x in (("a", a), ("b", b))], ["a", "b"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).where("_id is not null")
     packed = rows.mapInArrow(emit, "bucket int, sigs binary, ids binary, a binary, b binary")
     return packed.repartition(buckets, "bucket").mapInArrow(gather, "a long, b long")
 
