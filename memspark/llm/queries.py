@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import bpe, decontam, lang_id, line_dedup, ngram_join, quality, secrets, token_count, url_filter
+from memspark.llm import bpe, decontam, kn_lm, lang_id, line_dedup, ngram_join, quality, secrets, token_count, url_filter
 
 # The host rules, and the listed sites and pages.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -82,6 +82,13 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = kn_lm.train_model(docs.where(~lang_id.held_out(F.col("doc_id"), 10)))
+    out = kn_lm.score(docs, model)
+    return out.select("doc_id", lang_id.held_out(F.col("doc_id"), 10).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_recurring_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_kept"), "text")
@@ -101,7 +108,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op3_ngram_join": op3_ngram_join, "op4_lang_id": op4_lang_id, "op5_token_count": op5_token_count, "op7_line_dedup": op7_line_dedup, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination, "op10_bpe": op10_bpe}
+    return {"op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op3_ngram_join": op3_ngram_join, "op4_lang_id": op4_lang_id, "op5_token_count": op5_token_count, "op6_lm_score": op6_lm_score, "op7_line_dedup": op7_line_dedup, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
