@@ -1,10 +1,10 @@
 """Byte-level BPE by a lazily determinised finite-state transducer, and streaming decode by a UTF-8 state machine.
 
 The encoding of a prefix ends in one token, and a token may follow another exactly if the two stay apart when
-merged together. So reading a word byte by byte needs, for each position where a coming token may still
-start, the tokens up to there. That is the transducer's state: the longest suffix that begins some token, and the open paths
-of its start positions. A transition is computed when first met and kept; what all open paths share is emitted,
-so tokens follow their bytes by a bounded lookahead. Words met before are kept as well, both in tables of bounded size.
+merged together. So reading a word byte by byte needs, for each place where a coming token may still
+start, the last token up to there. That is the transducer's state: the longest suffix that begins some token, and the last tokens
+at its places. A transition is computed when first met and kept. Tokens are emitted once every place
+that is still open agrees in them, so they follow their bytes by a bounded lookahead. Words met before are kept as well, both in tables of bounded size.
 
 As in the library that the rank files are made for, a word that is a token as a whole is that token.
 
@@ -29,6 +29,8 @@ from memspark.llm._shared import small_arrow_batches
 
 MAX_STATES, MAX_WORDS, MAX_PAIRS, MAX_TAILS = 100_000, 300_000, 500_000, 100_000
 NEVER = 1 << 60
+TOKEN_BITS = 24
+TOKEN_MASK = (1 << TOKEN_BITS) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,16 +48,17 @@ class Transducer:
         self.ranks = ranks
         self.bytes_of = {rank: word for word, rank in ranks.items()}
         self.begins = {word[:k] for word in ranks for k in range(len(word) + 1)}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.histories: dict[int, tuple] = {}
         self.tails: dict[bytes, tuple] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self._reset()
 
     def _reset(self) -> None:
-        # A state: (suffix that begins a token, last token emitted or -1, open path of each start position of the suffix and of the end).
-        start = (b"", -1, ((),))
-        self.states, self.number, self.moves = [start], {start: 0}, [{}]
+        # A state: the suffix that begins a token, and the last token before each of its bytes and at its end (-1: none yet).
+        self.states, self.number = [(b"", (-1,))], {(b"", (-1,)): 0}
+        #: State and byte to the next state and the last token, as plain numbers.
+        self.moves: dict[int, int] = {}
 
     def history(self, token: int) -> tuple[list[int], list[bytes], list[bytes], bool]:
         """How merging makes a token from its bytes: the rank of each merge, the leftmost and the rightmost part before
@@ -79,7 +82,7 @@ class Transducer:
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether two tokens stay apart when their bytes are merged together: both histories are replayed, lowest rank first, and no pair across may come in between."""
-        found = self.apart.get((left, right))
+        found = self.apart.get(left << TOKEN_BITS | right)
         if found is None:
             ranks_a, _, edges_a, _ = self.history(left)
             ranks_b, edges_b, _, _ = self.history(right)
@@ -95,7 +98,7 @@ class Transducer:
                 i, j = (i + 1, j) if a <= b else (i, j + 1)
             if len(self.apart) >= MAX_PAIRS:
                 self.apart.clear()
-            self.apart[left, right] = found
+            self.apart[left << TOKEN_BITS | right] = found
         return found
 
     def tail(self, read: bytes) -> tuple[list[tuple[int, int]], int]:
@@ -109,54 +112,68 @@ class Transducer:
             self.tails[read] = found
         return found
 
-    def move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state and the tokens emitted on the way."""
-        suffix, last, paths = self.states[state]
+    def move(self, state: int, byte: int) -> int:
+        """The next state, and the last token of what has been read, in one number."""
+        suffix, lasts = self.states[state]
         read = suffix + bytes((byte,))
         ends, skip = self.tail(read)
-        for k, token in ends:  # the paths of the suffix start at its first byte
-            before = paths[k][-1] if paths[k] else last
+        for k, token in ends:
+            before = lasts[k]
             if before < 0 or self.may_follow(before, token):
-                paths = (*paths, (*paths[k], token))
                 break
         else:
             raise ValueError("the ranks hold no token for a byte")
-        read, paths = read[skip:], paths[skip:]
-        shared = 0
-        shortest = min(map(len, paths))
-        while shared < shortest and len({p[shared] for p in paths}) == 1:
-            shared += 1
-        out = paths[0][:shared]
-        key = (read, out[-1] if out else last, tuple(p[shared:] for p in paths))
+        key = (read[skip:], (*lasts[skip:], token))
         number = self.number.get(key)
         if number is None:
             number = self.number[key] = len(self.states)
             self.states.append(key)
-            self.moves.append({})
-        self.moves[state][byte] = (number, out)
-        return number, out
+        found = self.moves[state << 8 | byte] = number << TOKEN_BITS | token
+        return found
 
-    def encode_word(self, word: bytes) -> list[int]:
+    def _settled(self, lasts: list[int], first: int) -> tuple[list[int], int]:
+        """The tokens that every place from ``first`` on agrees in, and where they end; ``lasts`` has the last token at each place."""
+        size = self.bytes_of
+        live = set(range(first, len(lasts) + 1))
+        while len(live) > 1:  # step back from the furthest until all are at one place
+            at = max(live)
+            live.discard(at)
+            live.add(at - len(size[lasts[at - 1]]))
+        (end,) = live
+        return self._back(lasts, end), end
+
+    def _back(self, lasts: list[int], end: int) -> list[int]:
+        out = []
+        while end > 0:
+            out.append(lasts[end - 1])
+            end -= len(self.bytes_of[lasts[end - 1]])
+        return out[::-1]
+
+    def encode_word(self, word: bytes, lookahead: int = 4096) -> list[int]:
+        """The tokens of a word. They are emitted when the word ends, or once ``lookahead`` bytes are open, as far as all places where a token may still start agree."""
         token = self.ranks.get(word)
         if token is not None:
             return [token]
         if len(self.states) > MAX_STATES:
             self._reset()
-        state, out, moves = 0, [], self.moves
+        state, out, lasts, moves = 0, [], [], self.moves
         for byte in word:
-            known = moves[state].get(byte)
-            state, tokens = known if known else self.move(state, byte)
-            if tokens:
+            found = moves.get(state << 8 | byte)
+            if found is None:
+                found = self.move(state, byte)
+            state = found >> TOKEN_BITS
+            lasts.append(found & TOKEN_MASK)
+            if len(lasts) >= lookahead:
+                tokens, end = self._settled(lasts, len(lasts) - len(self.states[state][0]))
                 out += tokens
-            if len(self.states) > 2 * MAX_STATES:  # within one very long word
-                key = self.states[state]
-                self._reset()
-                self.states.append(key)
-                self.moves.append({})
-                self.number[key] = state = 1
-                moves = self.moves
-        out += self.states[state][2][-1]
-        return out
+                del lasts[:end]
+                if len(self.states) > 2 * MAX_STATES:
+                    key = self.states[state]
+                    self._reset()
+                    state, moves = 1, self.moves
+                    self.states.append(key)
+                    self.number[key] = 1
+        return out + self._back(lasts, len(lasts))
 
     def encode(self, text: str, pattern: regex.Pattern) -> list[int]:
         out: list[int] = []
