@@ -26,8 +26,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def age_days(created: Column, as_of: Column) -> Column:
-    """Whole days passed, none if in the future."""
-    return F.greatest(F.lit(0), F.floor((F.unix_micros(as_of) - F.unix_micros(created)) / 86_400_000_000)).cast("long")
+    """Whole days passed, 0 if in the future, null for null."""
+    return F.when(created.isNotNull(), F.greatest(F.lit(0), F.floor((F.unix_micros(as_of) - F.unix_micros(created)) / 86_400_000_000)).cast("long"))
 
 
 def recency(created: Column, as_of: Column, half_life: float = C.HALF_LIFE_DAYS) -> Column:

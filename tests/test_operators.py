@@ -1,0 +1,138 @@
+import json
+import math
+
+from pyspark.sql import functions as F
+
+from memspark.functions import scoring as S
+from memspark.functions import text as T
+from memspark.operators import compaction, outcomes, search, transcripts, usefulness
+from memspark.operators.service import MemoryStore
+from memspark.sources import files
+from memspark.streaming import ingest
+
+
+def one(spark, *columns):
+    return tuple(spark.range(1).select(*columns).first())
+
+
+def test_text_functions(spark):
+    assert one(spark, T.tokens(F.lit("Café hello, a World_1 py3!")))[0] == ["hello", "py3"]
+    assert one(spark, T.tokens(F.lit(None).cast("string")))[0] == []
+    assert one(spark, T.title(F.lit("First one. Second")))[0] == "First one"
+    assert one(spark, T.title(F.lit("x" * 60)))[0] == "x" * 47 + "..."
+    assert "[REDACTED]" in one(spark, T.redact_secrets(F.lit("export API_KEY=abc and Bearer abc.def")))[0]
+    assert one(spark, T.redact_people(F.lit("/home/ann/x someone@mail.org")))[0] == "~/x so***@mail.org"
+    assert one(spark, T.validated_weight(F.lit("7")), T.validated_weight(F.lit("junk")), T.validated_hours(F.lit("0"))) == (1.0, 0.5, 1)
+
+
+def test_scores(spark):
+    vec = lambda *x: F.array(*[F.lit(float(v)) for v in x])
+    assert one(spark, S.cosine(vec(1, 0), vec(1, 0)), S.cosine(vec(1, 0), vec(0, 1)), S.cosine(vec(1, 0), vec(-1, 0)), S.cosine(vec(0, 0), vec(1, 0))) == (1.0, 0.0, -1.0, 0.0)
+    now = F.lit("2024-06-01").cast("timestamp")
+    assert one(spark, S.recency(F.lit("2024-05-31 00:00:01").cast("timestamp"), now), S.recency(F.lit(None).cast("timestamp"), now)) == (1.0, 0.5)
+    assert one(spark, S.clamp(F.lit(None).cast("double"), 0.0, 1.0)) == (None,)
+
+
+def test_fold_limits_and_nulls(spark):
+    rows = [(1, k, k, 0.8, f"c{k}") for k in range(8)] + [(2, k, k, -1.0, None) for k in range(20)] + [(3, 0, 0, None, "n")]
+    log = spark.createDataFrame(rows, "memory_id long, ts long, seq long, reward double, context string")
+    got = {r["memory_id"]: r for r in usefulness.fold(log).collect()}
+    assert got[1]["q_action"] == 1.0 and got[1]["reward_contexts"] == ["c3", "c4", "c5", "c6", "c7"]
+    assert got[2]["q_action"] == -0.5 and got[2]["q_visits"] == 20
+    assert got[3]["q_action"] == 0.0 and got[3]["q_visits"] == 1
+    state = usefulness.fold(log.where("seq < 4"))
+    again = {r["memory_id"]: r for r in usefulness.fold(log.where("seq >= 4"), start=state).collect()}
+    assert math.isclose(again[1]["q_hypothesis"], got[1]["q_hypothesis"])
+
+
+def test_search_filters(spark):
+    rows = spark.createDataFrame([(1, "active", "fact", [1.0, 0.0], "hello world"), (2, "deleted", None, [1.0, 0.0], "x"), (3, None, None, [0.0, 1.0], None)], "id long, status string, memory_type string, vector array<double>, memory string")
+    assert [r["id"] for r in search.vector_top(search.lifecycle_filter(rows), [1.0, 0.0], 5).collect()] == [1, 3]
+    assert {r["id"] for r in search.payload_filter(rows, exclude_type="fact").collect()} == {2, 3}
+    assert search.bm25(rows, ["hello"]).count() == 3
+    assert search.bm25(rows.limit(0), ["hello"]).count() == 0
+
+
+def test_stage_events_and_ids(spark):
+    raw = spark.createDataFrame([(" 1 ", "Won", "c", None, 0), ("1", "lost", "c", None, 1), ("2", "x", "c", "2024-01-01", 2), (" ", "won", "c", None, 3)], "deal_id string, stage string, client_id string, paid_date string, pos long")
+    now = outcomes.normalised_deals(raw)
+    assert {(r["deal_id"], r["stage"]) for r in now.collect()} == {("1", "lost"), ("2", "paid")}
+    before = spark.createDataFrame([("1", "negotiation"), ("2", "invoiced")], "deal_id string, stage string")
+    assert {(r["event_name"], r["reward"]) for r in outcomes.stage_events(before, now).collect()} == {("deal_lost", -0.5), ("payment_received", 1.0)}
+    a, b = spark.createDataFrame([("cli-dt-001",), ("cli-x",)], "l string"), spark.createDataFrame([("comp-dt-001",), ("lead-x",)], "r string")
+    assert [tuple(r) for r in outcomes.client_matches(a, b, "l", "r").collect()] == [("cli-dt-001", "comp-dt-001")]
+
+
+def test_transcript_lines(spark):
+    lines = [
+        {"type": "user", "message": {"content": "a plain string message"}, "sessionId": "s1", "uuid": "u1"},
+        {"type": "user", "message": {"content": [{"type": "text", "text": "<system-reminder>hidden text"}, {"type": "text", "text": "the visible text"}]}},
+        {"type": "assistant", "message": {"content": [{"type": "thinking", "thinking": "no"}, {"type": "text", "text": "x" * 6000}]}},
+        {"type": "summary", "message": {"content": "some other type"}}, {"type": "user", "message": {"content": "short"}},
+    ]
+    rows = [("f", k, json.dumps(x)) for k, x in enumerate(lines)] + [("f", 9, "{broken")]
+    got = transcripts.parse_lines(spark.createDataFrame(rows, "file string, pos long, value string")).orderBy("pos").collect()
+    assert [(r["role"], len(r["text"]), r["session_id"]) for r in got] == [("user", 22, "s1"), ("user", 16, "s1"), ("assistant", 5000, "s1")]
+
+
+def test_packing(spark):
+    sizes = spark.createDataFrame([(k, n, k) for k, n in enumerate([100, 100, 100, 500, 50])], "session_id long, chars long, first long")
+    assert [r["chunk_id"] for r in transcripts.pack_sessions(sizes, 250).orderBy("session_id").collect()] == [1, 1, 2, 3, 4]
+    messages = spark.createDataFrame([(1, k, "x" * 100) for k in range(10)] + [(2, 0, "y" * 500)], "session_id long, pos long, text string")
+    parts = transcripts.split_session(messages, 300).where("session_id = 1").collect()
+    assert len(parts) == 4 and max(r["chars"] for r in parts) == 300
+    assert transcripts.split_session(messages.limit(0), 300).count() == 0
+
+
+def test_clusters(spark):
+    rows = [(k, [1.0, 0.01 * k]) for k in range(5)] + [(9, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    assert {r["id"] for r in compaction.greedy_clusters(df, 0.15).collect()} == set(range(5))
+    assert compaction.greedy_clusters(df.where("id < 2"), 0.15).count() == 0
+    assert one(spark, compaction.merged_text(F.array(*[F.lit(f"f{k}") for k in range(10)])))[0] == "f9 | f8 | f7 | f6 | f5 [+5 merged]"
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text('{"reward_id": "a", "reward": 0.5, "memory_ids": ["m"]}\n{broken\n')
+    assert [r["reward_id"] for r in files.read_jsonl(spark, str(tmp_path / "log.jsonl"), files.REWARD_EVENT).collect()] == ["a"]
+    (tmp_path / "q.json").write_text(json.dumps({"m1": {"default": {"q_value": 0.5}, "sales": {"q_value": 0.1}}}))
+    (tmp_path / "flat.json").write_text(json.dumps({"m2": {"q_value": 0.25}}))
+    assert {(r["memory_id"], r["experience"]) for r in files.read_usefulness(spark, str(tmp_path / "q.json")).collect()} == {("m1", "default"), ("m1", "sales")}
+    assert [r["experience"] for r in files.read_usefulness(spark, str(tmp_path / "flat.json")).collect()] == ["default"]
+    (tmp_path / "observations-2024-01-02.jsonl").write_text("a\nb\n")
+    assert [(r["date"], r["lines"]) for r in files.lines_per_file(spark, str(tmp_path / "observations-*.jsonl")).collect()] == [("2024-01-02", 2)]
+
+
+def test_store(spark, tmp_path):
+    store = MemoryStore(spark, str(tmp_path / "store"))
+    rows = [("Python code review notes", "decision", "c1", 0.9, None, "2024-05-01"), ("Weather in spring", None, "c2", None, "mcp", "2024-05-02")]
+    store.add_memories(spark.createDataFrame(rows, "memory string, memory_type string, client_id string, importance double, source string, day string").withColumn("created_at", F.col("day").cast("timestamp")))
+    top = store.search("python code", "2024-06-01", limit=1).collect()
+    assert top[0]["memory"].startswith("Python")
+    store.log_prediction("p1", "2024-06-01", "reply", [top[0]["id"]], "c1")
+    store.log_outcome("p1", "2024-06-02", "they replied", 0.8)
+    assert store.predictions().first()["status"] == "resolved"
+    assert math.isclose(store.usefulness().first()["q_action"], 0.2)
+    assert {r["source"] for r in store.stats()["sources"].collect()} == {"api", "mcp"}
+
+
+def test_capture(spark):
+    rows = [("Bash", "s", "/a/p", (None, "git commit")), ("Bash", "s", "/a/p", (None, "/bin/ls -l")), ("Bash", "s", "/a/p", (None, "lsof -i")), ("Write", "s", "/a/p", ("/x/.env", None)), ("Edit", "s", "/a/p", ("/x/y.py", None)), ("Read", "s", "/a/p", ("/x/y.py", None))]
+    got = ingest.capture(spark.createDataFrame(rows, "tool_name string, session_id string, cwd string, tool_input struct<file_path:string,command:string>"))
+    assert [r["summary"] for r in got.collect()] == ["Ran: git commit", "Ran: lsof -i", "Edited y.py"]
+
+
+def test_streams_agree_with_batch(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("memory_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), ((F.col("value") - 100) / 100).alias("reward"))
+    events.repartition(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    run = ingest.usefulness_state(stream).writeStream.format("memory").queryName("state").outputMode("update").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    want = {r["memory_id"]: r["q_action"] for r in usefulness.fold(events.withColumn("context", F.lit(None).cast("string"))).collect()}
+    got = {r["memory_id"]: r["q_action"] for r in spark.table("state").collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+    run = ingest.daily(stream, "ts", "reward").writeStream.format("memory").queryName("days").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    days = {str(r["day"])[:10]: r["events"] for r in spark.table("days").collect()}
+    batch = {r["d"]: r["count"] for r in events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("d")).count().collect()}
+    assert days and all(batch[k] == v for k, v in days.items())
