@@ -67,7 +67,7 @@ def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     inside = ~_SPACE[raw]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    bounds = offsets[1:-1]
+    bounds = np.unique(offsets[1:-1])
     bounds = bounds[(bounds > 0) & (bounds < len(raw))]
     touching = bounds[inside[bounds] & inside[bounds - 1]]
     starts = np.concatenate([[0] if inside[0] else [], edge[inside[edge]], touching]).astype(np.int64)
