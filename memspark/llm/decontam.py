@@ -98,7 +98,7 @@ class Index:
         self.known = np.zeros(1 << (64 - int(self.shift)), bool)
         self.known[(self.code >> self.shift).astype(np.int64)] = True
         self.span = int((self.sizes + 2 * self.budgets).max(initial=1))
-        self.fewest = int(self.need.min(initial=1))
+        self.fewest = int(self.need.min()) if len(self.need) else 1
 
     def dense(self, code: np.ndarray) -> np.ndarray:
         """Places within a stretch of ``span`` that holds ``fewest`` q-grams of the index."""
@@ -151,9 +151,9 @@ def _search_part(docs: DataFrame, index: Index, keep: list[str]) -> DataFrame:
                 bounds = np.searchsorted(came, offsets)
                 row = np.searchsorted(bounds, place, "right") - 1
                 items = [[] for _ in range(batch.num_rows)]
-                for r in np.unique(row).tolist():
+                rows, first = np.unique(row, return_index=True)
+                for r, inside in zip(rows.tolist(), np.split(place, first[1:]), strict=False):
                     a, b = bounds[r], bounds[r + 1]
-                    inside = place[row == r]
                     items[r] = index.search(text[a:b], code[a:b], inside[inside + Q <= b] - a)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(items, pa.list_(pa.int64()))], [*keep, "items"])
 
