@@ -3,8 +3,9 @@
 1. Count. Each task counts pairs (previous word, word) as hashes; pairs travel as packed arrays by range of the previous word's hash, so
    each reducer has all pairs of its histories. A text begins with a start mark and ends with an end mark, which is a token.
 2. Discounts come from the counts of counts of the pairs and of the continuation counts, as the modified method sets them.
-3. Store. Each reducer writes its part as sorted arrays to the shared folder: pair hash and discounted probability, history
-   hash and back-off weight. Words are counted likewise: hash, count, continuation count.
+3. Store. Each reducer writes its part as sorted arrays to the shared folder: pair hash and count (one byte, counts of 255 and more
+   in a short array of their own), history hash with its total and its numbers of pairs seen once, twice and more often. Words
+   are kept likewise: hash, count, continuation count. Discounts are three numbers that go with the model.
 4. Score. Workers map the parts and look up a batch's distinct pairs at once.
 
 p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v) + g(v) * p(w),  p(w) = max(n(w) - D'(n(w)), 0) / n + g' / (V + 1), where n(w) is the
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm import _words
-from memspark.llm._shared import durable, local_path, shared_dir, small_arrow_batches
+from memspark.llm._shared import local_path, shared_dir, small_arrow_batches
 
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _HELD = 3_000_000
@@ -164,6 +165,18 @@ class Model:
                     array[mine[hit]] = self.part(f"{name}.{column}", k, kind)[spot[hit]]
         return out
 
+    def above(self, before: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The discounted share of each pair in its history, and the history's weight of the lower order."""
+        d = np.array([self.totals[k] for k in ("d1", "d2", "d3")])
+        (n,) = self.look_up(pairs, before, "pair", {"n": np.uint8})
+        n = n.astype(np.int64)
+        many = np.flatnonzero(n == 255)
+        (n[many],) = self.look_up(pairs[many], before[many], "many", {"n": np.int64})
+        heads, which = np.unique(before, return_inverse=True)
+        total, *seen = self.look_up(heads, heads, "head", {"total": np.int64, "n1": np.int32, "n2": np.int32, "n3": np.int32})
+        weight = np.where(total > 0, sum(k * x for k, x in zip(d, seen, strict=True)) / np.maximum(total, 1), 1.0)
+        return np.where(n > 0, n - _discount(np.maximum(n, 1), d), 0.0) / np.maximum(total, 1)[which], weight[which]
+
     def score(self, texts: pa.Array) -> tuple[np.ndarray, ...]:
         """n_tokens, n_known, base score and log10 probability of each text."""
         toks, at = tokens(texts)
@@ -175,10 +188,7 @@ class Model:
         lower = np.where(cont > 0, cont - _discount(np.maximum(cont, 1), d), 0.0) / max(t["pairs"], 1) + t["left"] / (t["V"] + 1)
         before = histories(toks, at)
         pairs, first, pair_of = np.unique(pair_hash(before, toks), return_index=True, return_inverse=True)
-        heads, head_of = np.unique(before[first], return_inverse=True)
-        (high,) = self.look_up(pairs, before[first], "pair", {"p": np.float32})
-        (weight,) = self.look_up(heads, heads, "head", {"g": np.float32})
-        weight = np.where(weight > 0, weight, 1.0)[head_of]
+        high, weight = self.above(before[first], pairs)
         p = np.log10(high + weight * lower[which[first]])
         sums = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0)
         return np.diff(at), sums((count > 0)[which].astype(np.int64)), sums(base[which]), sums(p[pair_of])
@@ -199,12 +209,19 @@ def train_model(train: DataFrame, text_col: str = "text", folder: str | None = N
     kinds = {"before": np.uint64, "word": np.uint64, "n": np.int32}
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Writes raw pairs of a part, and sends the words' counts on with the counts of counts."""
+        """Writes the pairs and histories of a part, and sends its words' counts on with the counts of counts."""
         for part, (before, word, n) in _gathered(batches, kinds).items():
             before, word, n = _pairs_summed(before, word, n.astype(np.int64))
-            _save(folder, "raw.before", part, before)
-            _save(folder, "raw.word", part, word)
-            _save(folder, "raw.n", part, n.astype(np.int32))
+            keys = pair_hash(before, word)
+            order = np.argsort(keys)
+            big = order[n[order] >= 255]
+            _save(folder, "pair", part, keys[order])
+            _save(folder, "pair.n", part, np.minimum(n[order], 255).astype(np.uint8))
+            _save(folder, "many", part, keys[big])
+            _save(folder, "many.n", part, n[big])
+            head, total, *seen = _summed(before, n, *[(n == k).astype(np.int32) for k in (1, 2)], (n > 2).astype(np.int32))
+            for name, array in (("head", head), ("head.total", total), *[(f"head.n{k + 1}", x) for k, x in enumerate(seen)]):
+                _save(folder, name, part, array)
             words, count, cont = _summed(word, n, np.ones(len(n), np.int64))
             cut = _cut(words, parts)
             spans = [slice(cut[k], cut[k + 1]) for k in range(parts)]
@@ -230,43 +247,10 @@ def train_model(train: DataFrame, text_col: str = "text", folder: str | None = N
     discounts, lower = _discounts(np.array(of)), _discounts(np.array([int(x) for x in sums[7:]]))
     few = [int(x) for x in sums[7:]]
     left = (lower[0] * few[0] + lower[1] * few[1] + lower[2] * max(0, v - few[0] - few[1])) / max(pairs, 1)
-    totals = (("N", n), ("V", v), ("pairs", pairs), ("left", float(left) if pairs else 1.0), *[(f"c{k + 1}", float(lower[k])) for k in range(3)])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in batch.column("id").to_pylist():
-                if not os.path.exists(f"{folder}/raw.n-{part}"):
-                    continue
-                before, word, n = (np.fromfile(f"{folder}/{name}-{part}", kind) for name, kind in (("raw.before", np.uint64), ("raw.word", np.uint64), ("raw.n", np.int32)))
-                held = _discount(n, discounts) if len(n) else np.zeros(0)
-                head, total, lost = _summed(before, n.astype(np.float64), held)
-                p = (n - held) / total[np.searchsorted(head, before)]
-                keys = pair_hash(before, word)
-                order = np.argsort(keys)
-                _save(folder, "pair", part, keys[order])
-                _save(folder, "pair.p", part, p[order].astype(np.float32))
-                _save(folder, "head", part, head)
-                _save(folder, "head.g", part, (lost / total).astype(np.float32))
-            yield batch
-
-    done = spark.range(0, parts, 1, parts).mapInArrow(finish, "id long")
-    durable(done)
-    spark.range(0, parts, 1, parts).mapInArrow(_remover(folder), "id long").count()
+    totals = (("N", n), ("V", v), ("pairs", pairs), ("left", float(left) if pairs else 1.0), *[(f"c{k + 1}", float(lower[k])) for k in range(3)], *[(f"d{k + 1}", float(discounts[k])) for k in range(3)])
     return folder, parts, totals
 
 
-def _remover(folder: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in batch.column("id").to_pylist():
-                for name in ("raw.before", "raw.word", "raw.n"):
-                    if os.path.exists(f"{folder}/{name}-{part}"):
-                        os.remove(f"{folder}/{name}-{part}")
-            yield batch
-
-    return run
-
-
 def score(docs: DataFrame, model: tuple[str, int, tuple], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, n_known, train_tokens, base_score, score (log10 probability) and perplexity of each row."""
     small_arrow_batches(docs.sparkSession)
