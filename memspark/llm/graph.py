@@ -8,17 +8,28 @@ from pyspark.sql import functions as F
 from memspark.llm._shared import durable
 
 
+def _flat(moves: DataFrame) -> DataFrame:
+    """``moves`` (a, to) followed to their ends. Each pass doubles the steps, so a chain takes the logarithm of its length."""
+    while True:
+        further = moves.where("to != a").select(F.col("a").alias("to"), F.col("to").alias("_up"))
+        moves = durable(moves.join(further, "to", "left").select("a", F.coalesce("_up", "to").alias("to"), F.col("_up").isNotNull().alias("_moved")))
+        if moves.where("_moved").isEmpty():
+            return moves.drop("_moved")
+        moves = moves.drop("_moved")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b): the label is the smallest node that it is connected to.
 
-    In each round every node moves to its smallest neighbour, edges follow, and what has become one node goes; a
-    component of stars is done in a round or two. Minima are taken before the shuffle, so a hub of very many edges sends one row a task.
+    In each round every node moves to its smallest neighbour, from there to where that one moves and so on; edges follow, and what has
+    become one node goes. A component of stars is done in a round or two. Minima are taken before the shuffle, so a hub of very many
+    edges sends one row a task.
     """
     edges = durable(edges.where("a != b").distinct())
     labels = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        moves = durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
+        moves = _flat(durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))))
         if labels is None:
             labels = moves.toDF("node", "label")
         else:
