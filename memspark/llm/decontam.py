@@ -15,7 +15,8 @@ The index is broadcast; it is made of at most ``part_bytes`` of passages. A larg
 over the documents, and their findings are united.
 
 Defined cases: null and empty texts are clean; benchmark passages that are null or shorter than ``least`` bytes are not looked for.
-Rows are judged one by one, repeated rows alike. Texts are searched whole, whatever their length.
+Rows are judged one by one, repeated rows alike. Texts are searched whole, whatever their length. Other columns are carried as they
+are, ``items`` among them; ``_items`` and ``_text`` are this module's own names.
 """
 
 from __future__ import annotations
@@ -137,7 +138,7 @@ class Index:
 
 
 def _search_part(docs: DataFrame, index: Index, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` and ``items``: the benchmark items found in each row."""
+    """``keep`` columns of ``docs`` and ``_items``: the benchmark items found in each row."""
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,10 +156,10 @@ def _search_part(docs: DataFrame, index: Index, keep: list[str]) -> DataFrame:
                 for r, inside in zip(rows.tolist(), np.split(place, first[1:]), strict=False):
                     a, b = bounds[r], bounds[r + 1]
                     items[r] = index.search(text[a:b], code[a:b], inside[inside + Q <= b] - a)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(items, pa.list_(pa.int64()))], [*keep, "items"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(items, pa.list_(pa.int64()))], [*keep, "_items"])
 
     kept = docs.select(*keep, "_text")
-    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text") + ", items array<long>")
+    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text") + ", `_items` array<bigint>")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 100, edits: float = 0.05, least: int = 40, part_bytes: int = 1_000_000) -> DataFrame:
@@ -173,8 +174,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         one = _search_part(docs.select(F.col(id_col), F.col(text_col).alias("_text"), *([F.monotonically_increasing_id().alias("_row")] if parts > 1 else [])), index, [id_col, *(["_row"] if parts > 1 else [])])
         found = one if found is None else found.unionByName(one)
     if parts > 1:
-        found = found.groupBy("_row", id_col).agg(F.sort_array(F.flatten(F.collect_list("items"))).alias("items"))
-    return found.select(id_col, (F.size("items") > 0).alias("contaminated"), "items")
+        found = found.groupBy("_row", id_col).agg(F.sort_array(F.flatten(F.collect_list("_items"))).alias("_items"))
+    return found.select(id_col, (F.size("_items") > 0).alias("contaminated"), F.col("_items").alias("items"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 100, edits: float = 0.05, least: int = 40, part_bytes: int = 1_000_000) -> DataFrame:
@@ -186,5 +187,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     for part in range(parts):
         rows = passages.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).orderBy("item", "text").collect()
         index = Index([(r["item"], r["text"]) for r in rows], window, edits, least)
-        docs = _search_part(docs.select("*", F.col(text_col).alias("_text")), index, columns).where(F.size("items") == 0).select(*columns)
+        docs = _search_part(docs.select("*", F.col(text_col).alias("_text")), index, columns).where(F.size("_items") == 0).select(*columns)
     return docs
