@@ -58,6 +58,11 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, *_LOWER)
 
 
+def held(col: Column) -> Column:
+    """``col`` as it is, but so that filters stay above its projection: pushed below, they would compute its arrays anew for each element of a lambda."""
+    return F.when(F.monotonically_increasing_id() >= 0, col)
+
+
 def row_key(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``df`` with ``_rk``: equal for rows of equal id and text, and the same on every recomputation.
 

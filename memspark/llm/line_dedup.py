@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm._shared import row_key
+from memspark.llm._shared import held, row_key
 
 DEPTH, FIELDS = 3, 4
 #: Lines with fewer tokens behind the leading ones support only the template that fixes all of them.
@@ -58,7 +58,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     out = out.withColumns({"_l": F.split(text_col, "\n"), "_g": F.coalesce("_gone", F.array().cast("array<int>"))})
     out = out.withColumns({
         "n_lines": F.coalesce(F.size("_l"), F.lit(0)).cast("bigint"),
-        "n_dropped": F.size("_g").cast("bigint"),
+        "n_dropped": held(F.size("_g").cast("bigint")),
         text_col: F.when(F.size("_g") == 0, F.col(text_col)).otherwise(F.expr("array_join(transform(array_except(sequence(0, size(_l) - 1), _g), i -> _l[i]), '\n')")),
     })
     return out.drop("_rk", "_gone", "_l", "_g")

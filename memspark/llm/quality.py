@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memspark.llm._shared import held
+
 # Phrases of boilerplate lines, and the punctuation that may end a line.
 BOILERPLATE = "all rights reserved|licensed under|released under|terms of (use|service)|privacy policy|cookie policy|subscribe now|click here|sign up|log in|copyright (c)|enable javascript|read more"
 LINE_END = r"[.!?:;…][\"'”’»)\]]*$"
@@ -67,4 +69,4 @@ def judge(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_repe
     """
     out = clean_lines(base_measures(docs, text_col)).withColumn("clean_text", F.expr(r"array_join(_kept, '\n')"))
     out = out.withColumns({"clean_words": F.expr(f"cast(size({words('clean_text')}) as bigint)"), "base_failed": F.expr(f"n_words < {min_words} or 100 * n_repeat_words > {max_repeat} * n_words")})
-    return out.withColumn("kept", F.expr(f"not base_failed and 100 * (n_words - clean_words) <= {max_loss} * n_words")).drop("_t", "_words", "_lines", "_win", "_again", "_kept")
+    return out.withColumn("kept", held(F.expr(f"not base_failed and 100 * (n_words - clean_words) <= {max_loss} * n_words"))).drop("_t", "_words", "_lines", "_win", "_again", "_kept")
