@@ -381,7 +381,7 @@ _KW = r"""q as (select item_id query_id, list_distinct(regexp_extract_all(lower(
 
 def _keyword_scores(spark, sf_dir):
     q = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return evaluation.keyword_scores(q, V.table(spark, sf_dir, "documents").where("length(text) < 4000"))
+    return evaluation.keyword_scores(q, V.table(spark, sf_dir, "documents"))
 
 
 @query(f"with {_KW}, k as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) rank from sc) select query_id, doc_id, rank, round(score, 6) score from k where rank <= 10")
@@ -395,7 +395,7 @@ def keyword_retrieval(spark, sf_dir):
  g as (select qs.query_id, ks.k, count(*) filter (where hit and rank <= ks.k) n, coalesce(sum(case when hit and rank <= ks.k then 1 / log2(rank + 1) end), 0) dcg from qs cross join ks left join h using (query_id) group by 1, 2)
  select k::int k, round(avg((n > 0)::int), 6) recall_any, round(avg(case when n > 0 then dcg / list_sum(list_transform(range(1, n + 1), lambda i: 1 / log2(i + 1))) else 0 end), 6) ndcg_retrieved from g group by 1""")
 def retrieval_evaluation(spark, sf_dir):
-    d, b = V.table(spark, sf_dir, "documents").where("length(text) < 4000"), V.table(spark, sf_dir, "benchmark")
+    d, b = V.table(spark, sf_dir, "documents"), V.table(spark, sf_dir, "benchmark")
     # Containment needs a shared stretch: texts meet by the passage's first words, then the whole passage is tested.
     scores = _keyword_scores(spark, sf_dir).withColumn("score", F.round("score", 9))
     pairs = scores.join(b.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")), "query_id").join(d.select("doc_id", "text"), "doc_id")
