@@ -1,18 +1,20 @@
-"""An interpolated modified Kneser-Ney model of word pairs: counted in Spark, kept as sorted hash arrays, mapped into memory by workers.
+"""An interpolated modified Kneser-Ney model of n-grams: counted in Spark, kept as sorted hash arrays, mapped into memory by workers.
 
-1. Count. Each task counts pairs (previous word, word) as hashes; pairs travel as packed arrays by range of the previous word's hash, so
-   each reducer has all pairs of its histories. A text begins with a start mark and ends with an end mark, which is a token.
-2. Discounts come from the counts of counts of the pairs and of the continuation counts, as the modified method sets them.
-3. Store. Each reducer writes its part as sorted arrays to the shared folder: pair hash and count (one byte, counts of 255 and more
-   in a short array of their own), history hash with its total and its numbers of pairs seen once, twice and more often. Words
-   are kept likewise: hash, count, continuation count. Discounts are three numbers that go with the model.
-4. Score. Workers map the parts and look up a batch's distinct pairs at once.
+1. Count. Each task counts n-grams of the full order as hashes, with the hashes of their shorter histories; they travel as packed arrays by
+   range of the history's hash, so each reducer has all n-grams of its histories. A text begins with one start mark and ends with an end mark,
+   which is a token; the first tokens of a text, whose history is shorter, are counted at the level that their history has.
+2. Lower orders. The reducers of one order send the next lower one the number of distinct words before each shorter n-gram, which is its count
+   there; n-grams that begin with the start mark, which nothing precedes, keep their plain counts. Words are the last level.
+3. Discounts come from the counts of counts of each level, as the modified method sets them.
+4. Store. Each reducer writes its part as sorted arrays to the shared folder, for each level: n-gram hash and count (one byte, counts of 255 and
+   more in a short array of their own), history hash with its total and its numbers of n-grams seen once, twice and more often (a
+   history seen once is its hash only). Words are kept likewise: hash, count, continuation count. Discounts are three numbers a level.
+5. Score. Workers map the parts and look up a batch's distinct n-grams at once.
 
-p(w | v) = max(c(vw) - D(c(vw)), 0) / c(v) + g(v) * p(w),  p(w) = max(n(w) - D'(n(w)), 0) / n + g' / (V + 1), where n(w) is the
-number of distinct words before w, n their sum, V the number of distinct tokens; an unknown history leaves p(w).
+p(w | h) = max(c(hw) - D(c(hw)), 0) / c(h) + g(h) * p(w | h without its first word),  p(w) = max(n(w) - D'(n(w)), 0) / n + g' / (V + 1), where
+n(w) is the number of distinct words before w, n their sum, V the number of distinct tokens; an unknown history leaves the lower order.
 
-Order two, as the query's budget of disk holds the pairs of a corpus but not its triples (README). Hashes have 64 bits. The shared folder must be mounted
-on all machines (a ``file:`` path): that is what mapping files takes.
+Hashes have 64 bits. The shared folder must be mounted on all machines (a ``file:`` path): that is what mapping files takes.
 
 Defined cases: a null text is empty: it has the end token only. Rows are scored one by one; repeated rows count twice in training. An
 empty training set gives p = 1 / (V + 1) with V = 0. Very long texts are counted and scored whole.
@@ -60,6 +62,15 @@ def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _words.mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
+def contexts(toks: np.ndarray, at: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The hash of each token's history of 1, 2, ... ``order`` - 1 tokens, and the level of its longest n-gram: the start mark is the first token of all histories that reach it."""
+    before = histories(toks, at)
+    out = [before]
+    for _ in range(order - 2):
+        out.append(pair_hash(np.concatenate([out[-1][:1], out[-1][:-1]]), before))
+    return out, np.minimum(np.arange(len(toks)) - np.repeat(at[:-1], np.diff(at)) + 2, order)
+
+
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, sorted, with the sums of their values."""
     order = np.argsort(keys, kind="stable")
@@ -68,12 +79,12 @@ def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[new], *[np.add.reduceat(v[order], new) if len(new) else v[:0] for v in values])
 
 
-def _pairs_summed(before: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs by history and word with the sums of ``n``."""
-    order = np.lexsort((word, before))
-    before, word, n = before[order], word[order], n[order]
-    new = np.flatnonzero(np.concatenate([[True], (before[1:] != before[:-1]) | (word[1:] != word[:-1])])) if len(n) else np.zeros(0, np.int64)
-    return before[new], word[new], np.add.reduceat(n, new) if len(new) else n
+def _grams_summed(grams: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct columns of ``grams`` (history, its shorter histories, word), by history and word, with the sums of ``values``."""
+    order = np.lexsort((grams[-1], grams[0]))
+    grams = grams[:, order]
+    new = np.flatnonzero(np.concatenate([[True], (grams[0, 1:] != grams[0, :-1]) | (grams[-1, 1:] != grams[-1, :-1])])) if len(order) else np.zeros(0, np.int64)
+    return (grams[:, new], *[np.add.reduceat(v[order], new) if len(new) else v for v in values])
 
 
 def _cut(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -81,41 +92,59 @@ def _cut(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
 
 
-def count_pairs(train: DataFrame, text_col: str, parts: int) -> DataFrame:
-    """part, before, word, n: packed arrays of distinct pairs, one row for each task and part at least."""
+#: A packed row: its part of the level's hash range, the n-grams as rows of hashes, their counts in that level, their plain counts (empty if equal); or a level's counts of counts.
+_PACKED = "part int, level int, grams binary, n binary, plain binary, of array<long>"
+
 
-    def pack(before, word, n):
-        before, word, n = _pairs_summed(np.concatenate(before), np.concatenate(word), np.concatenate(n))
-        cut = _cut(before, parts)
-        spans = [slice(cut[k], cut[k + 1]) for k in range(parts)]
-        return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), *[pa.array([x[s].tobytes() for s in spans], pa.binary()) for x in (before, word, n.astype(np.int32))]], ["part", "before", "word", "n"])
+def _packed(level: int, parts: int, grams: np.ndarray, n: np.ndarray, plain: np.ndarray | None = None, of: list[int] | None = None) -> pa.RecordBatch:
+    """Summed n-grams of ``level``, one row for each part; with ``of``, one more row of those."""
+    cut = _cut(grams[0], parts)
+    rows = [(k, level, grams[:, cut[k] : cut[k + 1]].tobytes(), n[cut[k] : cut[k + 1]].astype(np.int64).tobytes(), b"" if plain is None else plain[cut[k] : cut[k + 1]].astype(np.int64).tobytes(), None) for k in range(parts) if cut[k] < cut[k + 1]]
+    if of is not None:
+        rows.append((0, level + 1, b"", b"", b"", of))
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True) if rows else [()] * 6, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["part", "level", "grams", "n", "plain", "of"])
+
+
+def count_grams(train: DataFrame, text_col: str, parts: int, order: int) -> DataFrame:
+    """Packed rows of distinct n-grams: those of the full order, and of lower levels those that begin with the start mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, word, n, held = [], [], [], 0
+        held = {k: [] for k in range(2, order + 1)}
+        size = 0
+
+        def pack():
+            for k, kept in held.items():
+                if kept:
+                    yield _packed(k, parts, *_grams_summed(*[np.concatenate(x, axis=-1) for x in zip(*kept, strict=True)]))
+                    kept.clear()
+
         for whole in batches:
             for batch in _words.pieces(whole, "text"):
                 toks, at = tokens(batch.column("text"))
-                for kept, part in zip((before, word, n), _pairs_summed(histories(toks, at), toks, np.ones(len(toks), np.int64)), strict=True):
-                    kept.append(part)
-                held += len(word[-1])
-                if held >= _HELD:
-                    yield pack(before, word, n)
-                    before, word, n, held = [], [], [], 0
-        if held:
-            yield pack(before, word, n)
-
-    return train.select(F.col(text_col).alias("text")).mapInArrow(run, "part int, before binary, word binary, n binary")
-
-
-def _gathered(batches: Iterator[pa.RecordBatch], kinds: dict[str, type]) -> dict[int, list[np.ndarray]]:
-    """The arrays of each part, put together."""
-    got: dict[int, list[list[np.ndarray]]] = {}
+                before, level = contexts(toks, at, order)
+                for k in held:
+                    grams = np.stack([*before[k - 2 :: -1], toks])[:, level == k]
+                    held[k].append(_grams_summed(grams, np.ones(grams.shape[1], np.int64)))
+                    size += len(held[k][-1][1])
+                if size >= _HELD:
+                    yield from pack()
+                    size = 0
+        yield from pack()
+
+    return train.select(F.col(text_col).alias("text")).mapInArrow(run, _PACKED)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], level: int, passed: list[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, ...]]:
+    """The n-grams of ``level``, their counts and plain counts, of each part put together and summed; rows of other kinds go to ``passed``."""
+    got: dict[int, list[tuple[np.ndarray, ...]]] = {}
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in kinds]
-        for row, part in enumerate(batch.column("part").to_pylist()):
-            for k, kind in enumerate(kinds.values()):
-                got.setdefault(part, [[] for _ in kinds])[k].append(np.frombuffer(columns[k][row], kind))
-    return {part: [np.concatenate(x) for x in arrays] for part, arrays in got.items()}
+        mine = np.array([k == level and of is None for k, of in zip(batch.column("level").to_pylist(), batch.column("of").to_pylist(), strict=True)], bool)
+        if not mine.all():
+            passed.append(batch.filter(pa.array(~mine)))
+        for row in batch.filter(pa.array(mine)).to_pylist():
+            n = np.frombuffer(row["n"], np.int64)
+            got.setdefault(row["part"], []).append((np.frombuffer(row["grams"], np.uint64).reshape(level, -1), n, np.frombuffer(row["plain"], np.int64) if row["plain"] else n))
+    return {part: _grams_summed(*[np.concatenate(x, axis=-1) for x in zip(*rows, strict=True)]) for part, rows in got.items()}
 
 
 def _save(folder: str, name: str, part: int, array: np.ndarray) -> None:
@@ -150,9 +179,13 @@ class Model:
             self.maps[name, k] = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
         return self.maps[name, k]
 
+    def known(self, keys: np.ndarray, owner: np.ndarray, name: str) -> np.ndarray:
+        """Which of ``keys`` are in the parts that ``owner`` falls in."""
+        return self.look_up(keys, owner, name, {})[0]
+
     def look_up(self, keys: np.ndarray, owner: np.ndarray, name: str, values: dict[str, type]) -> list[np.ndarray]:
         """The values of ``keys`` in the parts that ``owner`` (a hash) falls in; 0 where they are not."""
-        out = [np.zeros(len(keys), kind) for kind in values.values()]
+        out = [np.zeros(len(keys), kind) for kind in values.values()] or [np.zeros(len(keys), bool)]
         order = np.argsort(owner)
         cut = _cut(owner[order], self.parts)
         for k in range(self.parts):
@@ -161,19 +194,24 @@ class Model:
             if len(mine) and len(known):
                 spot = np.minimum(np.searchsorted(known, keys[mine]), len(known) - 1)
                 hit = known[spot] == keys[mine]
-                for array, (column, kind) in zip(out, values.items(), strict=True):
+                if not values:
+                    out[0][mine[hit]] = True
+                for array, (column, kind) in zip(out, values.items(), strict=bool(values)):
                     array[mine[hit]] = self.part(f"{name}.{column}", k, kind)[spot[hit]]
         return out
 
-    def above(self, before: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The discounted share of each pair in its history, and the history's weight of the lower order."""
-        d = np.array([self.totals[k] for k in ("d1", "d2", "d3")])
-        (n,) = self.look_up(pairs, before, "pair", {"n": np.uint8})
+    def above(self, before: np.ndarray, pairs: np.ndarray, level: int = 2) -> tuple[np.ndarray, np.ndarray]:
+        """The discounted share of each n-gram in its history, and the history's weight of the lower order."""
+        d = np.array([self.totals[f"{level}.d{k}"] for k in (1, 2, 3)])
+        (n,) = self.look_up(pairs, before, f"{level}.gram", {"n": np.uint8})
         n = n.astype(np.int64)
         many = np.flatnonzero(n == 255)
-        (n[many],) = self.look_up(pairs[many], before[many], "many", {"n": np.int64})
+        (n[many],) = self.look_up(pairs[many], before[many], f"{level}.many", {"n": np.int64})
         heads, which = np.unique(before, return_inverse=True)
-        total, *seen = self.look_up(heads, heads, "head", {"total": np.int64, "n1": np.int32, "n2": np.int32, "n3": np.int32})
+        total, *seen = self.look_up(heads, heads, f"{level}.head", {"total": np.int64, "n1": np.int32, "n2": np.int32, "n3": np.int32})
+        rest = np.flatnonzero(total == 0)
+        once = rest[self.known(heads[rest], heads[rest], f"{level}.once")]
+        total[once] = seen[0][once] = 1
         weight = np.where(total > 0, sum(k * x for k, x in zip(d, seen, strict=True)) / np.maximum(total, 1), 1.0)
         return np.where(n > 0, n - _discount(np.maximum(n, 1), d), 0.0) / np.maximum(total, 1)[which], weight[which]
 
@@ -184,14 +222,18 @@ class Model:
         words, which = np.unique(toks, return_inverse=True)
         count, cont = self.look_up(words, words, "word", {"count": np.int64, "cont": np.int64})
         base = np.log10((count + 0.1) / (t["N"] + 0.1 * (t["V"] + 1)))
-        d = np.array([t["c1"], t["c2"], t["c3"]])
+        d = np.array([t["1.d1"], t["1.d2"], t["1.d3"]])
         lower = np.where(cont > 0, cont - _discount(np.maximum(cont, 1), d), 0.0) / max(t["pairs"], 1) + t["left"] / (t["V"] + 1)
-        before = histories(toks, at)
-        pairs, first, pair_of = np.unique(pair_hash(before, toks), return_index=True, return_inverse=True)
-        high, weight = self.above(before[first], pairs)
-        p = np.log10(high + weight * lower[which[first]])
+        p = lower[which]
+        before, longest = contexts(toks, at, int(t["order"]))
+        for level, head in enumerate(before, 2):
+            spots = np.flatnonzero(longest >= level)
+            grams, first, gram_of = np.unique(pair_hash(head[spots], toks[spots]), return_index=True, return_inverse=True)
+            high, weight = self.above(head[spots[first]], grams, level)
+            p[spots] = (high + weight * p[spots[first]])[gram_of]
+        p = np.log10(p)
         sums = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0)
-        return np.diff(at), sums((count > 0)[which].astype(np.int64)), sums(base[which]), sums(p[pair_of])
+        return np.diff(at), sums((count > 0)[which].astype(np.int64)), sums(base[which]), sums(p)
 
 
 @lru_cache(maxsize=2)
@@ -199,55 +241,54 @@ def _model(folder: str, parts: int, totals: tuple) -> Model:
     return Model(folder, parts, dict(totals))
 
 
-def train_model(train: DataFrame, text_col: str = "text", folder: str | None = None) -> tuple[str, int, tuple]:
-    """(folder, parts, totals): where the model lies, in how many parts, and its few totals."""
+def train_model(train: DataFrame, text_col: str = "text", folder: str | None = None, order: int = 3) -> tuple[str, int, tuple]:
+    """(folder, parts, totals): where the model of n-grams of up to ``order`` tokens lies, in how many parts, and its few totals."""
+    if order < 2:
+        raise ValueError("the order is 2 at least")
     spark = train.sparkSession
     small_arrow_batches(spark)
     folder = folder or local_path(f"{shared_dir(spark)}/kn-{uuid.uuid4().hex}")
     os.makedirs(folder, exist_ok=True)
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    kinds = {"before": np.uint64, "word": np.uint64, "n": np.int32}
-
-    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Writes the pairs and histories of a part, and sends its words' counts on with the counts of counts."""
-        for part, (before, word, n) in _gathered(batches, kinds).items():
-            before, word, n = _pairs_summed(before, word, n.astype(np.int64))
-            keys = pair_hash(before, word)
-            order = np.argsort(keys)
-            big = order[n[order] >= 255]
-            _save(folder, "pair", part, keys[order])
-            _save(folder, "pair.n", part, np.minimum(n[order], 255).astype(np.uint8))
-            _save(folder, "many", part, keys[big])
-            _save(folder, "many.n", part, n[big])
-            head, total, *seen = _summed(before, n, *[(n == k).astype(np.int32) for k in (1, 2)], (n > 2).astype(np.int32))
-            for name, array in (("head", head), ("head.total", total), *[(f"head.n{k + 1}", x) for k, x in enumerate(seen)]):
-                _save(folder, name, part, array)
-            words, count, cont = _summed(word, n, np.ones(len(n), np.int64))
-            cut = _cut(words, parts)
-            spans = [slice(cut[k], cut[k + 1]) for k in range(parts)]
-            of = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), *[pa.array([x[s].tobytes() for s in spans], pa.binary()) for x in (words, count.astype(np.int64), cont.astype(np.int32))], pa.array([of] + [[0] * 5] * (parts - 1), pa.list_(pa.int64()))], ["part", "word", "count", "cont", "of"])
+
+    def reduced(level: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Writes the n-grams and histories of a part, and sends what it says of the next lower level on, with the counts of counts."""
+            passed = []
+            for part, (grams, n, plain) in _gathered(batches, level, passed).items():
+                keys = pair_hash(grams[0], grams[-1])
+                order = np.argsort(keys)
+                big = order[n[order] >= 255]
+                head, total, *seen = _summed(grams[0], n, *[(n == k).astype(np.int32) for k in (1, 2)], (n > 2).astype(np.int32))
+                more = total > 1
+                for name, array in (("gram", keys[order]), ("gram.n", np.minimum(n[order], 255).astype(np.uint8)), ("many", keys[big]), ("many.n", n[big]), ("once", head[~more]), ("head", head[more]), ("head.total", total[more]), *[(f"head.n{k + 1}", x[more].astype(np.int32)) for k, x in enumerate(seen)]):
+                    _save(folder, f"{level}.{name}", part, array)
+                of = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n)]
+                below, cont, plain = _grams_summed(grams[1:], np.ones(len(n), np.int64), plain)
+                yield _packed(level - 1, parts, below, cont, plain, of)
+            yield from passed
+
+        return run
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = list(batches)
-        of = np.sum([x for b in batches for x in b.column("of").to_pylist()] or [[0] * 5], axis=0)
-        rows = [int(x) for x in of]
-        total = [0, 0, 0, 0, 0, 0]
-        for part, (word, count, cont) in _gathered(batches, {"word": np.uint64, "count": np.int64, "cont": np.int32}).items():
-            word, count, cont = _summed(word, count, cont.astype(np.int64))
-            _save(folder, "word", part, word)
+        passed, found = [], []
+        for part, (grams, cont, count) in _gathered(batches, 1, passed).items():
+            _save(folder, "word", part, grams[0])
             _save(folder, "word.count", part, count)
             _save(folder, "word.cont", part, cont)
-            total = [a + int(b) for a, b in zip(total, [count.sum(), len(word), *[(cont == k).sum() for k in (1, 2, 3, 4)]], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([rows + total], pa.list_(pa.int64()))], ["x"])
-
-    packed = count_pairs(train, text_col, parts).repartition(parts, "part").mapInArrow(heads, "part int, word binary, count binary, cont binary, of array<long>")
-    sums = packed.repartition(parts, "part").mapInArrow(vocabulary, "x array<long>").agg(*[F.coalesce(F.sum(F.col("x")[k]), F.lit(0)) for k in range(11)]).first()
-    *of, pairs, n, v = [int(x) for x in sums[:7]]
-    discounts, lower = _discounts(np.array(of)), _discounts(np.array([int(x) for x in sums[7:]]))
-    few = [int(x) for x in sums[7:]]
+            found += [(1, [int((cont == k).sum()) for k in (1, 2, 3, 4)] + [len(cont)]), (0, [int(count.sum())] + [0] * 4)]
+        found += [(row["level"], row["of"]) for batch in passed for row in batch.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["level", "x"])
+
+    packed = count_grams(train, text_col, parts, order)
+    for level in range(order, 1, -1):
+        packed = packed.repartition(parts, "part").mapInArrow(reduced(level), _PACKED)
+    sums = packed.repartition(parts, "part").mapInArrow(vocabulary, "level int, x array<long>").groupBy("level").agg(*[F.sum(F.col("x")[k]).alias(f"x{k}") for k in range(5)])
+    of = {k: [0] * 5 for k in range(order + 1)} | {r[0]: [int(x) for x in r[1:]] for r in sums.collect()}
+    discounts = {k: _discounts(np.array(of[k][:4])) for k in range(1, order + 1)}
+    n, v, pairs, few, lower = of[0][0], of[1][4], of[2][4], of[1], discounts[1]
     left = (lower[0] * few[0] + lower[1] * few[1] + lower[2] * max(0, v - few[0] - few[1])) / max(pairs, 1)
-    totals = (("N", n), ("V", v), ("pairs", pairs), ("left", float(left) if pairs else 1.0), *[(f"c{k + 1}", float(lower[k])) for k in range(3)], *[(f"d{k + 1}", float(discounts[k])) for k in range(3)])
+    totals = (("order", order), ("N", n), ("V", v), ("pairs", pairs), ("left", float(left) if pairs else 1.0), *[(f"{k}.d{j + 1}", float(x)) for k, d in discounts.items() for j, x in enumerate(d)])
     return folder, parts, totals
 
 
