@@ -4,6 +4,10 @@ The list is held twice: as bits (one row of eight longs a block) that every page
 rows that only the possible hits are joined with, which removes the filter's false positives. Both tests
 are DataFrame joins on integers.
 
+Pages and listed keys meet by a canonical key: no scheme, user info, port, query or fragment, host in lower case without a final dot and a first
+``www.``, path without final slashes, its escapes in one form. The host and path that are returned, and that rules see, are those of the URL;
+``listed_as`` is the key as it was listed. A key without a path lists a whole site; ``www.a.org/`` is the site ``a.org``.
+
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule, is not listed
 and is allowed. Repeated pages are judged alike, each for itself. An empty list blocks nothing. Columns of the input that
 clash with the result's are not carried.
@@ -24,6 +28,7 @@ WORDS, PROBES = 8, 6
 #: A filter of at most this many blocks (64 bytes each) is broadcast; a larger one is joined by block.
 BROADCAST_BLOCKS = 65_536
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+_BARE = r"(?s)^([^/?#]*)([^?#]*)"
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -47,12 +52,44 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tu
     return rule, verdict
 
 
+def canonical_host(host: Column) -> Column:
+    """``host`` in lower case without user info, port, final dots and a first ``www.`` (where two labels follow)."""
+    bare = F.regexp_replace(F.regexp_replace(host, "(?s)^.*@", ""), r"\.*(:[0-9]*)?$", "")
+    return F.regexp_replace(lower_ascii(bare), r"^www\.(?=[^.]+\.)", "")
+
+
+def canonical_path(path: Column) -> Column:
+    """``path`` without final slashes; unreserved characters stand for themselves, others beyond ASCII are escaped, escapes have capital digits."""
+    escaped = F.when(path.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.regexp_extract_all(path, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c.rlike(r"[^\x00-\x7F]"), F.url_encode(c)).otherwise(c)), "")).otherwise(path)
+
+    def one(x: Column, i: Column) -> Column:
+        char, rest = F.char(F.conv(F.substring(x, 1, 2), 16, 10).cast("long")), F.substring(x, 3, 2**31 - 1)
+        plain = F.when(char.rlike("^[A-Za-z0-9._~-]$"), F.concat(char, rest)).otherwise(F.concat(F.lit("%"), F.upper(F.substring(x, 1, 2)), rest))
+        return F.when(i == 0, x).when(x.rlike("^[0-9A-Fa-f]{2}"), plain).otherwise(F.concat(F.lit("%"), x))
+
+    spelled = F.when(escaped.contains("%"), F.array_join(F.transform(F.split(escaped, "%"), one), "")).otherwise(escaped)
+    return F.regexp_replace(spelled, "/+$", "")
+
+
+def canonical_key(host: Column, path: Column) -> Column:
+    """The key of a page, or of a whole site (``host/``) where there is no path; null where there is no host."""
+    host, path = canonical_host(host), canonical_path(path)
+    return F.when(host != "", F.concat(host, F.when(path == "", "/").otherwise(path)))
+
+
+def listed_key(key: Column) -> Column:
+    """The canonical key of a listed one, with or without a scheme."""
+    bare = F.regexp_replace(key, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    return canonical_key(F.regexp_extract(bare, _BARE, 1), F.regexp_extract(bare, _BARE, 2))
+
+
 def lookup_keys(host: Column, path: Column) -> Column:
-    """What a page is looked up as: its canonical URL, and its host and the host's parents (two labels at least) as a whole site."""
-    labels = F.split(host, r"\.")
+    """What a page is looked up as: its canonical key, and its host and the host's parents (two labels at least) as a whole site."""
+    bare = canonical_host(host)
+    labels = F.split(bare, r"\.")
     n = F.size(labels)
     sites = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(labels, i, n), "."), F.lit("/")))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(F.concat(host, path)), sites)))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(canonical_key(host, path)), sites)))
 
 
 def _block(key: Column, blocks: int) -> Column:
@@ -78,7 +115,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
     judged = judged.withColumns({"rule": rule, "_says": says})
 
-    keys = listed.select(F.col(key_col).alias("_key")).where("_key is not null").distinct()
+    keys = listed.select(listed_key(F.col(key_col)).alias("_key"), F.col(key_col).alias("_listed")).where("_key is not null").groupBy("_key").agg(F.min("_listed").alias("_listed"))
     blocks = 1 << max(4, math.ceil(math.log2(max(1, keys.count()) * bits_per_key / (64 * WORDS))))
     bloom = bloom_blocks(keys, "_key", blocks).toDF("_block", "_bits")
     bloom = F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom
@@ -89,7 +126,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     probe = asked.withColumns({"_block": _block(F.col("_key"), blocks), "_probes": _probes(F.col("_key"))})
     passes = F.expr("forall(_probes, p -> (shiftright(_bits[p div 64], p % 64) & 1L) = 1L)")
     possible = probe.join(bloom, "_block").where(passes).select("host", "path", "_key")
-    sure = possible.join(keys.hint("shuffle_hash"), "_key").groupBy("host", "path").agg(F.min("_key").alias("listed_as"))
+    sure = possible.join(keys.hint("shuffle_hash"), "_key").groupBy("host", "path").agg(F.min("_listed").alias("listed_as"))
     out = judged.join(sure, ["host", "path"], "left").withColumn("listed_as", F.when(F.col("rule").isNull(), F.col("listed_as")))
     verdict = F.coalesce(F.col("_says"), F.when(F.col("listed_as").isNotNull(), "block").otherwise("allow"))
     return out.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "listed_as")

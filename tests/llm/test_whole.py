@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from memspark.llm import kn_lm
+from memspark.llm import kn_lm, url_filter
 
 
 def plain_model(texts, order):
@@ -66,3 +66,14 @@ def test_language_model_knows_longer_contexts(spark):
     asked = spark.createDataFrame([(1, "a b c"), (2, "a b e")], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in kn_lm.score(asked, kn_lm.train_model(df)).collect()}
     assert got[1] > got[2] + 0.5
+
+
+def test_urls_meet_by_canonical_keys(spark):
+    listed = spark.createDataFrame([("TH.example.com/en/671",), ("https://www.site.org:443/",), ("a.org/caf%c3%a9/%7Ex/",), ("b.org/p?q",)], "key string")
+    hit = ["http://www.th.example.com/en/671", "http://th.example.com/en/671/", "http://th.example.com:8080/en/671?x", "http://me:pw@TH.example.com./en/671#f", "http://th.example.com/%65n/671",
+        "http://site.org", "http://sub.site.org/x", "http://www.site.org/", "http://a.org/café/~x", "http://a.org/caf%C3%A9/%7ex", "http://b.org/p"]
+    miss = ["http://th.example.com/en/6711", "http://th.example.com/EN/671", "http://site.org.net/", "http://a.org/cafe/~x", "http://a.org/caf%C3%A9%2F~x", "http://www.org/", "http://a.org/%", "http://me@/x"]
+    pages = spark.createDataFrame(list(enumerate(hit + miss)), "page_id long, url string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(pages, listed).collect()}
+    assert [got[k]["verdict"] for k in range(len(got))] == ["block"] * len(hit) + ["allow"] * len(miss)
+    assert (got[3]["host"], got[3]["path"], got[0]["listed_as"]) == ("me:pw@th.example.com.", "/en/671", "TH.example.com/en/671")
