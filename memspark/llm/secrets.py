@@ -1,13 +1,13 @@
 """Secret scans: candidates by pattern, and their corpus-wide ownership.
 
-A candidate's value is hashed and counted by distinct repositories and owners. A value that many owners hold is
-a copied example; one that stays with an owner or two looks live. Patterns with clear markers (assignments,
+A candidate's value is hashed and counted by distinct owners and repositories; a repository is a text, so that exact copies are one. A value
+that many owners or many repositories hold is a copied example; one that stays with few of both looks live. Patterns with clear markers (assignments,
 access keys, hex strings) are reported either way; unmarked strings of letters and digits only where they look live.
 All of it is DataFrame work; after the scan only candidates are shuffled, values as hashes.
 
 Defined cases: a null text is scanned as empty. A null owner counts as one owner of its own. Repeated rows (equal id
 and text) are scanned once and each gets the spans. Very long texts are scanned whole; the spans
-of one text are bounded by its length. A hot value is counted over (value, owner, repository) first.
+of one text are bounded by its length. A hot value is counted over (value, owner) and (value, repository) first.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
 
     The text between matches and the matches themselves alternate, so starts are running sums of their lengths.
     """
-    keyed = row_key(docs.select(id_col, text_col, F.col(owner_col).alias("_o")), id_col, text_col)
+    keyed = row_key(docs.select(id_col, text_col, F.col(owner_col).alias("_o")), id_col, text_col).withColumn("_repo", F.xxhash64(text_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = []
     for kind, (pattern, group, _) in PATTERNS.items():
@@ -47,7 +47,7 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
             F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value")))
         found.append(_labelled(cut, kind))
     none = F.array().cast("array<struct<kind:string,k:int,gap:int,all:string,value:string>>")
-    rows = keyed.select("_rk", F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_repo"), F.coalesce("_o", F.lit("")).alias("_owner"), F.explode(F.concat(*[F.coalesce(x, none) for x in found])).alias("m"))
+    rows = keyed.select("_rk", "_repo", F.coalesce("_o", F.lit("")).alias("_owner"), F.explode(F.concat(*[F.coalesce(x, none) for x in found])).alias("m"))
     rows = rows.select("_rk", "_repo", "_owner", "m.kind", "m.k", "m.gap", F.length("m.all").alias("n"), F.length("m.value").alias("nv"), F.xxhash64("m.value").alias("value"))
     rows = rows.where("n is not null").dropDuplicates(["_rk", "kind", "k"])
     before = W.Window.partitionBy("_rk", "kind").orderBy("k").rowsBetween(W.Window.unboundedPreceding, 0)
@@ -61,19 +61,17 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
 
 def ownership(found: DataFrame) -> DataFrame:
     """value, n_owners, n_repos: how widely each value is held."""
-    by_repo = found.groupBy("value", "_owner", "_repo").agg(F.lit(1).alias("_n"))
-    by_owner = by_repo.groupBy("value", "_owner").agg(F.count("_n").alias("_n"))
-    return by_owner.groupBy("value").agg(F.count("_n").alias("n_owners"), F.sum("_n").alias("n_repos"))
+    return found.groupBy("value").agg(F.count_distinct("_owner").alias("n_owners"), F.count_distinct("_repo").alias("n_repos"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = 3, salts: int = 16) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", example_owners: int = 3, salts: int = 16, example_repos: int = 10) -> DataFrame:
     """Each document with its spans: n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
 
-    A value with ``example_owners`` owners or more is a copied example. Unmarked strings (kind ``blob``) are
+    A value with ``example_owners`` owners or more, or in ``example_repos`` different texts or more, is a copied example. Unmarked strings (kind ``blob``) are
     added where they are not examples and overlap no marked span.
     """
     found = durable(matches(docs, id_col, text_col, owner_col))
-    held = ownership(found).select("value", (F.col("n_owners") >= example_owners).alias("_example"))
+    held = ownership(found).select("value", ((F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)).alias("_example"))
     salted = held.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spans = found.withColumn("_s", F.pmod(F.xxhash64("_rk"), F.lit(salts)).cast("int")).join(salted, ["value", "_s"])
     order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from memspark.llm import kn_lm, url_filter
+from memspark.llm import kn_lm, secrets, url_filter
 
 
 def plain_model(texts, order):
@@ -77,3 +77,14 @@ def test_urls_meet_by_canonical_keys(spark):
     got = {r["page_id"]: r for r in url_filter.filter_urls(pages, listed).collect()}
     assert [got[k]["verdict"] for k in range(len(got))] == ["block"] * len(hit) + ["allow"] * len(miss)
     assert (got[3]["host"], got[3]["path"], got[0]["listed_as"]) == ("me:pw@th.example.com.", "/en/671", "TH.example.com/en/671")
+
+
+def test_secrets_count_repositories(spark):
+    spread, copied, few = "EXAMPLE1234567890example00", "Zq8vK2mX9wRt4Ly7Bn3Pd6", "Hn5cT1bV6xQs8Jk4Wm2Rf9"
+    texts = [f"page {k} says {spread}" for k in range(10)] + [f"one text with {copied}"] * 30 + [f"page {k} says {few}" for k in range(9)]
+    for source in ("hot", None):
+        df = spark.createDataFrame([(k, t, source) for k, t in enumerate(texts)], "doc_id long, text string, source string")
+        got = {r["doc_id"]: (r["spans"] != "", r["n_live"]) for r in secrets.scan(df).collect()}
+        assert [got[k] for k in range(len(texts))] == [(False, 0)] * 10 + [(True, 1)] * 39
+    counts = secrets.ownership(secrets.matches(spark.createDataFrame([(1, f"see {few}", "a"), (2, f"see {few}", "b"), (3, f"also {few}", "b")], "doc_id long, text string, source string")))
+    assert [(r["n_owners"], r["n_repos"]) for r in counts.collect()] == [(2, 2)]
