@@ -4,7 +4,8 @@ A line's path in the tree is its number of tokens, then its leading tokens; toke
 a link are variable from the start. At the leaf the rest of the line is four fields, and the line supports five
 templates: the one that fixes all four, and the four that leave one of them variable. A template that recurs in
 ``min_docs`` documents or more is boilerplate: its lines are dropped but in the document of smallest id, so that
-a text of which copies exist is not lost altogether.
+a text of which copies exist is not lost altogether. A line of more than ``long_tokens`` tokens that stands in two documents as it is, is
+dropped likewise.
 
 All of it is DataFrame work. Templates are 64-bit hashes; texts are moved once, to put the kept lines together.
 
@@ -26,30 +27,31 @@ DEPTH, FIELDS = 3, 4
 LEAST_REST = 8
 
 
-def _with_keys(docs: DataFrame, id_col: str, text_col: str, min_tokens: int) -> DataFrame:
-    """_rk and _keys: (template, line number) of every template that each line supports, sorted."""
+def _with_keys(docs: DataFrame, id_col: str, text_col: str, min_tokens: int, long_tokens: int) -> DataFrame:
+    """_rk and _keys: (template, line number) of every template that each line supports, sorted. Templates are even; odd ones are long lines as they are."""
     out = row_key(docs.select(id_col, text_col), id_col, text_col)
-    out = out.withColumn("_tok", F.expr(rf"transform(split({text_col}, '\n'), l -> filter(split(if(l rlike '[0-9@]|://', regexp_replace(l, '[^ ]*([0-9@]|://)[^ ]*', '<*>'), l), '[\\x20\\x09-\\x0D]+'), w -> w != ''))"))
-    rest, step = f"(size(t) - {DEPTH})", f"cast(ceil((size(t) - {DEPTH}) / {FIELDS}) as int)"
-    fields = ", ".join(f"if({rest} >= {LEAST_REST}, xxhash64(slice(t, {DEPTH + 1} + {i} * {step}, {step})), {'xxhash64(t)' if i == 0 else '0L'}) as f{i}" for i in range(FIELDS))
-    out = out.withColumn("_seg", F.expr(f"transform(_tok, t -> struct(size(t) as n, xxhash64(size(t), slice(t, 1, {DEPTH})) as leaf, {fields}))"))
-    templates = ["struct(xxhash64(s.leaf, s.f0, s.f1, s.f2, s.f3) as t, i as p)"]
-    templates += [f"struct(xxhash64({g}, s.leaf, {', '.join(f's.f{j}' for j in range(FIELDS) if j != g)}) as t, i as p)" for g in range(FIELDS)]
+    out = out.withColumn("_tok", F.expr(rf"transform(split({text_col}, '\n'), l -> struct(xxhash64(l) | 1L as h, filter(split(if(l rlike '[0-9@]|://', regexp_replace(l, '[^ ]*([0-9@]|://)[^ ]*', '<*>'), l), '[\\x20\\x09-\\x0D]+'), w -> w != '') as w))"))
+    rest, step = f"(size(t.w) - {DEPTH})", f"cast(ceil((size(t.w) - {DEPTH}) / {FIELDS}) as int)"
+    fields = ", ".join(f"if({rest} >= {LEAST_REST}, xxhash64(slice(t.w, {DEPTH + 1} + {i} * {step}, {step})), {'xxhash64(t.w)' if i == 0 else '0L'}) as f{i}" for i in range(FIELDS))
+    out = out.withColumn("_seg", F.expr(f"transform(_tok, t -> struct(if(size(t.w) > {long_tokens}, t.h, null) as line, size(t.w) as n, xxhash64(size(t.w), slice(t.w, 1, {DEPTH})) as leaf, {fields}))"))
+    templates = ["struct(xxhash64(s.leaf, s.f0, s.f1, s.f2, s.f3) & -2L as t, i as p)"]
+    templates += [f"struct(xxhash64({g}, s.leaf, {', '.join(f's.f{j}' for j in range(FIELDS) if j != g)}) & -2L as t, i as p)" for g in range(FIELDS)]
     keys = f"if(s.n < {min_tokens}, array(), if(s.n - {DEPTH} < {LEAST_REST}, array({templates[0]}), array({', '.join(templates)})))"
     keys = keys.replace("array(),", "cast(array() as array<struct<t:bigint,p:int>>),")
+    keys = f"concat({keys}, if(s.line is null, cast(array() as array<struct<t:bigint,p:int>>), array(struct(s.line as t, i as p))))"
     return out.select("_rk", F.expr(f"sort_array(flatten(transform(_seg, (s, i) -> {keys})))").alias("_keys"))
 
 
 def recurring(keyed: DataFrame, min_docs: int) -> DataFrame:
-    """t, first: the templates found in ``min_docs`` documents or more, and the smallest id that each is found in."""
+    """t, first: the templates found in ``min_docs`` documents or more (long lines as they are: in two), and the smallest id that each is found in."""
     once = keyed.select(F.col("_rk.i").alias("_id"), F.explode_outer(F.expr("filter(_keys, (x, k) -> k = 0 or _keys[k - 1].t != x.t)")).alias("k")).where("k is not null")
     counted = once.groupBy(F.col("k.t").alias("t")).agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
-    return counted.where(F.col("n") >= min_docs).drop("n")
+    return counted.where(F.col("n") >= F.when(F.col("t") % 2 != 0, 2).otherwise(min_docs)).drop("n")
 
 
-def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_tokens: int = 3, salts: int = 8) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, min_tokens: int = 3, salts: int = 8, long_tokens: int = 50) -> DataFrame:
     """``docs`` with its recurring lines dropped from ``text_col``, and n_lines and n_dropped added."""
-    keyed = _with_keys(docs, id_col, text_col, min_tokens)
+    keyed = _with_keys(docs, id_col, text_col, min_tokens, long_tokens)
     again = recurring(keyed, min_docs).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     lines = keyed.select("_rk", F.explode_outer("_keys").alias("k")).where("k is not null").select("_rk", "k.t", "k.p", F.pmod(F.xxhash64("_rk"), F.lit(salts)).cast("int").alias("_s"))
     hit = lines.join(again, ["t", "_s"]).where(~F.col("first").eqNullSafe(F.col("_rk.i")))

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from memspark.llm import kn_lm, secrets, url_filter
+from memspark.llm import kn_lm, line_dedup, secrets, url_filter
 
 
 def plain_model(texts, order):
@@ -88,3 +88,11 @@ def test_secrets_count_repositories(spark):
         assert [got[k] for k in range(len(texts))] == [(False, 0)] * 10 + [(True, 1)] * 39
     counts = secrets.ownership(secrets.matches(spark.createDataFrame([(1, f"see {few}", "a"), (2, f"see {few}", "b"), (3, f"also {few}", "b")], "doc_id long, text string, source string")))
     assert [(r["n_owners"], r["n_repos"]) for r in counts.collect()] == [(2, 2)]
+
+
+def test_long_lines_go_from_the_second_document_on(spark):
+    words = lambda k, n: " ".join(f"{chr(97 + k)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(n))
+    long, short, own = words(0, 51), words(1, 50), [words(k, 60) for k in range(2, 5)]
+    texts = [f"{own[k]}\n{long}\n{short}" for k in range(2)] + [own[2]]
+    got = {r["doc_id"]: (r["n_dropped"], r["text"]) for r in line_dedup.drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: (0, texts[0]), 1: (1, f"{own[1]}\n{short}"), 2: (0, texts[2])}
