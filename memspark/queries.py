@@ -182,7 +182,7 @@ def usefulness_stats(spark, sf_dir):
  select memory_id, pos, case pos % 3 when 0 then 'promote' when 1 then 'demote' else 'adjust' end action, case pos % 3 when 0 then abs(reward) when 1 then -abs(reward) else reward end reward from w where pos < 20 and memory_id in (select memory_id from s)""")
 def reward_adjustments(spark, sf_dir):
     r = V.rewards(spark, sf_dir)
-    wanted = r.where("reward_id % 10 = 0").orderBy("reward_id").limit(C.MAX_ADJUSTMENTS).withColumn("pos", (F.row_number().over(Window.orderBy("reward_id")) - 1).cast("long"))
+    wanted = r.orderBy("reward_id").limit(C.MAX_ADJUSTMENTS).withColumn("pos", (F.row_number().over(Window.orderBy("reward_id")) - 1).cast("long"))
     wanted = wanted.withColumns({"action": F.expr("element_at(array('promote', 'demote', 'adjust'), cast(pos % 3 + 1 as int))"), "target_q": F.lit(None).cast("double")})
     return usefulness.adjustments(r.where("reward_type = 'purchase'"), wanted).select("memory_id", "pos", "action", "reward")
 
@@ -370,7 +370,7 @@ def merged_usefulness(spark, sf_dir):
  y as (select cluster, list_filter(l, lambda t: t <> '') l from x), z as (select cluster, list_filter(l, lambda t, i: list_position(l, t) = i) l from y)
  select cluster, array_to_string(l[1:5], ' | ') || case when len(l) > 5 then ' [+' || (len(l) - 5) || ' merged]' else '' end merged from z""")
 def merged_texts(spark, sf_dir):
-    m = V.memory(spark, sf_dir).groupBy(F.col("label").alias("cluster")).agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.substring("memory", 1, 40).alias("t")))), lambda x: x["t"]).alias("l"))
+    m = V.memory(spark, sf_dir).groupBy(F.col("label").alias("cluster")).agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.col("memory").alias("t")))), lambda x: x["t"]).alias("l"))
     return m.select("cluster", compaction.merged_text(F.col("l")).alias("merged"))
 
 

@@ -17,3 +17,13 @@ def without(sql, *cuts):
 def test_retrieval_reads_long_texts(spark, name, cuts):
     sf = "/root/testdata/sf0.01"  # the next smaller table has no passage in a long text
     assert_same(Q.queries()[name](spark, sf), without(Q.oracle_sql()[name], *cuts), sf)
+
+
+def test_adjustments_read_all_rewards(spark, sf):
+    assert_same(Q.reward_adjustments(spark, sf), without(Q.oracle_sql()["reward_adjustments"], " where reward_id % 10 = 0"), sf)
+
+
+def test_merged_texts_are_whole(spark, sf):
+    sql = Q.oracle_sql()["merged_texts"]
+    assert "substr(text, 1, 40)" in sql
+    assert_same(Q.merged_texts(spark, sf), sql.replace("substr(text, 1, 40)", "text"), sf)
