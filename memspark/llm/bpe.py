@@ -18,7 +18,9 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +29,10 @@ from pyspark.sql import types as T
 from memspark.llm import _words
 from memspark.llm._shared import small_arrow_batches
 
-MAX_STATES, MAX_WORDS, MAX_PAIRS, MAX_TAILS = 100_000, 300_000, 500_000, 100_000
+#: What a worker keeps at most; when a table is full it starts anew.
+MAX_STATES, MAX_WORDS, MAX_PAIRS, MAX_TAILS = 250_000, 300_000, 500_000, 100_000
+#: Where a state keeps what it stands for; its other entries are bytes.
+OWN = -1
 NEVER = 1 << 60
 TOKEN_BITS = 24
 TOKEN_MASK = (1 << TOKEN_BITS) - 1
@@ -52,13 +57,17 @@ class Transducer:
         self.histories: dict[int, tuple] = {}
         self.tails: dict[bytes, tuple] = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.states: dict[tuple, dict] = {}
         self._reset()
 
     def _reset(self) -> None:
-        # A state: the suffix that begins a token, and the last token before each of its bytes and at its end (-1: none yet).
-        self.states, self.number = [(b"", (-1,))], {(b"", (-1,)): 0}
-        #: State and byte to the next state and the last token, as plain numbers.
-        self.moves: dict[int, int] = {}
+        # What a state stands for: the suffix that begins a token, and the last token before each of its bytes and at its end (-1: none yet).
+        for state in self.states.values():
+            state.clear()
+        self.states.clear()
+        #: A state maps a byte to the next state and the last token.
+        self.root: dict = {OWN: (b"", (-1,))}
+        self.states[self.root[OWN]] = self.root
 
     def history(self, token: int) -> tuple[list[int], list[bytes], list[bytes], bool]:
         """How merging makes a token from its bytes: the rank of each merge, the leftmost and the rightmost part before
@@ -112,9 +121,9 @@ class Transducer:
             self.tails[read] = found
         return found
 
-    def move(self, state: int, byte: int) -> int:
-        """The next state, and the last token of what has been read, in one number."""
-        suffix, lasts = self.states[state]
+    def move(self, state: dict, byte: int) -> tuple[dict, int]:
+        """The next state, and the last token of what has been read."""
+        suffix, lasts = state[OWN]
         read = suffix + bytes((byte,))
         ends, skip = self.tail(read)
         for k, token in ends:
@@ -124,11 +133,10 @@ class Transducer:
         else:
             raise ValueError("the ranks hold no token for a byte")
         key = (read[skip:], (*lasts[skip:], token))
-        number = self.number.get(key)
-        if number is None:
-            number = self.number[key] = len(self.states)
-            self.states.append(key)
-        found = self.moves[state << 8 | byte] = number << TOKEN_BITS | token
+        to = self.states.get(key)
+        if to is None:
+            to = self.states[key] = {OWN: key}
+        found = state[byte] = to, token
         return found
 
     def _settled(self, lasts: list[int], first: int) -> tuple[list[int], int]:
@@ -150,29 +158,29 @@ class Transducer:
         return out[::-1]
 
     def encode_word(self, word: bytes, lookahead: int = 4096) -> list[int]:
-        """The tokens of a word. They are emitted when the word ends, or once ``lookahead`` bytes are open, as far as all places where a token may still start agree."""
+        """The tokens of a word. They are emitted when the word ends, or after each ``lookahead`` bytes as far as all places where a token may still start agree."""
         token = self.ranks.get(word)
         if token is not None:
             return [token]
         if len(self.states) > MAX_STATES:
             self._reset()
-        state, out, lasts, moves = 0, [], [], self.moves
-        for byte in word:
-            found = moves.get(state << 8 | byte)
-            if found is None:
-                found = self.move(state, byte)
-            state = found >> TOKEN_BITS
-            lasts.append(found & TOKEN_MASK)
-            if len(lasts) >= lookahead:
-                tokens, end = self._settled(lasts, len(lasts) - len(self.states[state][0]))
+        state, out, lasts = self.root, [], []
+        add = lasts.append
+        for at in range(0, len(word), lookahead):
+            for byte in word[at : at + lookahead]:
+                found = state.get(byte)
+                if found is None:
+                    found = self.move(state, byte)
+                state, token = found
+                add(token)
+            if at + lookahead < len(word):
+                tokens, end = self._settled(lasts, len(lasts) - len(state[OWN][0]))
                 out += tokens
                 del lasts[:end]
                 if len(self.states) > 2 * MAX_STATES:
-                    key = self.states[state]
+                    key = state[OWN]
                     self._reset()
-                    state, moves = 1, self.moves
-                    self.states.append(key)
-                    self.number[key] = 1
+                    state = self.states.setdefault(key, {OWN: key})
         return out + self._back(lasts, len(lasts))
 
     def encode(self, text: str, pattern: regex.Pattern) -> list[int]:
@@ -189,6 +197,26 @@ class Transducer:
             out += ids
         return out
 
+    def encode_column(self, texts: pa.Array, pattern: regex.Pattern) -> pa.Array:
+        """The ids of each text, as Arrow lists over one flat array."""
+        flat: list[int] = []
+        ends = [0]
+        for text in texts.to_pylist():
+            if text:
+                flat += self.encode(text, pattern)
+            ends.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
+
+    def decode_column(self, ids: pa.Array, chunk: int = 8192) -> pa.Array:
+        """The text of each row's ids, fed to a UTF-8 stream chunk by chunk."""
+        word, texts = self.bytes_of.__getitem__, []
+        ids = ids.fill_null([]) if ids.null_count else ids
+        flat, ends = ids.flatten().to_numpy(zero_copy_only=False).tolist(), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).tolist() if len(ids) else []
+        for a, b in zip(ends, ends[1:], strict=False):
+            stream = Utf8Stream()
+            texts.append("".join([stream.feed(b"".join(map(word, flat[i : min(b, i + chunk)]))) for i in range(a, b, chunk)]) + stream.end())
+        return pa.array(texts, pa.string())
+
 
 class Utf8Stream:
     """Bytes in, text out: a state machine that holds back a character whose bytes have not all come.
@@ -225,40 +253,42 @@ def _loaded(ranks_path: str, pattern: str) -> tuple[Transducer, regex.Pattern]:
     return Transducer(read_ranks(ranks_path)), word_pattern(pattern)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of ``text_col``. ``ranks_path`` is read on each worker."""
+def _added(docs: DataFrame, added: dict[str, T.DataType], column: str, make) -> DataFrame:
+    """``docs`` with columns that ``make`` computes from the batches' ``column``; columns of these names are replaced."""
     small_arrow_batches(docs.sparkSession, 256)
-    docs = docs.drop(ids_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    docs = docs.drop(*added)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(name, kind) for name, kind in added.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer, words = _loaded(ranks_path, pattern)
-        for whole in batches:
-            for batch in _words.pieces(whole, text_col, 2_000_000):
-                ids = pa.array([transducer.encode(x or "", words) for x in batch.column(text_col).to_pylist()], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, ids_col])
+        for batch in batches:
+            for part in _words.pieces(batch, column, 2_000_000) if pa.types.is_string(batch.column(column).type) else [batch]:
+                yield pa.RecordBatch.from_arrays([*part.columns, *make(part.column(column))], [*part.schema.names, *added])
 
     return docs.mapInArrow(run, schema)
 
 
-def decode(docs: DataFrame, ranks_path: str, ids_col: str = "ids", text_col: str = "decoded", chunk: int = 8192) -> DataFrame:
-    """``docs`` with the text of ``ids_col``, decoded chunk by chunk. Null ids give an empty text."""
-    docs = docs.drop(text_col)
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+    """``docs`` with the token ids of ``text_col`` in ``ids_col`` (replaced if there). ``ranks_path`` is read on each worker."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer, _ = _loaded(ranks_path, "")
-        word = transducer.bytes_of.__getitem__
-        for batch in batches:
-            texts = []
-            for ids in batch.column(ids_col):
-                ids, stream = ids.values.to_pylist() if ids.is_valid else [], Utf8Stream()
-                texts.append("".join([stream.feed(b"".join(map(word, ids[i : i + chunk]))) for i in range(0, len(ids), chunk)]) + stream.end())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
+    def make(texts: pa.Array) -> list[pa.Array]:
+        transducer, words = _loaded(ranks_path, pattern)
+        return [transducer.encode_column(texts, words)]
+
+    return _added(docs, {ids_col: T.ArrayType(T.IntegerType())}, text_col, make)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(text_col, T.StringType())]))
+
+def decode(docs: DataFrame, ranks_path: str, ids_col: str = "ids", text_col: str = "decoded", chunk: int = 8192) -> DataFrame:
+    """``docs`` with the text of ``ids_col`` in ``text_col`` (replaced if there), decoded chunk by chunk. Null ids give an empty text."""
+    return _added(docs, {text_col: T.StringType()}, ids_col, lambda ids: [_loaded(ranks_path, "")[0].decode_column(ids, chunk)])
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_tokens, ids and decoded of each row."""
-    coded = encode(docs.select(F.col(id_col), F.col(text_col).alias("text")), ranks_path, pattern).drop("text")
-    return decode(coded, ranks_path).select(id_col, F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    """id_col, n_tokens, ids and decoded (from the ids alone) of each row, in one pass."""
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        transducer, words = _loaded(ranks_path, pattern)
+        ids = transducer.encode_column(texts, words)
+        return [ids, transducer.decode_column(ids)]
+
+    coded = _added(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), {"ids": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}, "text", make)
+    return coded.select(F.col("id").alias(id_col), F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
