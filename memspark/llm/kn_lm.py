@@ -1,20 +1,21 @@
 """An interpolated modified Kneser-Ney model of n-grams: counted in Spark, kept as sorted hash arrays, mapped into memory by workers.
 
-1. Count. Each task counts n-grams of the full order as hashes, with the hashes of their shorter histories; they travel as packed arrays by
-   range of the history's hash, so each reducer has all n-grams of its histories. A text begins with one start mark and ends with an end mark,
-   which is a token; the first tokens of a text, whose history is shorter, are counted at the level that their history has.
-2. Lower orders. The reducers of one order send the next lower one the number of distinct words before each shorter n-gram, which is its count
-   there; n-grams that begin with the start mark, which nothing precedes, keep their plain counts. Words are the last level.
-3. Discounts come from the counts of counts of each level, as the modified method sets them.
-4. Store. Each reducer writes its part as sorted arrays to the shared folder, for each level: n-gram hash and count (one byte, counts of 255 and
-   more in a short array of their own), history hash with its total and its numbers of n-grams seen once, twice and more often (a
-   history seen once is its hash only). Words are kept likewise: hash, count, continuation count. Discounts are three numbers a level.
+1. Count. Words are 48-bit hashes. A text begins with one start mark and ends with an end mark, which is a token; the first tokens of a text, whose
+   history is shorter, are counted at the level that their history has. Each task counts n-grams of the full order and sends them, packed by part
+   with each column's dictionary, by the last word of the history. So one part holds all n-grams of a history, and also all that end
+   alike in two words: each lower order, whose counts are the numbers of distinct words before, follows in the same place from the one above.
+2. Hot words. A word that would be a large share of a part (the start mark always) is dealt by the word before it as well. Its pairs, the only level
+   that this splits, meet again by their second word in a shuffle of their own, and the sums of its history are added up over the parts. Which words are hot is
+   taken from one text in 64; that sets only where an n-gram lies, not what is counted.
+3. Words, the last level, meet by a shuffle of distinct words. Discounts come from the counts of counts of each level, as the modified method sets them.
+4. Store. Each part is written to the shared folder as sorted hash arrays under an index of their first bits: n-grams seen once, others with their counts, histories
+   with their totals and numbers of n-grams seen once, twice and more often. A history seen once is not kept: it is an n-gram of the level below.
 5. Score. Workers map the parts and look up a batch's distinct n-grams at once.
 
 p(w | h) = max(c(hw) - D(c(hw)), 0) / c(h) + g(h) * p(w | h without its first word),  p(w) = max(n(w) - D'(n(w)), 0) / n + g' / (V + 1), where
 n(w) is the number of distinct words before w, n their sum, V the number of distinct tokens; an unknown history leaves the lower order.
 
-Hashes have 64 bits. The shared folder must be mounted on all machines (a ``file:`` path): that is what mapping files takes.
+Parts follow the bytes of text (``part_bytes`` each). The shared folder must be mounted on all machines (a ``file:`` path): that is what mapping files takes.
 
 Defined cases: a null text is empty: it has the end token only. Rows are scored one by one; repeated rows count twice in training. An
 empty training set gives p = 1 / (V + 1) with V = 0. Very long texts are counted and scored whole.
@@ -29,14 +30,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm import _words
 from memspark.llm._shared import local_path, shared_dir, small_arrow_batches
 
-START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Words have so many bytes; marks are words of their own.
+WORD = 6
+START, END = np.uint64(0x5851F42D4C95), np.uint64(0x14057B7EF767)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: N-grams that a task holds before it sends them on.
 _HELD = 3_000_000
+#: A word is hot from this share of a part on; of one text in SAMPLE; at most so many words.
+HOT_SHARE, SAMPLE, MOST_HOT, MOST_PARTS = 1 / 8, 64, 4096, 65_536
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,113 +54,228 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = at + np.arange(len(at))
     keep = np.ones(len(out), bool)
     keep[ends[1:] - 1] = False
-    out[keep] = words
+    out[keep] = words >> np.uint64(64 - 8 * WORD)
     return out, ends
 
 
-def histories(toks: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The token before each token, the start mark before the first."""
-    before = np.empty_like(toks)
-    before[1:] = toks[:-1]
-    before[at[:-1]] = START
-    return before
+def marked(toks: np.ndarray, at: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokens with a start mark before each text, each token's place there, and the level of its longest n-gram."""
+    inside = np.arange(len(toks)) - np.repeat(at[:-1], np.diff(at))
+    text = np.repeat(np.arange(1, len(at)), np.diff(at))
+    return np.insert(toks, at[:-1], START), np.arange(len(toks)) + text, np.minimum(inside + 2, order)
 
 
-def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return _words.mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
+def grams_at(line: np.ndarray, place: np.ndarray, level: int) -> np.ndarray:
+    """The ``level`` words that end at each place, as rows of words."""
+    return np.stack([line[place - k] for k in range(level - 1, -1, -1)])
 
 
-def contexts(toks: np.ndarray, at: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """The hash of each token's history of 1, 2, ... ``order`` - 1 tokens, and the level of its longest n-gram: the start mark is the first token of all histories that reach it."""
-    before = histories(toks, at)
-    out = [before]
-    for _ in range(order - 2):
-        out.append(pair_hash(np.concatenate([out[-1][:1], out[-1][:-1]]), before))
-    return out, np.minimum(np.arange(len(toks)) - np.repeat(at[:-1], np.diff(at)) + 2, order)
+def gram_hash(grams: np.ndarray) -> np.ndarray:
+    out = np.zeros(grams.shape[1], np.uint64)
+    for row in grams:
+        out = _words.mix(out * _STEP + row + np.uint64(1))
+    return out
 
 
-def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys, sorted, with the sums of their values."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return (keys[new], *[np.add.reduceat(v[order], new) if len(new) else v[:0] for v in values])
+class Deal:
+    """Which part an n-gram lies in."""
 
+    def __init__(self, parts: int, hot: tuple[int, ...]):
+        self.parts, self.hot = parts, np.array(sorted({*hot, int(START)}), np.uint64)
 
-def _grams_summed(grams: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct columns of ``grams`` (history, its shorter histories, word), by history and word, with the sums of ``values``."""
-    order = np.lexsort((grams[-1], grams[0]))
-    grams = grams[:, order]
-    new = np.flatnonzero(np.concatenate([[True], (grams[0, 1:] != grams[0, :-1]) | (grams[-1, 1:] != grams[-1, :-1])])) if len(order) else np.zeros(0, np.int64)
-    return (grams[:, new], *[np.add.reduceat(v[order], new) if len(new) else v for v in values])
+    def is_hot(self, word: np.ndarray) -> np.ndarray:
+        return self.hot[np.minimum(np.searchsorted(self.hot, word), len(self.hot) - 1)] == word
 
+    def part_of(self, grams: np.ndarray) -> np.ndarray:
+        """By the last word of the history; where that is hot, by the word before it as well, or in a pair by the word after it."""
+        if len(grams) == 1:
+            owner = _words.mix(grams[0])
+        else:
+            with_ = grams[-3] if len(grams) > 2 else grams[-1]
+            owner = np.where(self.is_hot(grams[-2]), _words.mix(_words.mix(grams[-2]) + with_), _words.mix(grams[-2]))
+        return (((owner >> np.uint64(32)) * np.uint64(self.parts)) >> np.uint64(32)).astype(np.int64)
 
-def _cut(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each of ``parts`` equal ranges of the hash begins in sorted keys."""
-    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
 
+def _summed(grams: np.ndarray, first: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct columns of ``grams`` by ``first`` and then by hash, their ``first``, their hash and the sums of ``values``."""
+    key = gram_hash(grams)
+    order = np.lexsort((key, first))
+    key, first = key[order], first[order]
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (first[1:] != first[:-1])])) if len(order) else np.zeros(0, np.int64)
+    sums = [np.add.reduceat(v[order], new) if len(new) else v for v in values]
+    return (grams[:, order[new]], first[new], key[new], *sums)
 
-#: A packed row: its part of the level's hash range, the n-grams as rows of hashes, their counts in that level, their plain counts (empty if equal); or a level's counts of counts.
-_PACKED = "part int, level int, grams binary, n binary, plain binary, of array<long>"
 
+def _coded(grams: np.ndarray, numbers: list[np.ndarray]) -> bytes:
+    """Rows of words and numbers as one small Parquet file: dictionaries make a word two or three bytes."""
+    columns = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(WORD), grams.shape[1], [None, pa.py_buffer(np.ascontiguousarray(row).view(np.uint8).reshape(-1, 8)[:, :WORD].tobytes())]) for row in grams]
+    columns += [pa.array(x.astype(np.int64)) for x in numbers]
+    out = pa.BufferOutputStream()
+    pq.write_table(pa.table(columns, [str(k) for k in range(len(columns))]), out, compression="NONE", row_group_size=1 << 30, dictionary_pagesize_limit=1 << 30, write_statistics=False, store_schema=False)
+    return out.getvalue().to_pybytes()
 
-def _packed(level: int, parts: int, grams: np.ndarray, n: np.ndarray, plain: np.ndarray | None = None, of: list[int] | None = None) -> pa.RecordBatch:
-    """Summed n-grams of ``level``, one row for each part; with ``of``, one more row of those."""
-    cut = _cut(grams[0], parts)
-    rows = [(k, level, grams[:, cut[k] : cut[k + 1]].tobytes(), n[cut[k] : cut[k + 1]].astype(np.int64).tobytes(), b"" if plain is None else plain[cut[k] : cut[k + 1]].astype(np.int64).tobytes(), None) for k in range(parts) if cut[k] < cut[k + 1]]
-    if of is not None:
-        rows.append((0, level + 1, b"", b"", b"", of))
-    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True) if rows else [()] * 6, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())), strict=True)], ["part", "level", "grams", "n", "plain", "of"])
 
+def _decoded(data: bytes, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    table = pq.read_table(pa.BufferReader(data), use_threads=False)
+    grams = np.zeros((words, table.num_rows, 8), np.uint8)
+    for k in range(words):
+        raw = pa.concat_arrays(table.column(k).chunks)
+        grams[k, :, :WORD] = np.frombuffer(raw.buffers()[1], np.uint8)[raw.offset * WORD : (raw.offset + len(raw)) * WORD].reshape(-1, WORD)
+    return grams.view("<u8").reshape(words, -1), [table.column(k).to_numpy() for k in range(words, table.num_columns)]
 
-def count_grams(train: DataFrame, text_col: str, parts: int, order: int) -> DataFrame:
+
+#: A row: packed n-grams of a level for a part; or (no data) sums of a level, or of a hot word's history.
+_ROW = "part int, level int, data binary, word long, of array<long>"
+_KINDS = (("part", pa.int32()), ("level", pa.int32()), ("data", pa.binary()), ("word", pa.int64()), ("of", pa.list_(pa.int64())))
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(_KINDS)], [name for name, _ in _KINDS])
+
+
+def _packed(grams: np.ndarray, numbers: list[np.ndarray], part: np.ndarray, parts: int) -> list[tuple]:
+    """Rows of n-grams that are in order of their part."""
+    cut = np.searchsorted(part, np.arange(parts + 1))
+    return [(k, len(grams), _coded(grams[:, cut[k] : cut[k + 1]], [x[cut[k] : cut[k + 1]] for x in numbers]), None, None) for k in np.flatnonzero(np.diff(cut)).tolist()]
+
+
+def count_grams(train: DataFrame, text_col: str, deal: Deal, order: int) -> DataFrame:
     """Packed rows of distinct n-grams: those of the full order, and of lower levels those that begin with the start mark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = {k: [] for k in range(2, order + 1)}
         size = 0
 
-        def pack():
-            for k, kept in held.items():
+        def packed() -> pa.RecordBatch:
+            rows = []
+            for kept in held.values():
                 if kept:
-                    yield _packed(k, parts, *_grams_summed(*[np.concatenate(x, axis=-1) for x in zip(*kept, strict=True)]))
+                    grams = np.concatenate(kept, axis=1)
                     kept.clear()
+                    grams, part, _, n = _summed(grams, deal.part_of(grams), np.ones(grams.shape[1], np.int64))
+                    rows += _packed(grams, [n], part, deal.parts)
+            return _rows(rows)
 
         for whole in batches:
             for batch in _words.pieces(whole, "text"):
-                toks, at = tokens(batch.column("text"))
-                before, level = contexts(toks, at, order)
+                line, place, level = marked(*tokens(batch.column("text")), order)
                 for k in held:
-                    grams = np.stack([*before[k - 2 :: -1], toks])[:, level == k]
-                    held[k].append(_grams_summed(grams, np.ones(grams.shape[1], np.int64)))
-                    size += len(held[k][-1][1])
+                    held[k].append(grams_at(line, place[level == k], k))
+                size += len(place)
                 if size >= _HELD:
-                    yield from pack()
+                    yield packed()
                     size = 0
-        yield from pack()
+        yield packed()
 
-    return train.select(F.col(text_col).alias("text")).mapInArrow(run, _PACKED)
+    return train.select(F.col(text_col).alias("text")).mapInArrow(run, _ROW)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], level: int, passed: list[pa.RecordBatch]) -> dict[int, tuple[np.ndarray, ...]]:
-    """The n-grams of ``level``, their counts and plain counts, of each part put together and summed; rows of other kinds go to ``passed``."""
-    got: dict[int, list[tuple[np.ndarray, ...]]] = {}
+def _gathered(batches: Iterator[pa.RecordBatch], levels: set[int], passed: list[tuple]) -> dict[int, dict[int, list]]:
+    """The rows of ``levels`` by part and level, decoded; other rows go to ``passed``."""
+    got: dict[int, dict[int, list]] = {}
     for batch in batches:
-        mine = np.array([k == level and of is None for k, of in zip(batch.column("level").to_pylist(), batch.column("of").to_pylist(), strict=True)], bool)
-        if not mine.all():
-            passed.append(batch.filter(pa.array(~mine)))
-        for row in batch.filter(pa.array(mine)).to_pylist():
-            n = np.frombuffer(row["n"], np.int64)
-            got.setdefault(row["part"], []).append((np.frombuffer(row["grams"], np.uint64).reshape(level, -1), n, np.frombuffer(row["plain"], np.int64) if row["plain"] else n))
-    return {part: _grams_summed(*[np.concatenate(x, axis=-1) for x in zip(*rows, strict=True)]) for part, rows in got.items()}
+        for row in batch.to_pylist():
+            if row["data"] is None or row["level"] not in levels:
+                passed.append(tuple(row.values()))
+            else:
+                grams, numbers = _decoded(row["data"], row["level"])
+                got.setdefault(row["part"], {}).setdefault(row["level"], []).append((grams, numbers[0], numbers[-1]))
+    return got
+
+
+def _joined(rows: list[tuple[np.ndarray, ...]], level: int) -> tuple[np.ndarray, ...]:
+    """Rows of n-grams, counts and plain counts put together; histories in order, with their hash and the n-gram's."""
+    grams, n, plain = (np.concatenate(x, axis=-1) for x in zip(*rows, strict=True)) if rows else (np.zeros((level, 0), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return _summed(grams, gram_hash(grams[:-1]), n, plain)
+
+
+class Table:
+    """A sorted array of hashes with small numbers, in one file that is mapped into memory.
+
+    The first bits of a hash choose a range of about eight; the next 32 are kept, so a wrong hit has odds of about 2 in a billion.
+    Numbers have one byte; those of 255 and more stand in a list beside.
+    """
+
+    def __init__(self, path: str):
+        raw = np.memmap(path, np.uint8, "r")
+        head = raw[:24].view(np.int64)
+        self.n, self.bits, columns = (int(x) for x in head)
+        many = raw[24 : 24 + 8 * columns].view(np.int64)
+        at = 24 + 8 * columns
+
+        def take(count: int, kind: type) -> np.ndarray:
+            nonlocal at
+            out = raw[at : at + count * np.dtype(kind).itemsize].view(kind)
+            at += (count * np.dtype(kind).itemsize + 7) // 8 * 8
+            return out
+
+        self.starts, self.low = take((1 << self.bits) + 1, np.uint32), take(self.n, np.uint32)
+        self.columns = [(take(self.n, np.uint8), take(int(m), np.int64), take(int(m), np.int64)) for m in many]
+
+    @staticmethod
+    def save(path: str, keys: np.ndarray, *columns: np.ndarray) -> None:
+        """Written under another name and moved, so that a task that is run twice leaves one whole file."""
+        order = np.argsort(keys)
+        keys = keys[order]
+        bits = max(0, (len(keys) >> 3).bit_length() - 1)
+        parts = [np.array([len(keys), bits, len(columns)], np.int64)]
+        big = [np.flatnonzero(c[order] >= 255) for c in columns]
+        parts.append(np.array([len(x) for x in big], np.int64))
+        parts += [np.searchsorted(_first(keys, bits), np.arange((1 << bits) + 1)).astype(np.uint32), _next(keys, bits)]
+        for column, large in zip(columns, big, strict=True):
+            parts += [np.minimum(column[order], 255).astype(np.uint8), large.astype(np.int64), column[order][large].astype(np.int64)]
+        own = f"{path}.{uuid.uuid4().hex}"
+        with open(own, "wb") as file:
+            for x in parts:
+                file.write(x.tobytes() + bytes(-x.nbytes % 8))
+        os.replace(own, path)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it is not."""
+        if not self.n:
+            return np.full(len(keys), -1)
+        first, low = _first(keys, self.bits).astype(np.int64), _next(keys, self.bits)
+        a, end = self.starts[first].astype(np.int64), self.starts[first + 1].astype(np.int64)
+        b = end
+        for _ in range(int((b - a).max(initial=0)).bit_length()):
+            mid = (a + b) >> 1
+            less = (a < b) & (self.low[np.minimum(mid, self.n - 1)] < low)
+            a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+        hit = (a < end) & (self.low[np.minimum(a, self.n - 1)] == low)
+        return np.where(hit, a, -1)
+
+    def numbers(self, column: int, places: np.ndarray) -> np.ndarray:
+        small, at, value = self.columns[column]
+        out = small[places].astype(np.int64)
+        large = np.flatnonzero(out == 255)
+        if len(large):
+            out[large] = value[np.searchsorted(at, places[large])]
+        return out
+
+
+def _first(keys: np.ndarray, bits: int) -> np.ndarray:
+    return keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
+
+
+def _next(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(32 - bits)).astype(np.uint32)
 
 
-def _save(folder: str, name: str, part: int, array: np.ndarray) -> None:
-    """Written under another name and moved, so that a task that is run twice leaves one whole file."""
-    own = f"{folder}/{name}-{part}.{uuid.uuid4().hex}"
-    with open(own, "wb") as file:
-        file.write(array.tobytes())
-    os.replace(own, f"{folder}/{name}-{part}")
+def _heads(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct histories (in order in ``first``), where each begins, its total and its n-grams seen once, twice and more often."""
+    new = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])) if len(first) else np.zeros(0, np.int64)
+    sums = [np.add.reduceat(x.astype(np.int64), new) if len(new) else np.zeros(0, np.int64) for x in (n, n == 1, n == 2, n > 2)]
+    return (first[new], new, *sums)
+
+
+def _of(n: np.ndarray) -> list[int]:
+    return [int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n)]
+
+
+def _save_grams(folder: str, name: str, part: int, key: np.ndarray, n: np.ndarray) -> None:
+    once = n == 1
+    Table.save(f"{folder}/{name}.once-{part}", key[once])
+    Table.save(f"{folder}/{name}.more-{part}", key[~once], n[~once])
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
@@ -167,51 +290,74 @@ def _discount(n: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """The mapped arrays of a folder; the parts of one kind are ranges of the hash, looked up one after another."""
-
-    def __init__(self, folder: str, parts: int, totals: dict[str, float]):
-        self.folder, self.parts, self.totals = folder, parts, totals
-        self.maps: dict[tuple[str, int], np.ndarray] = {}
-
-    def part(self, name: str, k: int, kind: type) -> np.ndarray:
-        if (name, k) not in self.maps:
-            path = f"{self.folder}/{name}-{k}"
-            self.maps[name, k] = np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, kind)
-        return self.maps[name, k]
-
-    def known(self, keys: np.ndarray, owner: np.ndarray, name: str) -> np.ndarray:
-        """Which of ``keys`` are in the parts that ``owner`` falls in."""
-        return self.look_up(keys, owner, name, {})[0]
-
-    def look_up(self, keys: np.ndarray, owner: np.ndarray, name: str, values: dict[str, type]) -> list[np.ndarray]:
-        """The values of ``keys`` in the parts that ``owner`` (a hash) falls in; 0 where they are not."""
-        out = [np.zeros(len(keys), kind) for kind in values.values()] or [np.zeros(len(keys), bool)]
-        order = np.argsort(owner)
-        cut = _cut(owner[order], self.parts)
-        for k in range(self.parts):
-            mine = order[cut[k] : cut[k + 1]]
-            known = self.part(name, k, np.uint64)
-            if len(mine) and len(known):
-                spot = np.minimum(np.searchsorted(known, keys[mine]), len(known) - 1)
-                hit = known[spot] == keys[mine]
-                if not values:
-                    out[0][mine[hit]] = True
-                for array, (column, kind) in zip(out, values.items(), strict=bool(values)):
-                    array[mine[hit]] = self.part(f"{name}.{column}", k, kind)[spot[hit]]
+    """The mapped tables of a folder."""
+
+    def __init__(self, folder: str, deal: Deal, totals: dict[str, float], hot_heads: dict[int, tuple[int, ...]]):
+        self.folder, self.deal, self.totals = folder, deal, totals
+        self.hot_heads = np.array([[0, 0, 0, 0]] + [hot_heads.get(int(w), (0, 0, 0, 0)) for w in deal.hot], np.int64)[1:]
+        self.maps: dict[str, Table | None] = {}
+
+    def table(self, name: str, part: int) -> Table | None:
+        path = f"{self.folder}/{name}-{part}"
+        if path not in self.maps:
+            self.maps[path] = Table(path) if os.path.exists(path) else None
+        return self.maps[path]
+
+    def look_up(self, name: str, keys: np.ndarray, part: np.ndarray, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Which keys are in the table of their part, and their numbers (0 where they are not)."""
+        known, out = np.zeros(len(keys), bool), [np.zeros(len(keys), np.int64) for _ in range(columns)]
+        order = np.argsort(part, kind="stable")
+        distinct, first = np.unique(part[order], return_index=True)
+        for k, mine in zip(distinct.tolist(), np.split(order, first[1:]), strict=False):
+            table = self.table(name, k)
+            if table is not None:
+                place = table.find(keys[mine])
+                hit = place >= 0
+                known[mine[hit]] = True
+                for c in range(columns):
+                    out[c][mine[hit]] = table.numbers(c, place[hit])
+        return known, out
+
+    def words(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The count of each word in the training tokens, and the number of distinct words before it."""
+        grams = words[None, :]
+        _, (count, cont) = self.look_up("word", gram_hash(grams), self.deal.part_of(grams), 2)
+        return count, cont
+
+    def counts(self, grams: np.ndarray) -> np.ndarray:
+        """The count of each n-gram at its level, 0 where it is unknown."""
+        if len(grams) == 1:
+            return self.words(grams[0])[0]
+        key, part, out = gram_hash(grams), self.deal.part_of(grams), np.zeros(grams.shape[1], np.int64)
+        apart = self.deal.is_hot(grams[-2]) if len(grams) == 2 else np.zeros(len(out), bool)
+        for name, mine in ((str(len(grams)), np.flatnonzero(~apart)), ("hot", np.flatnonzero(apart))):
+            _, (n,) = self.look_up(f"{name}.more", key[mine], part[mine], 1)
+            rest = np.flatnonzero(n == 0)
+            known, _ = self.look_up(f"{name}.once", key[mine[rest]], part[mine[rest]], 0)
+            n[rest[known]] = 1
+            out[mine] = n
         return out
 
-    def above(self, before: np.ndarray, pairs: np.ndarray, level: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    def histories(self, heads: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The total of each history and its numbers of n-grams seen once, twice and more often."""
+        apart = self.deal.is_hot(heads[0]) if len(heads) == 1 else np.zeros(heads.shape[1], bool)
+        _, out = self.look_up(f"{len(heads) + 1}.head", gram_hash(heads), part, 4)
+        if apart.any():
+            found = self.hot_heads[np.searchsorted(self.deal.hot, heads[0][apart])]
+            for c in range(4):
+                out[c][apart] = found[:, c]
+        rest = np.flatnonzero((out[0] == 0) & ~apart)
+        once = rest[self.counts(heads[:, rest]) > 0]
+        out[0][once] = out[1][once] = 1
+        return tuple(out)
+
+    def above(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The discounted share of each n-gram in its history, and the history's weight of the lower order."""
-        d = np.array([self.totals[f"{level}.d{k}"] for k in (1, 2, 3)])
-        (n,) = self.look_up(pairs, before, f"{level}.gram", {"n": np.uint8})
-        n = n.astype(np.int64)
-        many = np.flatnonzero(n == 255)
-        (n[many],) = self.look_up(pairs[many], before[many], f"{level}.many", {"n": np.int64})
-        heads, which = np.unique(before, return_inverse=True)
-        total, *seen = self.look_up(heads, heads, f"{level}.head", {"total": np.int64, "n1": np.int32, "n2": np.int32, "n3": np.int32})
-        rest = np.flatnonzero(total == 0)
-        once = rest[self.known(heads[rest], heads[rest], f"{level}.once")]
-        total[once] = seen[0][once] = 1
+        d = np.array([self.totals[f"{len(grams)}.d{k}"] for k in (1, 2, 3)])
+        n = self.counts(grams)
+        _, first, which = np.unique(gram_hash(grams[:-1]), return_index=True, return_inverse=True)
+        # A history of one word that is hot has no part of its own, and needs none.
+        total, *seen = self.histories(grams[:-1, first], self.deal.part_of(grams[:, first]))
         weight = np.where(total > 0, sum(k * x for k, x in zip(d, seen, strict=True)) / np.maximum(total, 1), 1.0)
         return np.where(n > 0, n - _discount(np.maximum(n, 1), d), 0.0) / np.maximum(total, 1)[which], weight[which]
 
@@ -220,16 +366,17 @@ class Model:
         toks, at = tokens(texts)
         t = self.totals
         words, which = np.unique(toks, return_inverse=True)
-        count, cont = self.look_up(words, words, "word", {"count": np.int64, "cont": np.int64})
+        count, cont = self.words(words)
         base = np.log10((count + 0.1) / (t["N"] + 0.1 * (t["V"] + 1)))
         d = np.array([t["1.d1"], t["1.d2"], t["1.d3"]])
-        lower = np.where(cont > 0, cont - _discount(np.maximum(cont, 1), d), 0.0) / max(t["pairs"], 1) + t["left"] / (t["V"] + 1)
-        p = lower[which]
-        before, longest = contexts(toks, at, int(t["order"]))
-        for level, head in enumerate(before, 2):
+        p = (np.where(cont > 0, cont - _discount(np.maximum(cont, 1), d), 0.0) / max(t["pairs"], 1) + t["left"] / (t["V"] + 1))[which]
+        order = int(t["order"])
+        line, place, longest = marked(toks, at, order)
+        for level in range(2, order + 1):
             spots = np.flatnonzero(longest >= level)
-            grams, first, gram_of = np.unique(pair_hash(head[spots], toks[spots]), return_index=True, return_inverse=True)
-            high, weight = self.above(head[spots[first]], grams, level)
+            grams = grams_at(line, place[spots], level)
+            _, first, gram_of = np.unique(gram_hash(grams), return_index=True, return_inverse=True)
+            high, weight = self.above(grams[:, first])
             p[spots] = (high + weight * p[spots[first]])[gram_of]
         p = np.log10(p)
         sums = lambda x: np.add.reduceat(x, at[:-1]) if len(at) > 1 else np.zeros(0)
@@ -237,65 +384,104 @@ class Model:
 
 
 @lru_cache(maxsize=2)
-def _model(folder: str, parts: int, totals: tuple) -> Model:
-    return Model(folder, parts, dict(totals))
+def _model(folder: str, parts: int, hot: tuple, totals: tuple, heads: tuple) -> Model:
+    return Model(folder, Deal(parts, hot), dict(totals), dict(heads))
+
+
+def hot_words(train: DataFrame, text_col: str, parts: int) -> tuple[int, ...]:
+    """The words (48-bit hashes) that make up HOT_SHARE of a part or more in one text of SAMPLE."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for whole in batches:
+            for batch in _words.pieces(whole, "text"):
+                new, count = np.unique(tokens(batch.column("text"))[0], return_counts=True)
+                words, at = np.unique(np.concatenate([words, new]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, count]), len(words)).astype(np.int64)
+        often = n * parts * 2 >= n.sum() * HOT_SHARE
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(words[often].astype(np.int64), -1)), pa.array(np.append(n[often], n.sum()))], ["word", "n"])
 
-def train_model(train: DataFrame, text_col: str = "text", folder: str | None = None, order: int = 3) -> tuple[str, int, tuple]:
-    """(folder, parts, totals): where the model of n-grams of up to ``order`` tokens lies, in how many parts, and its few totals."""
+    some = train.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLE)) == 0).select(F.col(text_col).alias("text"))
+    found = some.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(MOST_HOT + 1).collect()
+    total = max((r["n"] for r in found if r["word"] == -1), default=0)
+    return tuple(r["word"] for r in found if r["word"] != -1 and r["n"] * parts >= total * HOT_SHARE)
+
+
+def train_model(train: DataFrame, text_col: str = "text", folder: str | None = None, order: int = 3, part_bytes: int = 16_000_000) -> tuple:
+    """(folder, parts, hot words, totals, sums of the hot words' histories): where the model of n-grams of up to ``order`` tokens lies, and its bounded rest."""
     if order < 2:
         raise ValueError("the order is 2 at least")
     spark = train.sparkSession
     small_arrow_batches(spark)
     folder = folder or local_path(f"{shared_dir(spark)}/kn-{uuid.uuid4().hex}")
     os.makedirs(folder, exist_ok=True)
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def reduced(level: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Writes the n-grams and histories of a part, and sends what it says of the next lower level on, with the counts of counts."""
-            passed = []
-            for part, (grams, n, plain) in _gathered(batches, level, passed).items():
-                keys = pair_hash(grams[0], grams[-1])
-                order = np.argsort(keys)
-                big = order[n[order] >= 255]
-                head, total, *seen = _summed(grams[0], n, *[(n == k).astype(np.int32) for k in (1, 2)], (n > 2).astype(np.int32))
+    size = int(train.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0])
+    parts = min(MOST_PARTS, max(8, -(-size // part_bytes)))
+    hot = hot_words(train, text_col, parts)
+    deal = Deal(parts, hot)
+
+    def words_below(grams: np.ndarray, plain: np.ndarray) -> list[tuple]:
+        words = grams[-1:]
+        words, part, _, cont, count = _summed(words, deal.part_of(words), np.ones(words.shape[1], np.int64), plain)
+        return _packed(words, [cont, count], part, parts)
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Writes the n-grams and histories of a part, from the full order down; sends words, pairs of hot words and counts of counts on."""
+        passed: list[tuple] = []
+        for part, rows in _gathered(batches, set(range(2, order + 1)), passed).items():
+            below: list[tuple] = []
+            for level in range(order, 1, -1):
+                grams, first, key, n, plain = _joined([*rows.pop(level, []), *below], level)
+                if level == 2:
+                    apart = deal.is_hot(grams[0])
+                    to = deal.part_of(grams[:, apart])
+                    by = np.argsort(to, kind="stable")
+                    yield _rows(_packed(grams[:, apart][:, by], [n[apart][by], plain[apart][by]], to[by], parts))
+                    grams, first, key, n, plain = grams[:, ~apart], first[~apart], key[~apart], n[~apart], plain[~apart]
+                _save_grams(folder, str(level), part, key, n)
+                head, _, total, *seen = _heads(first, n)
                 more = total > 1
-                for name, array in (("gram", keys[order]), ("gram.n", np.minimum(n[order], 255).astype(np.uint8)), ("many", keys[big]), ("many.n", n[big]), ("once", head[~more]), ("head", head[more]), ("head.total", total[more]), *[(f"head.n{k + 1}", x[more].astype(np.int32)) for k, x in enumerate(seen)]):
-                    _save(folder, f"{level}.{name}", part, array)
-                of = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n)]
-                below, cont, plain = _grams_summed(grams[1:], np.ones(len(n), np.int64), plain)
-                yield _packed(level - 1, parts, below, cont, plain, of)
-            yield from passed
-
-        return run
+                Table.save(f"{folder}/{level}.head-{part}", head[more], total[more], *[x[more] for x in seen])
+                yield _rows([(part, level, None, 0, _of(n))])
+                below = [(grams[1:], np.ones(len(n), np.int64), plain)]
+            yield _rows(words_below(grams, plain))
+        yield _rows(passed)
+
+    def hot_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Writes the pairs of hot words that fall in a part; sends words, the sums of histories and counts of counts on."""
+        passed: list[tuple] = []
+        for part, rows in _gathered(batches, {2}, passed).items():
+            grams, first, key, n, plain = _joined(rows[2], 2)
+            _save_grams(folder, "hot", part, key, n)
+            _, at, *sums = _heads(first, n)
+            yield _rows([(part, 2, None, 0, _of(n)), *[(part, -1, None, int(w), [int(x) for x in s] + [0]) for w, *s in zip(grams[0, at], *sums, strict=True)], *words_below(grams, plain)])
+        yield _rows(passed)
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passed, found = [], []
-        for part, (grams, cont, count) in _gathered(batches, 1, passed).items():
-            _save(folder, "word", part, grams[0])
-            _save(folder, "word.count", part, count)
-            _save(folder, "word.cont", part, cont)
-            found += [(1, [int((cont == k).sum()) for k in (1, 2, 3, 4)] + [len(cont)]), (0, [int(count.sum())] + [0] * 4)]
-        found += [(row["level"], row["of"]) for batch in passed for row in batch.to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["level", "x"])
-
-    packed = count_grams(train, text_col, parts, order)
-    for level in range(order, 1, -1):
-        packed = packed.repartition(parts, "part").mapInArrow(reduced(level), _PACKED)
-    sums = packed.repartition(parts, "part").mapInArrow(vocabulary, "level int, x array<long>").groupBy("level").agg(*[F.sum(F.col("x")[k]).alias(f"x{k}") for k in range(5)])
-    of = {k: [0] * 5 for k in range(order + 1)} | {r[0]: [int(x) for x in r[1:]] for r in sums.collect()}
+        passed: list[tuple] = []
+        for part, rows in _gathered(batches, {1}, passed).items():
+            words, _, key, cont, count = _joined(rows[1], 1)
+            Table.save(f"{folder}/word-{part}", key, count, cont)
+            passed += [(part, 1, None, 0, _of(cont)), (part, 0, None, 0, [int(count.sum())] + [0] * 4)]
+        yield _rows(passed)
+
+    packed = count_grams(train, text_col, deal, order)
+    for step in (levels, hot_pairs, vocabulary):
+        packed = packed.repartition(parts, "part").mapInArrow(step, _ROW)
+    sums = packed.groupBy("level", "word").agg(*[F.sum(F.col("of")[k]).alias(f"x{k}") for k in range(5)]).collect()
+    of = {k: [0] * 5 for k in range(order + 1)} | {r["level"]: [int(x) for x in r[2:]] for r in sums if r["level"] >= 0}
+    heads = tuple((r["word"], tuple(int(x) for x in r[2:6])) for r in sums if r["level"] < 0)
     discounts = {k: _discounts(np.array(of[k][:4])) for k in range(1, order + 1)}
     n, v, pairs, few, lower = of[0][0], of[1][4], of[2][4], of[1], discounts[1]
     left = (lower[0] * few[0] + lower[1] * few[1] + lower[2] * max(0, v - few[0] - few[1])) / max(pairs, 1)
     totals = (("order", order), ("N", n), ("V", v), ("pairs", pairs), ("left", float(left) if pairs else 1.0), *[(f"{k}.d{j + 1}", float(x)) for k, d in discounts.items() for j, x in enumerate(d)])
-    return folder, parts, totals
+    return folder, parts, hot, totals, heads
 
 
-def score(docs: DataFrame, model: tuple[str, int, tuple], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, n_known, train_tokens, base_score, score (log10 probability) and perplexity of each row."""
     small_arrow_batches(docs.sparkSession)
-    n = int(dict(model[2])["N"])
+    n = int(dict(model[3])["N"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _model(*model)

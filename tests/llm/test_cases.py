@@ -146,15 +146,33 @@ def test_language_model(spark, odd):
     assert all(r["n_known"] == 0 for r in kn_lm.score(odd, empty).collect()) and kn_lm.score(odd.limit(0), model).count() == 0
 
 
-def test_language_model_sums_to_one(spark):
-    df = spark.createDataFrame([(1, "a b a c"), (2, "a b b"), (3, "c a")], "doc_id long, text string")
-    folder, parts, totals = kn_lm.train_model(df)
-    model = kn_lm.Model(folder, parts, dict(totals))
-    # The shares of all tokens that follow "a", the end among them, and the weight of the lower order make one.
-    after = np.array([*_words.word_hashes(pa.array(["a b c"]))[0], kn_lm.END])
-    before = np.repeat(after[:1], 4)
-    high, weight = model.above(before, kn_lm.pair_hash(before, after))
-    assert abs(high.sum() + weight[0] - 1) < 1e-9 and dict(totals)["N"] == 12 and dict(totals)["V"] == 4
+@pytest.mark.parametrize("hot", [0, 5, 400])
+def test_language_model_sums_to_one(spark, monkeypatch, hot):
+    rng = random.Random(hot)
+    names = [f"w{k}" for k in range(400)]
+    ids = kn_lm.tokens(pa.array([" ".join(names)]))[0]
+    monkeypatch.setattr(kn_lm, "hot_words", lambda *_: tuple(int(x) for x in ids[:hot]))
+    texts = [" ".join(rng.choice(names[: rng.choice([5, 400])]) for _ in range(40)) for _ in range(100)]
+    folder, parts, said, totals, heads = kn_lm.train_model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    model = kn_lm.Model(folder, kn_lm.Deal(parts, said), dict(totals), dict(heads))
+    # The shares of all tokens that follow a history, the end among them, and the weight of the lower order make one.
+    assert dict(totals)["N"] == 4100 and dict(totals)["V"] == len({w for t in texts for w in t.split()}) + 1
+    for history in ([ids[0]], [ids[3]], [ids[77]], [kn_lm.START], [ids[0], ids[1]], [kn_lm.START, ids[2]], [ids[5], kn_lm.START]):
+        grams = np.stack([np.full(len(ids), x) for x in history] + [ids])
+        high, weight = model.above(grams)
+        assert abs(high.sum() + weight[0] - 1) < 1e-9 and (weight == weight[0]).all()
+
+
+def test_tables_of_hashes(tmp_path):
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 7, 5000):
+        keys = np.unique(rng.integers(0, 2**64, n, np.uint64))
+        values = rng.integers(1, 600, len(keys))
+        kn_lm.Table.save(f"{tmp_path}/t{n}", keys, values, values // 2)
+        table = kn_lm.Table(f"{tmp_path}/t{n}")
+        place = table.find(keys)
+        assert (place >= 0).all() and (table.numbers(0, place) == values).all() and (table.numbers(1, place) == values // 2).all()
+        assert (table.find(rng.integers(0, 2**64, 1000, np.uint64)) < 0).all()
 
 
 def test_line_dedup(spark, odd):

@@ -13,6 +13,7 @@ from memspark.llm import bpe
 from memspark.llm import queries as Q
 from tests.compare import assert_same
 from tests.llm import helpers as H
+from tests.llm.test_whole import plain_model
 
 
 @pytest.fixture(scope="module")
@@ -46,40 +47,18 @@ def test_op5_against_the_library(spark, sf, texts):
 
 
 def test_op6_against_a_plain_model(spark, sf, texts):
-    toks = {i: [*H.words(H.lower(t)), None] for i, t in texts.items()}
-    uni, pairs = Counter(), Counter()
-    for i, w in toks.items():
-        if zlib.crc32(str(i).encode()) % 10:
-            uni.update(w)
-            pairs.update(zip(["<s>", *w[:-1]], w, strict=True))
+    toks = {i: H.words(H.lower(t)) for i, t in texts.items()}
+    train = [w for i, w in toks.items() if zlib.crc32(str(i).encode()) % 10]
+    uni = Counter(x for w in train for x in [*w, None])
     n, v = sum(uni.values()), len(uni)
-    before, heads, kinds = Counter(w for _, w in pairs), Counter(), defaultdict(Counter)
-    for (a, _), c in pairs.items():
-        heads[a] += c
-        kinds[a][min(c, 3)] += 1
-
-    def discounts(counts):
-        n1, n2, n3, n4 = (max(1, sum(c == k for c in counts)) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        return [min(max(x, low), high) for x, low, high in ((1 - 2 * y * n2 / n1, 0.05, 0.95), (2 - 3 * y * n3 / n2, 0.1, 1.9), (3 - 4 * y * n4 / n3, 0.15, 2.85))]
-
-    d, e = discounts(list(pairs.values())), discounts(list(before.values()))
-    left = sum(e[min(c, 3) - 1] for c in before.values()) / len(pairs)
-
-    def p(a, w):
-        low = (before[w] - e[min(before[w], 3) - 1] if before[w] else 0) / len(pairs) + left / (v + 1)
-        if not heads[a]:
-            return low
-        c = pairs[a, w]
-        return (c - d[min(c, 3) - 1] if c else 0) / heads[a] + sum(d[k - 1] * x for k, x in kinds[a].items()) / heads[a] * low
-
+    plain = plain_model(train, 3)
     better = []
     for r in Q.op6_lm_score(spark, sf).collect():
-        w = toks[r["doc_id"]]
+        w = [*toks[r["doc_id"]], None]
         base = sum(math.log10((uni[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)
-        score = sum(math.log10(p(a, x)) for a, x in zip(["<s>", *w[:-1]], w, strict=True))
+        score = plain(w[:-1])
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(uni[x] > 0 for x in w), n)
-        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-5)
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9)
         if r["held_out"]:
             better.append(score - base)
     assert sum(better) > 0

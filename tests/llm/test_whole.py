@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from memspark.llm import kn_lm, line_dedup, secrets, url_filter
@@ -49,8 +50,10 @@ def plain_model(texts, order):
     return score
 
 
-@pytest.mark.parametrize("order", [2, 3, 4])
-def test_language_model_of_an_order(spark, order):
+@pytest.mark.parametrize("order, hot", [(2, ""), (3, ""), (4, ""), (2, "a b x"), (3, "a b x"), (4, "a b c d e f g h x")])
+def test_language_model_of_an_order(spark, monkeypatch, order, hot):
+    if hot:
+        monkeypatch.setattr(kn_lm, "hot_words", lambda *_: tuple(int(x) for x in kn_lm.tokens(pa.array([hot]))[0][:-1]))
     rng = random.Random(6)
     texts = [[rng.choice("abcdefgh") for _ in range(rng.randint(0, 30))] for _ in range(60)] + [["a", "b"]] * 300
     rows = [(k, " ".join(w)) for k, w in enumerate([*texts, ["x", "a"], ["a", "b", "x", "c", "d"]])]
