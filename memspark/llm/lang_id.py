@@ -4,11 +4,12 @@ Each language has a zstandard dictionary of raw text from labelled documents. A
 block of it is compressed with each dictionary, and the sizes are summed; the smallest total wins. Where the
 margin to the next is narrow the answer is marked as rejected; the language named is still the best one.
 
-The dictionaries are fitted on a bounded sample: for each language the ``sample_docs`` documents of smallest hash, of each of
-which at most ``sample_bytes`` around its middle are used, ``dict_bytes`` in all. Predictions read whole texts.
+The dictionaries are fitted on a bounded sample: for each language the ``sample_docs`` distinct texts of smallest hash, of each of
+which at most ``sample_bytes`` characters around its middle are used, ``dict_bytes`` in all. Predictions read whole texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text where nothing can be learned
-(an empty table, no label). Ties go to the first language by name. Rows are judged one by one.
+(an empty table, no label). Ties go to the language of more training documents, then to the first by name. Rows are judged one by one,
+repeated rows alike; the sample takes a repeated text once. Only the columns that are named are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -29,39 +30,31 @@ UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
 
-def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int = 200, sample_bytes: int = 2048, dict_bytes: int = 112_640, most_langs: int = 400) -> dict[str, bytes]:
-    """A dictionary's content for each language of ``train``, of at most ``dict_bytes`` bytes."""
-    known = train.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    known = known.select("lang", "h", F.expr(f"substring(text, cast(greatest(1, length(text) div 2 - {sample_bytes // 2}) as int), {sample_bytes})").alias("text"))
-
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, list[tuple[int, str]]] = {}
-        for batch in batches:
-            for lang, h, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "h", "text")), strict=True):
-                kept.setdefault(lang, []).append((h, text))
-            for lang, rows in kept.items():
-                if len(rows) > sample_docs:
-                    kept[lang] = sorted(set(rows))[:sample_docs]
-        rows = [(lang, h, text) for lang, found in kept.items() for h, text in sorted(set(found))[:sample_docs]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))], ["lang", "h", "text"])
-
-    # Each task keeps its smallest; the collected rows of a language are cut again, so the sample is the same however rows are dealt.
-    best = known.mapInArrow(least, "lang string, h long, text string")
-    ranked = best.withColumn("r", F.expr("row_number() over (partition by lang order by h, text)")).where(F.col("r") <= sample_docs).drop("r")
-    langs = [r["lang"] for r in ranked.select("lang").distinct().orderBy("lang").limit(most_langs + 1).collect()]
-    if len(langs) > most_langs:
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 200, sample_bytes: int = 2048, dict_bytes: int = 112_640, most_langs: int = 400) -> dict[str, bytes]:
+    """A dictionary's content of at most ``dict_bytes`` bytes for each language of ``train``, languages of more documents first."""
+    known = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs + 1).collect()
+    if len(counted) > most_langs:
         raise ValueError(f"more than {most_langs} languages")
-    texts: dict[str, list[str]] = {lang: [] for lang in langs}
-    for row in ranked.orderBy("lang", "h", "text").collect():
+    if not counted:
+        return {}
+    # Of a large language only hashes below a bound are looked at: eight times as many as are wanted, before the first shuffle.
+    share = F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1.0, 8 * sample_docs / r["n"]))])
+    near = known.withColumn("h", F.xxhash64("text")).where((F.col("h") / 2.0**64 + 0.5 <= share[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
+    near = near.select("lang", "h", F.expr(f"substring(text, cast(greatest(1, length(text) div 2 - {sample_bytes // 2}) as int), {sample_bytes})").alias("text"))
+    distinct = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    ranked = distinct.withColumn("r", F.expr("row_number() over (partition by lang order by h)")).where(F.col("r") <= sample_docs)
+    texts: dict[str, list[str]] = {r["lang"]: [] for r in counted}
+    for row in ranked.orderBy("lang", "h").collect():
         if sum(map(len, texts[row["lang"]])) < dict_bytes:
             texts[row["lang"]].append(row["text"])
     # What is nearest to a block's start is matched at the least cost: the first of the sample come last.
-    return {lang: "\n".join(reversed(found)).lower().encode()[-dict_bytes:] for lang, found in texts.items()}
+    return {lang: "\n".join(reversed(found)).lower().encode()[-dict_bytes:] for lang, found in texts.items() if found}
 
 
 class Compressors:
     def __init__(self, dictionaries: dict[str, bytes], level: int, block: int):
-        self.block, self.langs, self.tools = block, sorted(dictionaries), []
+        self.block, self.langs, self.tools = block, list(dictionaries), []
         for lang in self.langs:
             content = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=level)
@@ -90,8 +83,8 @@ class Compressors:
         return self.langs[order[0]], 1 / sum(weights), margin
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", level: int = 3, block: int = 4096, narrow: float = 0.01) -> DataFrame:
-    """id_col, lang_pred, score, rejected of each row. The dictionaries are broadcast; their sizes are bounded by ``fit``."""
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", level: int = 9, block: int = 4096, narrow: float = 0.01) -> DataFrame:
+    """id_col, lang_pred, score, rejected of each row. The dictionaries, whose order settles ties, are broadcast; their sizes are bounded by ``fit``."""
     spark = docs.sparkSession
     small_arrow_batches(spark)
     sent = spark.sparkContext.broadcast(dictionaries)

@@ -73,7 +73,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    dictionaries = lang_id.fit(docs.where(~lang_id.held_out(F.col("doc_id"))), "doc_id", "text", "lang")
+    dictionaries = lang_id.fit(docs.where(~lang_id.held_out(F.col("doc_id"))))
     out = lang_id.identify(docs, dictionaries)
     return out.select("doc_id", lang_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 

@@ -112,13 +112,19 @@ def test_components(spark):
 
 def test_languages(spark, odd):
     train = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate([("the cat and the dog are here with the bird", "en"), ("der Hund und die Katze sind mit dem Vogel da", "de")] * 30)], "doc_id long, text string, lang string")
-    found = lang_id.fit(train, "doc_id", "text", "lang")
+    found = lang_id.fit(train)
     assert set(found) == {"en", "de"}
     rows = lang_id.identify(odd, found).collect()
     got = by_id(lang_id.identify(odd, found))
     assert len(rows) == len(H.ODD) and got[2]["lang_pred"] == got[3]["lang_pred"] == got[7]["lang_pred"] == "und"
     assert by_id(lang_id.identify(spark.createDataFrame([(1, "und die Katze ist mit dem Hund da")], "doc_id long, text string"), found))[1]["lang_pred"] == "de"
-    nothing = lang_id.fit(train.limit(0), "doc_id", "text", "lang")
+    # Narrow margins are rejected, and a tie goes to the language of more documents.
+    more = lang_id.fit(train.unionByName(train.where("lang = 'en'")))
+    assert list(more) == ["en", "de"] and list(lang_id.fit(train.unionByName(train.where("lang = 'de'")))) == ["de", "en"]
+    asked = spark.createDataFrame([(1, "zqx"), (2, "the cat and the dog are here with the bird")], "doc_id long, text string")
+    said = by_id(lang_id.identify(asked, more))
+    assert (said[1]["lang_pred"], said[1]["rejected"]) == ("en", True) and (said[2]["lang_pred"], said[2]["rejected"]) == ("en", False)
+    nothing = lang_id.fit(train.limit(0))
     assert nothing == {} and {r["lang_pred"] for r in lang_id.identify(odd, nothing).collect()} == {"und"}
 
 
