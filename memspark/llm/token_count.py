@@ -2,7 +2,7 @@
 
 1. The corpus's pre-tokens with their frequencies: counted in each task, then by a shuffle of distinct pre-tokens.
 2. The number of pieces of each, by the tokenizer's library.
-3. The ``hot`` most frequent ones (a fixed number, so a bounded broadcast) are summed where documents are read; the rest travel as
+3. The most frequent ones (those above the frequency that leaves ``hot`` of them at most, so a bounded broadcast) are summed where documents are read; the rest travel as
    (row, pre-token, frequency), are joined with their piece counts and summed by row.
 
 Pre-tokens are what the library's normaliser and splitter make of a text. For texts of Latin letters (below U+0250) the same
@@ -99,12 +99,25 @@ def piece_counts(docs: DataFrame, path: str, text_col: str) -> DataFrame:
     return words.groupBy("word").agg(F.sum("freq").alias("freq")).mapInArrow(encode, "word string, freq long, pieces long")
 
 
+def hot_from(counts: DataFrame, hot: int) -> int:
+    """The least frequency that at most ``hot`` pre-tokens have or exceed, to a part in 16, from a histogram of a few hundred rows."""
+    step = F.floor(16 * F.log2("freq")).cast("long")
+    bins = counts.groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("freq").alias("least")).orderBy(F.desc("b")).collect()
+    least = 1 << 62
+    for row in bins:
+        hot -= row["n"]
+        if hot < 0:
+            break
+        least = row["least"]
+    return least
+
+
 def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048, hot: int = 200_000) -> DataFrame:
     """id_col, n_bytes, n_tokens, over_limit of each row. ``path`` is read on each worker."""
     spark = docs.sparkSession
     small_arrow_batches(spark)
     counts = durable(piece_counts(docs, path, text_col))
-    top = counts.orderBy(F.desc("freq"), "word").limit(hot).select("word", "pieces").toPandas()
+    top = counts.where(F.col("freq") >= hot_from(counts, hot)).select("word", "pieces").toPandas()
     known = spark.sparkContext.broadcast(dict(zip(top["word"], top["pieces"].tolist(), strict=True)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
