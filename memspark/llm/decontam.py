@@ -11,12 +11,15 @@ of the window's q-grams, at diagonals within k of each other. Passages are cut i
 A document is contaminated if a window is found in it. Text is compared as UTF-8 bytes with A-Z lower-cased and each run of white
 space as one space.
 
+Passages shorter than ``least`` bytes hold too few q-grams for that: they are found where they stand as they are, between other
+characters than letters and digits.
+
 The index is broadcast; it is made of at most ``part_bytes`` of passages. A larger benchmark is cut into parts, each of which passes
-over the documents, and their findings are united.
+over the documents, and their findings are united by row.
 
-Defined cases: null and empty texts are clean; benchmark passages that are null or shorter than ``least`` bytes are not looked for.
+Defined cases: null and empty texts are clean; benchmark passages that are null or without a word are not looked for.
 Rows are judged one by one, repeated rows alike. Texts are searched whole, whatever their length. Other columns are carried as they
-are, ``items`` among them; ``_items`` and ``_text`` are this module's own names.
+are, ``items`` among them; columns that begin with ``_dc_`` are this module's own and are refused.
 """
 
 from __future__ import annotations
@@ -24,10 +27,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memspark.llm import _words
 from memspark.llm._shared import small_arrow_batches
@@ -79,8 +84,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], window: int, edits: float, least: int):
         item, self.texts = [], []
+        #: Short passages by their bytes (a character each), with their items.
+        self.short: dict[str, list[int]] = {}
         for number, text in items:
             whole = folded(np.frombuffer((text or "").strip().encode(), np.uint8))[0]
+            if 0 < len(whole) < max(least, 2 * Q):
+                self.short.setdefault(whole.tobytes().decode("latin-1").strip(), []).append(number)
             if len(whole) >= max(least, 2 * Q):
                 starts = {*range(0, max(1, len(whole) - window + 1), max(1, window // 2)), max(0, len(whole) - window)}
                 for at in sorted(starts):
@@ -93,8 +102,8 @@ class Index:
         code = np.concatenate([np.zeros(0, np.uint64), *codes])
         order = np.argsort(code, kind="stable")
         self.code = code[order]
-        self.window = np.repeat(np.arange(len(codes)), [len(x) for x in codes]).astype(np.int64)[order]
-        self.at = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(x)) for x in codes]]).astype(np.int64)[order]
+        self.window = np.repeat(np.arange(len(codes), dtype=np.int32), [len(x) for x in codes])[order]
+        self.at = np.concatenate([np.zeros(0, np.int32), *[np.arange(len(x), dtype=np.int32) for x in codes]])[order]
         self.shift = np.uint64(64 - min(26, max(16, math.ceil(math.log2(max(1, len(code)) * 64)))))
         self.known = np.zeros(1 << (64 - int(self.shift)), bool)
         self.known[(self.code >> self.shift).astype(np.int64)] = True
@@ -117,7 +126,7 @@ class Index:
         low, high = np.searchsorted(self.code, code[place], "left"), np.searchsorted(self.code, code[place], "right")
         n = high - low
         hit = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        window, at = self.window[hit], self.at[hit]
+        window, at = self.window[hit].astype(np.int64), self.at[hit].astype(np.int64)
         step = self.budgets[window] + 1
         band = (np.repeat(place, n) - at) // step
         found = set()
@@ -137,15 +146,34 @@ class Index:
         return sorted(items)
 
 
-def _search_part(docs: DataFrame, index: Index, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` and ``_items``: the benchmark items found in each row."""
+def _inner(byte: str) -> bool:
+    return byte.isalnum() or byte >= "\x80"
+
+
+def _short_found(automaton, text: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+    """The row and the items of each short passage in ``text``, where words begin and end with it."""
+    line = text.tobytes().decode("latin-1")
+    for last, (size, items) in automaton.iter(line):
+        first = last - size + 1
+        row = int(np.searchsorted(bounds, first, "right")) - 1
+        a, b = int(bounds[row]), int(bounds[row + 1])
+        if last < b and (first == a or not _inner(line[first - 1])) and (last + 1 == b or not _inner(line[last + 1])):
+            yield row, items
+
+
+def _search_part(docs: DataFrame, index: Index, keep: list[str], text_col: str) -> DataFrame:
+    """``keep`` columns of ``docs`` and ``_dc_items``: the benchmark items found in each row."""
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
+        automaton = ahocorasick.Automaton()
+        for word, items in index.short.items():
+            automaton.add_word(word, (len(word), items))
+        automaton.make_automaton()
         for whole in batches:
-            for batch in _words.pieces(whole, "_text"):
-                raw, offsets = _words.utf8(batch.column("_text"))
+            for batch in _words.pieces(whole, "_dc_text"):
+                raw, offsets = _words.utf8(batch.column("_dc_text"))
                 text, came = folded(raw)
                 code = grams(text)
                 place = index.dense(code) if len(index.code) else np.zeros(0, np.int64)
@@ -156,36 +184,49 @@ def _search_part(docs: DataFrame, index: Index, keep: list[str]) -> DataFrame:
                 for r, inside in zip(rows.tolist(), np.split(place, first[1:]), strict=False):
                     a, b = bounds[r], bounds[r + 1]
                     items[r] = index.search(text[a:b], code[a:b], inside[inside + Q <= b] - a)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(items, pa.list_(pa.int64()))], [*keep, "_items"])
+                if index.short:
+                    for r, found in _short_found(automaton, text, bounds):
+                        items[r] = sorted({*items[r], *found})
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(items, pa.list_(pa.int64()))], [*keep, "_dc_items"])
 
-    kept = docs.select(*keep, "_text")
-    return kept.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text") + ", `_items` array<bigint>")
+    kept = docs.select(*keep, F.col(text_col).alias("_dc_text"))
+    return kept.mapInArrow(run, T.StructType([*[f for f in kept.schema.fields if f.name != "_dc_text"], T.StructField("_dc_items", T.ArrayType(T.LongType()))]))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 100, edits: float = 0.05, least: int = 40, part_bytes: int = 1_000_000) -> DataFrame:
-    """id_col, contaminated and items (found benchmark items, sorted) of each row."""
-    small_arrow_batches(docs.sparkSession)
+def _parts(benchmark: DataFrame, item_col: str, item_text: str, window: int, edits: float, least: int, part_bytes: int) -> Iterator[Index]:
+    """An index for each ``part_bytes`` of passages; one at least."""
     passages = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
     parts = 1 + int(passages.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // part_bytes
-    found = None
     for part in range(parts):
         rows = passages.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).orderBy("item", "text").collect()
-        index = Index([(r["item"], r["text"]) for r in rows], window, edits, least)
-        one = _search_part(docs.select(F.col(id_col), F.col(text_col).alias("_text"), *([F.monotonically_increasing_id().alias("_row")] if parts > 1 else [])), index, [id_col, *(["_row"] if parts > 1 else [])])
-        found = one if found is None else found.unionByName(one)
-    if parts > 1:
-        found = found.groupBy("_row", id_col).agg(F.sort_array(F.flatten(F.collect_list("_items"))).alias("_items"))
-    return found.select(id_col, (F.size("_items") > 0).alias("contaminated"), F.col("_items").alias("items"))
+        yield Index([(r["item"], r["text"]) for r in rows], window, edits, least)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 100, edits: float = 0.05, least: int = 40, part_bytes: int = 1_000_000) -> DataFrame:
-    """``docs`` without the rows that hold a benchmark passage; all columns stay as they are."""
+def _found(docs: DataFrame, id_col: str, text_col: str, indexes: Iterator[Index]) -> DataFrame:
+    """``docs`` with ``_dc_items``, sorted. Where there are several indexes, what each finds is put together by the row's id and a hash of its text."""
+    if any(c.lower().startswith("_dc_") for c in docs.columns):
+        raise ValueError("columns may not begin with _dc_")
     small_arrow_batches(docs.sparkSession)
-    passages = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text")).where("item is not null and text is not null")
-    parts = 1 + int(passages.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // part_bytes
-    columns = docs.columns
-    for part in range(parts):
-        rows = passages.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == part).orderBy("item", "text").collect()
-        index = Index([(r["item"], r["text"]) for r in rows], window, edits, least)
-        docs = _search_part(docs.select("*", F.col(text_col).alias("_text")), index, columns).where(F.size("_items") == 0).select(*columns)
-    return docs
+    indexes = list(indexes)
+    if len(indexes) == 1:
+        return _search_part(docs, indexes[0], docs.columns, text_col)
+    keyed = docs.withColumns({"_dc_id": F.col(id_col).cast("string"), "_dc_h": F.xxhash64(text_col)})
+    hits = None
+    for index in indexes:
+        one = _search_part(keyed.select("_dc_id", "_dc_h", text_col), index, ["_dc_id", "_dc_h"], text_col).where(F.size("_dc_items") > 0)
+        hits = one if hits is None else hits.unionByName(one)
+    hits = hits.select("_dc_id", "_dc_h", F.explode("_dc_items").alias("i")).groupBy("_dc_id", "_dc_h").agg(F.sort_array(F.collect_set("i")).alias("_dc_items")).toDF("_dc_i", "_dc_x", "_dc_items")
+    joined = keyed.join(hits, F.col("_dc_id").eqNullSafe(F.col("_dc_i")) & (F.col("_dc_h") == F.col("_dc_x")), "left")
+    return joined.select(*docs.columns, F.coalesce("_dc_items", F.array().cast("array<long>")).alias("_dc_items"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 100, edits: float = 0.05, least: int = 40, part_bytes: int = 4_000_000) -> DataFrame:
+    """id_col, contaminated and items (found benchmark items, sorted) of each row."""
+    found = _found(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, _parts(benchmark, item_col, item_text, window, edits, least, part_bytes))
+    return found.select(id_col, (F.size("_dc_items") > 0).alias("contaminated"), F.col("_dc_items").alias("items"))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 100, edits: float = 0.05, least: int = 40, part_bytes: int = 4_000_000) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark passage; all columns stay as they are."""
+    found = _found(docs, id_col, text_col, _parts(benchmark, item_col, item_text, window, edits, least, part_bytes))
+    return found.where(F.size("_dc_items") == 0).drop("_dc_items")
