@@ -9,7 +9,8 @@ Pages and listed keys meet by a canonical key: no scheme, user info, port, query
 ``listed_as`` is the key as it was listed. A key without a path lists a whole site; ``www.a.org/`` is the site ``a.org``.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule, is not listed
-and is allowed. Repeated pages are judged alike, each for itself. An empty list blocks nothing. Columns of the input that
+and is allowed. Repeated pages are judged alike, each for itself. Where several listed keys hit a page, ``listed_as`` is the first by name; where rules
+tie in length, the last by name. Very long urls are judged whole. An empty list blocks nothing. Columns of the input that
 clash with the result's are not carried.
 """
 
@@ -27,6 +28,8 @@ from memspark.llm._shared import lower_ascii
 WORDS, PROBES = 8, 6
 #: A filter of at most this many blocks (64 bytes each) is broadcast; a larger one is joined by block.
 BROADCAST_BLOCKS = 65_536
+#: Listed keys of at most so many bytes are broadcast for the exact test; more are joined by a shuffle, whose skewed parts are split at run time.
+BROADCAST_BYTES = 32_000_000
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _BARE = r"(?s)^([^/?#]*)([^?#]*)"
 
@@ -83,13 +86,13 @@ def listed_key(key: Column) -> Column:
     return canonical_key(F.regexp_extract(bare, _BARE, 1), F.regexp_extract(bare, _BARE, 2))
 
 
-def lookup_keys(host: Column, path: Column) -> Column:
-    """What a page is looked up as: its canonical key, and its host and the host's parents (two labels at least) as a whole site."""
+def site_keys(host: Column) -> Column:
+    """What a host is looked up as: itself and its parents (two labels at least) as a whole site."""
     bare = canonical_host(host)
     labels = F.split(bare, r"\.")
     n = F.size(labels)
     sites = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat(F.array_join(F.slice(labels, i, n), "."), F.lit("/")))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(canonical_key(host, path)), sites)))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(sites)
 
 
 def _block(key: Column, blocks: int) -> Column:
@@ -116,17 +119,25 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     judged = judged.withColumns({"rule": rule, "_says": says})
 
     keys = listed.select(listed_key(F.col(key_col)).alias("_key"), F.col(key_col).alias("_listed")).where("_key is not null").groupBy("_key").agg(F.min("_listed").alias("_listed"))
-    blocks = 1 << max(4, math.ceil(math.log2(max(1, keys.count()) * bits_per_key / (64 * WORDS))))
+    n, size = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("_key") + F.octet_length("_listed")), F.lit(0))).first()
+    blocks = 1 << max(4, math.ceil(math.log2(max(1, n) * bits_per_key / (64 * WORDS))))
+    exact = F.broadcast(keys) if size <= BROADCAST_BYTES else keys
     bloom = bloom_blocks(keys, "_key", blocks).toDF("_block", "_bits")
     bloom = F.broadcast(bloom) if blocks <= BROADCAST_BLOCKS else bloom
 
-    # One row for each distinct (host, path), so that a hot host is looked up once for each of its paths.
-    asked = judged.where("rule is null and host != ''").groupBy("host", "path").agg(F.lit(1).alias("_one"))
-    asked = asked.select("host", "path", F.explode(lookup_keys(F.col("host"), F.col("path"))).alias("_key"))
-    probe = asked.withColumns({"_block": _block(F.col("_key"), blocks), "_probes": _probes(F.col("_key"))})
     passes = F.expr("forall(_probes, p -> (shiftright(_bits[p div 64], p % 64) & 1L) = 1L)")
-    possible = probe.join(bloom, "_block").where(passes).select("host", "path", "_key")
-    sure = possible.join(keys.hint("shuffle_hash"), "_key").groupBy("host", "path").agg(F.min("_listed").alias("listed_as"))
-    out = judged.join(sure, ["host", "path"], "left").withColumn("listed_as", F.when(F.col("rule").isNull(), F.col("listed_as")))
+
+    def sure(asked: DataFrame, by: list[str], name: str) -> DataFrame:
+        """Of the distinct rows of ``by`` with ``_key`` those that are listed: the filter passes possible hits to the exact join."""
+        probe = asked.withColumns({"_block": _block(F.col("_key"), blocks), "_probes": _probes(F.col("_key"))})
+        possible = probe.join(bloom, "_block").where(passes).select(*by, "_key")
+        return possible.join(exact, "_key").groupBy(*by).agg(F.min("_listed").alias(name))
+
+    # Sites are looked up once for each distinct host, pages once for each distinct host and path.
+    open_ = judged.where("rule is null and host != ''")
+    hosts = open_.select("host").distinct().select("host", F.explode(site_keys(F.col("host"))).alias("_key"))
+    paths = open_.select("host", "path").distinct().withColumn("_key", canonical_key(F.col("host"), F.col("path"))).where("_key is not null")
+    out = judged.join(sure(hosts, ["host"], "_site"), "host", "left").join(sure(paths, ["host", "path"], "_page"), ["host", "path"], "left")
+    out = out.withColumn("listed_as", F.when(F.col("rule").isNull(), F.least("_site", "_page")))
     verdict = F.coalesce(F.col("_says"), F.when(F.col("listed_as").isNotNull(), "block").otherwise("allow"))
     return out.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "listed_as")
