@@ -33,4 +33,5 @@ MAX_CHUNK_CHARS, CHARS_PER_TOKEN = 800_000, 4
 MESSAGE_MIN, MESSAGE_MAX = 10, 5_000
 CONDENSED_CHARS = 30_000
 MAX_ADJUSTMENTS = 20
+MAX_ACTIVE, MAX_CONTENT = 10_000, 10_000
 RECALL_AT = (1, 3, 5, 10, 30, 50)

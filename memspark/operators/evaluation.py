@@ -1,34 +1,133 @@
-"""Retrieval evaluation: set-based keyword scores, recall and gain at several depths."""
+"""Retrieval evaluation: set-based keyword scores, recall and gain at several depths.
+
+Queries are a stated set: they are collected in blocks of a checked size, and each block passes once over all documents. A task keeps the best of
+each query, so no more than ``k`` rows a query and task are shuffled, however common a word is.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import constants as C
 from memspark.functions.text import word_tokens
 
+#: Distinct words and characters of the queries of one pass over the documents.
+BLOCK_WORDS, BLOCK_CHARS = 20_000, 4_000_000
+#: Rows of a matrix of documents and words.
+_ROWS = 64
+
+
+def _blocks(rows: list, size, most: int) -> Iterator[list]:
+    block, held = [], 0
+    for row in rows:
+        if block and held + size(row) > most:
+            yield block
+            block, held = [], 0
+        block.append(row)
+        held += size(row)
+    if block:
+        yield block
+
+
+class Best:
+    """The k best (score, id) of each query so far, of scores beyond ``over``: ties by the smaller id."""
+
+    def __init__(self, queries: int, k: int, over: float = -np.inf):
+        self.k, self.over, self.least, self.held = k, over, np.full(queries, -np.inf), []
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        row, query = np.nonzero((scores >= self.least) & (scores > self.over))
+        self.held.append((query, scores[row, query], ids[row]))
+        if sum(len(x[0]) for x in self.held) > 200_000:
+            self.cut()
 
-def keyword_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """query_id, doc_id, score of every pair that shares a word: an inverted join on words, not a product.
+    def cut(self) -> tuple[np.ndarray, ...]:
+        query, score, ids = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        order = np.lexsort((ids, -score, query))
+        query, score, ids = query[order], score[order], ids[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = place == self.k - 1
+        self.least[query[last]] = score[last]
+        keep = place < self.k
+        self.held = [(query[keep], score[keep], ids[keep])]
+        return self.held[0]
 
-    Each distinct word of the query counts once, without inverse frequencies; scores are shares of the query's largest.
+
+def keyword_top(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, rank, score: the k best documents of each query by keywords.
+
+    Each distinct word of the query counts once, without inverse frequencies; scores are shares of the query's largest. Documents of a null
+    text have no words; ranks go by the score rounded to nine places, then by doc_id.
     """
-    words = queries.select("query_id", F.explode(F.array_distinct(word_tokens(F.col("query")))).alias("w"))
-    tok = docs.select("doc_id", word_tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
-    mean = tok.agg(F.avg("dl").alias("avgdl"))
-    tf = tok.select("doc_id", "dl", F.explode("t").alias("w")).join(F.broadcast(words.select("w").distinct()), "w", "left_semi").groupBy("doc_id", "w", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    hits = tf.join(words, "w").join(F.broadcast(mean))
-    part = F.col("tf") * (C.BM25_K1 + 1) / (F.col("tf") + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("dl") / F.col("avgdl")))
-    raw = hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("raw"))
-    top = raw.groupBy("query_id").agg(F.max("raw").alias("top"))
-    return raw.join(F.broadcast(top), "query_id").select("query_id", "doc_id", (F.col("raw") / F.col("top")).alias("score"))
+    tok = docs.select("doc_id", word_tokens(F.col("text")).alias("t"))
+    mean = tok.agg(F.avg(F.size("t"))).first()[0] or 1.0
+    asked = queries.select("query_id", F.array_distinct(word_tokens(F.col("query"))).alias("w")).where("size(w) > 0").orderBy("query_id").collect()
+    found = None
+    for block in _blocks(asked, lambda r: len(r["w"]), BLOCK_WORDS):
+        words = {w: i for i, w in enumerate(dict.fromkeys(w for r in block for w in r["w"]))}
+        wanted = np.zeros((len(words), len(block)), np.float64)
+        for j, r in enumerate(block):
+            wanted[[words[w] for w in r["w"]], j] = 1.0
+        sent, ids_of = docs.sparkSession.sparkContext.broadcast((words, wanted)), [r["query_id"] for r in block]
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, ids_of=ids_of) -> Iterator[pa.RecordBatch]:
+            words, wanted = sent.value
+            best = Best(wanted.shape[1], k, 0.0)
+            for whole in batches:
+                for at in range(0, whole.num_rows, _ROWS):
+                    batch = whole.slice(at, _ROWS)
+                    tf = np.zeros((batch.num_rows, len(words)))
+                    length = np.zeros(batch.num_rows)
+                    for i, tokens in enumerate(batch.column("t").to_pylist()):
+                        length[i] = len(tokens or ())
+                        spots = [words[w] for w in tokens or () if w in words]
+                        tf[i] = np.bincount(spots, minlength=len(words)) if spots else 0
+                    part = tf * (C.BM25_K1 + 1) / (tf + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * length[:, None] / mean))
+                    best.add(batch.column("doc_id").to_numpy(), np.round(part @ wanted, 9))
+            query, score, ids = best.cut()
+            yield pa.RecordBatch.from_arrays([pa.array([ids_of[q] for q in query.tolist()], pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.float64())], ["query_id", "doc_id", "raw"])
+
+        one = tok.mapInArrow(run, "query_id long, doc_id long, raw double")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "query_id long, doc_id long, rank int, score double")
+    w = Window.partitionBy("query_id")
+    ranked = found.withColumns({"rank": F.row_number().over(w.orderBy(F.desc("raw"), "doc_id")), "score": F.col("raw") / F.max("raw").over(w)})
+    return ranked.where(F.col("rank") <= k).select("query_id", "doc_id", "rank", "score")
+
+
+def holding(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, doc_id of every document whose text holds the whole query: one pass of an automaton of all queries of a block."""
+    asked, found = queries.where("query != ''").orderBy("query_id").collect(), None
+    for block in _blocks(asked, lambda r: len(r["query"]), BLOCK_CHARS):
+        texts: dict[str, list[int]] = {}
+        for r in block:
+            texts.setdefault(r["query"], []).append(r["query_id"])
+        sent = docs.sparkSession.sparkContext.broadcast(texts)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for text, ids in sent.value.items():
+                automaton.add_word(text, ids)
+            automaton.make_automaton()
+            for batch in batches:
+                pairs = [(q, i) for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for q in {q for _, ids in automaton.iter(text or "") for q in ids}]
+                yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in pairs], pa.int64()) for j in (0, 1)], ["query_id", "doc_id"])
+
+        one = docs.select("doc_id", "text").mapInArrow(run, "query_id long, doc_id long")
+        found = one if found is None else found.unionByName(one)
+    return found if found is not None else docs.sparkSession.createDataFrame([], "query_id long, doc_id long")
 
 
 def evaluate(scores: DataFrame, truth: DataFrame, at: tuple[int, ...] = C.RECALL_AT) -> DataFrame:
-    """k, recall_any, ndcg_retrieved: means over the queries of ``truth`` (query_id, doc_id); the ideal gain is that of the retrieved list."""
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    top = scores.withColumn("rank", rank).where(F.col("rank") <= max(at)).join(truth.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
+    """k, recall_any, ndcg_retrieved of ranked ``scores``: means over the queries of ``truth`` (query_id, doc_id); the ideal gain is that of the retrieved list."""
+    top = scores.where(F.col("rank") <= max(at)).join(truth.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
     gain = lambda k: F.sum(F.when((F.col("rank") <= k) & F.col("hit").isNotNull(), 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0))
     hits = top.groupBy("query_id").agg(*[x for k in at for x in (F.count_if((F.col("rank") <= k) & F.col("hit").isNotNull()).alias(f"h{k}"), gain(k).alias(f"g{k}"))])
     asked = truth.select("query_id").distinct().join(hits, "query_id", "left")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import constants as C
+from memspark.functions import scoring as S
 
 
 def normalised_deals(raw: DataFrame, key: str = "deal_id", pos: str = "pos") -> DataFrame:
@@ -17,6 +19,11 @@ def normalised_deals(raw: DataFrame, key: str = "deal_id", pos: str = "pos") ->
     return clean.withColumn("_r", last).where("_r = 1").drop("_r")
 
 
+def normalised_leads(raw: DataFrame, key: str = "lead_id", pos: str = "pos") -> DataFrame:
+    """As deals, without a paid date."""
+    return normalised_deals(raw.withColumn("paid_date", F.lit("")), key, pos).drop("paid_date")
+
+
 def stage_events(before: DataFrame, after: DataFrame, transitions: Sequence[tuple[str, str, str, float]] = tuple(C.DEAL_TRANSITIONS), key: str = "deal_id") -> DataFrame:
     """Events of rows in both snapshots whose stage changed along a known transition; an exact one beats a wildcard."""
     event, reward = F.lit(None).cast("string"), F.lit(None).cast("double")
@@ -28,6 +35,79 @@ def stage_events(before: DataFrame, after: DataFrame, transitions: Sequence[tupl
     return out.where("event_name is not null and coalesce(entity_id, '') != ''")
 
 
+def crm_outcomes(deals: tuple[DataFrame, DataFrame], leads: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """kind, id, entity_id, old_stage, stage, event_name, reward of all changes between two snapshots (before, after) of deals and of leads.
+
+    An entity is a deal's client or a lead's company. Rows that are new or gone say nothing, so a first run (an empty snapshot before) has no events.
+    """
+    of = lambda rows, kind, key: rows.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), "entity_id", "old_stage", "stage", "event_name", "reward")
+    led = stage_events(leads[0], leads[1].withColumnRenamed("company_id", "client_id"), tuple(C.LEAD_TRANSITIONS), "lead_id")
+    return of(stage_events(*deals), "deal", "deal_id").unionByName(of(led, "lead", "lead_id"))
+
+
+class OutcomeResolver(ABC):
+    """A source of outcomes: events of (entity_id, event_name, reward, details map<string,string>, pos)."""
+
+    name: str
+
+    @abstractmethod
+    def detect(self, spark: SparkSession) -> DataFrame: ...
+
+
+def detected(spark: SparkSession, resolvers: Sequence[OutcomeResolver]) -> tuple[DataFrame, dict[str, dict]]:
+    """The events of all resolvers with ``resolver`` and ``seq`` (resolvers in turn, each in order of ``pos``), and each one's count or error. One that fails leaves the others be."""
+    schema = "resolver string, turn int, pos long, entity_id string, event_name string, reward double, details map<string,string>"
+    events, said = spark.createDataFrame([], schema), {}
+    for turn, resolver in enumerate(resolvers):
+        try:
+            found = resolver.detect(spark)
+            rows = found.select(F.lit(resolver.name).alias("resolver"), F.lit(turn).alias("turn"), F.col("pos").cast("long").alias("pos"), "entity_id", "event_name", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("reward"))).alias("reward"), "details")
+            said[resolver.name] = {"events": rows.count()}
+        except Exception as error:  # noqa: BLE001 - whatever one resolver raises is its own
+            said[resolver.name] = {"error": str(error)}
+            continue
+        events = events.unionByName(rows)
+    return events.withColumn("seq", F.struct("turn", "pos")), said
+
+
+def business_context(event: DataFrame) -> Column:
+    """``Biz +0.80: deal_closed for cli-1 {k=v, ...}`` with three details at most."""
+    shown = F.array_join(F.transform(F.slice(F.map_entries("details"), 1, 3), lambda e: F.concat_ws("=", e["key"], e["value"])), ", ")
+    sign = F.when(F.col("reward") >= 0, "+").otherwise("")
+    base = F.concat(F.lit("Biz "), sign, F.format_string("%.2f", "reward"), F.lit(": "), "event_name", F.lit(" for "), "entity_id")
+    return F.when(F.size("details") > 0, F.concat(base, F.lit(" {"), shown, F.lit("}"))).otherwise(base)
+
+
+def resolved_by_events(events: DataFrame, pending: DataFrame) -> DataFrame:
+    """id, event_name, reward of each pending prediction whose client has an event: the client's first event resolves it."""
+    first = events.groupBy(F.col("entity_id").alias("client_id")).agg(F.min_by(F.struct("event_name", "reward"), "seq").alias("e"))
+    return pending.join(first, "client_id").select("id", "client_id", "e.event_name", "e.reward")
+
+
+def rewarded_state(events: DataFrame, memory: DataFrame, state: DataFrame) -> DataFrame:
+    """memory_id, events, and the usefulness layers and value after each memory has taken its client's events in order.
+
+    A client's events are one array (an event run is small against the memories), so an event is not repeated for every memory of a large client.
+    """
+    of = events.groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("seq", "reward"))).alias("_events"))
+    rows = memory.select(F.col("id").alias("memory_id"), F.col("client_id").alias("entity_id")).join(of, "entity_id").join(state, "memory_id", "left")
+
+    def folded(layer: str) -> Column:
+        return F.aggregate("_events", F.coalesce(F.col(f"q_{layer}"), F.lit(C.Q_INIT)), lambda q, e: S.clamp(q + C.Q_ALPHA * S.layer_rewards(e["reward"])[layer], C.Q_FLOOR, C.Q_CEILING))
+
+    layers = {f"q_{layer}": folded(layer) for layer in C.Q_LAYERS}
+    rows = rows.withColumns(layers)
+    return rows.select("memory_id", "entity_id", F.size("_events").cast("long").alias("events"), *layers, S.combined_q(*[F.col(c) for c in layers]).alias("q_value"))
+
+
+def resolution(events: DataFrame, pending: DataFrame, memory: DataFrame) -> DataFrame:
+    """One row: total_events, memories_rewarded (a memory counts for each event), predictions_resolved."""
+    counts = events.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    rewarded = memory.groupBy(F.col("client_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("m")).join(counts, "entity_id").agg(F.coalesce(F.sum(F.col("m") * F.col("n")), F.lit(0)).alias("memories_rewarded"))
+    total = events.agg(F.count(F.lit(1)).alias("total_events"))
+    return total.crossJoin(rewarded).crossJoin(resolved_by_events(events, pending).agg(F.count(F.lit(1)).alias("predictions_resolved")))
+
+
 def core_id(identifier: Column) -> Column:
     return F.regexp_replace(identifier, "^(cli|comp|lead|deal)-", "")
 

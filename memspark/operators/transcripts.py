@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,21 +55,111 @@ def split_session(messages: DataFrame, most: int, session: str = "session_id", o
     return rows.select(session, F.explode(safe).alias("p")).select(session, "p.part", "p.messages", "p.chars")
 
 
-def pack_sessions(sessions: DataFrame, most: int = C.MAX_CHUNK_CHARS, session: str = "session_id", chars: str = "chars", order: str = "first") -> DataFrame:
-    """session, chunk_id: next-fit packing in order; a session over the size stands alone. The fold runs over one pair of numbers a session.
+def _packed(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of next-fit over ``sizes``: for a chunk that starts at each place, the chunks from there to the end, what the last of them holds, and where the next starts."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    n = len(sizes)
+    after = np.maximum(np.searchsorted(total, total[:-1] + most, "right") - 1, np.arange(n) + 1)
+    chunks, last = np.ones(n, np.int64), np.empty(n, np.int64)
+    for i in range(n - 1, -1, -1):
+        j = after[i]
+        chunks[i], last[i] = (1 + chunks[j], last[j]) if j < n else (1, total[n] - total[i])
+    return chunks, last, after
 
-    It is sequential over all sessions, as next-fit is; only (session, size) pairs meet in one task.
-    """
-    one = sessions.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(session).alias("s"), F.col(chars).cast("long").alias("n")))).alias("all"))
-    zero = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("used"), F.expr("cast(array() as array<int>)").alias("ids"))
 
-    def add(a: Column, x: Column) -> Column:
-        fresh = (a["chunk"] == 0) | (a["used"] + x["n"] > most)
-        chunk = F.when(fresh, a["chunk"] + 1).otherwise(a["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(fresh, x["n"]).otherwise(a["used"] + x["n"]).alias("used"), F.concat(a["ids"], F.array(chunk)).alias("ids"))
+def pack_sessions(sessions: DataFrame, most: int = C.MAX_CHUNK_CHARS, session: str = "session_id", chars: str = "chars", order: str = "first", ranges: int = 64) -> DataFrame:
+    """session, chunk_id, chars: next-fit packing in order; a session over the size stands alone, and closes the chunk before it.
 
-    packed = one.select("all", F.aggregate("all", zero, add, lambda a: a["ids"]).alias("ids"))
-    return packed.select(F.explode(F.arrays_zip("all", "ids")).alias("x")).select(F.col("x.all.s").alias(session), F.col("x.ids").alias("chunk_id"), F.col("x.all.n").alias(chars))
+    ``order`` is a number or a time. Sessions are cut into ranges of it. What a range does depends only on how full the chunk before it is, and so on which of its
+    first sessions starts a chunk; each range says that for the few sessions that can. The driver follows the ranges, and each is then packed from its own start.
+    """
+    number = F.col(order).cast("timestamp").cast("double") if dict(sessions.dtypes)[order].startswith("timestamp") else F.col(order).cast("double")
+    rows = sessions.select(F.col(session).alias("_s"), F.col(chars).cast("long").alias("_n"), F.coalesce(number, F.lit(float("-inf"))).alias("_o"))
+    bounds = sorted(set(rows.agg(F.percentile_approx("_o", [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []))
+    place = F.lit(0)
+    for b in bounds:
+        place = place + (F.col("_o") > b).cast("int")
+    rows = rows.withColumn("_range", place)
+
+    def sizes(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.sort_values(["_o", "_s"], ignore_index=True)
+
+    def ways(frame: pd.DataFrame) -> pd.DataFrame:
+        n = sizes(frame)["_n"].to_numpy()
+        chunks, last, _ = _packed(n, most)
+        before = np.concatenate([[0], np.cumsum(n)])
+        can = np.flatnonzero(before[:-1] <= most)  # the places at which the first chunk of the range may start
+        kept = pd.DataFrame({"_range": frame["_range"].iloc[0], "at": can, "before": before[can], "chunks": chunks[can], "last": last[can]})
+        return pd.concat([kept, pd.DataFrame({"_range": [frame["_range"].iloc[0]], "at": [-1], "before": [before[-1]], "chunks": [0], "last": [0]})])
+
+    told = rows.groupBy("_range").applyInPandas(ways, "_range int, at long, before long, chunks long, last long").orderBy("_range", "at").toPandas()
+    used, done, starts = most + 1, 0, {}
+    for k, way in told.groupby("_range", sort=True):
+        whole, way = int(way["before"].iloc[0]), way.iloc[1:]
+        starts[int(k)] = (used, done)
+        if used + whole <= most:
+            used += whole
+            continue
+        first = way.iloc[int(np.searchsorted(way["before"].to_numpy(), most - used, "right")) - 1 if used <= most else 0]
+        done, used = done + int(first["chunks"]), int(first["last"])
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = sizes(frame)
+        used, done = starts[int(frame["_range"].iloc[0])]
+        n = frame["_n"].to_numpy()
+        _, _, after = _packed(n, most)
+        before = np.concatenate([[0], np.cumsum(n)])
+        at = int(np.searchsorted(before, most - used, "right")) - 1 if used <= most else 0
+        begins = np.zeros(len(n), np.int64)
+        while at < len(n):
+            begins[at] = 1
+            at = int(after[at])
+        return pd.DataFrame({"_s": frame["_s"], "chunk_id": done + np.cumsum(begins), "_n": n})
+
+    kind = dict(sessions.dtypes)[session]
+    out = rows.groupBy("_range").applyInPandas(pack, f"_s {kind}, chunk_id long, _n long")
+    return out.select(F.col("_s").alias(session), F.col("chunk_id").cast("int").alias("chunk_id"), F.col("_n").alias(chars))
+
+
+def ingest(messages: DataFrame, known: DataFrame, experience: str = "default", force: bool = False, session: str = "session_id") -> DataFrame:
+    """Messages as memories: of sessions that are not known yet (or of all), the user's own counting a little more."""
+    new = messages if force else messages.join(known.select(session).distinct(), session, "left_anti")
+    return new.withColumns({"memory_type": F.lit("conversation"), "source": F.lit("transcript"), "status": F.lit("active"), "importance": F.when(F.col("role") == "user", 0.5).otherwise(0.4), "experience": F.lit(experience)})
+
+
+def ingest_counts(messages: DataFrame) -> DataFrame:
+    """One row: what an ingestion would store, by role."""
+    return messages.agg(F.count(F.lit(1)).alias("parsed"), F.count_if(F.col("role") == "user").alias("user_messages"), F.count_if(F.col("role") == "assistant").alias("assistant_messages"))
+
+
+def chunk_transcripts(messages: DataFrame, most: int = C.MAX_CHUNK_CHARS, session: str = "session_id", order: str = "pos", text: str = "text", first: str = "first") -> DataFrame:
+    """session, part, chunk_id, messages, chars: sessions in order of ``first`` (a number or a time of each session), packed; one over the size is split, and each part is a chunk of its own.
+
+    ``messages`` has the session's ``first`` on every row.
+    """
+    sizes = messages.groupBy(session).agg(F.sum(F.length(text)).alias("chars"), F.count(F.lit(1)).alias("messages"), F.min(first).alias("first"))
+    parts = split_session(messages.join(sizes.where(F.col("chars") > most).select(session), session, "left_semi"), most, session, order, text)
+    units = sizes.where(F.col("chars") <= most).select(session, F.lit(0).alias("part"), F.col("messages").cast("long").alias("messages"), F.col("chars").cast("long").alias("chars"), "first")
+    # A part counts as a full chunk, so it closes the one before and nothing is put to it.
+    alone = parts.join(sizes.select(session, "first"), session).select(session, "part", F.col("messages").cast("long").alias("messages"), F.col("chars").cast("long").alias("chars"), "first")
+    every = units.withColumn("size", F.col("chars")).unionByName(alone.withColumn("size", F.lit(most + 1).cast("long")))
+    every = every.withColumn("unit", F.concat(F.col(session).cast("string"), F.lit("#"), F.lpad(F.col("part").cast("string"), 8, "0")))
+    packed = pack_sessions(every, most, "unit", "size", "first")
+    return packed.select("unit", "chunk_id").join(every, "unit").select(session, "part", "chunk_id", "messages", "chars")
+
+
+def manifest(chunks: DataFrame, session: str = "session_id") -> DataFrame:
+    """chunk_id, sessions, messages, chars, tokens of each chunk."""
+    out = chunks.groupBy("chunk_id").agg(F.count_distinct(session).alias("sessions"), F.sum("messages").alias("messages"), F.sum("chars").alias("chars"))
+    return out.withColumn("tokens", F.floor(F.col("chars") / C.CHARS_PER_TOKEN).cast("long"))
+
+
+def within_budgets(messages: DataFrame, per_session: int, whole: int, session: str = "session_id", order: str = "pos", text: str = "text", first: str = "first", group: str = "thread") -> DataFrame:
+    """Each session's messages up to the first that would exceed ``per_session`` characters, and of these, sessions in order, a group's up to ``whole``."""
+    own = Window.partitionBy(group, session).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    kept = messages.withColumn("_own", F.sum(F.length(text)).over(own)).where(F.col("_own") <= per_session)
+    all_ = Window.partitionBy(group).orderBy(first, session, order).rowsBetween(Window.unboundedPreceding, 0)
+    return kept.withColumn("_all", F.sum(F.length(text)).over(all_)).where(F.col("_all") <= whole).drop("_own", "_all")
 
 
 def head_tail(messages: DataFrame, whole: int = 20, least: int = 5, session: str = "session_id", order: str = "pos") -> DataFrame:

@@ -1,7 +1,7 @@
 """Usefulness values: ordered clamped folds of a reward log, delta merges, eviction and statistics.
 
-The fold is not associative (it clamps at each step), so the events of a key are folded in order; keys are independent.
-A key's history is bounded by folding from a snapshot: pass the last state as ``start``.
+A reward moves a value and clamps it, so the order of a key's events counts. Such moves compose (a shift between two bounds),
+so stretches of a key's time are folded apart and then put together. To fold only what is new, pass the last state as ``start``.
 """
 
 from __future__ import annotations
@@ -13,34 +13,48 @@ from memspark.functions import constants as C
 from memspark.functions import scoring as S
 
 
-def _step(value: Column, reward: Column) -> Column:
-    return F.greatest(F.lit(C.Q_FLOOR), F.least(F.lit(C.Q_CEILING), value + C.Q_ALPHA * reward))
+def _then(f: Column, reward: Column) -> Column:
+    """``f`` (shift, low, high: x goes to x + shift, held between low and high) and then one more reward. Such functions are closed under this, so parts of a log compose."""
+    move = lambda x: F.greatest(F.lit(C.Q_FLOOR), F.least(F.lit(C.Q_CEILING), x + C.Q_ALPHA * reward))
+    return F.struct((f["shift"] + C.Q_ALPHA * reward).alias("shift"), move(f["low"]).alias("low"), move(f["high"]).alias("high"))
 
 
-def _folded(layer: str, first: Column) -> Column:
-    return F.aggregate("_used", first, lambda q, e: _step(q, S.layer_rewards(e["reward"])[layer]))
+def _through(x: Column, f: Column) -> Column:
+    return F.greatest(f["low"], F.least(f["high"], x + f["shift"]))
 
 
-def fold(events: DataFrame, key: str = "memory_id", protected: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
+def _folded(none: Column, layer: str) -> Column:
+    return F.aggregate("_used", none, lambda f, e: _then(f, S.layer_rewards(e["reward"])[layer]))
+
+
+def _along(first: Column, layer: str) -> Column:
+    return F.aggregate("_parts", first, lambda q, p: _through(q, p[layer]))
+
+
+def fold(events: DataFrame, key: str = "memory_id", protected: DataFrame | None = None, start: DataFrame | None = None, step: str = "month") -> DataFrame:
     """key, q_action, q_hypothesis, q_fit, q_value, q_visits and the last contexts after all events (ts, seq, reward, context).
 
-    A protected key takes no negative reward but counts the visit; so does an event without a reward.
+    A protected key takes no negative reward but counts the visit; so does an event without a reward. Events are folded by key and ``step`` of
+    time to three numbers a layer, and these along the key's time, so the log of a hot key is never one array.
     """
-    log = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ts", "seq", "reward", "context"))).alias("_log"))
+    events = events.withColumns({"_t": F.date_trunc(step, "ts"), "_guard": F.lit(False)})
     if protected is not None:
-        log = log.join(protected.select(key, F.lit(True).alias("_protected")).distinct(), key, "left")
-    else:
-        log = log.withColumn("_protected", F.lit(False))
-    used = F.filter("_log", lambda e: e["reward"].isNotNull() & ~(F.coalesce(F.col("_protected"), F.lit(False)) & (e["reward"] < 0)))
-    log = log.withColumn("_used", used)
-    for layer in ("action", "hypothesis", "fit"):
-        first = F.lit(C.Q_INIT)
-        if start is not None:
-            log = log.join(start.select(key, F.col(f"q_{layer}").alias("_start")), key, "left")
-            first = F.coalesce("_start", F.lit(C.Q_INIT))
-        log = log.withColumn(f"q_{layer}", _folded(layer, first)).drop("_start")
-    kept = F.transform("_log", lambda e: F.substring(e["context"], 1, C.CONTEXT_CHARS))
-    return log.select(key, "q_action", "q_hypothesis", "q_fit", S.combined_q(F.col("q_action"), F.col("q_hypothesis"), F.col("q_fit")).alias("q_value"), F.size("_log").alias("q_visits"), F.slice(kept, F.greatest(F.lit(1), F.size("_log") - (C.CONTEXTS_KEPT - 1)), C.CONTEXTS_KEPT).alias("reward_contexts"))
+        held = protected.select(key, F.lit(True).alias("_held")).distinct()
+        events = events.join(held, key, "left").withColumn("_guard", F.coalesce("_held", F.lit(False))).drop("_held")
+    log = F.sort_array(F.collect_list(F.struct("ts", "seq", F.when(~(F.col("_guard") & (F.col("reward") < 0)), F.col("reward")).alias("reward"), F.substring("context", 1, C.CONTEXT_CHARS).alias("context"))))
+    parts = events.groupBy(key, "_t").agg(log.alias("_log")).withColumn("_used", F.filter("_log", lambda e: e["reward"].isNotNull()))
+    none = F.struct(F.lit(0.0).alias("shift"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"))
+    layers = [_folded(none, x).alias(x) for x in C.Q_LAYERS]
+    parts = parts.select(key, F.struct("_t", F.size("_log").alias("n"), F.transform(F.slice("_log", F.greatest(F.lit(1), F.size("_log") - (C.CONTEXTS_KEPT - 1)), C.CONTEXTS_KEPT), lambda e: e["context"]).alias("contexts"), *layers).alias("_p"))
+    out = parts.groupBy(key).agg(F.sort_array(F.collect_list("_p")).alias("_parts"))
+    if start is not None:
+        out = out.join(start.select(key, *[F.col(f"q_{x}").alias(f"_{x}") for x in C.Q_LAYERS]), key, "left")
+    for x in C.Q_LAYERS:
+        first = F.coalesce(F.col(f"_{x}"), F.lit(C.Q_INIT)) if start is not None else F.lit(C.Q_INIT)
+        out = out.withColumn(f"q_{x}", _along(first, x))
+    contexts = F.flatten(F.transform("_parts", lambda p: p["contexts"]))
+    visits = F.aggregate("_parts", F.lit(0), lambda n, p: n + p["n"])
+    return out.withColumn("_c", contexts).select(key, *[f"q_{x}" for x in C.Q_LAYERS], S.combined_q(*[F.col(f"q_{x}") for x in C.Q_LAYERS]).alias("q_value"), visits.alias("q_visits"), F.slice("_c", F.greatest(F.lit(1), F.size("_c") - (C.CONTEXTS_KEPT - 1)), C.CONTEXTS_KEPT).alias("reward_contexts"))
 
 
 def set_value(state: DataFrame, overrides: DataFrame, key: str = "memory_id") -> DataFrame:
@@ -74,6 +88,63 @@ def stats(state: DataFrame, group: str = "experience") -> DataFrame:
     return state.groupBy(group).agg(F.count(F.lit(1)).alias("count"), F.avg("q_value").alias("mean"), F.min("q_value").alias("min"), F.max("q_value").alias("max"))
 
 
+def update_layer(state: DataFrame, rewards: DataFrame, layer: str, key: str = "memory_id") -> DataFrame:
+    """``state`` after one reward to one layer of each key of ``rewards`` (key, reward), the visit counted; keys without one stay."""
+    rows = state.join(rewards.select(key, F.col("reward").alias("_r")), key, "left")
+    hit = F.col("_r").isNotNull()
+    rows = rows.withColumns({f"q_{layer}": F.when(hit, S.clamp(F.col(f"q_{layer}") + C.Q_ALPHA * F.col("_r"), C.Q_FLOOR, C.Q_CEILING)).otherwise(F.col(f"q_{layer}")), "q_visits": F.col("q_visits") + hit.cast("int")})
+    return rows.withColumn("q_value", S.combined_q(*[F.col(f"q_{x}") for x in C.Q_LAYERS])).drop("_r")
+
+
+def with_defaults(keys: DataFrame, state: DataFrame, key: str = "memory_id") -> DataFrame:
+    """A state for every key: zeros and no visits where there is none."""
+    return keys.select(key).distinct().join(state, key, "left").fillna({**{f"q_{x}": C.Q_INIT for x in C.Q_LAYERS}, "q_value": C.Q_INIT, "q_visits": 0})
+
+
+def load_and_merge(main: DataFrame, deltas: DataFrame, most: int = 100_000, touched: str = "q_updated_at") -> DataFrame:
+    """The state at start: deltas merged in, and of the ids the ``most`` last touched."""
+    merged = merge_deltas(main, deltas)
+    kept = evict(merged.groupBy("memory_id").agg(F.max(touched).alias("_touched")), most, "_touched")
+    return merged.join(kept.select("memory_id"), "memory_id", "left_semi")
+
+
+def experiences(state: DataFrame) -> DataFrame:
+    """memory_id, experiences: the contexts that each memory has values in, sorted."""
+    return state.groupBy("memory_id").agg(F.sort_array(F.collect_set("experience")).alias("experiences"))
+
+
+def reward_history(events: DataFrame, ids: DataFrame, key: str = "memory_id") -> DataFrame:
+    """Every reward event that touched one of ``ids``, a row for each id: events are exploded and joined."""
+    return events.withColumn(key, F.explode("memory_ids")).join(ids.select(key).distinct(), key, "left_semi")
+
+
+def reward_detail(events: DataFrame, ids: DataFrame, order: str = "pos") -> DataFrame:
+    """Of each reward id its first event in the log."""
+    first = F.row_number().over(Window.partitionBy("reward_id").orderBy(order))
+    return events.join(ids.select("reward_id").distinct(), "reward_id", "left_semi").withColumn("_r", first).where("_r = 1").drop("_r")
+
+
+def adjusted(state: DataFrame, changes: DataFrame, key: str = "memory_id") -> DataFrame:
+    """``state`` after the first ``adjustments``, in order: rewards move all layers, an override moves them by what is missing to its target.
+
+    At most MAX_ADJUSTMENTS rows change, each folded by its key's few changes.
+    """
+    of = changes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "reward", "target"))).alias("_changes"))
+    rows = state.join(F.broadcast(of), key, "left")
+    layers = list(C.Q_LAYERS)
+    begin = F.struct(*[F.col(f"q_{x}").alias(x) for x in layers])
+
+    def change(q: Column, e: Column) -> Column:
+        rewards = S.layer_rewards(e["reward"])
+        delta = S.clamp(e["target"], C.Q_FLOOR, C.Q_CEILING) - S.combined_q(*[q[x] for x in layers])
+        shift = F.when(F.abs(delta) >= 1e-6, delta).otherwise(0.0)
+        return F.struct(*[S.clamp(q[x] + F.when(e["target"].isNotNull(), shift).otherwise(C.Q_ALPHA * rewards[x]), C.Q_FLOOR, C.Q_CEILING).alias(x) for x in layers])
+
+    rows = rows.withColumn("_q", F.coalesce(F.aggregate("_changes", begin, change), begin))
+    rows = rows.withColumns({**{f"q_{x}": F.col(f"_q.{x}") for x in layers}, "q_visits": F.col("q_visits") + F.when(F.col("_changes").isNotNull(), F.size("_changes")).otherwise(0)})
+    return rows.withColumn("q_value", S.combined_q(*[F.col(f"q_{x}") for x in layers])).drop("_q", "_changes")
+
+
 def adjustments(state: DataFrame, wanted: DataFrame, key: str = "memory_id") -> DataFrame:
     """The first adjustments by position (before unknown ids are dropped), as rewards: promote +|r|, demote -|r|, adjust r; override sets a target."""
     first = wanted.where(F.col("pos") < C.MAX_ADJUSTMENTS).join(state.select(key).distinct(), key, "left_semi")

@@ -61,3 +61,39 @@ def predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     out = o.join(first, F.col("o_orderkey") == F.col("id")).where("id % 3 != 0")
     out = out.select(F.col("id").alias("prediction_id"), F.col("shipped").cast("timestamp").alias("ts"), F.datediff("shipped", "o_orderdate").alias("days_to_resolve"), F.expr("if(id % 5 = 0, null, (id % 21 - 10) / 10.0D)").alias("reward"))
     return p, out
+
+
+def leads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two snapshots of leads, by the customer's key."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("lead_id"), F.concat(F.lit("cli-"), (F.col("c_custkey") % 37).cast("string")).alias("company_id"))
+    before = _pick(("new", "qualified", "proposal", "negotiation", ""), F.col("lead_id") % 5)
+    after = _pick(("qualified", "proposal", "negotiation", "won", "lost", "dead", "closed"), F.col("lead_id") % 7)
+    return c.where("lead_id % 11 != 0").withColumn("stage", before), c.where("lead_id % 13 != 0").withColumn("stage", after)
+
+
+def usefulness_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values as they stand in the store: contexts, missing layers, dates and calibrations by the customer's key."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey memory_id", "if(c_custkey % 4 = 0, 'sales', 'default') experience", "(c_custkey % 151 - 50) / 100.0D q_value", "(c_custkey % 131 - 40) / 100.0D q_action",
+        "if(c_custkey % 3 = 0, null, (c_custkey % 7) / 10.0D) q_hypothesis", "if(c_custkey % 5 = 0, null, (c_custkey % 9) / 10.0D) q_fit", "cast(c_custkey % 12 as int) q_visits",
+        "element_at(array('', null, 'high', 'low'), cast(c_custkey % 4 + 1 as int)) calibration", "if(c_custkey % 17 = 0, null, date_format(date_add(date '2024-01-01', cast(c_custkey % 60 as int)), 'yyyy-MM-dd')) q_updated_at",
+        "(c_custkey % 21 - 10) / 10.0D last_reward",
+    )
+
+
+def retrievals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recalls of a session: the views of a user."""
+    return table(spark, sf_dir, "events").where("event_type = 'view'").selectExpr(
+        "event_id id", "user_id session_id", "cast(ts as timestamp) ts", "concat('Ran: x\n', if(event_id % 3 = 0, 'ab', concat(' look at item ', event_id)), '\n/tmp/y') query",
+        "transform(array(3, 5, 7, 11, 13, 17, 19), k -> event_id % (k * 10)) memory_ids", "array((event_id % 100) / 99.0D, (event_id % 7) / 7.0D) scores",
+    )
+
+
+SUMMARIES = ("Ran: gmail inbox", "Ran: read_email from: a", "Ran: read_email in:sent", "Ran: send_email x", "Ran: grep TODO", "Ran: git commit -m x", "add_memory note", "updated leads.csv", "plain work", "Edited /home/me/x.py")
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a session did: the other events of a user."""
+    return table(spark, sf_dir, "events").where("event_type != 'view'").select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), _pick(("Bash", "Edit", "Write"), F.col("event_id") % 3).alias("tool"), _pick(SUMMARIES, F.col("event_id") % 10).alias("summary"),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memspark.functions import constants as C
 from memspark.functions import scoring as S
 from memspark.functions import text as T
-from memspark.operators import analytics, compaction, evaluation, lifecycle, outcomes, search, transcripts, usefulness
+from memspark.operators import analytics, compaction, evaluation, lifecycle, outcomes, profiles, search, transcripts, usefulness
 from memspark.plans import views as V
 
 QUERY = ["the", "thing", "of", "reer", "tion", "the"]
@@ -75,7 +75,10 @@ _BM25 = f"""tk as (select *, {_TOK.format(t="memory")} tok from SRC),
   + 0.15 * importance * ([1.0,.95,.9,.9,.9,.85,.85,.85,.8,.8,.75,.7,.6])[c.id % 13 + 1]::double + 0.1 * coalesce(0.5 * a + 0.2 * h + 0.3 * f, 0)) * ([1.2,1,.5,.3,.2,.2,.1,0])[c.id % 8 + 1]::double)) hs from c join bs using (id) left join qs using (id))
  select id, round(score, 6) score, round(bm25, 6) bm25, round(hs, 6) hybrid_score from h order by hs desc, score desc, id limit 20""")
 def hybrid_search(spark, sf_dir):
-    q = usefulness.fold(_log(spark, sf_dir)).select(F.col("memory_id").alias("id"), F.col("q_value").alias("q"))
+    def q(ids):
+        log = _log(spark, sf_dir).join(F.broadcast(ids.toDF("memory_id")), "memory_id", "left_semi")  # 100 candidates at most
+        return usefulness.fold(log).select(F.col("memory_id").alias("id"), F.col("q_value").alias("q"))
+
     out = search.hybrid_search(V.memory(spark, sf_dir), _first_vector(spark, sf_dir), QUERY, q, _as_of())
     return rounded(out.select("id", "score", "bm25", "hybrid_score"), "score", "bm25", "hybrid_score")
 
@@ -178,7 +181,7 @@ def usefulness_stats(spark, sf_dir):
     return rounded(usefulness.stats(_states(spark, sf_dir)[0]), "mean")
 
 
-@query(f"""with {_R}, s as (select distinct memory_id from r where reward_type = 'purchase'), w as (select memory_id, reward, row_number() over (order by reward_id) - 1 pos from r where reward_id % 10 = 0)
+@query(f"""with {_R}, s as (select distinct memory_id from r where reward_type = 'purchase'), w as (select memory_id, reward, row_number() over (order by reward_id) - 1 pos from r)
  select memory_id, pos, case pos % 3 when 0 then 'promote' when 1 then 'demote' else 'adjust' end action, case pos % 3 when 0 then abs(reward) when 1 then -abs(reward) else reward end reward from w where pos < 20 and memory_id in (select memory_id from s)""")
 def reward_adjustments(spark, sf_dir):
     r = V.rewards(spark, sf_dir)
@@ -305,10 +308,11 @@ def enrichment_defaults(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", T.title(t).alias("title"), F.substring(t, 1, 200).alias("summary"), T.token_estimate(t).alias("tokens"), T.truncate(t).alias("preview"))
 
 
-@query(r"""with a as (select doc_id, regexp_replace(text, '([A-Z_]*(?:KEY|TOKEN|SECRET|PASSWORD)[A-Z_]*)=[^\s]+', '\1=[REDACTED]', 'g') t from documents),
- b as (select doc_id, regexp_replace(t, '(?i)\b(password|passwd|token|secret|api_key)(\s*[:=]\s*)[^\s\[\]]{4,}', '\1\2[REDACTED]', 'g') t from a),
- c as (select doc_id, regexp_replace(t, 'Bearer [^\s]+|sk-[A-Za-z0-9]{16,}|ghp_[A-Za-z0-9]{20,}|AKIA[A-Z0-9]{16}', '[REDACTED]', 'g') t from b)
- select doc_id, md5(regexp_replace(regexp_replace(t, '/(?:Users|home)/[^/\s]+', '~', 'g'), '([A-Za-z0-9._%+-]{1,2})[A-Za-z0-9._%+-]*@([A-Za-z0-9.-]+\.[A-Za-z]{2,})', '\1***@\2', 'g')) redacted, contains(t, '[REDACTED]') had_secret from c""")
+@query(r"""with a as (select doc_id, regexp_replace(text, '(^|\s)([A-Z][A-Z0-9_]*(?:TOKEN|SECRET|KEY|PASSWORD|API|PASS|PWD|AUTH)[A-Z0-9_]*)\s*=\s*\S+', '\1\2=[REDACTED]', 'g') t from documents),
+ b as (select doc_id, regexp_replace(t, '(?i)(token|password|api[_-]?key|secret|credential|auth)\s*[:=]\s*["'']?[^\s"'']{4,}["'']?', '\1=[REDACTED]', 'g') t from a),
+ c as (select doc_id, regexp_replace(regexp_replace(t, 'Bearer\s+[A-Za-z0-9._/+=\-]+', 'Bearer [REDACTED]', 'g'), '\bsk-[A-Za-z0-9_\-]{16,}|\bghp_[A-Za-z0-9]{20,}|\bAKIA[A-Z0-9]{16}\b', '[REDACTED]', 'g') t from b),
+ d as (select doc_id, t, regexp_replace(t, '/(?:Users|home)/[\p{L}\p{N}_]+(?:/[^\s"'']*)?', '/~/...', 'g') u from c)
+ select doc_id, md5(regexp_replace(regexp_replace(u, '([\p{L}\p{N}_.+-]{1,2})[\p{L}\p{N}_.+-]*@([\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+)', '\1***@\2', 'g'), 'sk-ant-\S+', 'sk-***', 'g')) redacted, contains(t, '[REDACTED]') had_secret from d""")
 def redaction(spark, sf_dir):
     t = T.redact_secrets(F.col("text"))
     return V.table(spark, sf_dir, "documents").select("doc_id", F.md5(T.redact_people(t)).alias("redacted"), t.contains("[REDACTED]").alias("had_secret"))
@@ -348,11 +352,10 @@ def compaction_clusters(spark, sf_dir):
 
 
 @query("""with e as (select label cluster, unnest(embedding::double[]) x, generate_subscripts(embedding, 1) i from embeddings), m as (select cluster, i, avg(x) x from e group by 1, 2)
- select cluster, round(sqrt(sum(x * x)), 6) norm, round(arg_min(x, i) / sqrt(sum(x * x)), 6) head from m group by 1""")
+ select cluster, (i - 1)::int i, round(x / sqrt(sum(x * x) over (partition by cluster)), 6) x from m""")
 def compaction_centroids(spark, sf_dir):
     m = V.table(spark, sf_dir, "embeddings").select(F.col("label").alias("cluster"), F.col("embedding").alias("vector"))
-    sizes = m.select("cluster", F.posexplode("vector").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("x")).groupBy("cluster").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return rounded(compaction.centroids(m).join(sizes, "cluster").select("cluster", "norm", F.col("centroid")[0].alias("head")), "norm", "head")
+    return rounded(compaction.centroids(m).select("cluster", F.posexplode("centroid").alias("i", "x")), "x")
 
 
 _MEMBERS = "mb as (select doc_id id, doc_id % 40 cluster, doc_id position, 0.5 + (doc_id % 7) / 20::double similarity, case when doc_id % 3 = 0 then null else (doc_id % 10) / 10::double end qa, (doc_id % 4) / 4::double qh, (doc_id % 5) / 5::double qf, (doc_id % 9) / 9::double q_value, doc_id % 6 q_visits, case when doc_id % 4 = 0 then null else (doc_id % 3 - 1) / 2::double end last_reward, text from documents)"
@@ -366,7 +369,7 @@ def merged_usefulness(spark, sf_dir):
     return rounded(compaction.merged_q(d).select("cluster", "q_value", "q_visits", "kappa", "best", "members"), "q_value", "kappa")
 
 
-@query(r"""with x as (select label cluster, list_reverse(list(regexp_replace(substr(text, 1, 40), '^\s+|\s+$', '', 'g') order by vec_id)) l from embeddings join documents on doc_id = vec_id group by 1),
+@query(r"""with x as (select label cluster, list_reverse(list(regexp_replace(text, '^\s+|\s+$', '', 'g') order by vec_id)) l from embeddings join documents on doc_id = vec_id group by 1),
  y as (select cluster, list_filter(l, lambda t: t <> '') l from x), z as (select cluster, list_filter(l, lambda t, i: list_position(l, t) = i) l from y)
  select cluster, array_to_string(l[1:5], ' | ') || case when len(l) > 5 then ' [+' || (len(l) - 5) || ' merged]' else '' end merged from z""")
 def merged_texts(spark, sf_dir):
@@ -374,32 +377,28 @@ def merged_texts(spark, sf_dir):
     return m.select("cluster", compaction.merged_text(F.col("l")).alias("merged"))
 
 
-_KW = r"""q as (select item_id query_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) w from benchmark), d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') t from documents where length(text) < 4000),
+_KW = r"""q as (select item_id query_id, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) w from benchmark), d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') t from documents),
  dl as (select avg(len(t)) a from d), x as (select doc_id, len(t) n, unnest(t) w from d), tf as (select doc_id, n, w, count(*) c from x group by all), u as (select query_id, unnest(w) w from q),
- raw as (select query_id, doc_id, sum(c * 2.5 / (c + 1.5 * (0.25 + 0.75 * n / a))) s from u join tf using (w), dl group by 1, 2), sc as (select query_id, doc_id, s / max(s) over (partition by query_id) score from raw)"""
+ raw as (select query_id, doc_id, sum(c * 2.5 / (c + 1.5 * (0.25 + 0.75 * n / a))) s from u join tf using (w), dl group by 1, 2), sc as (select query_id, doc_id, s, s / max(s) over (partition by query_id) score from raw)"""
 
 
-def _keyword_scores(spark, sf_dir):
-    q = V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return evaluation.keyword_scores(q, V.table(spark, sf_dir, "documents"))
+def _asked(spark, sf_dir):
+    return V.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-@query(f"with {_KW}, k as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) rank from sc) select query_id, doc_id, rank, round(score, 6) score from k where rank <= 10")
+@query(f"with {_KW}, k as (select *, row_number() over (partition by query_id order by round(s, 9) desc, doc_id) rank from sc) select query_id, doc_id, rank, round(score, 6) score from k where rank <= 10")
 def keyword_retrieval(spark, sf_dir):
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
-    return rounded(_keyword_scores(spark, sf_dir).withColumn("rank", rank).where("rank <= 10"), "score")
+    return rounded(evaluation.keyword_top(_asked(spark, sf_dir), V.table(spark, sf_dir, "documents"), 10), "score")
 
 
-@query(f"""with {_KW}, tr as (select item_id query_id, doc_id from benchmark b join documents d on contains(d.text, b.text) where length(d.text) < 4000), k as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) rank from sc),
+@query(f"""with {_KW}, tr as (select item_id query_id, doc_id from benchmark b join documents d on contains(d.text, b.text)), k as (select *, row_number() over (partition by query_id order by round(s, 9) desc, doc_id) rank from sc),
  h as (select query_id, rank, tr.doc_id is not null hit from k left join tr using (query_id, doc_id) where rank <= 50), ks as (select unnest([1,3,5,10,30,50]) k), qs as (select distinct query_id from tr),
  g as (select qs.query_id, ks.k, count(*) filter (where hit and rank <= ks.k) n, coalesce(sum(case when hit and rank <= ks.k then 1 / log2(rank + 1) end), 0) dcg from qs cross join ks left join h using (query_id) group by 1, 2)
  select k::int k, round(avg((n > 0)::int), 6) recall_any, round(avg(case when n > 0 then dcg / list_sum(list_transform(range(1, n + 1), lambda i: 1 / log2(i + 1))) else 0 end), 6) ndcg_retrieved from g group by 1""")
 def retrieval_evaluation(spark, sf_dir):
-    d, b = V.table(spark, sf_dir, "documents"), V.table(spark, sf_dir, "benchmark")
-    # Containment needs a shared stretch: texts meet by the passage's first words, then the whole passage is tested.
-    scores = _keyword_scores(spark, sf_dir).withColumn("score", F.round("score", 9))
-    pairs = scores.join(b.select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")), "query_id").join(d.select("doc_id", "text"), "doc_id")
-    return rounded(evaluation.evaluate(scores, pairs.where(F.expr("contains(text, passage)")).select("query_id", "doc_id")), "recall_any", "ndcg_retrieved")
+    docs, asked = V.table(spark, sf_dir, "documents"), _asked(spark, sf_dir)
+    out = evaluation.evaluate(evaluation.keyword_top(asked, docs, max(C.RECALL_AT)), evaluation.holding(asked, docs))
+    return rounded(out, "recall_any", "ndcg_retrieved")
 
 
 @query("""select label, count(*) events from (select case when contains(lower(event_type), 'error') then 'failure' when contains(lower(event_type), 'sign') then 'start' when contains(lower(event_type), 'purch') then 'deal' else 'activity' end label from events) group by 1""")
@@ -411,11 +410,8 @@ def step_labels(spark, sf_dir):
 @query("""with h as (select conv_id, turn, unnest([{'p': 'sales', 'n': contains(lower(text), 'heth')::int + contains(lower(text), 'ing')::int + contains(lower(text), 'deal')::int, 'o': 2}, {'p': 'deals', 'n': contains(lower(text), 'tion')::int + contains(lower(text), 'ou')::int, 'o': 1}]) x from conversations where length(text) >= 10)
  select conv_id session_id, turn pos, arg_max(x.p, (x.n, x.o)) profile from h where x.n >= 2 group by 1, 2""")
 def detected_profiles(spark, sf_dir):
-    profiles = [("sales", ["heth", "ing", "deal"]), ("deals", ["tion", "ou"])]
-    low = F.lower("text")
-    hits = F.array(*[F.struct(sum((low.contains(w).cast("int") for w in words), F.lit(0)).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("p")) for i, (name, words) in enumerate(profiles)])
-    best = V.messages(spark, sf_dir).where("length(text) >= 10").select("session_id", "pos", F.array_max(hits).alias("b"))
-    return best.where("b.n >= 2").select("session_id", "pos", F.col("b.p").alias("profile"))
+    rows = profiles.detected(V.messages(spark, sf_dir), [("sales", ["heth", "ing", "deal"]), ("deals", ["tion", "ou"])])
+    return rows.where("profile is not null").select("session_id", "pos", "profile")
 
 
 def queries() -> dict:

@@ -18,17 +18,21 @@ from memspark.operators.usefulness import merge_deltas
 
 # Tools that are captured, commands that only read, and paths that are never captured.
 TOOLS = ("Write", "Edit", "Bash")
-READ_ONLY = ("ls", "cat", "head", "tail", "pwd", "which", "echo", "date", "whoami", "find", "grep", "rg", "wc", "file", "stat")
+READ_ONLY = (r"ls( |$)", r"pwd( |$)", "cat ", "echo ", "head ", "tail ", "wc ", "which ", "type ", "cd ", "test ", r"\[ ", "find ", "grep ", "rg ")
 SENSITIVE = r"\.env$|\.env\.[^/]*$|credentials\.json$|token\.json$|secret|\.pem$|\.key$|/\.ssh/"
 
 
 def capture(payloads: DataFrame) -> DataFrame:
-    """Observations of tool calls (tool_name, session_id, cwd, tool_input): allowed tools, no read-only commands or sensitive paths, secrets redacted."""
-    path, command = F.col("tool_input.file_path"), F.regexp_replace("tool_input.command", r"^/\S*/", "")
-    read_only = F.coalesce(command.rlike(rf"^({'|'.join(READ_ONLY)})( |$)"), F.lit(False))
-    kept = payloads.where(F.col("tool_name").isin(*TOOLS) & ~((F.col("tool_name") == "Bash") & read_only) & ~F.coalesce(path.rlike(SENSITIVE), F.lit(False)))
+    """Observations of tool calls (tool_name, session_id, cwd, tool_input): allowed tools, no read-only commands or sensitive paths.
+
+    Secrets are redacted before a command is cut, so none is left readable by being cut short, and again in the summary.
+    """
+    path, command = F.col("tool_input.file_path"), F.regexp_replace("tool_input.command", r"^/[^ ]*/", "")
+    read_only = F.coalesce(command.rlike(rf"^({'|'.join(READ_ONLY)})"), F.lit(False))
+    given = F.coalesce(F.when(F.col("tool_name") == "Bash", F.col("tool_input.command")).otherwise(path), F.lit("")) != ""
+    kept = payloads.where(F.col("tool_name").isin(*TOOLS) & given & ~((F.col("tool_name") == "Bash") & read_only) & ~F.coalesce(path.rlike(SENSITIVE), F.lit(False)))
     name = F.element_at(F.split(path, "/"), -1)
-    summary = F.when(F.col("tool_name") == "Bash", F.concat(F.lit("Ran: "), F.substring("tool_input.command", 1, 300))).otherwise(F.concat(F.when(F.col("tool_name") == "Write", "Wrote ").otherwise("Edited "), name))
+    summary = F.when(F.col("tool_name") == "Bash", F.concat(F.lit("Ran: "), F.substring(redact_secrets(F.col("tool_input.command")), 1, 300))).otherwise(F.concat(F.when(F.col("tool_name") == "Write", "Wrote ").otherwise("Edited "), name))
     return kept.select("session_id", F.col("tool_name").alias("tool"), redact_secrets(summary).alias("summary"), F.element_at(F.split("cwd", "/"), -1).alias("project"), path.alias("file_path"))
 
 
@@ -66,19 +70,24 @@ def usefulness_state(events: DataFrame, key: str = "memory_id") -> DataFrame:
     return events.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, q_action double, q_hypothesis double, q_fit double, q_visits int", "a double, h double, f double, n int", "update", GroupStateTimeout.NoTimeout)
 
 
-def merge_batches(table: str):
-    """A foreachBatch function that merges each batch of deltas into a table of states, latest row wins. A batch that is run again changes nothing."""
+def merge_batches(path: str, keys: tuple[str, ...] = ("memory_id", "experience")):
+    """A foreachBatch function that appends each batch of deltas under its batch id; ``merged_state`` reads the latest row of each key.
+
+    A batch that is run again overwrites its own folder only, so it changes nothing, and the table is never rewritten for a batch.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.table(table) if spark.catalog.tableExists(table) else batch.limit(0)
-        merged = merge_deltas(old, batch)
-        merged.write.mode("overwrite").saveAsTable(f"{table}_next")
-        spark.read.table(f"{table}_next").write.mode("overwrite").saveAsTable(table)
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return run
 
 
+def merged_state(main: DataFrame, path: str) -> DataFrame:
+    """``main`` and all batches under ``path``: of each key the latest row; ties keep ``main`` and then the earlier batch."""
+    deltas = main.sparkSession.read.option("basePath", path).schema(main.schema.add("batch_id", "long")).parquet(path).drop("batch_id")
+    return merge_deltas(main, deltas.select(*main.columns))
+
+
 def new_sessions(messages: DataFrame, known: DataFrame, session: str = "session_id") -> DataFrame:
     """What belongs to no session that is known already."""
     return messages.join(known.select(session).distinct(), session, "left_anti")
