@@ -21,9 +21,11 @@ def summary(values: DataFrame, value: str) -> DataFrame:
 
 
 def by_period(events: DataFrame, ts: str = "ts", value: str = "reward") -> DataFrame:
-    """Counts and sums by day, ISO week and month in one pass over the events, by grouping sets."""
-    rows = events.select(F.explode(F.array(*[F.struct(F.lit(k).alias("level"), p.alias("period")) for k, p in (("day", F.date_format(ts, "yyyy-MM-dd")), ("week", F.concat(F.extract(F.lit("YEAROFWEEK"), F.col(ts)).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(ts).cast("string"), 2, "0"))), ("month", F.date_format(ts, "yyyy-MM")))])).alias("p"), value)
-    return rows.groupBy("p.level", "p.period").agg(F.count(F.lit(1)).alias("events"), F.avg(value).alias("mean_reward"))
+    """Counts and means by day, ISO week and month: events are added up by day, and the days by week and month."""
+    days = events.groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("k"), F.sum(value).alias("s"))
+    period = {"day": F.date_format("day", "yyyy-MM-dd"), "week": F.concat(F.extract(F.lit("YEAROFWEEK"), F.col("day")).cast("string"), F.lit("-W"), F.lpad(F.weekofyear("day").cast("string"), 2, "0")), "month": F.date_format("day", "yyyy-MM")}
+    rows = days.select(F.explode(F.array(*[F.struct(F.lit(k).alias("level"), p.alias("period")) for k, p in period.items()])).alias("p"), "n", "k", "s")
+    return rows.groupBy("p.level", "p.period").agg(F.sum("n").alias("events"), (F.sum("s") / F.sum("k")).alias("mean_reward"))
 
 
 def classify_step(text: Column, rules: list[tuple[str, str]], other: str) -> Column:

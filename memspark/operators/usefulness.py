@@ -13,6 +13,10 @@ from memspark.functions import constants as C
 from memspark.functions import scoring as S
 
 
+#: Numbers of time (seconds: a month) that are folded in one go.
+STRETCH = 2_592_000
+
+
 def _then(f: Column, reward: Column) -> Column:
     """``f`` (shift, low, high: x goes to x + shift, held between low and high) and then one more reward. Such functions are closed under this, so parts of a log compose."""
     move = lambda x: F.greatest(F.lit(C.Q_FLOOR), F.least(F.lit(C.Q_CEILING), x + C.Q_ALPHA * reward))
@@ -35,9 +39,11 @@ def fold(events: DataFrame, key: str = "memory_id", protected: DataFrame | None
     """key, q_action, q_hypothesis, q_fit, q_value, q_visits and the last contexts after all events (ts, seq, reward, context).
 
     A protected key takes no negative reward but counts the visit; so does an event without a reward. Events are folded by key and ``step`` of
-    time to three numbers a layer, and these along the key's time, so the log of a hot key is never one array.
+    time (texts: the first seven characters; numbers: STRETCH of them) to three numbers a layer, and these along the key's time, so the log of a hot key is never one array.
     """
-    events = events.withColumns({"_t": F.date_trunc(step, "ts"), "_guard": F.lit(False)})
+    kind = dict(events.dtypes)["ts"]
+    stretch = F.date_trunc(step, "ts") if kind.startswith(("timestamp", "date")) else F.substring("ts", 1, 7) if kind == "string" else F.floor(F.col("ts") / STRETCH)
+    events = events.withColumns({"_t": stretch, "_guard": F.lit(False)})
     if protected is not None:
         held = protected.select(key, F.lit(True).alias("_held")).distinct()
         events = events.join(held, key, "left").withColumn("_guard", F.coalesce("_held", F.lit(False))).drop("_held")

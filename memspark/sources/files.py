@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 REWARD_EVENT = "reward_id string, timestamp string, reward_type string, reward double, memory_ids array<string>, experience string, context string, explanation string"
 PREDICTION = "id string, timestamp string, schema_version int, status string, pack_id string, pack_author string, cited_step string, case_id string, applied_action string, prevented_action string, expected_signal string, expected_window_days int, notes string, prediction string, confidence double, strategic_value double, memory_ids_used array<string>, client_id string"
@@ -12,6 +13,7 @@ OUTCOME = "prediction_id string, timestamp string, actual_signal string, outcome
 RETRIEVAL = "session_id string, timestamp string, query string, memory_ids array<string>, scores array<double>"
 OBSERVATION = "id string, timestamp string, session_id string, type string, tool string, summary string, project string, context struct<file_path:string,command:string>, tags array<string>"
 DEALS = "deal_id string, stage string, client_id string, name string, value string, paid_date string"
+LEADS = "lead_id string, stage string, company_id string, estimated_value string"
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -32,16 +34,30 @@ def lines_per_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_notes(spark: SparkSession, path: str, most: int = 2000) -> DataFrame:
-    """date, name and the start of each dated note."""
+    """date, name and the start of each dated note: what a retrospective reads of one."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.substring("value", 1, most).alias("text"))
     return rows.withColumn("date", F.regexp_extract("name", r"^(\d{4}-\d{2}-\d{2})-", 1)).where("date != ''")
 
 
-def read_deals(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("header", True).option("enforceSchema", False).schema(DEALS).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows with their place in the file; none where there is no file."""
+    try:
+        rows = spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = empty(spark, schema)
     return rows.withColumn("pos", F.monotonically_increasing_id())
 
 
+def read_deals(spark: SparkSession, path: str) -> DataFrame:
+    return read_csv(spark, path, DEALS)
+
+
+def read_leads(spark: SparkSession, path: str) -> DataFrame:
+    return read_csv(spark, path, LEADS)
+
+
 def read_usefulness(spark: SparkSession, path: str) -> DataFrame:
     """A nested map of memories and contexts as rows; a flat map (values at the first level) is read as the context ``default``."""
     entry = "struct<q_value:double,q_action:double,q_hypothesis:double,q_fit:double,q_visits:int,q_updated_at:string,last_reward:double,reward_contexts:array<string>,protected:boolean>"

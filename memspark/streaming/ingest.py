@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from memspark.functions import constants as C
@@ -84,7 +85,7 @@ def merge_batches(path: str, keys: tuple[str, ...] = ("memory_id", "experience")
 
 def merged_state(main: DataFrame, path: str) -> DataFrame:
     """``main`` and all batches under ``path``: of each key the latest row; ties keep ``main`` and then the earlier batch."""
-    deltas = main.sparkSession.read.option("basePath", path).schema(main.schema.add("batch_id", "long")).parquet(path).drop("batch_id")
+    deltas = main.sparkSession.read.option("basePath", path).schema(T.StructType([*main.schema.fields, T.StructField("batch_id", T.LongType())])).parquet(path).drop("batch_id")
     return merge_deltas(main, deltas.select(*main.columns))
 
 
