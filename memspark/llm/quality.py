@@ -3,8 +3,9 @@
 All of it is one projection of built-in functions: no shuffle, no Python.
 
 Defined cases: a null text has no words, lines or symbols, and fails (fewer than ``min_words`` words). An
-empty text likewise. Repeated rows are judged alike. Very long texts are judged whole: the repeated-window
-count sorts window hashes inside the row, n log n in the row's words.
+empty text likewise. Repeated rows are judged alike, and nothing is ranked, so there are no ties. A line may end in blanks or \\r. Very long texts are judged whole:
+the repeated-window count sorts window hashes inside the row, n log n in the row's words. An empty table gives an empty one. Columns of the
+input that have a result's name are replaced in their place; all others are carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspark.llm._shared import held
+from memspark.llm._shared import carried, held, restored
 
 # Phrases of boilerplate lines, and the punctuation that may end a line.
 BOILERPLATE = "all rights reserved|licensed under|released under|terms of (use|service)|privacy policy|cookie policy|subscribe now|click here|sign up|log in|copyright (c)|enable javascript|read more"
-LINE_END = r"[.!?:;…][\"'”’»)\]]*$"
+LINE_END = r"[.!?:;…][\"'”’»)\]]*[ \t\r]*\z"
 
+#: What ``judge`` adds.
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "clean_words", "base_failed", "kept")
 _SPLIT = r"'[\\x20\\x09-\\x0D]+'"
 
 
@@ -27,12 +30,12 @@ def words(text: str) -> str:
 
 
 def base_measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_words``, ``_lines`` and the measures n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+    """``docs`` (as ``_row``) with ``_words``, ``_lines`` and the measures n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
 
     n_repeat_words counts the word positions that lie in a window of three words found twice or more. Windows
     are told apart by a 64-bit hash within their document.
     """
-    out = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
+    out = carried(docs, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     out = out.withColumns({"_words": F.expr(words("_t")), "_lines": F.expr(r"filter(split(_t, '\n'), l -> trim(BOTH ' \t\u000b\u000c\r' FROM l) != '')")})
     out = out.withColumns({
         "n_words": F.expr("cast(size(_words) as bigint)"),
@@ -54,7 +57,7 @@ def clean_lines(docs: DataFrame, max_symbol_share: float = 0.3, nav_bars: int =
     """
     n = "size(split(trim(l), ' +'))"
     return docs.withColumn("_kept", F.expr(f"""filter(split(_t, '\\n'), l -> trim(BOTH ' \\t\\u000b\\u000c\\r' FROM l) = '' or (
-        rtrim(l) rlike '{LINE_END.replace(chr(92), chr(92) * 2).replace("'", chr(92) + "'")}'
+        l rlike '{LINE_END.replace(chr(92), chr(92) * 2).replace("'", chr(92) + "'")}'
         and length(l) - length(translate(l, '#*$%&<>', '')) <= {max_symbol_share}D * {n}
         and (length(l) - length(replace(l, '!!', ''))) / 2 <= {max_symbol_share}D * {n}
         and (length(l) - length(replace(l, '|', '')) < {nav_bars} or length(l) - length(replace(l, '|', '')) < {nav_share}D * {n})
@@ -69,4 +72,5 @@ def judge(docs: DataFrame, text_col: str = "text", min_words: int = 50, max_repe
     """
     out = clean_lines(base_measures(docs, text_col)).withColumn("clean_text", F.expr(r"array_join(_kept, '\n')"))
     out = out.withColumns({"clean_words": F.expr(f"cast(size({words('clean_text')}) as bigint)"), "base_failed": F.expr(f"n_words < {min_words} or 100 * n_repeat_words > {max_repeat} * n_words")})
-    return out.withColumn("kept", held(F.expr(f"not base_failed and 100 * (n_words - clean_words) <= {max_loss} * n_words"))).drop("_t", "_words", "_lines", "_win", "_again", "_kept")
+    out = out.withColumn("kept", held(F.expr(f"not base_failed and 100 * (n_words - clean_words) <= {max_loss} * n_words")))
+    return restored(out, docs.columns, **{c: c for c in RESULTS})

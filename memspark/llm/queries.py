@@ -50,7 +50,7 @@ with d as (select doc_id, coalesce(text, '') t, row_number() over () r from docu
 a as (select *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') ws, string_split(t, chr(10)) ls from d),
 b as (select *, list_filter(ls, lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) wl,
   list_filter(ls, lambda l: not regexp_matches(l, '[^\x20\x09-\x0D]') or (
-    regexp_matches(rtrim(l), '[.!?:;…]["''”’»)\]]*$')
+    regexp_matches(l, '[.!?:;…]["''”’»)\]]*[ \t\r]*\z')
     and length(l) - length(translate(l, '#*$%&<>', '')) <= 0.3 * len(string_split_regex(trim(l), ' +'))
     and (length(l) - length(replace(l, '!!', ''))) / 2 <= 0.3 * len(string_split_regex(trim(l), ' +'))
     and (length(l) - length(replace(l, '|', '')) < 3 or length(l) - length(replace(l, '|', '')) < 0.2 * len(string_split_regex(trim(l), ' +')))
