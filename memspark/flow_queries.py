@@ -180,7 +180,7 @@ def layer_distributions(spark, sf_dir):
     return dashboard.layer_distributions(V.usefulness_rows(spark, sf_dir))
 
 
-@query(f"with {_QS} select q_updated_at date, round(avg(q_value), 4) mean_value, round(avg(q_action), 4) mean_action, round(avg(q_hypothesis), 4) mean_hypothesis, round(avg(q_fit), 4) mean_fit, count(*) count_updated from qd where q_updated_at is not null group by 1")
+@query(f"with {_QS} select q_updated_at date, round(avg(q_value)::decimal(18, 9), 4)::double mean_value, round(avg(q_action)::decimal(18, 9), 4)::double mean_action, round(avg(q_hypothesis)::decimal(18, 9), 4)::double mean_hypothesis, round(avg(q_fit)::decimal(18, 9), 4)::double mean_fit, count(*) count_updated from qd where q_updated_at is not null group by 1")
 def layer_evolution(spark, sf_dir):
     return dashboard.evolution(V.usefulness_rows(spark, sf_dir))
 
@@ -210,13 +210,13 @@ def retrieval_scores(spark, sf_dir):
     return dashboard.score_histogram(V.retrievals(spark, sf_dir))
 
 
-@query(f"with {_PO} select count(*) total, count(*) filter (where status = 'resolved') resolved, count(*) filter (where status = 'pending') pending, round(avg(coalesce(reward, 0)) filter (where status = 'resolved'), 4) avg_reward from pr")
+@query(f"with {_PO} select count(*) total, count(*) filter (where status = 'resolved') resolved, count(*) filter (where status = 'pending') pending, round((avg(coalesce(reward, 0)) filter (where status = 'resolved'))::decimal(18, 9), 4)::double avg_reward from pr")
 def prediction_summary(spark, sf_dir):
     p, o = V.predictions(spark, sf_dir)
     return dashboard.prediction_summary(outcomes.resolve_predictions(p, o.withColumn("source_pos", F.lit(0))))
 
 
-@query(f"with {_QS} select '2024-06-01' date, experience, count(*) count, round(avg(q_value), 4) mean, round(min(q_value), 4) min, round(max(q_value), 4) max from qs group by 1, 2")
+@query(f"with {_QS} select '2024-06-01' date, experience, count(*) count, round(avg(q_value)::decimal(18, 9), 4)::double mean, round(min(q_value)::decimal(18, 9), 4)::double min, round(max(q_value)::decimal(18, 9), 4)::double max from qs group by 1, 2")
 def daily_usefulness(spark, sf_dir):
     return dashboard.daily_stats(V.usefulness_rows(spark, sf_dir), "2024-06-01")
 

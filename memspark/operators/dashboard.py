@@ -12,6 +12,11 @@ from memspark.operators import analytics, lifecycle, outcomes, usefulness
 LAYERS = {"q_value": C.Q_INIT, "q_action": C.Q_INIT, "q_hypothesis": C.MISSING_LAYER, "q_fit": C.MISSING_LAYER}
 
 
+def four(x: Column) -> Column:
+    """Four places, halves up; what a sum of doubles is off by at the ninth does not decide a half."""
+    return F.round(F.round(x, 9), 4)
+
+
 def _filled(state: DataFrame) -> DataFrame:
     return state.withColumns({x: F.coalesce(x, F.lit(default)) for x, default in LAYERS.items()})
 
@@ -32,7 +37,7 @@ def layer_distributions(state: DataFrame, low: float = -0.5, high: float = 1.0,
 def evolution(state: DataFrame, updated: str = "q_updated_at") -> DataFrame:
     """date, the mean of each layer and the number of values that were updated then; undated ones are left out."""
     rows = _filled(_default(state)).withColumn("date", F.substring(updated, 1, 10)).where("date rlike '^[0-9]{4}-[0-9]{2}-[0-9]{2}$'")
-    return rows.groupBy("date").agg(*[F.round(F.avg(x), 4).alias(f"mean_{x.removeprefix('q_')}") for x in LAYERS], F.count(F.lit(1)).alias("count_updated"))
+    return rows.groupBy("date").agg(*[four(F.avg(x)).alias(f"mean_{x.removeprefix('q_')}") for x in LAYERS], F.count(F.lit(1)).alias("count_updated"))
 
 
 def visits(state: DataFrame) -> DataFrame:
@@ -59,12 +64,12 @@ def score_histogram(retrievals: DataFrame, scores: str = "scores") -> DataFrame:
 def prediction_summary(resolved: DataFrame) -> DataFrame:
     """One row: totals and the mean reward of outcomes, a missing reward counting 0."""
     done = F.col("status") == "resolved"
-    return resolved.agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("resolved"), F.count_if(~done).alias("pending"), F.coalesce(F.round(F.avg(F.when(done, F.coalesce("reward", F.lit(0.0)))), 4), F.lit(0.0)).alias("avg_reward"))
+    return resolved.agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("resolved"), F.count_if(~done).alias("pending"), F.coalesce(four(F.avg(F.when(done, F.coalesce("reward", F.lit(0.0))))), F.lit(0.0)).alias("avg_reward"))
 
 
 def daily_stats(state: DataFrame, date: str) -> DataFrame:
     """date, experience, count, mean, min, max (four places): a row a context, to be appended to the log of days."""
-    out = usefulness.stats(state).withColumns({c: F.round(c, 4) for c in ("mean", "min", "max")})
+    out = usefulness.stats(state).withColumns({c: four(F.col(c)) for c in ("mean", "min", "max")})
     return out.select(F.lit(date).alias("date"), "experience", "count", "mean", "min", "max")
 
 
