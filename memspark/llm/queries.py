@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from memspark.llm import bpe, decontam, kn_lm, lang_id, line_dedup, ngram_join, quality, secrets, token_count, url_filter
 
-# The host rules, and the listed sites and pages.
+# The host rules, and listed sites and pages.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 LISTED = ("spam-farm.example.org/", "m.thther.example.org/", "ththon.example.com/en/671", "ththon.example.com/en/825")
 
@@ -19,23 +19,40 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def listed_urls(pages: DataFrame) -> DataFrame:
+    """The list of op1 (there is no table of listed sites): the four fixed keys, the urls of the pages whose id is divisible by 50, and the hosts of those divisible by 250 as whole sites."""
+    urls = pages.where("page_id % 50 = 0 and url like '%://_%'")
+    host = url_filter.url_parts(F.col("url"))[0]
+    sites = urls.where("page_id % 250 = 0").select(F.concat(host, F.lit("/")).alias("key")).where("key != '/'")
+    fixed = pages.sparkSession.createDataFrame([(k,) for k in LISTED], "key string")
+    return fixed.unionByName(urls.select(F.col("url").alias("key"))).unionByName(sites)
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(k,) for k in LISTED], "key string")
-    return url_filter.filter_urls(_table(spark, sf_dir, "pages"), listed, RULES)
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages, listed_urls(pages), RULES)
 
 
-OP1_SQL = """
-with p as (select page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['h', 'p']) x from pages),
-q as (select page_id, translate(x.h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, x.p path from p),
+#: The canonical spelling of escapes and of characters beyond ASCII in paths is left out: no url of the tables has any.
+OP1_SQL = r"""
+with p as (select page_id, url, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['h', 'p']) x from pages),
+q as (select page_id, url, translate(x.h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, x.p path from p),
 r(rule, says) as (values ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')),
 f as (select q.page_id, arg_max(rule, length(rule)) rule, arg_max(says, length(rule)) says from q, r
       where (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1)))
         and starts_with(path, substr(rule, strpos(rule, '/'))) group by 1),
-l(k) as (values ('spam-farm.example.org/'), ('m.thther.example.org/'), ('ththon.example.com/en/671'), ('ththon.example.com/en/825')),
-m as (select q.page_id, min(k) k from q, l where host <> '' and (host || path = k
-      or (ends_with(k, '/') and strpos(k, '/') = length(k) and (host || '/' = k or ends_with(host, '.' || substr(k, 1, length(k) - 1))))) group by 1)
-select q.page_id, host, path, rule, coalesce(says, case when k is null then 'allow' else 'block' end) verdict,
-       case when rule is null then k end listed_as
+w(raw) as (values ('spam-farm.example.org/'), ('m.thther.example.org/'), ('ththon.example.com/en/671'), ('ththon.example.com/en/825')),
+w2 as (select raw from w union all select url from pages where page_id % 50 = 0 and url like '%://_%' union all select host || '/' from q where page_id % 250 = 0 and url like '%://_%' and host <> ''),
+b as (select raw, regexp_extract(regexp_replace(raw, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '(?s)^([^/?#]*)([^?#]*)', ['h', 'p']) x from w2),
+c as (select 'l' side, null::bigint page_id, raw, translate(x.h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') h, x.p path from b union all select 'q', page_id, null, host, path from q),
+d as (select side, page_id, raw, regexp_replace(regexp_replace(h, '(?s)^.*@', ''), '[.]*(:[0-9]*)?$', '') h, regexp_replace(path, '/+$', '') path from c),
+e as (select side, page_id, raw, case when regexp_matches(h, '^www[.][^.]+[.]') then substr(h, 5) else h end h, path from d),
+k as (select *, h || case when path = '' then '/' else path end as key, string_split(h, '.') s from e where h <> ''),
+l as (select key, min(raw) raw from k where side = 'l' group by 1),
+a as (select page_id, key from k where side = 'q' union all select page_id, unnest(list_transform(range(1, greatest(len(s) - 1, 1) + 1), lambda i: array_to_string(s[i:], '.') || '/')) from k where side = 'q'),
+m as (select page_id, min(raw) raw from a join l using (key) group by 1)
+select q.page_id, host, path, rule, coalesce(says, case when raw is null then 'allow' else 'block' end) verdict,
+       case when rule is null then raw end listed_as
 from q left join f using (page_id) left join m using (page_id)
 """
 
