@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions import constants as C
 from memspark.functions import text as T
-from memspark.operators import compaction, dashboard, outcomes, replay, retrospective, transcripts, usefulness
+from memspark.operators import compaction, dashboard, evaluation, outcomes, replay, retrospective, transcripts, usefulness
 from memspark.plans import views as V
 from memspark.queries import _CRM, _FOLD, _M, _PO, _R, _log, rounded
 
@@ -321,6 +321,40 @@ def reward_history(spark, sf_dir):
     return usefulness.reward_history(events, asked).select("memory_id", "reward_id", "reward")
 
 
+# Questions with corpora of their own.
+
+_HAY = r"""d as (select conv_id // 20 query_id, conv_id pos, conv_id::varchar doc_id, string_agg(text, chr(10) order by turn) text, (conv_id * 37 % 101) / 100::double sim, date '2024-01-01' + (conv_id % 400)::int dt from conversations where role = 'user' group by conv_id),
+ w as (select conv_id // 20 query_id, list_distinct(regexp_extract_all(lower(arg_min(text, (conv_id, turn))), '[\p{L}\p{N}_]+')) qw from conversations where role = 'user' group by 1),
+ t as (select d.*, qw, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') tk from d join w using (query_id)), a as (select *, avg(len(tk)) over (partition by query_id) av from t),
+ b as (select *, list_sum(list_transform(qw, lambda x: len(list_filter(tk, lambda y: y = x)) * 2.5::double / (len(list_filter(tk, lambda y: y = x)) + 1.5 * (0.25 + 0.75 * len(tk) / av)))) bm from a),
+ c as (select *, case when max(bm) over p > 0 then bm / max(bm) over p else 0 end kw, row_number() over (partition by query_id order by sim desc, pos) v from b window p as (partition by query_id))"""
+
+
+def _haystack(spark, sf_dir):
+    turns = V.messages(spark, sf_dir).selectExpr("session_id div 20 query_id", "session_id", "session_id session_pos", "pos turn", "role", "text content", "date_add(date '2024-01-01', cast(session_id % 400 as int)) date")
+    docs = evaluation.corpus(turns).withColumn("sim", F.expr("(pos * 37 % 101) / 100.0D"))
+    first = turns.where("role = 'user'").groupBy("query_id").agg(F.min_by("content", F.struct("session_id", "turn")).alias("query")).withColumn("asked", F.expr("date '2024-12-31'"))
+    return docs, first
+
+
+@query(f"""with {_HAY}, s as (select *, round(case when v <= 5 then sim * 0.75 else 0 end + 0.1 * kw + 0.15 * greatest(0, 1 - date_diff('day', dt, date '2024-12-31') / 365::double), 9) score from c)
+ select query_id, doc_id, row_number() over (partition by query_id order by score desc, (v <= 5) desc, case when v <= 5 then v else pos end) rank, round(score, 6) score from s""")
+def retrieval_full(spark, sf_dir):
+    return rounded(evaluation.retrieved(*_haystack(spark, sf_dir), "full", 5), "score")
+
+
+@query(f"with {_HAY} select query_id, doc_id, row_number() over (partition by query_id order by (v <= 5) desc, case when v <= 5 then v else pos end) rank from c")
+def retrieval_raw(spark, sf_dir):
+    return evaluation.retrieved(*_haystack(spark, sf_dir), "raw", 5).select("query_id", "doc_id", "rank")
+
+
+@query("""select conv_id // 20 query_id, conv_id || '_turn_' || (row_number() over (partition by conv_id order by turn) - 1) doc_id, conv_id::varchar session_id, length(text) chars from conversations where role = 'user'""")
+def question_corpora(spark, sf_dir):
+    turns = V.messages(spark, sf_dir).selectExpr("session_id div 20 query_id", "session_id", "session_id session_pos", "pos turn", "role", "text content", "date '2024-01-01' date")
+    out = evaluation.corpus(turns, "turn")
+    return out.select("query_id", "doc_id", evaluation.session_of(F.col("doc_id")).alias("session_id"), F.length("text").cast("long").alias("chars"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import constants as C
@@ -125,6 +125,52 @@ def holding(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return found if found is not None else docs.sparkSession.createDataFrame([], "query_id long, doc_id long")
 
 
+def corpus(turns: DataFrame, granularity: str = "session") -> DataFrame:
+    """query_id, pos, doc_id, text, date of each question's own documents: the user's turns (query_id, session_id, session_pos, turn, role, content, date) of a session together, or each by itself."""
+    own = turns.where("role = 'user'")
+    if granularity == "session":
+        text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "content"))), lambda x: x["content"]), "\n")
+        return own.groupBy("query_id", "session_id", "session_pos").agg(text.alias("text"), F.min("date").alias("date")).select("query_id", F.col("session_pos").alias("pos"), F.col("session_id").cast("string").alias("doc_id"), "text", "date")
+    n = F.row_number().over(Window.partitionBy("query_id", "session_id").orderBy("turn")) - 1
+    pos = F.row_number().over(Window.partitionBy("query_id").orderBy("session_pos", "turn"))
+    return own.select("query_id", pos.alias("pos"), F.concat(F.col("session_id").cast("string"), F.lit("_turn_"), n.cast("string")).alias("doc_id"), F.col("content").alias("text"), "date")
+
+
+def session_of(doc_id: Column) -> Column:
+    return F.regexp_replace(doc_id, "_turn_[0-9]+$", "")
+
+
+def linear_recency(asked: Column, date: Column) -> Column:
+    """From 1 on the day to 0 a year before; one half where a date is missing."""
+    return F.coalesce(F.greatest(F.lit(0.0), 1.0 - F.datediff(asked, date) / 365.0), F.lit(0.5))
+
+
+def retrieved(docs: DataFrame, questions: DataFrame, mode: str = "hybrid", n: int = 50, bm25_weight: float = 0.10, recency_weight: float = 0.15) -> DataFrame:
+    """query_id, doc_id, rank, score of each question's own documents (query_id, pos, doc_id, text, sim, date), by similarity alone (``raw``), with keywords (``hybrid``) or also with recency (``full``).
+
+    The ``n`` most similar count with their similarity, the others without; raw ranks put these last, in order. ``questions``: query_id, query, asked (a date).
+    """
+    w = Window.partitionBy("query_id")
+    rows = docs.join(questions, "query_id").withColumns({"_tok": word_tokens(F.col("text")), "_w": F.array_distinct(word_tokens(F.col("query")))})
+    rows = rows.withColumn("_mean", F.greatest(F.avg(F.size("_tok")).over(w), F.lit(1e-9)))
+
+    def part(x: Column) -> Column:
+        tf = F.size(F.filter("_tok", lambda t: t == x))
+        return tf * (C.BM25_K1 + 1) / (tf + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.size("_tok") / F.col("_mean")))
+
+    rows = rows.withColumn("_raw", F.aggregate("_w", F.lit(0.0), lambda a, x: a + part(x)))
+    top = F.max("_raw").over(w)
+    rows = rows.withColumns({"_kw": F.when(top > 0, F.col("_raw") / top).otherwise(0.0), "_v": F.row_number().over(w.orderBy(F.desc("sim"), "pos"))})
+    rest = {"raw": 0.0, "hybrid": bm25_weight, "full": bm25_weight + recency_weight}[mode]
+    found = F.col("_v") <= n
+    score = F.when(found, F.col("sim") * (1 - rest)).otherwise(0.0)
+    score = score + (bm25_weight * F.col("_kw") if mode != "raw" else 0.0) + (recency_weight * linear_recency(F.col("asked"), F.col("date")) if mode == "full" else 0.0)
+    rows = rows.withColumn("score", F.round(score, 9))
+    order = [F.desc(found.cast("int")), F.when(found, F.col("_v")).otherwise(F.col("pos"))]
+    rank = F.row_number().over(w.orderBy(*([] if mode == "raw" else [F.desc("score")]), *order))
+    return rows.select("query_id", "doc_id", rank.alias("rank"), "score")
+
+
 def evaluate(scores: DataFrame, truth: DataFrame, at: tuple[int, ...] = C.RECALL_AT) -> DataFrame:
     """k, recall_any, ndcg_retrieved of ranked ``scores``: means over the queries of ``truth`` (query_id, doc_id); the ideal gain is that of the retrieved list."""
     top = scores.where(F.col("rank") <= max(at)).join(truth.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
