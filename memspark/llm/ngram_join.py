@@ -1,12 +1,14 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap by a threshold, and their components.
 
 1. Sets. Each document's distinct shingle hashes; documents of equal sets are one class, represented by the smallest id.
-2. Blocking without loss. Two linked sets differ in at most D = (1-t)/(1+t) * (|A|+|B|) shingles. The hash range is cut
-   into D + 1 + c cells or more for the sizes at hand, so a linked pair agrees on the whole content of c + 1 cells at least. Each
-   document emits a hash of each non-empty cell but the c of the fewest shingles, which chance may share (of the
-   common cells the fullest is dropped by neither side, as the order is the cells' own). Documents that
-   share one are joined to the smallest of them, within each task and then across tasks. (A document with so many empty cells that agreement may
-   be on these alone also emits a prefix of its sorted hashes, which linked sets must share.) The components of these edges hold every link.
+2. Blocking without loss. Two linked sets differ in at most D = (1-t)/(1+t) * (|A|+|B|) shingles. For the sizes at hand the hash range is cut into
+   groups, so many that one of them at least holds k = DIFFER differences or fewer, and each group into more than k cells, so a linked pair agrees on the
+   whole content of a cell of that group. Each document emits a hash of each non-empty cell with a parity bitmap of the
+   cell's group (bit i: whether an odd number of its shingles falls there), which k differences change in k bits at most. Documents
+   that share a cell and whose bitmaps differ in k bits or fewer are joined, within each task and then across tasks. (Where a group has k
+   non-empty cells or fewer, agreement may be on empty ones: it also emits its k + 1 smallest hashes, of which such groups share one if they have more than
+   k shingles. A document with a group of 2 k shingles or fewer also emits a prefix of all its sorted hashes, which linked sets must share.)
+   The components of these edges hold every link, and unlike sets that share a popular passage are not drawn in.
 3. Signature trees. Within a component, representatives are ordered by their smallest hashes and put under a tree whose nodes hold an
    OR-combined bitmap of tokens, a range of sizes and the greatest excess of size over bits. The tree is traversed against itself;
    a pair of nodes goes when the sizes exclude each other, when the common bits and the excess cannot give the needed
@@ -31,20 +33,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm import _words
-from memspark.llm._shared import durable, small_arrow_batches
+from memspark.llm._shared import dealt, durable, small_arrow_batches
 from memspark.llm.graph import components
 
-_SALT1, _SALT2 = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-#: Sizes are taken in families, each this many times the one before; narrow ones keep cells full.
+_SALT1, _SALT2, _SALT3 = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0)
+#: Sizes are taken in families, each this many times the one before.
 _RATIO = 1.2
-#: Cells beyond those needed, as a share of D: so many of the smallest are dropped.
-SPARE = 0.1
-#: Cells that may be empty (besides one in 33) before a document falls back to a prefix of its hashes.
-EMPTY = 3
+#: Differences that the best group of a linked pair may hold, and cells beyond the needed ones, as a share, for those that are empty.
+DIFFER, SPARE = 16, 0.2
 #: Cells kept in a task before they are sent on.
-_HELD = 2_000_000
+_HELD = 1_000_000
+#: Documents of one cell whose bitmaps differ are compared with each other up to this many bitmaps; beyond, all are joined (which loses nothing).
+COMPARED = 65_536
 #: A component of more shingles than this is cut into blocks.
-BLOCK_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 2_000_000
 #: At most so many representatives (a long each) are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -65,54 +67,119 @@ def set_sizes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).mapInArrow(run, "_id long, n_shingles long, h1 long, h2 long")
 
 
-def cell_signatures(hashes: np.ndarray, at: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures, and the index of the document of each. Linked sets share one at least."""
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a new combination of ``keys`` begins."""
+    if not len(keys[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
+
+
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places from each start on, as many as its count."""
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(counts) else np.zeros(0, np.int64)
+
+
+def cell_signatures(hashes: np.ndarray, at: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, the parity bitmap that goes with each, and the index of the document of each. Linked sets share a signature at least whose bitmaps differ in DIFFER bits or fewer."""
     sizes = np.diff(at)
     alpha = (1 - t) / (1 + t)
     own = np.floor(np.log(np.maximum(sizes, 1)) / math.log(_RATIO) + 1e-9).astype(np.int64)
-    sigs, docs = [], []
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for step in range(2 + int(math.log(1 / t) / math.log(_RATIO))):
         family = own + step
         member = (sizes > 0) & ((step == 0) | (sizes >= np.floor(t * _RATIO**family)))
         most = np.floor(alpha * 2 * (np.ceil(_RATIO ** (family + 1)) - 1) + 1e-9).astype(np.int64)
-        spare = (most * SPARE).astype(np.int64) + (most > 0)
-        cells = most + 1 + spare + EMPTY + most // 33
+        groups = -(-(most + 1) // (DIFFER + 1))
+        differ = most // groups
+        cells = differ + 1 + np.ceil(SPARE * (differ + 1)).astype(np.int64)
         rows = np.flatnonzero(np.repeat(member, sizes))
         if not len(rows):
             continue
         doc = np.repeat(np.arange(len(sizes)), sizes)[rows]
         h = hashes[rows]
-        cell = ((h >> np.uint64(32)) * cells[doc].astype(np.uint64)) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (cell[1:] != cell[:-1])]))
-        total = _words.range_sums(_words.mix(h ^ _SALT1), np.concatenate([first, [len(h)]]))
-        label = cell[first] * np.uint64(256) + family[doc[first]].astype(np.uint64)
-        sig, of = _words.mix(total + _words.mix(label)), doc[first]
-        full = np.bincount(of, minlength=len(sizes))
-        content = np.diff(np.concatenate([first, [len(h)]]))
-        order = np.lexsort((sig, content, of))
-        place = np.arange(len(sig)) - np.searchsorted(of, of)
-        kept = order[place >= spare[of]]
-        sig, of = sig[kept], of[kept]
-        sigs.append(sig)
-        docs.append(of)
-        for d in np.flatnonzero(member & (full - most < spare + 1)):
-            prefix = hashes[at[d] : at[d] + sizes[d] - math.ceil(t * sizes[d] - 1e-9) + 1]
-            sigs.append(_words.mix(prefix ^ _SALT2))
-            docs.append(np.full(len(prefix), d))
-    if not sigs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(sigs), np.concatenate(docs)
-
-
-def _stars(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct signatures with the smallest id of each, and distinct edges (id, smallest) of the others."""
-    order = np.lexsort((ids, sigs))
-    sigs, ids = sigs[order], ids[order]
-    new = np.concatenate([[True], sigs[1:] != sigs[:-1]]) if len(sigs) else np.zeros(0, bool)
-    root = ids[new][np.cumsum(new) - 1]
+        cell = (((h >> np.uint64(32)) * (groups * cells)[doc].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        group = cell // cells[doc]
+        label = family.astype(np.uint64)
+        # Groups: their bitmap, shingles and non-empty cells. Cells: their content, with the group's bitmap.
+        first, head = _starts(doc, cell), _starts(doc, group)
+        bitmap = np.bitwise_xor.reduceat(np.uint64(1) << (_words.mix(h) & np.uint64(63)), head)
+        many = np.diff(np.append(head, len(h)))
+        inside = np.searchsorted(head, first, "right") - 1
+        full = np.bincount(inside, minlength=len(head))
+        total = _words.range_sums(_words.mix(h ^ _SALT1), np.append(first, len(h)))
+        of = doc[first]
+        out.append((_words.mix(total + _words.mix(cell[first].astype(np.uint64) * np.uint64(256) + label[of])), bitmap[inside], of))
+        few = np.flatnonzero(full <= differ[doc[head]])
+        spot = _spread(head[few], np.minimum(many[few], differ[doc[head[few]]] + 1))
+        of = doc[spot]
+        out.append((_words.mix((h[spot] ^ _SALT2) + _words.mix(group[spot].astype(np.uint64) * np.uint64(256) + label[of])), bitmap[np.searchsorted(head, spot, "right") - 1], of))
+        seen = np.bincount(doc[head], minlength=len(sizes))
+        thin = np.bincount(doc[head], many <= 2 * differ[doc[head]], len(sizes))
+        rest = np.flatnonzero(member & ((thin > 0) | (seen < groups)))
+        spot = _spread(at[rest], sizes[rest] - np.ceil(t * sizes[rest] - 1e-9).astype(np.int64) + 1)
+        of = np.searchsorted(at, spot, "right") - 1
+        out.append((_words.mix((hashes[spot] ^ _SALT3) + label[of]), np.zeros(len(spot), np.uint64), of))
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _joined(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the trees of ``up`` (each place's parent, the smaller one) along the edges (a, b); a root is the smallest place of its tree."""
+
+    def root(x: np.ndarray) -> np.ndarray:
+        x = up[x]
+        while (up[x] != x).any():
+            x = up[x]
+        return x
+
+    x, y = root(a), root(b)
+    while (x != y).any():  # of each pair of roots the larger goes under the smaller, as far as others of it have not gone lower
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        x, y = root(x), root(y)
+    up[a], up[b] = x, y
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (id, smallest id of its tree) that join what the edges (a, b) join: one an id at most."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = np.arange(len(nodes))
+    _joined(up, at[: len(a)], at[len(a) :])
+    while (up[up] != up).any():
+        up = up[up]
+    rest = np.flatnonzero(up != np.arange(len(nodes)))
+    return nodes[rest], nodes[up[rest]]
+
+
+def _stars(sigs: np.ndarray, maps: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct signatures and bitmaps with the smallest id of each, and edges (id, smallest) of the others."""
+    order = np.lexsort((ids, maps, sigs))
+    sigs, maps, ids = sigs[order], maps[order], ids[order]
+    new = _starts(sigs, maps)
+    root = np.repeat(ids[new], np.diff(np.append(new, len(ids))))
     rest = root != ids
-    pairs = np.unique(np.stack([ids[rest], root[rest]], 1), axis=0)
-    return sigs[new], ids[new], pairs[:, 0], pairs[:, 1]
+    return sigs[new], maps[new], ids[new], ids[rest], root[rest]
+
+
+def _close(sigs: np.ndarray, maps: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join, among the rows of each signature (in order), those whose bitmaps differ in DIFFER bits or fewer: one a row at most."""
+    up = np.arange(len(sigs))
+    begin = _starts(sigs)
+    size = np.diff(np.append(begin, len(sigs)))
+    for a, n in zip(begin[size > COMPARED].tolist(), size[size > COMPARED].tolist(), strict=True):
+        up[a : a + n] = a
+    live = np.flatnonzero(np.repeat((size > 1) & (size <= COMPARED), size))
+    apart = 0
+    while len(live):
+        apart += 1
+        live = live[live + apart < len(sigs)]
+        live = live[sigs[live] == sigs[live + apart]]
+        near = live[np.bitwise_count(maps[live] ^ maps[live + apart]) <= DIFFER]
+        _joined(up, near, near + apart)
+    while (up[up] != up).any():
+        up = up[up]
+    rest = np.flatnonzero(ids != ids[up]) if len(ids) else np.zeros(0, np.int64)
+    return ids[rest], ids[up[rest]]
 
 
 def candidate_edges(docs: DataFrame, id_col: str, text_col: str, n: int, t: float) -> DataFrame:
@@ -120,40 +187,54 @@ def candidate_edges(docs: DataFrame, id_col: str, text_col: str, n: int, t: floa
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).where("_id is not null")
-
-    def pack(sigs, ids):
-        sigs, ids, a, b = _stars(sigs, ids)
-        bucket = ((sigs >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        shares = np.linspace(0, len(a), buckets + 1).astype(int)
-        rows = [(k, sigs[cuts[k] : cuts[k + 1]].tobytes(), ids[cuts[k] : cuts[k + 1]].tobytes(), a[shares[k] : shares[k + 1]].tobytes(), b[shares[k] : shares[k + 1]].tobytes()) for k in range(buckets)]
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "sigs", "ids", "a", "b"])
+    low = np.uint64((1 << 48) - 1)
+    parts = ("high", "low", "maps", "docs", "at", "a", "b")
+
+    def pack(sigs, maps, ids):
+        # A signature keeps 48 bits beside its bucket; ids are places in the row's own list of documents. What the pack itself joins is dealt evenly.
+        sigs, maps, ids, a, b = _stars(sigs, maps, ids)
+        a, b = _forest(a, b)
+        cuts = np.searchsorted(((sigs >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32), np.arange(buckets + 1))
+        share = np.linspace(0, len(a), buckets + 1).astype(int)
+        rows = []
+        for k in range(buckets):
+            own, m, (docs, at) = sigs[cuts[k] : cuts[k + 1]] & low, maps[cuts[k] : cuts[k + 1]], np.unique(ids[cuts[k] : cuts[k + 1]], return_inverse=True)
+            edges = [x[share[k] : share[k + 1]] for x in (a, b)]
+            rows.append((k, *[x.tobytes() for x in ((own >> np.uint64(16)).astype(np.uint32), (own & np.uint64(0xFFFF)).astype(np.uint16), m, docs, at.astype(np.uint16 if len(docs) <= 65536 else np.uint32), *edges)]))
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int32(), *[pa.binary()] * len(parts)))], ["bucket", *parts])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, ids, held = [], [], 0
+        kept, held = [], 0
         for whole in batches:
             for batch in _words.pieces(whole, "text"):
-                s, d = cell_signatures(*shingle_sets(batch.column("text"), n), t)
-                sigs.append(s)
-                ids.append(batch.column("_id").to_numpy(zero_copy_only=False).astype(np.int64)[d])
+                s, m, d = cell_signatures(*shingle_sets(batch.column("text"), n), t)
+                kept.append((s, m, batch.column("_id").to_numpy(zero_copy_only=False).astype(np.int64)[d]))
                 held += len(s)
                 if held >= _HELD:
-                    yield pack(np.concatenate(sigs), np.concatenate(ids))
-                    sigs, ids, held = [], [], 0
+                    yield pack(*map(np.concatenate, zip(*kept, strict=True)))
+                    kept, held = [], 0
         if held:
-            yield pack(np.concatenate(sigs), np.concatenate(ids))
+            yield pack(*map(np.concatenate, zip(*kept, strict=True)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = {k: [] for k in ("sigs", "ids", "a", "b")}
+        got: dict[int, list] = {}
+        pairs = []
         for batch in batches:
-            for k, kind in (("sigs", np.uint64), ("ids", np.int64), ("a", np.int64), ("b", np.int64)):
-                got[k] += [np.frombuffer(x, kind) for x in batch.column(k).to_pylist()]
-        if got["sigs"]:
-            _, _, a, b = _stars(np.concatenate(got["sigs"]), np.concatenate(got["ids"]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, *got[k]])) for k, x in (("a", a), ("b", b))], ["a", "b"])
-
-    packed = rows.mapInArrow(emit, "bucket int, sigs binary, ids binary, a binary, b binary")
-    return packed.repartition(buckets, "bucket").mapInArrow(gather, "a long, b long")
+            for row in batch.to_pylist():
+                docs = np.frombuffer(row["docs"], np.int64)
+                at = np.frombuffer(row["at"], np.uint16 if len(docs) <= 65536 else np.uint32)
+                sigs = (np.frombuffer(row["high"], np.uint32).astype(np.uint64) << np.uint64(16)) | np.frombuffer(row["low"], np.uint16)
+                got.setdefault(row["bucket"], []).append((sigs, np.frombuffer(row["maps"], np.uint64), docs[at]))
+                pairs.append((np.frombuffer(row["a"], np.int64), np.frombuffer(row["b"], np.int64)))
+        for bucket in list(got):
+            sigs, maps, ids, a, b = _stars(*map(np.concatenate, zip(*got.pop(bucket), strict=True)))
+            pairs += [(a, b), _close(sigs, maps, ids)]
+        if pairs:
+            a, b = _forest(*[np.concatenate(x) for x in zip(*pairs, strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    packed = rows.mapInArrow(emit, "bucket int, high binary, low binary, maps binary, docs binary, at binary, a binary, b binary")
+    return dealt(packed, buckets, "bucket").mapInArrow(gather, "a long, b long")
 
 
 class SignatureTree:
@@ -165,7 +246,7 @@ class SignatureTree:
         self.sets, self.t = sets, t
         self.sizes = np.array([len(x) for x in sets])
         self.root = np.arange(len(sets))
-        bits = 1 << max(8, min(13, int(2 * self.sizes.max()).bit_length()))
+        bits = 1 << max(8, min(13, int(4 * self.sizes.mean()).bit_length()))
         self.bitmaps = np.zeros((len(sets), bits // 64), np.uint64)
         for i, x in enumerate(sets):
             spot = (_words.mix(x) & np.uint64(bits - 1)).astype(np.int64)
@@ -245,11 +326,15 @@ def true_edges(members: DataFrame, n: int, t: float) -> DataFrame:
     """Edges (a, b) that span the linked representatives of each group of ``members`` (_id, text, comp, i, j)."""
 
     def run(table: pa.Table) -> pa.Table:
+        sets = []
+        for whole in table.select(["text"]).to_batches():
+            for batch in _words.pieces(whole, "text"):  # only the sets of a piece stay, not what hashing takes
+                hashes, at = shingle_sets(batch.column("text"), n)
+                sets += [hashes[a:b].copy() for a, b in zip(at[:-1], at[1:], strict=True)]
         ids = table.column("_id").to_numpy()
         order = np.argsort(ids)
-        hashes, at = shingle_sets(table.column("text").take(pa.array(order)), n)
         ids = ids[order]
-        root = SignatureTree([hashes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], t).join()
+        root = SignatureTree([sets[k] for k in order], t).join()
         rest = root != np.arange(len(root))
         return pa.table({"a": pa.array(ids[rest], pa.int64()), "b": pa.array(ids[root[rest]], pa.int64())})
 
