@@ -58,8 +58,7 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     hit = lines.join(again, ["t", "_s"])
     hit = hit.where(~F.col("first").eqNullSafe(F.col("_rk.i"))) if keep_first else hit
     gone = hit.groupBy("_rk").agg(F.collect_set("p").alias("_gone"))
-    out = carried(docs, F.col(text_col).alias("_text"), F.col(id_col).alias("_id"))
-    out = row_key(out, "_id", "_text").join(gone, "_rk", "left")
+    out = row_key(carried(docs), f"_row.`{id_col}`", f"_row.`{text_col}`").join(gone, "_rk", "left").withColumn("_text", F.col("_row").getField(text_col))
     out = out.withColumns({"_l": F.split("_text", "\n"), "_g": F.coalesce("_gone", F.array().cast("array<int>"))})
     return restored(out, docs.columns, **{
         text_col: F.when(F.size("_g") == 0, F.col("_text")).otherwise(F.expr("array_join(transform(array_except(sequence(0, size(_l) - 1), _g), i -> _l[i]), '\n')")),

@@ -287,8 +287,125 @@ def test_pipeline(spark, sf):
     assert {r["doc_id"] for r in coded} == ids[4] and all(list(r["ids"]) == library.encode_ordinary(last[r["doc_id"]]) for r in coded)
 
 
-@pytest.mark.parametrize("k", range(4))
+#: The ids of odd rows that each stage keeps.
+STAYS = [[], [1, 2, 3, None, 4, 5, 5, 6, 7, 8, 9], [1, 2, 3, None, 4, 6, 7, 8, 9], [1, 2, 3, None, 4, 5, 5, 6, 7, 8, 9], [1, 2, 3, None, 4, 5, 5, 6, 7, 8, 9]]
+
+
+@pytest.mark.parametrize("k", range(5))
 def test_stages_take_odd_rows(spark, sf, odd, k):
     docs = odd.withColumn("n_chars", F.length("text").cast("long"))
-    assert corpus_pipeline.STAGES[k][1](spark, docs, sf).columns == corpus_pipeline.COLUMNS
+    got = corpus_pipeline.STAGES[k][1](spark, docs, sf)
+    assert got.columns == (corpus_pipeline.COLUMNS if k < 4 else ["doc_id", "n_tokens", "ids", "decoded_sha256"])
+    key = lambda i: -1 if i is None else i
+    assert sorted((r["doc_id"] for r in got.collect()), key=key) == sorted(STAYS[k], key=key)
     assert corpus_pipeline.STAGES[k][1](spark, docs.limit(0), sf).count() == 0
+
+
+CLASH = ["_t", "_words", "_lines", "_win", "_again", "_kept", "_rk", "_l", "_g", "_gone", "_s", "_row", "_text", "_items", "_one", "_o", "_repo", "n_words", "n_lines", "n_dropped", "kept", "ids", "decoded"]
+
+
+def test_clashing_names_are_carried(spark):
+    text = "One line of some words that ends well and holds enough of them to be kept by the rules. " * 5
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").select("*", *[F.lit(f"own {c}").alias(c) for c in CLASH])
+    bench = spark.createDataFrame([(1, "x" * 50)], "item_id long, text string")
+    for made, out in (
+        (quality.RESULTS, quality.judge(docs)), (("n_lines", "n_dropped"), line_dedup.drop_recurring_lines(docs)), ((), decontam.drop_leaks(docs, bench)),
+        (("ids",), bpe.encode(docs, RANKS, PATTERN)),
+    ):
+        row = {r["doc_id"]: r for r in out.collect()}[1]
+        assert row["text"] == text and set(docs.columns) <= set(out.columns)
+        assert all(row[c] == f"own {c}" for c in CLASH if c not in made) and not any(row[c] == f"own {c}" for c in made)
+    assert secrets.scan(docs.withColumn("source", F.lit("s"))).count() == 2 and ngram_join.near_duplicates(docs).count() == 2
+    with pytest.raises(ValueError, match="_dc_"):
+        decontam.find_leaks(docs.withColumnRenamed("text", "_dc_text"), bench, text_col="_dc_text")
+
+
+def test_quality_takes_carriage_returns(spark):
+    line = "This is a line of some words that ends as it should. "
+    texts = [(1, "\r\n".join([line.strip() * 3] * 2 + [line * 9])), (2, "\r\n".join(["no end here at all " * 10] * 6))]
+    rows = by_id(quality.judge(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert rows[1]["clean_words"] == rows[1]["n_words"] and rows[2]["clean_words"] == 0
+
+
+def test_linked_sets_share_a_signature():
+    rng = np.random.default_rng(5)
+    for t in (0.8, 0.85, 0.5):
+        for size in (3, 20, 60, 150, 400, 2000):
+            for _ in range(10):
+                a = np.unique(rng.integers(0, 2**64, size, np.uint64))
+                n = int(rng.integers(int(np.ceil(t * size)), int(size / t) + 1))
+                both = int(np.ceil(t * (size + n) / (1 + t) - 1e-9))  # as few as linked sets of these sizes may share
+                if both <= min(n, size):
+                    b = np.unique(np.concatenate([rng.permutation(a)[:both], rng.integers(0, 2**64, n - both, np.uint64)]))
+                    sigs, maps, doc = ngram_join.cell_signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), t)
+                    own = {}
+                    for s, m in zip(sigs[doc == 0].tolist(), maps[doc == 0].tolist(), strict=True):
+                        own.setdefault(s, []).append(m)
+                    assert any((m ^ x).bit_count() <= ngram_join.DIFFER for s, m in zip(sigs[doc == 1].tolist(), maps[doc == 1].tolist(), strict=True) for x in own.get(s, []))
+
+
+def test_close_bitmaps_are_joined(monkeypatch):
+    rng = np.random.default_rng(6)
+    for _ in range(100):
+        n = int(rng.integers(1, 50))
+        monkeypatch.setattr(ngram_join, "DIFFER", int(rng.integers(0, 6)))
+        sigs = np.sort(rng.integers(0, 5, n).astype(np.uint64))
+        maps = rng.integers(0, 2**64, 4, np.uint64)[rng.integers(0, 4, n)] ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
+        up = list(range(n))
+        find = lambda i, up=up: i if up[i] == i else find(up[i])
+
+        def join(pairs, up):
+            up[:] = range(n)
+            for i, j in pairs:
+                i, j = find(i, up), find(j, up)
+                up[max(i, j)] = min(i, j)
+            return [find(i, up) for i in range(n)]
+
+        want = join([(i, j) for i in range(n) for j in range(i) if sigs[i] == sigs[j] and (int(maps[i]) ^ int(maps[j])).bit_count() <= ngram_join.DIFFER], up)
+        a, b = ngram_join._close(sigs, maps, np.arange(n))
+        assert join(zip(a.tolist(), b.tolist(), strict=True), up) == want and len(a) <= n
+
+
+def test_leaks_against_edit_distance(spark):
+    """Every window of every passage against every stretch of every text, by the plain recurrence."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 7)))
+    passages = {k: " ".join(word() for _ in range(rng.choice([3, 14, 25, 40]))) for k in range(10)} | {10: "short one", 11: "", 12: "  "}
+
+    def edited(text, n):
+        for _ in range(n):
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(["", "z", text[at] + "q"]) + text[at + 1 :]
+        return text
+
+    texts = {k: " ".join([*[word() for _ in range(rng.randint(0, 20))], edited(rng.choice(list(passages.values())[:10]), rng.choice([0, 1, 3, 5, 8, 14])), *[word() for _ in range(rng.randint(0, 20))]]) for k in range(40)}
+    texts |= {100: "it says Short  one, and", 101: "a shortone", 102: "short ones", 103: None, 104: ""}
+
+    def least(a, b):
+        row = np.zeros(len(b) + 1, np.int64)
+        steps = np.arange(len(b) + 1)
+        b = np.frombuffer(b, np.uint8)
+        for i, x in enumerate(a, 1):
+            new = np.minimum(row + 1, np.concatenate([[i], row[:-1] + (b != x)]))
+            row = np.minimum.accumulate(new - steps) + steps
+        return row.min()
+
+    fold = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", H.lower(t or "")).strip()
+    want = {}
+    for k, t in texts.items():
+        found, text = [], fold(t)
+        for item, passage in passages.items():
+            p = fold(passage).encode()
+            if len(p) >= 40:
+                starts = {*range(0, max(1, len(p) - 99), 50), max(0, len(p) - 100)}
+                windows = [p[a : a + 100] for a in starts]
+                if any(least(w, text.encode()) <= min(int(len(w) * 0.05), (len(w) - 12) // 12) for w in windows):
+                    found.append(item)
+            elif p and re.search(rf"(?<![0-9a-z]){re.escape(p.decode())}(?![0-9a-z])", text):
+                found.append(item)
+        want[k] = found
+    df, items = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(passages.items()), "item_id long, text string")
+    for size in (4_000_000, 300):
+        got = {r["doc_id"]: (r["contaminated"], list(r["items"])) for r in decontam.find_leaks(df, items, part_bytes=size).collect()}
+        assert got == {k: (bool(v), v) for k, v in want.items()}
+    assert 5 < sum(map(bool, want.values())) < len(want)

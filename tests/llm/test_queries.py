@@ -79,6 +79,57 @@ def test_op7_keeps_first_and_unique_lines(spark, sf, texts):
                 assert line not in kept
 
 
+def line_templates(line):
+    """The templates that a line supports, and the line itself where it is long."""
+    if re.search(r"[0-9@]|://", line):
+        line_ = re.sub(r"[^ ]*([0-9@]|://)[^ ]*", "<*>", line)
+    else:
+        line_ = line
+    w = H.words(line_)
+    out = [("line", line)] if len(w) > 50 else []
+    if len(w) < 3:
+        return out
+    head, rest = (len(w), *w[:3]), w[3:]
+    if len(rest) < 8:
+        return [*out, (head, tuple(w))]
+    step = -(-len(rest) // 4)
+    fields = [tuple(rest[k * step : (k + 1) * step]) for k in range(4)]
+    return [*out, (head, tuple(fields)), *[(head, tuple(None if j == k else f for j, f in enumerate(fields))) for k in range(4)]]
+
+
+def test_op7_against_plain_templates(spark, sf, texts):
+    lines = {i: [(x, line_templates(x)) for x in t.split("\n")] for i, t in texts.items() if t is not None}
+    held = defaultdict(set)
+    for i, own in lines.items():
+        for _, keys in own:
+            for k in keys:
+                held[k].add(i)
+    again = {k: min(ids) for k, ids in held.items() if len(ids) >= (2 if k[0] == "line" else 3)}
+    for r in Q.op7_line_dedup(spark, sf).collect():
+        i = r["doc_id"]
+        kept = [x for x, keys in lines[i] if all(again.get(k, i) == i for k in keys)]
+        assert r["text"] == "\n".join(kept) and r["n_dropped"] == len(lines[i]) - len(kept), i
+
+
+def test_op8_against_plain_ownership(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    kinds = {"assign": (r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), "access": (r"AKIA[A-Z0-9]+", 0, 18), "hex": (r"[0-9a-f]{16,}", 0, 16), "blob": (r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}", 0, 20)}
+    spans, owners, repos = {}, defaultdict(set), defaultdict(set)
+    for d in docs:
+        found = [(m.start(), list(kinds).index(k), m.end(), k, m[g]) for k, (p, g, least) in kinds.items() for m in re.finditer(p, d["text"] or "", re.ASCII) if len(m[g]) >= least]
+        spans[d["doc_id"]] = sorted(found)
+        for *_, value in found:
+            owners[value].add(d["source"] or "")
+            repos[value].add(d["text"])
+    example = {v for v in owners if len(owners[v]) >= 3 or len(repos[v]) >= 10}
+    for r in Q.op8_secrets(spark, sf).collect():
+        base = [s for s in spans[r["doc_id"]] if s[3] != "blob"]
+        added = [s for s in spans[r["doc_id"]] if s[3] == "blob" and s[4] not in example and not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+        every = sorted(base + added)
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for a, _, b, k, _ in every)
+        assert (r["n_live"], r["n_example"]) == (sum(s[4] not in example for s in every), sum(s[4] in example for s in base))
+
+
 def test_op8_base_spans(spark, sf, texts):
     kinds = [(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12), (r"AKIA[A-Z0-9]+", 0, 18), (r"[0-9a-f]+", 0, 16)]
     for r in Q.op8_secrets(spark, sf).collect():
