@@ -185,7 +185,8 @@ def _close(sigs: np.ndarray, maps: np.ndarray, ids: np.ndarray) -> tuple[np.ndar
 def candidate_edges(docs: DataFrame, id_col: str, text_col: str, n: int, t: float) -> DataFrame:
     """Edges (a, b) whose components hold every linked pair. Signatures travel as packed arrays by range of the hash."""
     spark = docs.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
+    # An edge is sent by each bucket that finds it, so there are no more buckets than a task's memory asks for.
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, 8)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).where("_id is not null")
     low = np.uint64((1 << 48) - 1)
     parts = ("high", "low", "maps", "docs", "at", "a", "b")
