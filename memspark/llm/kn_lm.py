@@ -2,7 +2,7 @@
 
 1. Count. Words are 48-bit hashes. A text begins with one start mark and ends with an end mark, which is a token; the first tokens of a text, whose
    history is shorter, are counted at the level that their history has. Each task counts n-grams of the full order and sends them, packed by part
-   with each column's dictionary, by the last word of the history. So one part holds all n-grams of a history, and also all that end
+   with each column's distinct words apart, by the last word of the history. So one part holds all n-grams of a history, and also all that end
    alike in two words: each lower order, whose counts are the numbers of distinct words before, follows in the same place from the one above.
 2. Hot words. A word that would be a large share of a part (the start mark always) is dealt by the word before it as well. Its pairs, the only level
    that this splits, meet again by their second word in a shuffle of their own, and the sums of its history are added up over the parts. Which words are hot is
@@ -30,21 +30,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm import _words
-from memspark.llm._shared import local_path, shared_dir, small_arrow_batches
+from memspark.llm._shared import dealt, local_path, shared_dir, small_arrow_batches
 
 #: Words have so many bytes; marks are words of their own.
 WORD = 6
 START, END = np.uint64(0x5851F42D4C95), np.uint64(0x14057B7EF767)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
+_STEP, _BELOW = np.uint64(0x9E3779B97F4A7C15), np.uint64(8 * WORD)
+#: Bytes of tables that a worker maps at once.
+MAPPED = 128_000_000
 #: N-grams that a task holds before it sends them on.
 _HELD = 3_000_000
 #: A word is hot from this share of a part on; of one text in SAMPLE; at most so many words.
-HOT_SHARE, SAMPLE, MOST_HOT, MOST_PARTS = 1 / 8, 64, 4096, 65_536
+HOT_SHARE, SAMPLE, MOST_HOT, MOST_PARTS = 1 / 4, 64, 4096, 65_536
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -106,22 +108,51 @@ def _summed(grams: np.ndarray, first: np.ndarray, *values: np.ndarray) -> tuple[
     return (grams[:, order[new]], first[new], key[new], *sums)
 
 
+def _by(grams: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """What packed rows are in order of: the part, and in it the word that they are dealt by."""
+    return (part.astype(np.uint64) << _BELOW) | grams[max(len(grams) - 2, 0)]
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each number, place by place, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize)[:, :width].T).tobytes())
+
+
+def _numbers(data: bytes, width: int, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((raw.shape[1], np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = raw.T
+    return out.view(kind)[:, 0]
+
+
 def _coded(grams: np.ndarray, numbers: list[np.ndarray]) -> bytes:
-    """Rows of words and numbers as one small Parquet file: dictionaries make a word two or three bytes."""
-    columns = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(WORD), grams.shape[1], [None, pa.py_buffer(np.ascontiguousarray(row).view(np.uint8).reshape(-1, 8)[:, :WORD].tobytes())]) for row in grams]
-    columns += [pa.array(x.astype(np.int64)) for x in numbers]
-    out = pa.BufferOutputStream()
-    pq.write_table(pa.table(columns, [str(k) for k in range(len(columns))]), out, compression="NONE", row_group_size=1 << 30, dictionary_pagesize_limit=1 << 30, write_statistics=False, store_schema=False)
-    return out.getvalue().to_pybytes()
+    """Rows of words and numbers, in order of the word that they are dealt by: each row's distinct words as differences, places in these (of the ordered row as differences), and numbers."""
+    shape, blobs = [grams.shape[1]], []
+    for k, row in enumerate(grams):
+        words, at = np.unique(row, return_inverse=True)
+        width = 2 if len(words) <= 65_536 else 4
+        at = at.astype(np.uint32)
+        blobs += [_planes(np.diff(words, prepend=np.uint64(0)), WORD), _planes(np.diff(at, prepend=np.uint32(0)) if k == max(len(grams) - 2, 0) else at, width)]
+        shape += [WORD, len(blobs[-2]), width, len(blobs[-1])]
+    for x in numbers:
+        width = 1 if x.max(initial=0) < 256 else 8
+        blobs.append(_planes(x.astype(np.int64), width))
+        shape += [width, len(blobs[-1])]
+    return np.array([len(shape), *shape], np.int32).tobytes() + b"".join(blobs)
 
 
 def _decoded(data: bytes, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    table = pq.read_table(pa.BufferReader(data), use_threads=False)
-    grams = np.zeros((words, table.num_rows, 8), np.uint8)
-    for k in range(words):
-        raw = pa.concat_arrays(table.column(k).chunks)
-        grams[k, :, :WORD] = np.frombuffer(raw.buffers()[1], np.uint8)[raw.offset * WORD : (raw.offset + len(raw)) * WORD].reshape(-1, WORD)
-    return grams.view("<u8").reshape(words, -1), [table.column(k).to_numpy() for k in range(words, table.num_columns)]
+    n = int(np.frombuffer(data, np.int32, 1)[0])
+    shape, at, out = np.frombuffer(data, np.int32, n, 4).tolist(), 4 * (n + 1), []
+    for k, (width, size) in enumerate(zip(shape[1::2], shape[2::2], strict=True)):
+        kind = np.uint64 if k < 2 * words and k % 2 == 0 else np.uint32 if k < 2 * words else np.int64
+        x = _numbers(data[at : at + size], width, kind)
+        if k < 2 * words and (k % 2 == 0 or k // 2 == max(words - 2, 0)):
+            x = np.cumsum(x, dtype=kind)
+            x = x & kind((1 << 8 * width) - 1)
+        out.append(x)
+        at += size
+    return np.stack([w[i] for w, i in zip(out[: 2 * words : 2], out[1 : 2 * words : 2], strict=True)]), out[2 * words :]
 
 
 #: A row: packed n-grams of a level for a part; or (no data) sums of a level, or of a hot word's history.
@@ -152,8 +183,8 @@ def count_grams(train: DataFrame, text_col: str, deal: Deal, order: int) -> Data
                 if kept:
                     grams = np.concatenate(kept, axis=1)
                     kept.clear()
-                    grams, part, _, n = _summed(grams, deal.part_of(grams), np.ones(grams.shape[1], np.int64))
-                    rows += _packed(grams, [n], part, deal.parts)
+                    grams, by, _, n = _summed(grams, _by(grams, deal.part_of(grams)), np.ones(grams.shape[1], np.int64))
+                    rows += _packed(grams, [n], by >> _BELOW, deal.parts)
             return _rows(rows)
 
         for whole in batches:
@@ -296,11 +327,17 @@ class Model:
         self.folder, self.deal, self.totals = folder, deal, totals
         self.hot_heads = np.array([[0, 0, 0, 0]] + [hot_heads.get(int(w), (0, 0, 0, 0)) for w in deal.hot], np.int64)[1:]
         self.maps: dict[str, Table | None] = {}
+        self.mapped = 0
 
     def table(self, name: str, part: int) -> Table | None:
+        """A part's table. A worker maps at most about MAPPED bytes at once; the files stay in the machine's page cache."""
         path = f"{self.folder}/{name}-{part}"
         if path not in self.maps:
-            self.maps[path] = Table(path) if os.path.exists(path) else None
+            found = Table(path) if os.path.exists(path) else None
+            self.mapped += os.path.getsize(path) if found else 0
+            if self.mapped > MAPPED:
+                self.maps, self.mapped = {}, os.path.getsize(path) if found else 0
+            self.maps[path] = found
         return self.maps[path]
 
     def look_up(self, name: str, keys: np.ndarray, part: np.ndarray, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -422,8 +459,8 @@ def train_model(train: DataFrame, text_col: str = "text", folder: str | None = N
 
     def words_below(grams: np.ndarray, plain: np.ndarray) -> list[tuple]:
         words = grams[-1:]
-        words, part, _, cont, count = _summed(words, deal.part_of(words), np.ones(words.shape[1], np.int64), plain)
-        return _packed(words, [cont, count], part, parts)
+        words, by, _, cont, count = _summed(words, _by(words, deal.part_of(words)), np.ones(words.shape[1], np.int64), plain)
+        return _packed(words, [cont, count], by >> _BELOW, parts)
 
     def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Writes the n-grams and histories of a part, from the full order down; sends words, pairs of hot words and counts of counts on."""
@@ -434,9 +471,9 @@ def train_model(train: DataFrame, text_col: str = "text", folder: str | None = N
                 grams, first, key, n, plain = _joined([*rows.pop(level, []), *below], level)
                 if level == 2:
                     apart = deal.is_hot(grams[0])
-                    to = deal.part_of(grams[:, apart])
-                    by = np.argsort(to, kind="stable")
-                    yield _rows(_packed(grams[:, apart][:, by], [n[apart][by], plain[apart][by]], to[by], parts))
+                    by = _by(grams[:, apart], deal.part_of(grams[:, apart]))
+                    way = np.argsort(by)
+                    yield _rows(_packed(grams[:, apart][:, way], [n[apart][way], plain[apart][way]], by[way] >> _BELOW, parts))
                     grams, first, key, n, plain = grams[:, ~apart], first[~apart], key[~apart], n[~apart], plain[~apart]
                 _save_grams(folder, str(level), part, key, n)
                 head, _, total, *seen = _heads(first, n)
@@ -467,7 +504,7 @@ def train_model(train: DataFrame, text_col: str = "text", folder: str | None = N
 
     packed = count_grams(train, text_col, deal, order)
     for step in (levels, hot_pairs, vocabulary):
-        packed = packed.repartition(parts, "part").mapInArrow(step, _ROW)
+        packed = dealt(packed, parts, "part").mapInArrow(step, _ROW)
     sums = packed.groupBy("level", "word").agg(*[F.sum(F.col("of")[k]).alias(f"x{k}") for k in range(5)]).collect()
     of = {k: [0] * 5 for k in range(order + 1)} | {r["level"]: [int(x) for x in r[2:]] for r in sums if r["level"] >= 0}
     heads = tuple((r["word"], tuple(int(x) for x in r[2:6])) for r in sums if r["level"] < 0)
