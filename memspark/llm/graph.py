@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memspark.llm._shared import durable
 
 
-def _flat(moves: DataFrame) -> DataFrame:
+def follow(moves: DataFrame) -> DataFrame:
     """``moves`` (a, to) followed to their ends. Each pass doubles the steps, so a chain takes the logarithm of its length."""
     while True:
         further = moves.where("to != a").select(F.col("a").alias("to"), F.col("to").alias("_up"))
@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        moves = _flat(durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))))
+        moves = follow(durable(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))))
         if labels is None:
             labels = moves.toDF("node", "label")
         else:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspark.llm import bpe, decontam, kn_lm, lang_id, line_dedup, ngram_join, quality, secrets, token_count, url_filter
+from memspark.llm import bpe, decontam, kn_lm, lang_id, line_dedup, ngram_join, quality, secrets, spelling, token_align, token_count, url_filter, vector_dups
 
 # The host rules, and listed sites and pages.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -124,9 +124,53 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+#: Classes of equal vectors, all pairs of a label's. Components take the least id reached.
+OP11_SQL = """
+with recursive e as (select vec_id, label, embedding::double[] v from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+c as materialized (select label, v, min(vec_id) cid, count(*) n, sqrt(list_dot_product(v, v)) size from e group by 1, 2),
+l as materialized (select a.cid a, b.cid b, b.n n from c a join c b on a.label = b.label and a.cid <> b.cid and len(a.v) = len(b.v) and list_dot_product(a.v, b.v) >= 0.98 * a.size * b.size),
+r(a, b) as (select cid, cid from c union select r.a, l.b from r join l on r.b = l.a),
+m as (select a, min(b) least from r group by 1), k as (select a, sum(n) n from l group by 1)
+select o.vec_id, coalesce(c.n - 1 + coalesce(k.n, 0), 0)::bigint n_links, coalesce(m.least, o.vec_id) component_id, coalesce(o.vec_id = coalesce(m.least, o.vec_id), true) kept
+from embeddings o left join e on o.vec_id = e.vec_id and o.label = e.label left join c on c.label = e.label and c.v = e.v left join m on m.a = c.cid left join k on k.a = c.cid
+"""
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+#: The checksum is spelled out, a byte at a time; words near each other meet at what is left of them without one letter.
+OP12_SQL = """
+with recursive crc(k, c, i) as (select range::uinteger, range::uinteger, 0 from range(256) union all select k, case when c & 1 = 1 then xor(c >> 1, 3988292384::uinteger) else c >> 1 end, i + 1 from crc where i < 8),
+t as (select list(c order by k) t from crc where i = 8),
+r as (select coalesce(doc_id::varchar, '') id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') run from documents),
+d as (select id, run, count(*) n, hex(encode(id || ':' || run)) x from r group by 1, 2),
+h as (select run, n, xor(list_reduce(list_transform(range(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::uinteger), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::uinteger), 4294967295::uinteger) h from d, t),
+w as (select case when h % 199 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end word, n from h),
+v as materialized (select word, sum(n)::bigint n from w where length(word) >= 6 group by 1 having sum(n) >= 5),
+s as (select word, i, substr(word, 1, i - 1) || substr(word, i + 1) rest from (select word, unnest(range(1, length(word) + 1)) i from v)),
+p as (select a.word a, b.word b from s a join s b on a.i = b.i and a.rest = b.rest and a.word <> b.word union select v.word, s.word from v join s on v.word = s.rest union select s.word, v.word from v join s on v.word = s.rest),
+b as (select a word, count(*) n_near, max(v.n) most from p join v on v.word = p.b group by 1),
+g as (select b.word, n_near, most, min(v.word) best from b join p on p.a = b.word join v on v.word = p.b and v.n = most group by 1, 2, 3),
+f as materialized (select v.word, v.n, coalesce(n_near, 0) n_near, case when most >= 5 * v.n then best end form, case when most >= 5 * v.n then most end form_n from v left join g using (word)),
+u(word, root, form) as (select word, word, form from f union all select u.word, f.word, f.form from u join f on f.word = u.form)
+select f.word, f.form, u.root, f.n, f.n_near, f.form_n from f join u on u.word = f.word and u.form is null
+"""
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op3_ngram_join": op3_ngram_join, "op4_lang_id": op4_lang_id, "op5_token_count": op5_token_count, "op6_lm_score": op6_lm_score, "op7_line_dedup": op7_line_dedup, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination, "op10_bpe": op10_bpe}
+    return {"op1_url_filter": op1_url_filter, "op2_quality": op2_quality, "op3_ngram_join": op3_ngram_join, "op4_lang_id": op4_lang_id, "op5_token_count": op5_token_count, "op6_lm_score": op6_lm_score, "op7_line_dedup": op7_line_dedup, "op8_secrets": op8_secrets, "op9_decontamination": op9_decontamination, "op10_bpe": op10_bpe, "op11_embedding_dups": op11_embedding_dups, "op12_spelling": op12_spelling, "op13_token_align": op13_token_align}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL, "op2_quality": OP2_SQL}
+    return {"op1_url_filter": OP1_SQL, "op2_quality": OP2_SQL, "op11_embedding_dups": OP11_SQL, "op12_spelling": OP12_SQL}
