@@ -1,6 +1,7 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap by a threshold, and their components.
 
-1. Sets. Each document's distinct shingle hashes; documents of equal sets are one class, represented by the smallest id.
+1. Sets. Each document's distinct shingle hashes; documents of equal sets (by two 64-bit hashes) are one class, and links are between classes. Ids are joined at the end,
+   so an id that stands at several texts links none of them.
 2. Blocking without loss. Two linked sets differ in at most D = (1-t)/(1+t) * (|A|+|B|) shingles. For the sizes at hand the hash range is cut into
    groups, so many that one of them at least holds k = DIFFER differences or fewer, and each group into more than k cells, so a linked pair agrees on the
    whole content of a cell of that group. Each document emits a hash of each non-empty cell with a parity bitmap of the
@@ -19,7 +20,8 @@
 No pairs are emitted, only edges to a root. Hashes have 64 bits.
 
 Defined cases: null or wordless texts have an empty set, are linked with nothing and are their own component. Rows of
-a null id are judged but have a null component. Rows of equal id and different texts are judged each by its text.
+a null id are judged but have a null component. Rows of equal id and different texts are judged each by its text: its component is the smallest id of the
+texts that this text is linked with. Texts are taken whole, whatever their length; an empty table gives an empty one; only the two named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm import _words
-from memspark.llm._shared import dealt, durable, small_arrow_batches
+from memspark.llm._shared import dealt, durable, small_arrow_batches, written
 from memspark.llm.graph import components
 
 _SALT1, _SALT2, _SALT3 = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0)
@@ -55,16 +57,21 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _words.sets(*_words.shingle_hashes(*_words.word_hashes(texts), n))
 
 
+def set_hash(hashes: np.ndarray, at: np.ndarray, salt: np.uint64) -> np.ndarray:
+    return _words.range_sums(_words.mix(hashes ^ salt), at).view(np.int64)
+
+
 def set_sizes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """_id, n_shingles, h1, h2 of each row: equal sets have equal h1 and h2."""
+    """_id, _row (of its id and text), n_shingles, h1, h2 of each row: equal sets have equal h1 and h2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _words.pieces(whole, "text"):
                 hashes, at = shingle_sets(batch.column("text"), n)
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(np.diff(at)), *[pa.array(_words.range_sums(_words.mix(hashes ^ salt), at).view(np.int64)) for salt in (_SALT1, _SALT2)]], ["_id", "n_shingles", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_row"), pa.array(np.diff(at)), *[pa.array(set_hash(hashes, at, salt)) for salt in (_SALT1, _SALT2)]], ["_id", "_row", "n_shingles", "h1", "h2"])
 
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).mapInArrow(run, "_id long, n_shingles long, h1 long, h2 long")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col, id_col).alias("_row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "_id long, _row long, n_shingles long, h1 long, h2 long")
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -183,11 +190,14 @@ def _close(sigs: np.ndarray, maps: np.ndarray, ids: np.ndarray) -> tuple[np.ndar
 
 
 def candidate_edges(docs: DataFrame, id_col: str, text_col: str, n: int, t: float) -> DataFrame:
-    """Edges (a, b) whose components hold every linked pair. Signatures travel as packed arrays by range of the hash."""
+    """Edges (a, b) between the first hashes of sets, whose components hold every linked pair. Signatures travel as packed arrays by range of the hash.
+
+    Two sets that share the first hash by chance share a component, which is only somewhat larger for it.
+    """
     spark = docs.sparkSession
     # An edge is sent by each bucket that finds it, so there are no more buckets than a task's memory asks for.
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, 8)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).where("_id is not null")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"))
     low = np.uint64((1 << 48) - 1)
     parts = ("high", "low", "maps", "docs", "at", "a", "b")
 
@@ -208,8 +218,9 @@ def candidate_edges(docs: DataFrame, id_col: str, text_col: str, n: int, t: floa
         kept, held = [], 0
         for whole in batches:
             for batch in _words.pieces(whole, "text"):
-                s, m, d = cell_signatures(*shingle_sets(batch.column("text"), n), t)
-                kept.append((s, m, batch.column("_id").to_numpy(zero_copy_only=False).astype(np.int64)[d]))
+                hashes, at = shingle_sets(batch.column("text"), n)
+                s, m, d = cell_signatures(hashes, at, t)
+                kept.append((s, m, set_hash(hashes, at, _SALT1)[d]))
                 held += len(s)
                 if held >= _HELD:
                     yield pack(*map(np.concatenate, zip(*kept, strict=True)))
@@ -324,50 +335,66 @@ class SignatureTree:
 
 
 def true_edges(members: DataFrame, n: int, t: float) -> DataFrame:
-    """Edges (a, b) that span the linked representatives of each group of ``members`` (_id, text, comp, i, j)."""
+    """Edges (a, b) that span the linked classes of each group of ``members`` (class, h1, h2, text, comp, i, j). Of a class whose id stands at several texts only its own text counts."""
 
     def run(table: pa.Table) -> pa.Table:
-        sets = []
+        sets, own, begin = [], [], 0
         for whole in table.select(["text"]).to_batches():
             for batch in _words.pieces(whole, "text"):  # only the sets of a piece stay, not what hashing takes
                 hashes, at = shingle_sets(batch.column("text"), n)
-                sets += [hashes[a:b].copy() for a, b in zip(at[:-1], at[1:], strict=True)]
-        ids = table.column("_id").to_numpy()
-        order = np.argsort(ids)
-        ids = ids[order]
-        root = SignatureTree([sets[k] for k in order], t).join()
+                mine = table.slice(begin, batch.num_rows)
+                begin += batch.num_rows
+                same = np.logical_and(*[set_hash(hashes, at, salt) == mine[h].to_numpy() for h, salt in (("h1", _SALT1), ("h2", _SALT2))])
+                own.append(same)
+                sets += [hashes[a:b].copy() for a, b, ok in zip(at[:-1], at[1:], same, strict=True) if ok]
+        ids = table.column("class").to_numpy()[np.concatenate(own)]
+        ids, first = np.unique(ids, return_index=True)  # repeated rows once
+        root = SignatureTree([sets[k] for k in first], t).join()
         rest = root != np.arange(len(root))
         return pa.table({"a": pa.array(ids[rest], pa.int64()), "b": pa.array(ids[root[rest]], pa.int64())})
 
     return members.groupBy("comp", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, salts: int = 8) -> DataFrame:
-    """id_col, n_shingles, component_id of each row: the smallest id that it is linked to, over any chain of links.
-
-    Words are runs of characters other than space, \\t, \\n, \\v, \\f and \\r, A-Z as a-z; a text of fewer than
-    ``n`` words has its whole sequence as one shingle. Linked: |A & B| >= threshold * |A | B|.
-    """
+def judged(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, salts: int = 8) -> DataFrame:
+    """_id, _row, n_shingles, component_id of each row; see ``near_duplicates``."""
     spark = docs.sparkSession
     small_arrow_batches(spark)
-    sizes = durable(set_sizes(docs, id_col, text_col, n))
-    classes = sizes.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"))
-    reps = classes.where("rep is not null").select("rep", "n")
+    sizes = written(set_sizes(docs, id_col, text_col, n), "shingle-sets")
+    classes = sizes.where("n_shingles > 0 and _id is not null").groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"))
+    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "shingle-classes")  # numbered once, as written
     groups = components(candidate_edges(docs, id_col, text_col, n, threshold))
-    found = durable(groups.join(reps.toDF("node", "n"), "node").select(F.col("node").alias("_id"), F.col("label").alias("comp"), "n"))
+    found = durable(groups.join(classes.withColumnRenamed("h1", "node"), "node").select("class", F.col("node").alias("h1"), "h2", "rep", F.col("label").alias("comp"), "n"))
     totals = found.groupBy("comp").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")).where("members > 1")
-    found = durable(found.join(totals, "comp").select("_id", "comp", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks")))
+    found = durable(found.join(totals, "comp").select("class", "h1", "h2", F.col("rep").alias("_id"), "comp", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("blocks")))
     if found.isEmpty():
-        labels = found.select(F.col("_id").alias("node"), F.col("comp").alias("label"))
+        labels = found.select(F.col("class").alias("node"), F.col("comp").alias("label"))
     else:
         found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
         texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).join(found, "_id")
-        mine = F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int")
+        mine = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
         texts = texts.withColumn("_b", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        texts = texts.select("_id", "text", "comp", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"))
+        texts = texts.select("class", "h1", "h2", "text", "comp", F.least("_b", "_o").alias("i"), F.greatest("_b", "_o").alias("j"))
         labels = components(true_edges(texts, n, threshold))
-    copied = classes.where("copies > 1 and rep is not null").select("h1", "h2", "rep").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = sizes.withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")).join(copied, ["h1", "h2", "_s"], "left")
-    rows = rows.withColumn("_node", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "_id")))
-    rows = rows.join(labels.toDF("_node", "_label"), "_node", "left")
-    return rows.select(F.col("_id").alias(id_col), "n_shingles", F.when(F.col("_id").isNotNull(), F.coalesce("_label", "_node", "_id")).alias("component_id"))
+    named = classes.join(labels.toDF("class", "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    least = named.groupBy("label").agg(F.min("rep").alias("component"))
+    # A class of one row and no links says nothing that the row does not.
+    named = named.join(least, "label").where("copies > 1 or component != rep").select("h1", "h2", "component").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = sizes.withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")).join(named, ["h1", "h2", "_s"], "left")
+    return rows.select("_id", "_row", "n_shingles", F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """id_col, n_shingles, component_id of each row: the smallest id that its text is linked to, over any chain of links.
+
+    Words are runs of characters other than space, \\t, \\n, \\v, \\f and \\r, A-Z as a-z; a text of fewer than
+    ``n`` words has its whole sequence as one shingle. Linked: |A & B| >= threshold * |A | B|.
+    """
+    return judged(docs, id_col, text_col, n, threshold).select(F.col("_id").alias(id_col), "n_shingles", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose text is nobody's copy, or belongs to the smallest id of its group. Repeated rows stay or go alike."""
+    gone = judged(docs, id_col, text_col, n, threshold).where("component_id != _id").select(F.col("_id").alias("_gone"), "_row").distinct()
+    key = F.xxhash64(text_col, id_col)
+    return docs.join(gone, (docs[id_col].cast("long") == gone["_gone"]) & (key == gone["_row"]), "left_anti")
