@@ -4,8 +4,8 @@ Each language has a zstandard dictionary of raw text from labelled documents. A
 block of it is compressed with each dictionary, and the sizes are summed; the smallest total wins. Where the
 margin to the next is narrow the answer is marked as rejected; the language named is still the best one.
 
-The dictionaries are fitted on a bounded sample: for each language the ``sample_docs`` distinct texts of smallest hash, of each of
-which at most ``sample_bytes`` characters around its middle are used, ``dict_bytes`` in all. Predictions read whole texts.
+The dictionaries are fitted on a bounded sample: for each language the ``sample_docs`` distinct texts with a letter of smallest hash, of each of
+which at most ``sample_bytes`` characters around its middle are used, ``dict_bytes`` in all; where languages are many, each has its share of ``all_bytes``. Predictions read whole texts.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text where nothing can be learned
 (an empty table, no label). Ties go to the language of more training documents, then to the first by name. Rows are judged one by one,
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
@@ -30,26 +31,33 @@ UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 200, sample_bytes: int = 2048, dict_bytes: int = 112_640, most_langs: int = 400) -> dict[str, bytes]:
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 200, sample_bytes: int = 2048, dict_bytes: int = 112_640, all_bytes: int = 64_000_000) -> dict[str, bytes]:
     """A dictionary's content of at most ``dict_bytes`` bytes for each language of ``train``, languages of more documents first."""
-    known = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs + 1).collect()
-    if len(counted) > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
-    if not counted:
-        return {}
-    # Of a large language only hashes below a bound are looked at: eight times as many as are wanted, before the first shuffle.
-    share = F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1.0, 8 * sample_docs / r["n"]))])
-    near = known.withColumn("h", F.xxhash64("text")).where((F.col("h") / 2.0**64 + 0.5 <= share[F.col("lang")]) & F.col("text").rlike(r"\p{L}"))
-    near = near.select("lang", "h", F.expr(f"substring(text, cast(greatest(1, length(text) div 2 - {sample_bytes // 2}) as int), {sample_bytes})").alias("text"))
-    distinct = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
-    ranked = distinct.withColumn("r", F.expr("row_number() over (partition by lang order by h)")).where(F.col("r") <= sample_docs)
+    known = train.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("distinct")).orderBy(F.desc("n"), "lang").collect()
+    dict_bytes = min(dict_bytes, all_bytes // max(1, len(counted)))
+    # Of a language of many texts only hashes below a bound are looked at: eight times as many as are wanted, before the first shuffle. Where fewer than wanted pass, the bound is raised until all do.
+    share = {r["lang"]: min(1.0, 8 * sample_docs / max(1, r["distinct"])) for r in counted}
     texts: dict[str, list[str]] = {r["lang"]: [] for r in counted}
-    for row in ranked.orderBy("lang", "h").collect():
-        if sum(map(len, texts[row["lang"]])) < dict_bytes:
-            texts[row["lang"]].append(row["text"])
-    # What is nearest to a block's start is matched at the least cost: the first of the sample come last.
-    return {lang: "\n".join(reversed(found)).lower().encode()[-dict_bytes:] for lang, found in texts.items() if found}
+    wanted = list(texts)
+    while wanted:
+        bound = F.create_map(*[F.lit(x) for lang in wanted for x in (lang, share[lang])])[F.col("lang")]
+        near = known.where(F.col("lang").isin(wanted) & (F.col("h") / 2.0**64 + 0.5 <= bound))
+        near = near.select("lang", "h", F.expr(f"substring(text, cast(greatest(1, length(text) div 2 - {sample_bytes // 2}) as int), {sample_bytes})").alias("text"))
+        distinct = near.groupBy("lang", "h").agg(F.min("text").alias("text"))
+        ranked = distinct.withColumn("r", F.expr("row_number() over (partition by lang order by h)")).where(F.col("r") <= sample_docs)
+        found: dict[str, list[str]] = {lang: [] for lang in wanted}
+        for row in ranked.orderBy("lang", "h").collect():
+            found[row["lang"]].append(row["text"])
+        texts |= found
+        wanted = [lang for lang in wanted if len(found[lang]) < sample_docs and share[lang] < 1]
+        share |= {lang: min(1.0, 64 * share[lang]) for lang in wanted}
+    out = {}
+    for lang, of in texts.items():
+        sizes = [0, *accumulate(map(len, of))]
+        # What is nearest to a block's start is matched at the least cost: the first of the sample come last.
+        out[lang] = "\n".join(reversed([t for t, before in zip(of, sizes, strict=False) if before < dict_bytes])).lower().encode()[-dict_bytes:]
+    return out
 
 
 class Compressors:
