@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm import _words
-from memspark.llm._shared import dealt, local_path, shared_dir, small_arrow_batches
+from memspark.llm._shared import dealt, durable, local_path, shared_dir, small_arrow_batches
 
 #: Words have so many bytes; marks are words of their own.
 WORD = 6
@@ -244,8 +244,8 @@ class Table:
         self.columns = [(take(self.n, np.uint8), take(int(m), np.int64), take(int(m), np.int64)) for m in many]
 
     @staticmethod
-    def save(path: str, keys: np.ndarray, *columns: np.ndarray) -> None:
-        """Written under another name and moved, so that a task that is run twice leaves one whole file."""
+    def save(path: str, keys: np.ndarray, *columns: np.ndarray) -> int:
+        """Its bytes. Written under another name and moved, so that a task that is run twice leaves one whole file."""
         order = np.argsort(keys)
         keys = keys[order]
         bits = max(0, (len(keys) >> 3).bit_length() - 1)
@@ -259,7 +259,9 @@ class Table:
         with open(own, "wb") as file:
             for x in parts:
                 file.write(x.tobytes() + bytes(-x.nbytes % 8))
+            size = file.tell()
         os.replace(own, path)
+        return size
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The place of each key, -1 where it is not."""
@@ -303,10 +305,9 @@ def _of(n: np.ndarray) -> list[int]:
     return [int((n == k).sum()) for k in (1, 2, 3, 4)] + [len(n)]
 
 
-def _save_grams(folder: str, name: str, part: int, key: np.ndarray, n: np.ndarray) -> None:
+def _save_grams(folder: str, name: str, part: int, key: np.ndarray, n: np.ndarray) -> list[int]:
     once = n == 1
-    Table.save(f"{folder}/{name}.once-{part}", key[once])
-    Table.save(f"{folder}/{name}.more-{part}", key[~once], n[~once])
+    return [Table.save(f"{folder}/{name}.once-{part}", key[once]), Table.save(f"{folder}/{name}.more-{part}", key[~once], n[~once])]
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
@@ -321,9 +322,10 @@ def _discount(n: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """The mapped tables of a folder."""
+    """The mapped tables of a folder. Each part's list of its files and their sizes is in a table of its own, so a file that this machine does not see, or sees in part, is an error and not an empty table."""
 
-    def __init__(self, folder: str, deal: Deal, totals: dict[str, float], hot_heads: dict[int, tuple[int, ...]]):
+    def __init__(self, folder: str, deal: Deal, totals: dict[str, float], hot_heads: dict[int, tuple[int, ...]], sizes: dict[str, np.ndarray]):
+        self.sizes = sizes
         self.folder, self.deal, self.totals = folder, deal, totals
         self.hot_heads = np.array([[0, 0, 0, 0]] + [hot_heads.get(int(w), (0, 0, 0, 0)) for w in deal.hot], np.int64)[1:]
         self.maps: dict[str, Table | None] = {}
@@ -333,11 +335,13 @@ class Model:
         """A part's table. A worker maps at most about MAPPED bytes at once; the files stay in the machine's page cache."""
         path = f"{self.folder}/{name}-{part}"
         if path not in self.maps:
-            found = Table(path) if os.path.exists(path) else None
-            self.mapped += os.path.getsize(path) if found else 0
+            size = int(self.sizes[name][part]) if name in self.sizes else 0
+            if size and (not os.path.exists(path) or os.path.getsize(path) != size):
+                raise FileNotFoundError(f"{path} of {size} bytes belongs to the model, but this machine does not see it whole: spark.checkpoint.dir must be a folder that all machines share")
+            self.mapped += size
             if self.mapped > MAPPED:
-                self.maps, self.mapped = {}, os.path.getsize(path) if found else 0
-            self.maps[path] = found
+                self.maps, self.mapped = {}, size
+            self.maps[path] = Table(path) if size else None
         return self.maps[path]
 
     def look_up(self, name: str, keys: np.ndarray, part: np.ndarray, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -421,8 +425,8 @@ class Model:
 
 
 @lru_cache(maxsize=2)
-def _model(folder: str, parts: int, hot: tuple, totals: tuple, heads: tuple) -> Model:
-    return Model(folder, Deal(parts, hot), dict(totals), dict(heads))
+def _model(folder: str, parts: int, hot: tuple, totals: tuple, heads: tuple, sizes: tuple) -> Model:
+    return Model(folder, Deal(parts, hot), dict(totals), dict(heads), {name: np.frombuffer(x, np.int64) for name, x in sizes})
 
 
 def hot_words(train: DataFrame, text_col: str, parts: int) -> tuple[int, ...]:
@@ -445,7 +449,7 @@ def hot_words(train: DataFrame, text_col: str, parts: int) -> tuple[int, ...]:
 
 
 def train_model(train: DataFrame, text_col: str = "text", folder: str | None = None, order: int = 3, part_bytes: int = 16_000_000) -> tuple:
-    """(folder, parts, hot words, totals, sums of the hot words' histories): where the model of n-grams of up to ``order`` tokens lies, and its bounded rest."""
+    """(folder, parts, hot words, totals, sums of the hot words' histories, sizes of the files): where the model of n-grams of up to ``order`` tokens lies, and its bounded rest."""
     if order < 2:
         raise ValueError("the order is 2 at least")
     spark = train.sparkSession
@@ -475,11 +479,11 @@ def train_model(train: DataFrame, text_col: str = "text", folder: str | None = N
                     way = np.argsort(by)
                     yield _rows(_packed(grams[:, apart][:, way], [n[apart][way], plain[apart][way]], by[way] >> _BELOW, parts))
                     grams, first, key, n, plain = grams[:, ~apart], first[~apart], key[~apart], n[~apart], plain[~apart]
-                _save_grams(folder, str(level), part, key, n)
+                written = _save_grams(folder, str(level), part, key, n)
                 head, _, total, *seen = _heads(first, n)
                 more = total > 1
-                Table.save(f"{folder}/{level}.head-{part}", head[more], total[more], *[x[more] for x in seen])
-                yield _rows([(part, level, None, 0, _of(n))])
+                written.append(Table.save(f"{folder}/{level}.head-{part}", head[more], total[more], *[x[more] for x in seen]))
+                yield _rows([(part, level, None, 0, _of(n)), *_listed([f"{level}.once", f"{level}.more", f"{level}.head"], written, part)])
                 below = [(grams[1:], np.ones(len(n), np.int64), plain)]
             yield _rows(words_below(grams, plain))
         yield _rows(passed)
@@ -489,22 +493,32 @@ def train_model(train: DataFrame, text_col: str = "text", folder: str | None = N
         passed: list[tuple] = []
         for part, rows in _gathered(batches, {2}, passed).items():
             grams, first, key, n, plain = _joined(rows[2], 2)
-            _save_grams(folder, "hot", part, key, n)
+            written = _listed(["hot.once", "hot.more"], _save_grams(folder, "hot", part, key, n), part)
             _, at, *sums = _heads(first, n)
-            yield _rows([(part, 2, None, 0, _of(n)), *[(part, -1, None, int(w), [int(x) for x in s] + [0]) for w, *s in zip(grams[0, at], *sums, strict=True)], *words_below(grams, plain)])
+            yield _rows([(part, 2, None, 0, _of(n)), *written, *[(part, -1, None, int(w), [int(x) for x in s] + [0]) for w, *s in zip(grams[0, at], *sums, strict=True)], *words_below(grams, plain)])
         yield _rows(passed)
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: list[tuple] = []
         for part, rows in _gathered(batches, {1}, passed).items():
             words, _, key, cont, count = _joined(rows[1], 1)
-            Table.save(f"{folder}/word-{part}", key, count, cont)
+            passed += _listed(["word"], [Table.save(f"{folder}/word-{part}", key, count, cont)], part)
             passed += [(part, 1, None, 0, _of(cont)), (part, 0, None, 0, [int(count.sum())] + [0] * 4)]
         yield _rows(passed)
 
+    def _listed(names: list[str], sizes: list[int], part: int) -> list[tuple]:
+        """Rows of level -2: the sizes of a part's files."""
+        return [(part, -2, None, files.index(name), [size, 0, 0, 0, 0]) for name, size in zip(names, sizes, strict=True)]
+
+    files = ["word", "hot.once", "hot.more", *[f"{k}.{x}" for k in range(2, order + 1) for x in ("once", "more", "head")]]
     packed = count_grams(train, text_col, deal, order)
     for step in (levels, hot_pairs, vocabulary):
         packed = dealt(packed, parts, "part").mapInArrow(step, _ROW)
+    done = durable(packed.select("part", "level", "word", "of"))  # the files are written once
+    sizes = {name: np.zeros(parts, np.int64) for name in files}
+    for r in done.where("level = -2").select("part", "word", F.col("of")[0].alias("size")).collect():  # a number for each file
+        sizes[files[r["word"]]][r["part"]] = r["size"]
+    packed = done.where("level != -2")
     sums = packed.groupBy("level", "word").agg(*[F.sum(F.col("of")[k]).alias(f"x{k}") for k in range(5)]).collect()
     of = {k: [0] * 5 for k in range(order + 1)} | {r["level"]: [int(x) for x in r[2:]] for r in sums if r["level"] >= 0}
     heads = tuple((r["word"], tuple(int(x) for x in r[2:6])) for r in sums if r["level"] < 0)
@@ -512,7 +526,7 @@ def train_model(train: DataFrame, text_col: str = "text", folder: str | None = N
     n, v, pairs, few, lower = of[0][0], of[1][4], of[2][4], of[1], discounts[1]
     left = (lower[0] * few[0] + lower[1] * few[1] + lower[2] * max(0, v - few[0] - few[1])) / max(pairs, 1)
     totals = (("order", order), ("N", n), ("V", v), ("pairs", pairs), ("left", float(left) if pairs else 1.0), *[(f"{k}.d{j + 1}", float(x)) for k, d in discounts.items() for j, x in enumerate(d)])
-    return folder, parts, hot, totals, heads
+    return folder, parts, hot, totals, heads, tuple((name, x.tobytes()) for name, x in sizes.items())
 
 
 def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

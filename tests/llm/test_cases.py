@@ -159,8 +159,8 @@ def test_language_model_sums_to_one(spark, monkeypatch, hot):
     ids = kn_lm.tokens(pa.array([" ".join(names)]))[0]
     monkeypatch.setattr(kn_lm, "hot_words", lambda *_: tuple(int(x) for x in ids[:hot]))
     texts = [" ".join(rng.choice(names[: rng.choice([5, 400])]) for _ in range(40)) for _ in range(100)]
-    folder, parts, said, totals, heads = kn_lm.train_model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    model = kn_lm.Model(folder, kn_lm.Deal(parts, said), dict(totals), dict(heads))
+    folder, parts, said, totals, heads, sizes = kn_lm.train_model(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    model = kn_lm.Model(folder, kn_lm.Deal(parts, said), dict(totals), dict(heads), {k: np.frombuffer(x, np.int64) for k, x in sizes})
     # The shares of all tokens that follow a history, the end among them, and the weight of the lower order make one.
     assert dict(totals)["N"] == 4100 and dict(totals)["V"] == len({w for t in texts for w in t.split()}) + 1
     for history in ([ids[0]], [ids[3]], [ids[77]], [kn_lm.START], [ids[0], ids[1]], [kn_lm.START, ids[2]], [ids[5], kn_lm.START]):
