@@ -37,10 +37,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id stays of each group of near copies. All rows of that id stay; texts without a word, null ones among them, and rows of a null id are nobody's copies and stay."""
-    groups = ngram_join.near_duplicates(docs)
-    gone = groups.where("component_id != doc_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """The document of smallest id stays of each group of near copies. Rows are judged by id and text: of two texts of one id the one may go and the other stay. Texts without a word, null ones among them, and rows of a null id are nobody's copies and stay."""
+    return ngram_join.one_of_each_group(docs.select(*COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
