@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from memspark.functions import constants as C
 from memspark.functions import text as T
-from memspark.operators import compaction, dashboard, evaluation, outcomes, replay, retrospective, transcripts, usefulness
+from memspark.operators import analytics, compaction, dashboard, evaluation, outcomes, recall, replay, retrospective, search, transcripts, usefulness
 from memspark.plans import views as V
-from memspark.queries import _CRM, _FOLD, _M, _PO, _R, _log, rounded
+from memspark.queries import _CRM, _FOLD, _M, _PO, _R, _SAID, _TOK, _log, _profile_sql, rounded
 
 _QUERIES, _SQL = {}, {}
 
@@ -83,6 +83,14 @@ def resolved_outcomes(spark, sf_dir):
     return rounded(out.select("memory_id", "events", "q_action", "q_value"), "q_action", "q_value")
 
 
+@query(f"""with {_CRM}, {_LEADS}, {_M}, k as (select client_id entity_id, count(*) memories from m group by 1),
+ x as (select *, sha256(kind || 's|' || turn || '|' || pos || '|' || entity_id || '|' || event_name || '|' || reward::varchar) event_key from outs join k using (entity_id)),
+ y as (select *, 'rwd_' || substr(event_key, 1, 8) reward_id from x)
+ select event_key, reward_id, 'business' reward_type, reward, entity_id, memories, substr('Biz ' || case when reward >= 0 then '+' else '' end || printf('%.2f', reward) || ': ' || event_name || ' for ' || entity_id || ' {{' || kind || '=' || id || '}}' || ' [' || reward_id || ']', 1, 120) reward_context from y""")
+def outcome_reward_events(spark, sf_dir):
+    return outcomes.reward_events(_events(spark, sf_dir), V.memory_text(spark, sf_dir)).drop("experience", "context")
+
+
 def _pending(spark, sf_dir):
     p, o = V.predictions(spark, sf_dir)
     return outcomes.resolve_predictions(p, o.withColumn("source_pos", F.lit(0))).where("status = 'pending'")
@@ -100,6 +108,44 @@ def auto_resolved_predictions(spark, sf_dir):
     return outcomes.resolved_by_events(_events(spark, sf_dir), _pending(spark, sf_dir))
 
 
+# Recall.
+
+_ASKED = rf"""{_SAID}, aq as (select session_id * 1000 + pos query_id, case when session_id = 0 then 'unknown' else session_id::varchar end session_id, text, regexp_replace(substr(text, 1, 300), '^\s+|\s+$', '', 'g') query from said
+  where session_id % 50 = 0 and text is not null and length(text) >= 10 and lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) not in {T.TRIVIAL}),
+ asked as (select aq.*, coalesce({_profile_sql("query")}, 'default') experience, {_TOK.format(t="query")} words, embedding::double[] v from aq join embeddings on vec_id = query_id % 499 where query <> '')"""
+_RECALL = f"""{_M}, {_ASKED}, qst as (select c_custkey id, case when c_custkey % 4 = 0 then 'sales' else 'default' end experience, (c_custkey % 151 - 50) / 100::double q from customer),
+ pool as (select m.*, embedding::double[] e from m join embeddings on vec_id = m.id where status not in ('deleted', 'superseded')),
+ sim as (select query_id, pool.id, list_dot_product(e, v) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(v, v))) score from pool, asked),
+ cand as (select * from (select *, row_number() over (partition by query_id order by score desc, id) r from sim) where r <= 15),
+ ct as (select cand.query_id, cand.id, score, asked.experience, words, {_TOK.format(t="memory")} tok, coalesce(memory, '') <> '' counted, m.memory, m.created_at, m.importance, m.status from cand join asked using (query_id) join m on m.id = cand.id),
+ qs1 as (select query_id, count(*) filter (where counted) docs, avg(len(tok)) filter (where counted) mean from ct group by 1),
+ wds as (select query_id, id, w, count(*) times from (select query_id, id, unnest(words) w from ct) group by 1, 2, 3),
+ tfs as (select wds.*, len(list_filter(tok, lambda t: t = w))::double tf, counted, len(tok) dl from wds join ct using (query_id, id)),
+ dfs as (select query_id, w, count(*) filter (where counted and tf > 0) df from tfs group by 1, 2),
+ kw as (select query_id, id, sum(case when tf > 0 then times * (case when df > 0 then ln(docs / df) else 1 end) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean)) else 0 end) bm25 from tfs join dfs using (query_id, w) join qs1 using (query_id) group by 1, 2),
+ hy as (select ct.query_id, ct.id, score, coalesce(bm25, 0) bm25, coalesce(q, 0) q, memory, greatest(0, least(1, (0.4 * score + 0.15 / (1 + exp(-coalesce(bm25, 0) / 3)) + 0.2 * exp(-0.693 * greatest(0, floor(date_diff('hour', created_at, timestamp '2024-06-01') / 24)) / 90)
+  + 0.15 * importance * ([1.0,.95,.9,.9,.9,.85,.85,.85,.8,.8,.75,.7,.6])[ct.id % 13 + 1]::double + 0.1 * coalesce(q, 0)) * ([1.2,1,.5,.3,.2,.2,.1,0])[ct.id % 8 + 1]::double)) hs from ct left join kw using (query_id, id) left join qst on qst.id = ct.id and qst.experience = ct.experience),
+ best as (select * from (select *, row_number() over (partition by query_id order by hs desc, score desc, id) rank from hy) where rank <= 5)"""
+
+
+def _recalled(spark, sf_dir):
+    asked = recall.prompt_queries(V.prompt_queries(spark, sf_dir), list(C.PROFILE_WORDS))
+    state = V.usefulness_rows(spark, sf_dir).select(F.col("memory_id").alias("id"), "experience", F.col("q_value").alias("q"))
+    return asked, recall.hybrid_for_queries(V.memory(spark, sf_dir), asked, state, F.lit(V.AS_OF).cast("timestamp"))
+
+
+@query(f"with {_RECALL} select query_id, id, rank::int rank, round(score, 6) score, round(bm25, 6) bm25, q, round(hs, 6) hybrid_score, substr(coalesce(memory, ''), 1, 250) shown from best")
+def recall_hooks(spark, sf_dir):
+    return rounded(_recalled(spark, sf_dir)[1], "score", "bm25", "hybrid_score")
+
+
+@query(f"with {_RECALL} select query_id, session_id, substr(query, 1, 200) query, array_to_string(list(id order by rank), ',') memory_ids, array_to_string(list(printf('%.6f', score) order by rank), ',') scores from best join asked using (query_id) where session_id <> 'unknown' group by all")
+def recall_log(spark, sf_dir):
+    asked, found = _recalled(spark, sf_dir)
+    log = recall.retrieval_log(found, asked, F.lit(V.AS_OF).cast("timestamp"))
+    return log.select("query_id", "session_id", "query", F.array_join("memory_ids", ",").alias("memory_ids"), F.array_join(F.transform("scores", lambda x: F.format_string("%.6f", x)), ",").alias("scores"))
+
+
 # Compaction.
 
 
@@ -166,6 +212,25 @@ def thread_messages(spark, sf_dir):
     return transcripts.within_budgets(m, 700, 3000).select("thread", "session_id", "pos")
 
 
+@query(rf"""with c as (select conv_id session_id, conv_id % 10 chunk_id, turn pos, role, text, date '2024-01-01' + (conv_id % 300)::int d from conversations),
+ th as (select n_nationkey thread, [n_nationkey % 10, (n_nationkey * 3 + 1) % 10] chunks, [({list(V.TOPICS)})[n_nationkey % 6 + 1], ({list(V.TOPICS)})[(n_nationkey * 5 + 2) % 6 + 1]] names from nation),
+ kw as (select thread, chunks, list_distinct(list_filter(flatten(list_transform(names, lambda n: string_split(trim(regexp_replace(lower(n), '[-_\s]+', ' ', 'g')), ' '))), lambda w: length(w) > 2)) words from th),
+ k as (select thread, words, unnest(list_distinct(chunks)) chunk_id from kw), st as (select session_id, chunk_id, count(*) n, min(d) d, lower(string_agg(text, ' ' order by pos)) t from c group by 1, 2),
+ r as (select thread, chunk_id, session_id, n, d from k join st using (chunk_id) where len(list_filter(words, lambda w: contains(t, w))) >= case when len(words) <= 2 then 1 else 2 end),
+ m as (select session_id, role, text, row_number() over (partition by session_id order by pos) pos from c),
+ l as (select thread, chunk_id, session_id, 0 pos, 0 gap, true head, chr(10) || '=== ' || strftime(d, '%Y-%m-%d') || ' | session ' || substr(session_id::varchar, 1, 12) || ' | ' || n || ' messages ===' line from r
+  union all select thread, chunk_id, session_id, pos, 0, false, case role when 'user' then 'USER: ' when 'assistant' then 'ASSISTANT: ' else '' end || substr(text, 1, 500) || chr(10) from r join m using (session_id) where (n <= 10 or pos <= 5 or pos > n - 3) and coalesce(text, '') <> ''
+  union all select thread, chunk_id, session_id, 5, 1, false, '... [' || (n - 8) || ' messages omitted] ...' || chr(10) from r where n > 10),
+ o as (select *, row_number() over w i, sum(length(line)) over (w rows unbounded preceding) s from l window w as (partition by thread order by chunk_id, session_id, pos, gap)),
+ x as (select thread, min(i) filter (where not head and s > 3000) stop from o group by 1)
+ select thread, count(*)::int lines, sum(length(line))::bigint chars, any_value(stop is not null) truncated, md5(string_agg(line, chr(10) order by i) || case when any_value(stop is not null) then chr(10) || '... [truncated] ...' else '' end) text
+ from o join x using (thread) where stop is null or i < stop group by thread""")
+def gathered_threads(spark, sf_dir):
+    m = V.messages(spark, sf_dir).withColumn("created_at", F.expr("date_add(date '2024-01-01', cast(session_id % 300 as int))"))
+    sessions = m.groupBy("session_id").agg(F.min("session_id").alias("first")).withColumn("chunk_id", F.col("session_id") % 10)
+    return transcripts.gather_threads(V.threads(spark, sf_dir), sessions, m, 3000).withColumn("text", F.md5("text"))
+
+
 # Dashboard.
 
 _QS = """qs as (select c_custkey memory_id, case when c_custkey % 4 = 0 then 'sales' else 'default' end experience, (c_custkey % 151 - 50) / 100::double q_value, (c_custkey % 131 - 40) / 100::double q_action, case when c_custkey % 3 = 0 then null else (c_custkey % 7) / 10::double end q_hypothesis, case when c_custkey % 5 = 0 then null else (c_custkey % 9) / 10::double end q_fit,
@@ -355,6 +420,96 @@ def question_corpora(spark, sf_dir):
     return out.select("query_id", "doc_id", evaluation.session_of(F.col("doc_id")).alias("session_id"), F.length("text").cast("long").alias("chars"))
 
 
+# Lists, counts and lookups.
+
+
+@query(f"with {_QS} select distinct experience from qs")
+def experiences_present(spark, sf_dir):
+    return usefulness.experience_names(V.usefulness_rows(spark, sf_dir))
+
+
+@query(f"with {_RT}, s as (select unnest(scores) x from rt) select round(avg(x), 6) mean, round(stddev_pop(x), 6) std from s")
+def similarity_calibration(spark, sf_dir):
+    return rounded(analytics.calibration(V.retrievals(spark, sf_dir).select(F.explode("scores").alias("x")), "x"), "mean", "std")
+
+
+@query(f"with {_OBS} select strftime(ts, '%Y-%m-%d') date, count(*) observations, count(distinct session_id) sessions from ob group by 1")
+def observation_timeline(spark, sf_dir):
+    return dashboard.by_date(V.observations(spark, sf_dir))
+
+
+@query("select count(*) total, count(*) filter (where quality = 1 and toxic = 0) processed, count(*) filter (where quality = 0 and toxic = 0) skipped, count(*) filter (where toxic = 1) failed from labels")
+def run_counts(spark, sf_dir):
+    status = F.expr("case when toxic = 1 then 'failed' when quality = 1 then 'processed' when quality = 0 then 'skipped' end")
+    return transcripts.run_counts(V.table(spark, sf_dir, "labels").withColumn("status", status))
+
+
+@query("with t as (select conv_id thread, count(*) total_messages from conversations group by 1) select thread, total_messages, row_number() over (order by total_messages desc, thread) place from t")
+def threads_by_messages(spark, sf_dir):
+    t = V.messages(spark, sf_dir).groupBy(F.col("session_id").alias("thread")).agg(F.count(F.lit(1)).alias("total_messages"))
+    return transcripts.by_messages(t)
+
+
+@query(f"with {_OBS} select id, tool, summary, case when id % 2 = 0 then 'feature' end as type, case when id % 3 <> 0 then '/tmp/f' || (id % 7) end file_path, case when id % 5 = 0 then '' else 't' || (id % 5) end tags from ob")
+def compact_observations(spark, sf_dir):
+    rows = V.observations(spark, sf_dir).selectExpr("*", "if(id % 2 = 0, 'feature', null) type", "if(id % 3 = 0, null, named_struct('file_path', concat('/tmp/f', id % 7), 'command', 'x')) context", "if(id % 5 = 0, null, array(concat('t', id % 5))) tags")
+    return rows.select(*T.compact_observation()).withColumn("tags", F.array_join("tags", ","))
+
+
+@query("select c_custkey id, coalesce(([0.0, 0.02, 0.05, 0.07, 0.10, 0.12, 0.15, 0.20, 0.25, 0.28, 0.30]::double[])[c_custkey % 14 + 1], 0) weight from customer")
+def rating_weights(spark, sf_dir):
+    return V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), T.rating_weight((F.col("c_custkey") % 14).cast("int")).alias("weight"))
+
+
+@query(f"with {_M} select id, md5(memory) memory, session_id, created_at from m where source = (select min(source) from m)")
+def memories_of_source(spark, sf_dir):
+    m = V.memory_text(spark, sf_dir)
+    first = m.agg(F.min("source").alias("s")).first()["s"]
+    return search.of_source(m, first).withColumn("memory", F.md5("memory"))
+
+
+@query(f"""with {_M}, t as (select *, case id % 3 when 0 then 'user' when 1 then 'assistant' else 'tool' end as role, case when id % 11 = 0 then 'experience_library' else source end s from m), n as (select unnest(['experience_library', 'absent', (select min(source) from m)]) s)
+ select 'total' kind, 'all' as name, (select count(*) from t) count union all select 'source', n.s, count(t.id) from n left join t using (s) group by n.s union all select 'role', role, count(*) from t where role <> 'tool' group by role union all select 'library', 'experience_library', (select count(*) from t where s = 'experience_library')""")
+def memory_stats(spark, sf_dir):
+    m = V.memory_text(spark, sf_dir)
+    first = m.agg(F.min("source").alias("s")).first()["s"]
+    rows = m.selectExpr("id", "if(id % 11 = 0, 'experience_library', source) source", "element_at(array('user', 'assistant', 'tool'), cast(id % 3 + 1 as int)) role")
+    return dashboard.memory_stats(rows, ("experience_library", "absent", first))
+
+
+@query(f"with {_M} select id, substr(memory, 1, 300) content from m where id % 50 = 0")
+def memory_contents(spark, sf_dir):
+    m = V.memory_text(spark, sf_dir)
+    return search.contents(m, m.where("id % 50 = 0").select("id"))
+
+
+@query(f"with {_M} select id, md5(coalesce(case when id % 4 <> 0 then memory end, source)) memory, 'unknown' agent_id, coalesce(case when id % 3 <> 0 then memory_type end, 'fact') memory_type, coalesce(case when id % 5 <> 0 then source end, 'unknown') source, coalesce(case when id % 7 <> 0 then status end, 'active') status from m")
+def projected_rows(spark, sf_dir):
+    m = V.memory_text(spark, sf_dir).selectExpr("id", "if(id % 4 = 0, null, memory) memory", "source data", "if(id % 3 = 0, null, memory_type) memory_type", "if(id % 5 = 0, null, source) source", "if(id % 7 = 0, null, status) status")
+    return search.projected(m).drop("data").withColumn("memory", F.md5("memory"))
+
+
+@query("select regexp_extract(url, '^[a-z]+://([^/]*)', 1) folder, count(*) files from pages group by 1 order by 2 desc, 1 limit 1")
+def busiest_folder(spark, sf_dir):
+    return retrospective.busiest_folder(V.table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1).alias("folder")))
+
+
+@query("""with c as (select conv_id session_id, conv_id % 10 chunk_id, turn pos, role, text, row_number() over (partition by conv_id order by turn) i, count(*) over (partition by conv_id) n from conversations where coalesce(text, '') <> ''),
+ sh as (select conv_id % 10 chunk_id, greatest(9000 // count(distinct conv_id), 150) share from conversations group by 1), k as (select *, greatest(n // 3, 5) keep from c),
+ e as (select chunk_id, session_id, i pos, 0 gap, case role when 'user' then 'USER: ' when 'assistant' then 'ASSISTANT: ' else '' end || text || chr(10) line from k where n <= 20 or i <= keep or i > n - keep
+  union all select chunk_id, session_id, any_value(keep), 1, '... [' || (any_value(n) - 2 * any_value(keep)) || ' messages omitted] ...' || chr(10) from k where n > 20 group by 1, 2),
+ o as (select *, sum(length(line)) over (partition by session_id order by pos, gap) own from e), q as (select * from o join sh using (chunk_id)),
+ l as (select chunk_id, session_id, pos, gap, false head, line, length(line) size from q where own <= share
+  union all select chunk_id, session_id, min(pos * 2 + gap) // 2, min(pos * 2 + gap) % 2, true, '... [session truncated] ...', 0 from q where own > share group by 1, 2
+  union all select chunk_id, session_id, 0, 0, true, chr(10) || '=== SESSION ' || substr(session_id::varchar, 1, 12) || ' (' || any_value(n) || ' messages) ===', length(chr(10) || '=== SESSION ' || substr(session_id::varchar, 1, 12) || ' (' || any_value(n) || ' messages) ===') from k group by 1, 2),
+ g as (select *, row_number() over w i, sum(size) over (w rows unbounded preceding) s from l window w as (partition by chunk_id order by session_id, pos, gap)), x as (select chunk_id, min(i) filter (where not head and s > 9000) stop from g group by 1)
+ select chunk_id, count(*)::int lines, sum(size)::bigint chars, any_value(stop is not null) truncated, md5(string_agg(line, chr(10) order by i) || case when any_value(stop is not null) then chr(10) || '... [chunk truncated] ...' else '' end) text from g join x using (chunk_id) where stop is null or i < stop group by chunk_id""")
+def chunk_texts(spark, sf_dir):
+    m = V.messages(spark, sf_dir)
+    sessions = m.groupBy("session_id").agg(F.min("session_id").alias("first")).withColumn("chunk_id", F.col("session_id") % 10)
+    return transcripts.chunk_texts(sessions, m, 9000, 150).withColumn("text", F.md5("text"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 

@@ -3,7 +3,7 @@
 # Fixed values
 HYBRID_WEIGHTS = {"semantic": 0.40, "keyword": 0.15, "recency": 0.20, "importance": 0.15, "q": 0.10}
 COMPOSITE_WEIGHTS = {"semantic": 0.50, "recency": 0.30, "importance": 0.20}
-BM25_K1, BM25_B, NO_STATS_IDF, MISSING_IDF = 1.5, 0.75, 2.0, 1.0
+BM25_K1, BM25_B, MISSING_IDF = 1.5, 0.75, 1.0
 DECAY, HALF_LIFE_DAYS, UNKNOWN_RECENCY, PERSISTENT_RECENCY = 0.693, 90, 0.5, 0.4
 TYPE_BOOST = {"decision": 1.0, "preference": 0.95, "relationship": 0.9, "insight": 0.9, "commitment": 0.9, "procedure": 0.85, "plan": 0.85, "outcome": 0.85, "fact": 0.8, "action": 0.8, "intention": 0.75, "event": 0.7, "cancellation": 0.6}
 OTHER_BOOST = 0.8
@@ -35,3 +35,12 @@ CONDENSED_CHARS = 30_000
 MAX_ADJUSTMENTS = 20
 MAX_ACTIVE, MAX_CONTENT = 10_000, 10_000
 RECALL_AT = (1, 3, 5, 10, 30, 50)
+
+# Words that call for a profile.
+PROFILE_WORDS = (
+    ("dealflow", ("invoice", "payment", "nda", "pricing", "negotiation", "sow", "billing", "paid", "quote", "інвойс", "оплат", "рахунок", "ціна", "переговор", "акт", "нда")),
+    ("sales", ("client", "deal", "lead", "proposal", "outreach", "follow-up", "follow up", "email", "crm", "pipeline", "sales", "prospect", "revenue", "close", "contract", "клієнт", "угода", "лід", "пропозиц", "аутріч", "фоловап", "імейл", "продаж", "контракт", "листа", "написати лист")),
+)
+
+# Weights of ratings from 0 to 10.
+RATING_WEIGHTS = (0.0, 0.02, 0.05, 0.07, 0.10, 0.12, 0.15, 0.20, 0.25, 0.28, 0.30)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from memspark.functions.constants import CHARS_PER_TOKEN, ENRICHMENT_TYPES
+from memspark.functions.constants import CHARS_PER_TOKEN, ENRICHMENT_TYPES, RATING_WEIGHTS
 
 
 def strip(text: Column) -> Column:
@@ -166,3 +166,13 @@ def memory_preview(content: Column, kind: Column) -> Column:
     summary = F.when(F.size(prose) > 0, truncate(F.element_at(prose, 1), 150)).otherwise(truncate(F.split(content, "\n")[0], 100))
     other = truncate(F.when(content.startswith("Ran: "), F.substring(content, 6, 2**31 - 1)).otherwise(content), 200)
     return redact_people(F.when(kind.isin("session_summary", "session"), summary).otherwise(other))
+
+
+def compact_observation(context: str = "context", tags: str = "tags") -> list[Column]:
+    """The six columns of an observation that are kept with a reward."""
+    return [F.col("id"), F.col("tool"), F.col("summary"), F.col("type"), F.col(f"{context}.file_path").alias("file_path"), F.coalesce(tags, F.expr("cast(array() as array<string>)")).alias("tags")]
+
+
+def rating_weight(rating: Column) -> Column:
+    """A rating of 0 to 10 as a weight, from a table of fixed values; 0 for any other."""
+    return F.coalesce(F.get(F.array(*map(F.lit, RATING_WEIGHTS)), rating), F.lit(0.0))

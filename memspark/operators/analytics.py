@@ -20,6 +20,11 @@ def summary(values: DataFrame, value: str) -> DataFrame:
     return values.agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.count(value).alias("count"))
 
 
+def calibration(values: DataFrame, value: str) -> DataFrame:
+    """One row: mean and population deviation of a corpus's similarities, what z-scores are taken by."""
+    return values.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+
+
 def by_period(events: DataFrame, ts: str = "ts", value: str = "reward") -> DataFrame:
     """Counts and means by day, ISO week and month: events are added up by day, and the days by week and month."""
     days = events.groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("k"), F.sum(value).alias("s"))

@@ -61,6 +61,21 @@ def score_histogram(retrievals: DataFrame, scores: str = "scores") -> DataFrame:
     return analytics.histogram(retrievals.select(F.explode(scores).alias("score")), "score", 0.0, 1.0, 10)
 
 
+def by_date(rows: DataFrame, ts: str = "ts", session: str = "session_id") -> DataFrame:
+    """date, observations, sessions: how many observations there were each day, in how many sessions."""
+    return rows.where(F.col(ts).isNotNull()).groupBy(F.date_format(ts, "yyyy-MM-dd").alias("date")).agg(F.count(F.lit(1)).alias("observations"), F.count_distinct(session).alias("sessions"))
+
+
+def memory_stats(memory: DataFrame, sources: tuple[str, ...]) -> DataFrame:
+    """kind, name, count: all memories, those of each of ``sources`` (0 where there are none), of each role of a message, and of the experience library; one pass over the memories."""
+    role = F.col("role") if "role" in memory.columns else F.lit(None).cast("string")
+    marks = [("total", F.lit("all")), *[("source", F.when(F.col("source") == s, s)) for s in sources], ("role", F.when(role.isin("user", "assistant"), role)), ("library", F.when(F.col("source") == "experience_library", F.lit("experience_library")))]
+    long = memory.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), n.alias("name")) for k, n in marks])).alias("m")).select("m.*").where("name is not null")
+    found = long.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("count"))
+    every = memory.sparkSession.createDataFrame([("total", "all"), *[("source", s) for s in sources], ("role", "user"), ("role", "assistant"), ("library", "experience_library")], "kind string, name string").distinct()
+    return every.join(found, ["kind", "name"], "left").select("kind", "name", F.coalesce("count", F.lit(0)).alias("count"))
+
+
 def prediction_summary(resolved: DataFrame) -> DataFrame:
     """One row: totals and the mean reward of outcomes, a missing reward counting 0."""
     done = F.col("status") == "resolved"
@@ -90,10 +105,11 @@ def assert_safe(rows: DataFrame, *columns: str) -> DataFrame:
     return checked
 
 
-def export(state: DataFrame, memory: DataFrame, retrievals: DataFrame, resolved: DataFrame) -> dict[str, DataFrame]:
+def export(state: DataFrame, memory: DataFrame, retrievals: DataFrame, resolved: DataFrame, observations: DataFrame | None = None) -> dict[str, DataFrame]:
     """The dashboard's tables by name; all are aggregates of few rows."""
+    more = {"timeline": by_date(observations)} if observations is not None else {}
     meta = _default(state).agg(F.count(F.lit(1)).alias("total_memories"), F.min(F.substring("q_updated_at", 1, 10)).alias("first"), F.max(F.substring("q_updated_at", 1, 10)).alias("last"))
-    return {
+    return more | {
         "q_distribution": layer_distributions(state), "q_evolution": evolution(state), "visits_distribution": visits(state), "calibration_counts": calibrations(state),
         "retrievals_by_date": retrievals_by_date(retrievals), "retrieval_scores": score_histogram(retrievals), "predictions": prediction_summary(resolved),
         "prediction_stats": outcomes.prediction_stats(resolved), "lifecycle": lifecycle.state_counts(memory), "memory_types": memory_types(memory), "meta": meta,

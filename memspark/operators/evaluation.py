@@ -171,12 +171,23 @@ def retrieved(docs: DataFrame, questions: DataFrame, mode: str = "hybrid", n: in
     return rows.select("query_id", "doc_id", rank.alias("rank"), "score")
 
 
-def evaluate(scores: DataFrame, truth: DataFrame, at: tuple[int, ...] = C.RECALL_AT) -> DataFrame:
-    """k, recall_any, ndcg_retrieved of ranked ``scores``: means over the queries of ``truth`` (query_id, doc_id); the ideal gain is that of the retrieved list."""
-    top = scores.where(F.col("rank") <= max(at)).join(truth.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
+def _judged(scores: DataFrame, truth: DataFrame, at: tuple[int, ...]) -> DataFrame:
+    """query_id, k, recall_any (0 or 1), ndcg_retrieved of each query of ``truth``; the ideal gain is that of the retrieved list."""
+    top = scores.where(F.col("rank") <= max(at)).join(truth.select("query_id", "doc_id").withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
     gain = lambda k: F.sum(F.when((F.col("rank") <= k) & F.col("hit").isNotNull(), 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0))
     hits = top.groupBy("query_id").agg(*[x for k in at for x in (F.count_if((F.col("rank") <= k) & F.col("hit").isNotNull()).alias(f"h{k}"), gain(k).alias(f"g{k}"))])
     asked = truth.select("query_id").distinct().join(hits, "query_id", "left")
     ideal = lambda k: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col(f"h{k}").cast("int"))), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
     cells = F.array(*[F.struct(F.lit(k).alias("k"), (F.coalesce(F.col(f"h{k}"), F.lit(0)) > 0).cast("double").alias("r"), F.when(F.coalesce(F.col(f"h{k}"), F.lit(0)) > 0, F.col(f"g{k}") / ideal(k)).otherwise(0.0).alias("n")) for k in at])
-    return asked.select(F.explode(cells).alias("c")).groupBy("c.k").agg(F.avg("c.r").alias("recall_any"), F.avg("c.n").alias("ndcg_retrieved"))
+    return asked.select("query_id", F.explode(cells).alias("c")).select("query_id", "c.k", F.col("c.r").alias("recall_any"), F.col("c.n").alias("ndcg_retrieved"))
+
+
+def evaluate(scores: DataFrame, truth: DataFrame, at: tuple[int, ...] = C.RECALL_AT) -> DataFrame:
+    """k, recall_any, ndcg_retrieved of ranked ``scores``: means over the queries of ``truth`` (query_id, doc_id)."""
+    return _judged(scores, truth, at).groupBy("k").agg(F.avg("recall_any").alias("recall_any"), F.avg("ndcg_retrieved").alias("ndcg_retrieved"))
+
+
+def evaluate_by_type(scores: DataFrame, truth: DataFrame, types: DataFrame, at: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """question_type, k, questions, recall_any: means over the queries of each type (query_id, question_type)."""
+    rows = _judged(scores, truth, at).join(types, "query_id")
+    return rows.groupBy("question_type", "k").agg(F.count(F.lit(1)).alias("questions"), F.avg("recall_any").alias("recall_any"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import importlib
 from abc import ABC, abstractmethod
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import constants as C
-from memspark.functions import scoring as S
+from memspark.operators import usefulness
+from memspark.plans.shared import written
 
 
 def normalised_deals(raw: DataFrame, key: str = "deal_id", pos: str = "pos") -> DataFrame:
@@ -54,14 +57,30 @@ class OutcomeResolver(ABC):
     def detect(self, spark: SparkSession) -> DataFrame: ...
 
 
+def load_resolver(name: str, allowed: Sequence[str]) -> type[OutcomeResolver]:
+    """The resolver class named ``module:Class``, if the name is on the list; nothing is imported that is not."""
+    if name not in allowed:
+        raise ValueError(f"{name} is not an allowed resolver")
+    module, _, member = name.partition(":")
+    found = getattr(importlib.import_module(module), member, None)
+    if not (isinstance(found, type) and issubclass(found, OutcomeResolver)):
+        raise TypeError(f"{name} is not a resolver")
+    return found
+
+
+EVENTS = "resolver string, turn int, pos long, entity_id string, event_name string, reward double, details map<string,string>"
+
+
 def detected(spark: SparkSession, resolvers: Sequence[OutcomeResolver]) -> tuple[DataFrame, dict[str, dict]]:
-    """The events of all resolvers with ``resolver`` and ``seq`` (resolvers in turn, each in order of ``pos``), and each one's count or error. One that fails leaves the others be."""
-    schema = "resolver string, turn int, pos long, entity_id string, event_name string, reward double, details map<string,string>"
-    events, said = spark.createDataFrame([], schema), {}
+    """The events of all resolvers with ``resolver`` and ``seq`` (resolvers in turn, each in order of ``pos``), and each one's count or error.
+
+    Each resolver's rows are written once, and counted as written; so an error in any of them is that resolver's own and leaves the others be.
+    """
+    events, said = spark.createDataFrame([], EVENTS), {}
     for turn, resolver in enumerate(resolvers):
         try:
             found = resolver.detect(spark)
-            rows = found.select(F.lit(resolver.name).alias("resolver"), F.lit(turn).alias("turn"), F.col("pos").cast("long").alias("pos"), "entity_id", "event_name", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("reward"))).alias("reward"), "details")
+            rows = written(found.select(F.lit(resolver.name).alias("resolver"), F.lit(turn).alias("turn"), F.col("pos").cast("long").alias("pos"), "entity_id", "event_name", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("reward"))).alias("reward"), "details"), "events")
             said[resolver.name] = {"events": rows.count()}
         except Exception as error:  # noqa: BLE001 - whatever one resolver raises is its own
             said[resolver.name] = {"error": str(error)}
@@ -87,17 +106,49 @@ def resolved_by_events(events: DataFrame, pending: DataFrame) -> DataFrame:
 def rewarded_state(events: DataFrame, memory: DataFrame, state: DataFrame) -> DataFrame:
     """memory_id, events, and the usefulness layers and value after each memory has taken its client's events in order.
 
-    A client's events are one array (an event run is small against the memories), so an event is not repeated for every memory of a large client.
+    A client's events are one function of a value, made once whatever the number of its memories and applied to each by one join.
     """
-    of = events.groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct("seq", "reward"))).alias("_events"))
+    of = usefulness.composed(events, "entity_id").withColumnRenamed("n", "events")
     rows = memory.select(F.col("id").alias("memory_id"), F.col("client_id").alias("entity_id")).join(of, "entity_id").join(state, "memory_id", "left")
+    return usefulness.moved(rows).select("memory_id", "entity_id", "events", *[f"q_{x}" for x in C.Q_LAYERS], "q_value")
 
-    def folded(layer: str) -> Column:
-        return F.aggregate("_events", F.coalesce(F.col(f"q_{layer}"), F.lit(C.Q_INIT)), lambda q, e: S.clamp(q + C.Q_ALPHA * S.layer_rewards(e["reward"])[layer], C.Q_FLOOR, C.Q_CEILING))
 
-    layers = {f"q_{layer}": folded(layer) for layer in C.Q_LAYERS}
-    rows = rows.withColumns(layers)
-    return rows.select("memory_id", "entity_id", F.size("_events").cast("long").alias("events"), *layers, S.combined_q(*[F.col(c) for c in layers]).alias("q_value"))
+def reward_id(*parts: Column) -> Column:
+    """rwd_ and eight hexadecimal digits of what identifies the event, so that a rerun names it alike."""
+    return F.concat(F.lit("rwd_"), F.substring(event_key(*parts), 1, 8))
+
+
+def event_key(*parts: Column) -> Column:
+    return F.sha2(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
+
+
+def reward_events(events: DataFrame, memory: DataFrame, experience: str = "default") -> DataFrame:
+    """A row of the reward log for each event whose client has memories: event_key, reward_id, reward_type, reward, experience, entity_id, memories (their number), context, and the line that memories keep.
+
+    Which memories an event reached is its client's memories, by ``reward_memories``: a list of them in each event of a large client would be its memories times its events.
+    """
+    held = memory.groupBy(F.col("client_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("memories"))
+    named = [F.col("resolver"), F.col("seq.turn"), F.col("seq.pos"), F.col("entity_id"), F.col("event_name"), F.col("reward")]
+    rows = events.withColumns({"event_key": event_key(*named), "reward_id": reward_id(*named)}).join(held, "entity_id")
+    line = F.substring(F.concat(business_context(rows), F.lit(" ["), "reward_id", F.lit("]")), 1, C.CONTEXT_CHARS)
+    context = F.struct("entity_id", "event_name", "details", "resolver")
+    return rows.select("event_key", "reward_id", F.lit("business").alias("reward_type"), "reward", F.lit(experience).alias("experience"), "entity_id", "memories", context.alias("context"), line.alias("reward_context"))
+
+
+def log_reward_events(rows: DataFrame, path: str) -> int:
+    """Appends the events that the log at ``path`` does not hold yet, in one write that counts as a whole or not at all; how many they were. A rerun appends nothing."""
+    spark = rows.sparkSession
+    try:
+        known = spark.read.parquet(path).select("event_key")
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        known = spark.createDataFrame([], "event_key string")
+    new = written(rows.dropDuplicates(["event_key"]).join(known, "event_key", "left_anti"), "reward-events")
+    found = new.count()
+    if found:
+        new.write.mode("append").parquet(path)
+    return found
 
 
 def resolution(events: DataFrame, pending: DataFrame, memory: DataFrame) -> DataFrame:

@@ -47,6 +47,11 @@ def projected(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"memory": first("memory", "data"), "agent_id": first("agent_id", other="unknown"), "memory_type": first("memory_type", other="fact"), "source": first("source", other="unknown"), "status": first("status", other="active")})
 
 
+def of_source(memory: DataFrame, source: str = "transcript", columns: tuple[str, ...] = ("id", "memory", "session_id", "created_at", "role")) -> DataFrame:
+    """The memories of a source with the columns that chunking reads, so that a scan reads no others."""
+    return memory.where(F.col("source") == source).select(*[c for c in columns if c in memory.columns])
+
+
 def contents(memory: DataFrame, ids: DataFrame, chars: int = 300) -> DataFrame:
     """id, content: the start of each asked memory's text."""
     return memory.join(ids.select("id").distinct(), "id", "left_semi").select("id", F.substring("memory", 1, chars).alias("content"))

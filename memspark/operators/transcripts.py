@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import constants as C
 from memspark.functions.text import strip
+from memspark.operators.ranges import greedy_parts, prefix_sums
 
 
 def parse_lines(lines: DataFrame, value: str = "value", file: str = "file", pos: str = "pos") -> DataFrame:
@@ -41,84 +40,15 @@ def session_rollup(messages: DataFrame, session: str = "session_id", order: str
 
 
 def split_session(messages: DataFrame, most: int, session: str = "session_id", order: str = "pos", text: str = "text") -> DataFrame:
-    """session, part, messages, chars: a greedy running sum that starts anew before the message that would overflow; one session's lengths are folded in the row."""
-    rows = messages.groupBy(session).agg(F.sort_array(F.collect_list(F.struct(order, F.length(text).alias("n")))).alias("m"))
-    start = F.expr("cast(array() as array<struct<part:int,messages:int,chars:int>>)")
+    """session, part, messages, chars: a greedy running sum that starts anew before the message that would overflow. A session of any size is cut into ranges."""
+    parts = greedy_parts(messages, [session], [order], F.length(text), most)
+    return parts.groupBy(session, F.col("part").cast("int").alias("part")).agg(F.count(F.lit(1)).cast("int").alias("messages"), F.sum("size").cast("int").alias("chars"))
 
-    def add(done: Column, m: Column) -> Column:
-        last = F.element_at(done, -1)
-        fresh = last["chars"] + m["n"] > most
-        part = F.struct(F.when(fresh, F.size(done) + 1).otherwise(last["part"]).cast("int").alias("part"), F.when(fresh, 1).otherwise(last["messages"] + 1).cast("int").alias("messages"), F.when(fresh, m["n"]).otherwise(last["chars"] + m["n"]).cast("int").alias("chars"))
-        return F.when(fresh, F.concat(done, F.array(part))).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(part)))
 
-    safe = F.aggregate("m", start, lambda done, m: F.when(F.size(done) == 0, F.array(F.struct(F.lit(1).alias("part"), F.lit(1).alias("messages"), m["n"].cast("int").alias("chars")))).otherwise(add(done, m)))
-    return rows.select(session, F.explode(safe).alias("p")).select(session, "p.part", "p.messages", "p.chars")
-
-
-def _packed(sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of next-fit over ``sizes``: for a chunk that starts at each place, the chunks from there to the end, what the last of them holds, and where the next starts."""
-    total = np.concatenate([[0], np.cumsum(sizes)])
-    n = len(sizes)
-    after = np.maximum(np.searchsorted(total, total[:-1] + most, "right") - 1, np.arange(n) + 1)
-    chunks, last = np.ones(n, np.int64), np.empty(n, np.int64)
-    for i in range(n - 1, -1, -1):
-        j = after[i]
-        chunks[i], last[i] = (1 + chunks[j], last[j]) if j < n else (1, total[n] - total[i])
-    return chunks, last, after
-
-
-def pack_sessions(sessions: DataFrame, most: int = C.MAX_CHUNK_CHARS, session: str = "session_id", chars: str = "chars", order: str = "first", ranges: int = 64) -> DataFrame:
-    """session, chunk_id, chars: next-fit packing in order; a session over the size stands alone, and closes the chunk before it.
-
-    ``order`` is a number or a time. Sessions are cut into ranges of it. What a range does depends only on how full the chunk before it is, and so on which of its
-    first sessions starts a chunk; each range says that for the few sessions that can. The driver follows the ranges, and each is then packed from its own start.
-    """
-    number = F.col(order).cast("timestamp").cast("double") if dict(sessions.dtypes)[order].startswith("timestamp") else F.col(order).cast("double")
-    rows = sessions.select(F.col(session).alias("_s"), F.col(chars).cast("long").alias("_n"), F.coalesce(number, F.lit(float("-inf"))).alias("_o"))
-    bounds = sorted(set(rows.agg(F.percentile_approx("_o", [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []))
-    place = F.lit(0)
-    for b in bounds:
-        place = place + (F.col("_o") > b).cast("int")
-    rows = rows.withColumn("_range", place)
-
-    def sizes(frame: pd.DataFrame) -> pd.DataFrame:
-        return frame.sort_values(["_o", "_s"], ignore_index=True)
-
-    def ways(frame: pd.DataFrame) -> pd.DataFrame:
-        n = sizes(frame)["_n"].to_numpy()
-        chunks, last, _ = _packed(n, most)
-        before = np.concatenate([[0], np.cumsum(n)])
-        can = np.flatnonzero(before[:-1] <= most)  # the places at which the first chunk of the range may start
-        kept = pd.DataFrame({"_range": frame["_range"].iloc[0], "at": can, "before": before[can], "chunks": chunks[can], "last": last[can]})
-        return pd.concat([kept, pd.DataFrame({"_range": [frame["_range"].iloc[0]], "at": [-1], "before": [before[-1]], "chunks": [0], "last": [0]})])
-
-    told = rows.groupBy("_range").applyInPandas(ways, "_range int, at long, before long, chunks long, last long").orderBy("_range", "at").toPandas()
-    used, done, starts = most + 1, 0, {}
-    for k, way in told.groupby("_range", sort=True):
-        whole, way = int(way["before"].iloc[0]), way.iloc[1:]
-        starts[int(k)] = (used, done)
-        if used + whole <= most:
-            used += whole
-            continue
-        first = way.iloc[int(np.searchsorted(way["before"].to_numpy(), most - used, "right")) - 1 if used <= most else 0]
-        done, used = done + int(first["chunks"]), int(first["last"])
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = sizes(frame)
-        used, done = starts[int(frame["_range"].iloc[0])]
-        n = frame["_n"].to_numpy()
-        _, _, after = _packed(n, most)
-        before = np.concatenate([[0], np.cumsum(n)])
-        at = int(np.searchsorted(before, most - used, "right")) - 1 if used <= most else 0
-        begins = np.zeros(len(n), np.int64)
-        while at < len(n):
-            begins[at] = 1
-            at = int(after[at])
-        return pd.DataFrame({"_s": frame["_s"], "chunk_id": done + np.cumsum(begins), "_n": n})
-
-    kind = dict(sessions.dtypes)[session]
-    out = rows.groupBy("_range").applyInPandas(pack, f"_s {kind}, chunk_id long, _n long")
-    return out.select(F.col("_s").alias(session), F.col("chunk_id").cast("int").alias("chunk_id"), F.col("_n").alias(chars))
+def pack_sessions(sessions: DataFrame, most: int = C.MAX_CHUNK_CHARS, session: str = "session_id", chars: str = "chars", order: str = "first", ranges: int | None = None) -> DataFrame:
+    """session, chunk_id, chars: next-fit packing in order of ``order`` (missing ones first) and session; a session over the size stands alone, and closes the chunk before it."""
+    packed = greedy_parts(sessions.select(F.col(order).alias("_o"), F.col(session).alias("_s"), F.col(chars).alias("_c")), [], ["_o", "_s"], F.col("_c"), most, ranges)
+    return packed.select(F.col("_s").alias(session), F.col("part").cast("int").alias("chunk_id"), F.col("size").alias(chars))
 
 
 def ingest(messages: DataFrame, known: DataFrame, experience: str = "default", force: bool = False, session: str = "session_id") -> DataFrame:
@@ -155,11 +85,94 @@ def manifest(chunks: DataFrame, session: str = "session_id") -> DataFrame:
 
 
 def within_budgets(messages: DataFrame, per_session: int, whole: int, session: str = "session_id", order: str = "pos", text: str = "text", first: str = "first", group: str = "thread") -> DataFrame:
-    """Each session's messages up to the first that would exceed ``per_session`` characters, and of these, sessions in order, a group's up to ``whole``."""
-    own = Window.partitionBy(group, session).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    kept = messages.withColumn("_own", F.sum(F.length(text)).over(own)).where(F.col("_own") <= per_session)
-    all_ = Window.partitionBy(group).orderBy(first, session, order).rowsBetween(Window.unboundedPreceding, 0)
-    return kept.withColumn("_all", F.sum(F.length(text)).over(all_)).where(F.col("_all") <= whole).drop("_own", "_all")
+    """Each session's messages up to the first that would exceed ``per_session`` characters, and of these, sessions in order, a group's up to ``whole``. Sums are put together from ranges."""
+    own = prefix_sums(messages, [group, session], [order], F.length(text), "_own").where(F.col("_own") <= per_session)
+    return prefix_sums(own, [group], [first, session, order], F.length(text), "_all").where(F.col("_all") <= whole).drop("_own", "_all")
+
+
+# Fixed values of a thread's text: characters of all of it and of a message, messages of a session that are all taken, and the first and last ones of a longer session.
+THREAD_CHARS, ENTRY_CHARS, SHORT_SESSION, FIRST_OF_LONG, LAST_OF_LONG = 100_000, 500, 10, 5, 3
+
+
+def thread_keywords(topic_names: Column) -> Column:
+    """The words of more than two characters of a thread's topics, in lower case; dashes and underscores part words."""
+    names = F.transform(topic_names, lambda n: F.split(F.trim(F.regexp_replace(F.lower(n), r"[-_\s]+", " ")), " "))
+    return F.array_distinct(F.filter(F.flatten(names), lambda w: F.length(w) > 2))
+
+
+def gather_threads(threads: DataFrame, chunk_sessions: DataFrame, messages: DataFrame, most: int = THREAD_CHARS) -> DataFrame:
+    """thread, lines, chars, truncated, text: what is read of each thread (thread, topic_names, chunks).
+
+    The sessions of its chunks (chunk_id, session_id, first) count if they hold two of the thread's keywords (one, where it has two at most). Of each, in order of the chunk and then of ``first``,
+    there is a heading, and its messages (session_id, pos, role, text, created_at): all of a short session, the first and last of a longer one with a line for what is left out. The text ends before the
+    first message that would take it over ``most``. Places in sessions and lengths are prefix sums by ranges, so neither a session nor a thread has to fit in a task; the text that is left does, as ``most`` bounds it.
+    """
+    asked = threads.select("thread", thread_keywords(F.col("topic_names")).alias("_words"), F.explode(F.array_distinct("chunks")).alias("chunk_id"))
+    placed = asked.join(chunk_sessions, "chunk_id").join(messages, "session_id")
+    hits = placed.select("thread", "chunk_id", "session_id", "_words", F.explode_outer(F.filter("_words", lambda w: F.lower(F.col("text")).contains(w))).alias("_hit"))
+    held = hits.groupBy("thread", "chunk_id", "session_id").agg(F.count_distinct("_hit").alias("_hits"), F.first(F.size("_words")).alias("_of"), F.count(F.lit(0)).alias("_rows"))
+    relevant = held.where(F.col("_hits") >= F.when(F.col("_of") <= 2, 1).otherwise(2)).select("thread", "chunk_id", "session_id")
+    sizes = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"), F.min_by("created_at", "pos").alias("_date"))
+    sampled = prefix_sums(messages.join(relevant.select("session_id").distinct(), "session_id", "left_semi"), ["session_id"], ["pos"], F.lit(1), "_at").join(sizes.select("session_id", "_n"), "session_id")
+    sampled = sampled.where((F.col("_n") <= SHORT_SESSION) | (F.col("_at") <= FIRST_OF_LONG) | (F.col("_at") > F.col("_n") - LAST_OF_LONG)).where("coalesce(text, '') != ''")
+    label = F.when(F.col("role") == "user", "USER: ").when(F.col("role") == "assistant", "ASSISTANT: ").otherwise("")
+    entries = sampled.select("session_id", F.col("_at").cast("long").alias("_at"), F.lit(False).alias("_head"), F.concat(label, F.substring("text", 1, ENTRY_CHARS), F.lit("\n")).alias("line"))
+    heading = F.concat(F.lit("\n=== "), F.coalesce(F.substring(F.col("_date").cast("string"), 1, 10), F.lit("?")), F.lit(" | session "), F.substring(F.col("session_id").cast("string"), 1, 12), F.lit(" | "), F.col("_n").cast("string"), F.lit(" messages ==="))
+    known = sizes.join(relevant.select("session_id").distinct(), "session_id", "left_semi")
+    heads = known.select("session_id", F.lit(0).cast("long").alias("_at"), F.lit(True).alias("_head"), heading.alias("line"))
+    gap = known.where(F.col("_n") > SHORT_SESSION).select("session_id", F.lit(FIRST_OF_LONG).cast("long").alias("_at"), F.lit(False).alias("_head"), F.concat(F.lit("... ["), (F.col("_n") - FIRST_OF_LONG - LAST_OF_LONG).cast("string"), F.lit(" messages omitted] ...\n")).alias("line"))
+    lines = entries.withColumn("_gap", F.lit(0)).unionByName(heads.withColumn("_gap", F.lit(0))).unionByName(gap.withColumn("_gap", F.lit(1)))
+    of = relevant.join(chunk_sessions, ["chunk_id", "session_id"]).join(lines, "session_id").withColumn("_size", F.length("line"))
+    return _assembled(of, "thread", ["chunk_id", "first", "session_id", "_at", "_gap"], most, "... [truncated] ...")
+
+
+def _assembled(lines: DataFrame, group: str, order: list[str], most: int, end: str) -> DataFrame:
+    """group, lines, chars, truncated, text: the lines (line, _size, _head) of each group in order, up to the first that is no heading and would take the sum of sizes over ``most``."""
+    summed = prefix_sums(lines, [group], order, F.col("_size"), "_sum")
+    over = summed.where(~F.col("_head") & (F.col("_sum") > most)).groupBy(group).agg(F.min(F.struct(*order)).alias("_stop"))
+    kept = summed.join(over, group, "left").where(F.col("_stop").isNull() | (F.struct(*order) < F.col("_stop")))
+    out = kept.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(*order, "line"))).alias("_l"), F.sum("_size").alias("chars"), F.first(F.col("_stop").isNotNull()).alias("truncated"))
+    last = F.when(F.col("truncated"), F.array(F.lit(end))).otherwise(F.expr("cast(array() as array<string>)"))
+    return out.select(group, F.size("_l").alias("lines"), "chars", "truncated", F.array_join(F.concat(F.col("_l.line"), last), "\n").alias("text"))
+
+
+# Fixed values of a chunk's text: characters of all of it, the least for a session, messages of a session that are all taken, and the least of the first and last ones of a longer one.
+CHUNK_TEXT_CHARS, SESSION_CHARS, WHOLE_SESSION, LEAST_ENDS = 50_000, 2_000, 20, 5
+
+
+def chunk_texts(chunk_sessions: DataFrame, messages: DataFrame, most: int = CHUNK_TEXT_CHARS, least: int = SESSION_CHARS) -> DataFrame:
+    """chunk_id, lines, chars, truncated, text: what is read of each chunk (chunk_id, session_id, first).
+
+    Each session has a heading and an equal share of ``most`` (``least`` at least); its messages with a text are taken whole, or the first and last third of more than WHOLE_SESSION. A session ends
+    before the first message over its share, a chunk before the first over ``most``.
+    """
+    shares = chunk_sessions.groupBy("chunk_id").agg(F.greatest(F.floor(F.lit(most) / F.count(F.lit(1))), F.lit(least)).alias("_share"))
+    said = messages.where("coalesce(text, '') != ''")
+    sizes = said.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n"))
+    keep = F.greatest(F.floor(F.col("_n") / 3), F.lit(LEAST_ENDS))
+    placed = prefix_sums(said, ["session_id"], ["pos"], F.lit(1), "_at").join(sizes, "session_id")
+    placed = placed.where((F.col("_n") <= WHOLE_SESSION) | (F.col("_at") <= keep) | (F.col("_at") > F.col("_n") - keep))
+    label = F.when(F.col("role") == "user", "USER: ").when(F.col("role") == "assistant", "ASSISTANT: ").otherwise("")
+    entries = placed.select("session_id", F.col("_at").cast("long").alias("_at"), F.lit(0).alias("_gap"), F.concat(label, "text", F.lit("\n")).alias("line"))
+    gap = sizes.where(F.col("_n") > WHOLE_SESSION).select("session_id", keep.cast("long").alias("_at"), F.lit(1).alias("_gap"), F.concat(F.lit("... ["), (F.col("_n") - 2 * keep).cast("string"), F.lit(" messages omitted] ...\n")).alias("line"))
+    of = chunk_sessions.join(shares, "chunk_id").join(entries.unionByName(gap), "session_id").withColumn("_size", F.length("line"))
+    own = prefix_sums(of, ["chunk_id", "session_id"], ["_at", "_gap"], F.col("_size"), "_own")
+    fits = own.where(F.col("_own") <= F.col("_share")).select("chunk_id", "first", "session_id", "_at", "_gap", F.lit(False).alias("_head"), "line", "_size")
+    cut = own.where(F.col("_own") > F.col("_share")).groupBy("chunk_id", "first", "session_id").agg(F.min(F.struct("_at", "_gap")).alias("_c"))
+    cut = cut.select("chunk_id", "first", "session_id", "_c._at", "_c._gap", F.lit(True).alias("_head"), F.lit("... [session truncated] ...").alias("line"), F.lit(0).alias("_size"))
+    heading = F.concat(F.lit("\n=== SESSION "), F.substring(F.col("session_id").cast("string"), 1, 12), F.lit(" ("), F.col("_n").cast("string"), F.lit(" messages) ==="))
+    heads = chunk_sessions.join(sizes, "session_id").select("chunk_id", "first", "session_id", F.lit(0).cast("long").alias("_at"), F.lit(0).alias("_gap"), F.lit(True).alias("_head"), heading.alias("line")).withColumn("_size", F.length("line"))
+    return _assembled(fits.unionByName(cut).unionByName(heads), "chunk_id", ["chunk_id", "first", "session_id", "_at", "_gap"], most, "... [chunk truncated] ...")
+
+
+def by_messages(threads: DataFrame, total: str = "total_messages") -> DataFrame:
+    """``threads`` with ``place``: those of most messages first, ties by thread. Places are prefix sums, so the sort is one of all tasks."""
+    return prefix_sums(threads.withColumn("_least", -F.col(total)), [], ["_least", "thread"], F.lit(1), "place").drop("_least")
+
+
+def run_counts(results: DataFrame, status: str = "status") -> DataFrame:
+    """One row for a run over topics, threads or labels: total, and those processed, skipped (done before) and failed."""
+    return results.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col(status) == x).alias(x) for x in ("processed", "skipped", "failed")])
 
 
 def head_tail(messages: DataFrame, whole: int = 20, least: int = 5, session: str = "session_id", order: str = "pos") -> DataFrame:

@@ -63,6 +63,36 @@ def fold(events: DataFrame, key: str = "memory_id", protected: DataFrame | None
     return out.withColumn("_c", contexts).select(key, *[f"q_{x}" for x in C.Q_LAYERS], S.combined_q(*[F.col(f"q_{x}") for x in C.Q_LAYERS]).alias("q_value"), visits.alias("q_visits"), F.slice("_c", F.greatest(F.lit(1), F.size("_c") - (C.CONTEXTS_KEPT - 1)), C.CONTEXTS_KEPT).alias("reward_contexts"))
 
 
+def _after(f: Column, g: Column) -> Column:
+    """``f`` and then ``g``."""
+    return F.struct((f["shift"] + g["shift"]).alias("shift"), _through(f["low"], g).alias("low"), _through(f["high"], g).alias("high"))
+
+
+def _chained(none: Column, layer: str) -> Column:
+    return F.aggregate("_parts", none, lambda f, p: _after(f, p[layer]))
+
+
+def composed(events: DataFrame, key: str, order: str = "seq", tasks: int | None = None) -> DataFrame:
+    """key, n and ``move`` (a function for each layer): what all of a key's events (order, reward) do, in order, to any value; ``moved`` applies it.
+
+    Events are dealt by ranges of key and order. Each range folds its events to one function a key, however many tasks a hot key's events fill, and a key's
+    few functions are put together in turn. Events without a reward count in ``n`` and move nothing.
+    """
+    tasks = tasks or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = events.select(key, order, "reward").repartitionByRange(tasks, key, order).withColumn("_t", F.spark_partition_id())
+    log = dealt.groupBy(key, "_t").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("reward").isNotNull(), F.struct(F.col(order).alias("o"), "reward")))).alias("_used"))
+    none = F.struct(F.lit(0.0).alias("shift"), F.lit(-1e9).alias("low"), F.lit(1e9).alias("high"))
+    parts = log.select(key, F.struct("_t", "n", *[_folded(none, x).alias(x) for x in C.Q_LAYERS]).alias("_p")).groupBy(key).agg(F.sort_array(F.collect_list("_p")).alias("_parts"))
+    whole = F.struct(*[_chained(none, x).alias(x) for x in C.Q_LAYERS])
+    return parts.select(key, F.aggregate("_parts", F.lit(0).cast("long"), lambda n, p: n + p["n"]).alias("n"), whole.alias("move"))
+
+
+def moved(rows: DataFrame, move: str = "move") -> DataFrame:
+    """``rows`` with the layers (q_action, ...; those missing begin at the initial value) after ``move``, and the value that they combine to."""
+    layers = {f"q_{x}": _through(F.coalesce(F.col(f"q_{x}"), F.lit(C.Q_INIT)), F.col(move)[x]) for x in C.Q_LAYERS}
+    return rows.withColumns(layers).withColumn("q_value", S.combined_q(*[F.col(x) for x in layers]))
+
+
 def set_value(state: DataFrame, overrides: DataFrame, key: str = "memory_id") -> DataFrame:
     """All layers move by the difference to the target, each clamped; a difference under 1e-6 changes nothing."""
     rows = state.join(overrides.select(key, "target"), key, "left")
@@ -114,6 +144,11 @@ def load_and_merge(main: DataFrame, deltas: DataFrame, most: int = 100_000, touc
     return merged.join(kept.select("memory_id"), "memory_id", "left_semi")
 
 
+def experience_names(state: DataFrame) -> DataFrame:
+    """The contexts that any memory has a value in."""
+    return state.select("experience").distinct()
+
+
 def experiences(state: DataFrame) -> DataFrame:
     """memory_id, experiences: the contexts that each memory has values in, sorted."""
     return state.groupBy("memory_id").agg(F.sort_array(F.collect_set("experience")).alias("experiences"))

@@ -97,3 +97,39 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where("event_type != 'view'").select(
         F.col("event_id").alias("id"), F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), _pick(("Bash", "Edit", "Write"), F.col("event_id") % 3).alias("tool"), _pick(SUMMARIES, F.col("event_id") % 10).alias("summary"),
     )
+
+
+#: What users begin a message with: calls for a profile, for two, and for none.
+OPENINGS = ("Send the invoice and ask for payment: ", "Close the deal with the client. ", "invoice for the client, deal paid: ", "", "lead ", "Клієнт просить пропозицію. ")
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users said, with an opening; one in nine only confirms."""
+    text = F.when(F.col("pos") % 9 == 4, F.lit(" Thanks ")).otherwise(F.concat(_pick(OPENINGS, (F.col("session_id") + F.col("pos")) % len(OPENINGS)), "text"))
+    return messages(spark, sf_dir).where("role = 'user'").select("session_id", "pos", text.alias("text"))
+
+
+def prompt_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompts of the sessions whose id is divisible by 50, each with a vector of the table; one session has no name."""
+    rows = prompts(spark, sf_dir).where("session_id % 50 = 0").select((F.col("session_id") * 1000 + F.col("pos")).alias("query_id"), F.when(F.col("session_id") == 0, "unknown").otherwise(F.col("session_id").cast("string")).alias("session_id"), "text")
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("query_vector"))
+    return rows.withColumn("_v", F.col("query_id") % 499).join(vectors, "_v").drop("_v")
+
+
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memories with vectors that lie close in sevens: the first one's vector and a quarter of the row's own; four in five are active."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("own"))
+    first = e.select(F.col("id").alias("_f"), F.col("own").alias("base"))
+    v = e.join(first, F.col("_f") == F.col("id") - F.col("id") % 7).select("id", F.zip_with("base", "own", lambda a, b: a.cast("double") + 0.25 * b.cast("double")).alias("vector"))
+    status = F.when(F.col("id") % 5 == 3, "archived").otherwise("active")
+    return memory_text(spark, sf_dir).withColumn("status", status).join(v, "id")
+
+
+#: Names of topics, whose words stand in many texts or in few.
+TOPICS = ("the-thing reer", "que_tion", "Heth  Ing", "des les", "ou ch", "erheblich-sehr selten")
+
+
+def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thread for each nation: two topics and two of the ten chunks of sessions."""
+    k = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(k.alias("thread"), F.array(k % 10, (k * 3 + 1) % 10).alias("chunks"), F.array(_pick(TOPICS, k % 6), _pick(TOPICS, (k * 5 + 2) % 6)).alias("topic_names"))

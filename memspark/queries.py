@@ -346,9 +346,22 @@ def first_seen(spark, sf_dir):
     return compaction.first_of_each(e, ["user_id", "event_type"], "_o").select("event_id", "user_id", "event_type")
 
 
-@query(None)
+#: The vectors of the view lie close in sevens and far apart otherwise, so each seven is a cluster, in order of the ids.
+_SEVENS = """v as (select a.vec_id id, a.vec_id // 7 g, a.vec_id % 5 = 3 archived, list_transform(range(1, len(a.embedding) + 1), lambda i: b.embedding[i]::double + 0.25 * a.embedding[i]::double) x from embeddings a join embeddings b on b.vec_id = a.vec_id - a.vec_id % 7 where a.vec_id in (select doc_id from documents))"""
+
+
+@query(f"""with {_SEVENS}, u as (select id, g, list_transform(x, lambda y: y / sqrt(list_dot_product(x, x))) x from v),
+ s as (select g, i, sum(y) y from (select g, unnest(x) y, generate_subscripts(x, 1) i from u) group by 1, 2), c as (select g, list(y order by i) c from s group by 1), n as (select g, min(id) cluster from u group by 1 having count(*) >= 3)
+ select id, cluster, (row_number() over (partition by g order by id) - 1)::int position, round(list_dot_product(x, c) / sqrt(list_dot_product(c, c)), 6) similarity from u join c using (g) join n using (g)""")
 def compaction_clusters(spark, sf_dir):
-    return rounded(compaction.greedy_clusters(V.memory(spark, sf_dir), 0.85, 3, block="label"), "similarity")
+    return rounded(compaction.greedy_clusters(V.variants(spark, sf_dir), 0.25, 3), "similarity")
+
+
+@query(f"""with {_SEVENS}, n as (select min(id) cluster, count(*) n from v where not archived group by g having count(*) >= 3), d as (select * from n order by cluster limit 50)
+ select (select count(*) from v where not archived) memories_found, (select count(*) from n) clusters, (select count(*) from d) compacted, (select sum(n)::bigint from d) memories_merged""")
+def compaction_run(spark, sf_dir):
+    state = V.usefulness_rows(spark, sf_dir).withColumnRenamed("memory_id", "id").where("experience = 'default'")
+    return compaction.compact_memories(V.variants(spark, sf_dir), state)[0]
 
 
 @query("""with e as (select label cluster, unnest(embedding::double[]) x, generate_subscripts(embedding, 1) i from embeddings), m as (select cluster, i, avg(x) x from e group by 1, 2)
@@ -401,17 +414,35 @@ def retrieval_evaluation(spark, sf_dir):
     return rounded(out, "recall_any", "ndcg_retrieved")
 
 
+@query(f"""with {_KW}, tr as (select item_id query_id, doc_id from benchmark b join documents d on contains(d.text, b.text)), k as (select *, row_number() over (partition by query_id order by round(s, 9) desc, doc_id) rank from sc),
+ h as (select query_id, rank, tr.doc_id is not null hit from k left join tr using (query_id, doc_id) where rank <= 10), ks as (select unnest([5, 10]) k), qs as (select distinct query_id from tr),
+ g as (select qs.query_id, ks.k, count(*) filter (where hit and rank <= ks.k) n from qs cross join ks left join h using (query_id) group by 1, 2)
+ select 'type-' || (query_id % 3) question_type, k::int k, count(*) questions, round(avg((n > 0)::int), 6) recall_any from g group by 1, 2""")
+def retrieval_by_type(spark, sf_dir):
+    docs, asked = V.table(spark, sf_dir, "documents"), _asked(spark, sf_dir)
+    types = asked.select("query_id", F.concat(F.lit("type-"), (F.col("query_id") % 3).cast("string")).alias("question_type"))
+    return rounded(evaluation.evaluate_by_type(evaluation.keyword_top(asked, docs, 10), evaluation.holding(asked, docs), types), "recall_any")
+
+
 @query("""select label, count(*) events from (select case when contains(lower(event_type), 'error') then 'failure' when contains(lower(event_type), 'sign') then 'start' when contains(lower(event_type), 'purch') then 'deal' else 'activity' end label from events) group by 1""")
 def step_labels(spark, sf_dir):
     label = analytics.classify_step(F.col("event_type"), [("error", "failure"), ("sign", "start"), ("purch", "deal")], "activity")
     return V.table(spark, sf_dir, "events").groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("""with h as (select conv_id, turn, unnest([{'p': 'sales', 'n': contains(lower(text), 'heth')::int + contains(lower(text), 'ing')::int + contains(lower(text), 'deal')::int, 'o': 2}, {'p': 'deals', 'n': contains(lower(text), 'tion')::int + contains(lower(text), 'ou')::int, 'o': 1}]) x from conversations where length(text) >= 10)
- select conv_id session_id, turn pos, arg_max(x.p, (x.n, x.o)) profile from h where x.n >= 2 group by 1, 2""")
+#: What users said, with an opening, and the profile that a text calls for.
+_SAID = f"""said as (select conv_id session_id, turn pos, case when turn % 9 = 4 then ' Thanks ' else ({list(V.OPENINGS)})[(conv_id + turn) % {len(V.OPENINGS)} + 1] || text end as text from conversations where role = 'user')"""
+
+
+def _profile_sql(text: str) -> str:
+    sums = [f"list_sum([{', '.join(f'contains(lower({text}), {chr(39)}{w}{chr(39)})::int' for w in words)}])" for _, words in C.PROFILE_WORDS]
+    (a, b), (p, q) = sums, [name for name, _ in C.PROFILE_WORDS]
+    return f"case when length({text}) < 10 then null when {a} >= 2 and {a} >= {b} then '{p}' when {b} >= 2 then '{q}' end"
+
+
+@query(f"with {_SAID} select * from (select session_id, pos, {_profile_sql('text')} profile from said) where profile is not null")
 def detected_profiles(spark, sf_dir):
-    rows = profiles.detected(V.messages(spark, sf_dir), [("sales", ["heth", "ing", "deal"]), ("deals", ["tion", "ou"])])
-    return rows.where("profile is not null").select("session_id", "pos", "profile")
+    return profiles.detected(V.prompts(spark, sf_dir), list(C.PROFILE_WORDS)).where("profile is not null").select("session_id", "pos", "profile")
 
 
 def queries() -> dict:

@@ -78,6 +78,11 @@ def write_chunks(messages: DataFrame, path: str, chunk: str = "chunk_id") -> Non
     messages.repartition(chunk).write.mode("overwrite").partitionBy(chunk).json(path)
 
 
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """The chunks' rows as JSON lines in order of the chunk, beside their folders."""
+    manifest.repartitionByRange(1, "chunk_id").sortWithinPartitions("chunk_id").write.mode("overwrite").json(f"{path.rstrip('/')}/manifest")
+
+
 def snapshot(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
