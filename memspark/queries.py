@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import constants as C
 from memspark.functions import scoring as S
 from memspark.functions import text as T
-from memspark.operators import analytics, compaction, evaluation, lifecycle, outcomes, profiles, search, transcripts, usefulness
+from memspark.operators import analytics, compaction, evaluation, lifecycle, outcomes, postings, profiles, search, transcripts, usefulness, vector_index
 from memspark.plans import views as V
+from memspark.plans.shared import shared_folder
 
 QUERY = ["the", "thing", "of", "reer", "tion", "the"]
 _QUERIES, _SQL = {}, {}
@@ -90,6 +93,15 @@ def vector_top(spark, sf_dir):
     return rounded(search.vector_top(e, _first_vector(spark, sf_dir), 50).select("id", "score"), "score")
 
 
+@query(f"""with {_M}, v as (select m.id, status, memory_type, embedding from m join embeddings on vec_id = m.id where status not in ('deleted', 'superseded') and memory_type is distinct from 'fact')
+ select id, round(list_dot_product(embedding::double[], q) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(q, q))), 6) score
+ from v, (select embedding::double[] q from embeddings where vec_id = 0) order by list_dot_product(embedding::double[], q) / sqrt(list_dot_product(embedding::double[], embedding::double[])) desc, 1 limit 20""")
+def vector_index_top(spark, sf_dir):
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    vector_index.build(V.memory(spark, sf_dir).select("id", "vector", "status", "memory_type"), path)
+    return rounded(vector_index.top(spark, path, _first_vector(spark, sf_dir), 20, exact=True, exclude_type="fact").select("id", "score"), "score")
+
+
 @query("""with q as (select vec_id query_id, embedding::double[] q from embeddings where vec_id % 50 = 0),
  s as (select query_id, vec_id id, list_dot_product(embedding::double[], q) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(q, q))) score from embeddings, q),
  k as (select *, row_number() over (partition by query_id order by score desc, id) rank from s) select query_id, id, rank, round(score, 6) score from k where rank <= 10""")
@@ -104,6 +116,24 @@ def bm25_scores(spark, sf_dir):
     return rounded(search.bm25(V.memory_text(spark, sf_dir), QUERY).select("id", "bm25"), "bm25")
 
 
+def _index(spark, sf_dir) -> str:
+    """An index of all memories, added in two batches."""
+    path, m = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}", V.memory_text(spark, sf_dir)
+    for part in ("id % 3 = 0", "id % 3 != 0"):
+        postings.add_documents(m.where(part), path, block=4096)
+    return path
+
+
+@query(f"with {_M}, {_BM25.replace('SRC', 'm')} select id, round(bm25, 6) bm25 from bs")
+def bm25_from_lists(spark, sf_dir):
+    return rounded(postings.all_scores(spark, _index(spark, sf_dir), QUERY), "bm25")
+
+
+@query(f"with {_M}, {_BM25.replace('SRC', 'm')} select id, round(bm25, 6) bm25 from bs order by bs.bm25 desc, id limit 50")
+def bm25_top(spark, sf_dir):
+    return rounded(postings.bm25_scores(spark, _index(spark, sf_dir), QUERY, 50), "bm25")
+
+
 @query(f"""with {_M}, x as (select *, exp(-0.693 * floor(date_diff('hour', created_at, timestamp '2024-06-01') / 24) / 90) rec, ([1.0,.95,.9,.9,.9,.85,.85,.85,.8,.8,.75,.7,.6])[id % 13 + 1]::double boost from m)
  select id, round(rec, 6) recency, round(greatest(0, least(1, (0.5 * ((id % 101) / 100::double) + 0.3 * case when memory_type in ('decision','preference','relationship','commitment') then greatest(rec, 0.4) else rec end
  + 0.2 * case when importance = 0 then 0.8 else importance end * boost) * least(1 + 0.05 * (id % 14), 1.5))), 6) composite from x""")

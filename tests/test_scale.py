@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memspark.functions import constants as C
-from memspark.operators import compaction, graph, outcomes, ranges, recall, transcripts, usefulness
+from memspark.operators import compaction, graph, outcomes, postings, ranges, recall, search, transcripts, usefulness, vector_index
 
 
 
@@ -177,3 +177,48 @@ def test_gathered_threads_take_relevant_sessions(spark):
     assert out[1]["text"] == "\n".join(short + long) and out[1]["lines"] == 13
     cut = transcripts.gather_threads(threads.where("thread = 3"), sessions, messages, 80).first()
     assert cut["text"] == "\n".join([*short[:2], "... [truncated] ..."]) and cut["truncated"]
+
+
+def test_posting_lists_equal_the_scan(spark, tmp_path):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(rng.choices(words, weights=[1 / (1 + j) for j in range(40)], k=rng.randint(1, 30)))) for k in range(400)] + [(400, ""), (401, None), (402, "!?")]
+    docs = spark.createDataFrame(rows, "id long, memory string")
+    path, query = str(tmp_path / "index"), ["w0", "w7", "absent", "w30", "w7"]
+    assert postings.bm25_scores(spark, path, query).count() == 0
+    for part in ("id < 150", "id >= 150"):
+        postings.add_documents(docs.where(part), path, block=40)
+    want = {r["id"]: round(r["bm25"], 9) for r in search.bm25(docs, query).select("id", "bm25").collect()}
+    assert {r["id"]: round(r["bm25"], 9) for r in postings.all_scores(spark, path, query).collect()} == want
+    best = sorted(want, key=lambda k: (-want[k], k))
+    for k in (1, 5, 60):
+        assert [r["id"] for r in postings.bm25_scores(spark, path, query, k).collect()] == best[:k]
+    # A batch that died before its row was written does not count.
+    spark.read.parquet(f"{path}/documents").limit(3).selectExpr("id + 9000 id", "length", "counted", "'dead' batch").write.mode("append").partitionBy("batch").parquet(f"{path}/documents")
+    spark.read.parquet(f"{path}/postings").where("term = 'w0'").withColumn("batch", F.lit("dead")).write.mode("append").partitionBy("part").parquet(f"{path}/postings")
+    assert {r["id"]: round(r["bm25"], 9) for r in postings.all_scores(spark, path, query).collect()} == want
+    assert postings.bm25_scores(spark, path, ["absent"]).count() == postings.bm25_scores(spark, path, []).count() == 0
+
+
+def test_the_vector_index_finds_what_a_scan_finds(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    x = centres[np.arange(2000) % 40] + 0.4 * rng.normal(size=(2000, 16))
+    rows = [(k, v.tolist(), "deleted" if k % 5 == 0 else "active", "rare" if k % 400 == 1 else "fact") for k, v in enumerate(x)] + [(2000, None, "active", "fact"), (2001, [0.0] * 16, "active", "fact"), (2002, [1.0], "active", "fact")]
+    memory = spark.createDataFrame(rows, "id long, vector array<double>, status string, memory_type string")
+    path = str(tmp_path / "index")
+    vector_index.build(memory, path, sample_rows=1000)
+    asked = x[rng.permutation(2000)[:12]] + 0.2 * rng.normal(size=(12, 16))
+    u, live = x / np.linalg.norm(x, axis=1, keepdims=True), np.arange(2000) % 5 != 0
+    hits = 0
+    for n, q in enumerate(asked.tolist()):
+        cosine = np.where(live, u @ q, -9)
+        want = np.argsort(-cosine, kind="stable")[:10].tolist()
+        hits += len({r["id"] for r in vector_index.top(spark, path, q, 10, probes=4).collect()} & set(want))
+        if n < 4:
+            assert [r["id"] for r in vector_index.top(spark, path, q, 10, probes=1, exact=True).collect()] == want
+    assert hits / 120 >= 0.9
+    rare = vector_index.top(spark, path, asked[0].tolist(), 5, probes=1, exclude_type="fact").collect()
+    assert {r["id"] for r in rare} == {k for k in range(2000) if k % 400 == 1 and k % 5 != 0} and {r["memory_type"] for r in rare} == {"rare"}
+    vector_index.build(memory.where("false"), path)
+    assert vector_index.top(spark, path, asked[0].tolist(), 5).count() == 0
