@@ -41,8 +41,8 @@ from memspark.llm._shared import dealt, durable, local_path, shared_dir, small_a
 WORD = 6
 START, END = np.uint64(0x5851F42D4C95), np.uint64(0x14057B7EF767)
 _STEP, _BELOW = np.uint64(0x9E3779B97F4A7C15), np.uint64(8 * WORD)
-#: Bytes of tables that a worker maps at once.
-MAPPED = 128_000_000
+#: Bytes of tables that a worker maps at once. Mapped pages belong to the machine's page cache, which it takes back when it needs to; mapping anew touches them all again.
+MAPPED = 4_000_000_000
 #: N-grams that a task holds before it sends them on.
 _HELD = 3_000_000
 #: A word is hot from this share of a part on; of one text in SAMPLE; at most so many words.
@@ -531,7 +531,7 @@ def train_model(train: DataFrame, text_col: str = "text", folder: str | None = N
 
 def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, n_known, train_tokens, base_score, score (log10 probability) and perplexity of each row."""
-    small_arrow_batches(docs.sparkSession)
+    small_arrow_batches(docs.sparkSession, 1024)
     n = int(dict(model[3])["N"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
