@@ -420,6 +420,20 @@ def question_corpora(spark, sf_dir):
     return out.select("query_id", "doc_id", evaluation.session_of(F.col("doc_id")).alias("session_id"), F.length("text").cast("long").alias("chars"))
 
 
+@query(f"""with {_OBS}, {_STEPS}, {_RT}, r2 as (select *, list_transform([3, 5, 7, 11, 13, 17, 19], lambda k: substr((id % (k * 10))::varchar, 1, 8)) ids, row_number() over (partition by session_id order by ts, id) n from rt),
+ u0 as (select r.id, r.session_id, n, 'look at item ' || r.id t, min(idx) filter (where kind <> 'session_start' and sp.ts >= r.ts) x, max(idx) m from r2 r join sp using (session_id) where n > 1 and not short group by all),
+ u as (select session_id, t, coalesce(x, m) idx, row_number() over (partition by session_id order by coalesce(x, m), t) beat from u0), ut as (select session_id, beat, last(t) over (partition by session_id, idx order by beat rows between unbounded preceding and unbounded following) title from u),
+ st as (select w.session_id, w.idx, greatest(1, (select count(*) from u where u.session_id = w.session_id and u.idx <= w.idx)) beat, f.ids later from w left join r2 f on f.session_id = w.session_id and f.n = 2 and f.ts <= w.ts),
+ b as (select session_id, beat, 'user_turn' as type, title from ut union all select distinct session_id, 1, 'auto', 'Automated work' from w where session_id not in (select session_id from u)),
+ a as (select session_id, beat, count(*) actions, any_value(later) later from st group by 1, 2),
+ t as (select b.session_id, b.beat, type, title, coalesce(actions, 0) actions, list_concat(case when b.beat = 1 then coalesce(s.ids[1:6], []::varchar[]) else []::varchar[] end, coalesce(later[1:4], []::varchar[])) l from b left join a using (session_id, beat) left join r2 s on s.session_id = b.session_id and s.n = 1),
+ x as (select session_id, beat, type, title, actions, array_to_string(list_filter(l, lambda v, i: list_position(l, v) = i), ',') memories, greatest(3500, 1200 * actions) duration from t)
+ select session_id, beat::int beat, type, title, actions::int actions, memories, duration::int duration from x union all select session_id, 0, 'system_start', 'Session Start', 0, '', 2000 from e union all select e.session_id, 1 + coalesce((select max(beat) from x where x.session_id = e.session_id), 0)::int, 'system_end', 'Session Complete', 0, '', 5000 from e""")
+def session_beats(spark, sf_dir):
+    out = replay.export_session("", V.observations(spark, sf_dir), V.retrievals(spark, sf_dir), V.usefulness_rows(spark, sf_dir).where("experience = 'default'"))["beats"]
+    return out.drop("subtitle").withColumn("memories", F.array_join("memories", ","))
+
+
 # Lists, counts and lookups.
 
 

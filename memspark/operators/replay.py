@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions import constants as C
-from memspark.functions.text import clean_query, redact_people
+from memspark.functions.text import clean_query, redact_people, truncate
 
 # The kinds of a step with their labels, each with the texts of which one must be in the summary (and a tool), in order.
 STEPS = (
@@ -110,6 +110,57 @@ def beat_summaries(steps_in_beats: DataFrame, session: str = "session_id") -> Da
     return out.select(session, "beat", actions_sentence(F.col("k")).alias("subtitle"), F.size("k").alias("actions"), F.greatest(F.lit(3500), 1200 * F.size("k")).alias("duration"))
 
 
+def recalled_steps(walk: DataFrame, retrievals: DataFrame, session: str = "session_id", ts: str = "ts") -> DataFrame:
+    """``walk`` with ``memory_ids``: at the start the first retrieval's, at a step those of the first later retrieval that is not after the step; the first eight characters of each."""
+    short = F.transform("memory_ids", lambda m: F.substring(m.cast("string"), 1, 8))
+    of = recalled(retrievals, session, ts).where("n <= 2").select(session, "n", F.col(ts).alias("_t"), short.alias("_ids"))
+    both = of.groupBy(session).agg(F.max(F.when(F.col("n") == 1, F.col("_ids"))).alias("_first"), F.max(F.when(F.col("n") == 2, F.struct("_t", "_ids"))).alias("_later"))
+    start, work = F.col("kind") == "session_start", ~F.col("kind").isin("session_start", "session_end")
+    ids = F.when(start, F.col("_first")).when(work & (F.col("_later._t") <= F.col(ts)), F.col("_later._ids"))
+    return walk.join(both, session, "left").withColumn("memory_ids", F.coalesce(ids, F.expr("cast(array() as array<string>)"))).drop("_first", "_later")
+
+
+def session_beats(walk: DataFrame, said: DataFrame, session: str = "session_id") -> DataFrame:
+    """session, beat, type, title, subtitle, actions, memories, duration of every session: a start, a beat for each user message (or one for all work where there is none), and an end.
+
+    ``walk`` has ``memory_ids`` (``recalled_steps``), ``said`` is its conversation. A beat has the steps from its message to the next; those before the first message, and what was
+    recalled at the start, go to the first. A memory counts where it is seen first in a beat.
+    """
+    work = walk.where("kind not in ('session_start', 'session_end')")
+    asked = said.where("role = 'user'").select(session, "index", "place", "text")
+    last = Window.partitionBy(session, "index").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    users = asked.select(session, F.row_number().over(Window.partitionBy(session).orderBy("place")).alias("beat"), F.last("text").over(last).alias("text"))
+    users = users.select(session, "beat", F.lit("user_turn").alias("type"), F.when(F.coalesce("text", F.lit("")) != "", truncate(F.col("text"), 50)).otherwise("Continue work").alias("title"))
+    auto = work.select(session).distinct().join(users.select(session).distinct(), session, "left_anti").select(session, F.lit(1).alias("beat"), F.lit("auto").alias("type"), F.lit("Automated work").alias("title"))
+    marks = asked.select(session, "index", F.lit(1).alias("_user"), F.lit(None).cast("string").alias("kind"), F.expr("cast(null as array<string>)").alias("memory_ids"))
+    line = marks.unionByName(walk.where("kind != 'session_end'").select(session, "index", F.lit(0).alias("_user"), "kind", "memory_ids"))
+    upto = Window.partitionBy(session).orderBy("index", F.desc("_user")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = line.withColumn("beat", F.greatest(F.lit(1), F.sum("_user").over(upto)).cast("int")).where("_user = 0")
+    kinds = F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") != "session_start", F.struct("index", "kind")))), lambda x: x["kind"])
+    done = placed.groupBy(session, "beat").agg(kinds.alias("_kinds"))
+    seen = placed.select(session, "beat", "index", F.posexplode("memory_ids").alias("_p", "id")).groupBy(session, "beat", "id").agg(F.min(F.struct("index", "_p")).alias("_at"))
+    seen = seen.groupBy(session, "beat").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "id"))), lambda x: x["id"]).alias("memories"))
+    none = F.expr("cast(array() as array<string>)")
+    turns = users.unionByName(auto).join(done, [session, "beat"], "left").join(seen, [session, "beat"], "left").withColumns({"_kinds": F.coalesce("_kinds", none), "memories": F.coalesce("memories", none)})
+    turns = turns.select(session, "beat", "type", "title", F.when(F.size("_kinds") > 0, truncate(actions_sentence(F.col("_kinds")), 150)).otherwise("").alias("subtitle"), F.size("_kinds").alias("actions"), "memories", F.greatest(F.lit(3500), 1200 * F.size("_kinds")).alias("duration"))
+    count = turns.groupBy(session).agg(F.max("beat").alias("_n"))
+    edges = walk.select(session).distinct().join(count, session, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    edge = lambda beat, kind, title, subtitle, ms: edges.select(session, beat.cast("int").alias("beat"), F.lit(kind).alias("type"), F.lit(title).alias("title"), F.lit(subtitle).alias("subtitle"), F.lit(0).alias("actions"), none.alias("memories"), F.lit(ms).alias("duration"))
+    return turns.unionByName(edge(F.lit(0), "system_start", "Session Start", "Waiting for user request...", 2000)).unionByName(edge(F.col("_n") + 1, "system_end", "Session Complete", "", 5000))
+
+
+def export_session(prefix: str, observations: DataFrame, retrievals: DataFrame, state: DataFrame, session: str = "session_id") -> dict[str, DataFrame]:
+    """The replay of the sessions whose id begins with ``prefix``: meta, steps, conversation, beats, memories (their values before and after) and outcome, by name."""
+    mine = observations.where(F.col(session).cast("string").startswith(prefix))
+    shown = retrievals.where(F.col(session).cast("string").startswith(prefix)).join(mine.select(session).distinct(), session, "left_semi")
+    walk = recalled_steps(steps(mine, session), shown, session)
+    said = conversation(walk, shown, session)
+    used = shown.select(session, F.explode("memory_ids").alias("memory_id")).distinct()
+    values = before_after(used.join(state, "memory_id"))
+    meta = walk.groupBy(session).agg(F.count(F.lit(1)).alias("total_steps"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("date")).join(used.groupBy(session).agg(F.count(F.lit(1)).alias("memories_retrieved")), session, "left").fillna(0, ["memories_retrieved"])
+    return {"meta": meta, "steps": walk, "conversation": said, "beats": session_beats(walk, said, session), "memories": values, "outcome": session_outcome(mine, values, session)}
+
+
 def before_after(state: DataFrame) -> DataFrame:
     """The value before the last reward, by taking it back, and its direction."""
     reward = F.coalesce("last_reward", F.lit(0.0))
