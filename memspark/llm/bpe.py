@@ -9,7 +9,7 @@ that is still open agrees in them, so they follow their bytes by a bounded looka
 As in the library that the rank files are made for, a word that is a token as a whole is that token.
 
 Defined cases: a null text is empty and has no ids. Rows are independent: repeated rows and ties need nothing. Long texts
-and words of any length are read once from left to right.
+and words of any length are read once from left to right. An empty table gives an empty one.
 """
 
 from __future__ import annotations

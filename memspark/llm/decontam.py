@@ -20,6 +20,7 @@ over the documents, and their findings are united by row.
 Defined cases: null and empty texts are clean; benchmark passages that are null or without a word are not looked for.
 Rows are judged one by one, repeated rows alike. Texts are searched whole, whatever their length. Other columns are carried as they
 are, ``items`` among them; columns that begin with ``_dc_`` are this module's own and are refused.
+Ties: of passages that fit a text equally well all are named. An empty table of texts gives an empty one; with an empty benchmark all texts are clean.
 """
 
 from __future__ import annotations

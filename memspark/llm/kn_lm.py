@@ -19,6 +19,7 @@ Parts follow the bytes of text (``part_bytes`` each). The shared folder must be
 
 Defined cases: a null text is empty: it has the end token only. Rows are scored one by one; repeated rows count twice in training. An
 empty training set gives p = 1 / (V + 1) with V = 0. Very long texts are counted and scored whole.
+Ties: words of equal frequency at the bound of the hot ones are taken in order of their hash, which changes where n-grams lie and not what is counted. Only the two named columns are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ All of it is DataFrame work; after the scan only candidates are shuffled, values
 Defined cases: a null text is scanned as empty. A null owner counts as one owner of its own. Repeated rows (equal id
 and text) are scanned once and each gets the spans. Very long texts are scanned whole; the spans
 of one text are bounded by its length. A hot value is counted over (value, owner) and (value, repository) first.
+Ties: spans that begin at one place stand in the order of the kinds. An empty table gives an empty one. Only the columns that are named are read, so others may have any name.
 """
 
 from __future__ import annotations

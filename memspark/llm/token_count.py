@@ -9,7 +9,10 @@ Pre-tokens are what the library's normaliser and splitter make of a text. For te
 rules are applied here, with a check that the file states them; any other text goes through the library's own parts.
 The strings of special tokens inside a text are one token each, as is the library's default.
 
-Defined cases: a null text is empty: 0 bytes and 0 tokens. Rows are counted one by one, repeated rows and null ids too.
+Rows are told apart by id and a hash of the text, which a recomputed task finds again whatever the order of its rows; repeated rows sum to their number times one, and are given back as that many rows.
+
+Defined cases: a null text is empty: 0 bytes and 0 tokens. Repeated rows and null ids have a row each. Very long texts are counted whole. A tie between pre-tokens at the bound of the frequent
+ones changes where they are summed, not the sum. An empty table gives an empty one. Only the two named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -124,8 +127,8 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         made, pieces = _loaded(path), known.value
         for whole in batches:
             for batch in _words.pieces(whole, "text"):
-                rows, ids, sizes, sums, words = [], [], [], [], []
-                for row, at, text in zip(batch.column("row").to_pylist(), batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                at, sizes, sums, words = [], [], [], []
+                for k, text in enumerate(batch.column("text").to_pylist()):
                     text, total = text or "", 0
                     cold = []
                     for word, n in made.count(text).items():
@@ -134,15 +137,16 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                         else:
                             cold.append((word, n))
                     # The row's own line has a word that no text has, so that it is dealt evenly and joined with nothing.
-                    rows += [row] * (len(cold) + 1)
-                    ids += [at] + [None] * len(cold)
+                    at += [k] * (len(cold) + 1)
                     sizes += [len(text.encode())] + [None] * len(cold)
                     sums += [total] + [n for _, n in cold]
-                    words += [f"\n{row}"] + [w for w, _ in cold]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(words, pa.string())], ["row", "id", "n_bytes", "n", "word"])
+                    words += [f"\n{batch.column('h')[k]}"] + [w for w, _ in cold]
+                at = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("h").take(at), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(words, pa.string())], ["id", "h", "n_bytes", "n", "word"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    spread_rows = rows.mapInArrow(spread, "row long, id long, n_bytes long, n long, word string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col, id_col).alias("h"), F.col(text_col).alias("text"))
+    spread_rows = rows.mapInArrow(spread, "id long, h long, n_bytes long, n long, word string")
     joined = spread_rows.join(counts.select("word", "pieces"), "word", "left")
-    out = joined.groupBy("row").agg(F.max("id").alias(id_col), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"))
+    summed = joined.groupBy("id", "h").agg(F.count("n_bytes").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("total"))
+    out = summed.select(F.col("id").alias(id_col), "n_bytes", F.expr("total div copies").alias("n_tokens"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
     return out.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
