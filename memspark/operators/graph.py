@@ -17,7 +17,7 @@ SLACK, ROW_COST = 1e-6, 2_000
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of ``edges`` (a, b): the smallest node that it is joined with.
+    """(node, label) of every node of ``edges`` (a, b): the smallest node that it is joined with. Edges with a null end, and of a node with itself, are left out.
 
     In each round a node moves to its smallest neighbour and from there along the moves to their end, in steps that double; edges follow. Minima are
     taken before rows are shuffled, so a hub sends one row a task. Each round is a table of its own.

@@ -23,8 +23,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, file, pos: raw lines with the order of the file."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"))
+    """value, file, pos: raw lines with the order of the file: the byte that the block begins at which a task reads, and the place of the line among what the task reads, which grows within a block."""
+    pos = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), pos.alias("pos"))
 
 
 def lines_per_file(spark: SparkSession, path: str) -> DataFrame:

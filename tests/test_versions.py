@@ -5,7 +5,7 @@ import shutil
 
 import pytest
 
-from memspark.sources import profile_files, versions
+from memspark.sources import files, profile_files, tail, versions
 
 SCHEMA = "memory_id string, experience string, q_value double, q_updated_at string"
 
@@ -82,3 +82,58 @@ def test_profiles_in_files(spark, tmp_path):
     assert found["ops"]["session_reward_weights"] == {"commit": 0.3} and found["default"]["detect_keywords"] is None
     none = profile_files.load_profiles(spark, str(tmp_path / "absent"), str(bundled))
     assert profile_files.resolve_profile(none, None, "gone", "ops") == "ops" and profile_files.resolve_profile(none, "ops2") == "default"
+
+
+def test_lines_know_their_order_in_a_file_of_many_blocks(spark, tmp_path):
+    path = tmp_path / "log.jsonl"
+    lines = [f"line {k} {'x' * (k % 50)}" for k in range(3000)]
+    path.write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = files.read_lines(spark, str(path))
+        assert df.rdd.getNumPartitions() > 5
+        assert [r["value"] for r in df.orderBy("file", "pos").collect()] == lines
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_appended_lines_are_read_once(spark, tmp_path, monkeypatch):
+    folder, seen = tmp_path / "logs", []
+    folder.mkdir()
+
+    def run():
+        taken = []
+        df = tail.appended_lines(spark, str(folder))
+        query = df.writeStream.foreachBatch(lambda b, _: taken.extend((r["file"].rsplit("/", 1)[1], r["offset"], r["value"]) for r in b.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+        seen.extend(taken)
+        return sorted((f, o, v) for f, o, v in taken)
+
+    def add(name, text, mode="a"):
+        with open(folder / name, mode) as file:
+            file.write(text)
+
+    add("a.jsonl", "one\ntwo\nthr")
+    add("note.txt", "no\n")
+    assert run() == [("a.jsonl", 0, "one"), ("a.jsonl", 4, "two")]
+    add("a.jsonl", "ee\nfour")
+    add("b.jsonl", "é first\n")
+    assert run() == [("a.jsonl", 8, "three"), ("b.jsonl", 0, "é first")]
+    assert run() == []
+    add("a.jsonl", "new\nlonger than all that was there before\n", "w")  # rotated: another first line
+    assert run() == [("a.jsonl", 0, "new"), ("a.jsonl", 4, "longer than all that was there before")]
+
+
+def test_ranges_of_a_file_have_each_line_once(tmp_path, monkeypatch):
+    lines = [("x" * (k * 7 % 23)) + str(k) for k in range(200)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\nunfinished")
+    for size in (1, 5, 64, 10_000):
+        monkeypatch.setattr(tail, "RANGE", size)
+        monkeypatch.setattr(tail, "BUFFER", 16)
+        reader = tail.TailReader(str(tmp_path), ".jsonl")
+        end = reader.latestOffset()
+        found = [row for part in reader.partitions({}, end) for row in reader.read(part)]
+        assert [v for _, _, v in found] == lines
+        begins = [o for _, o, _ in found]
+        assert begins == [sum(len(x) + 1 for x in lines[:k]) for k in range(200)]
