@@ -19,6 +19,7 @@ from memspark.functions import constants as C
 from memspark.functions import scoring as S
 from memspark.functions.text import tokens
 from memspark.operators.evaluation import Best
+from memspark.plans.shared import written
 
 
 def lifecycle_filter(rows: DataFrame, include_deleted: bool = False, include_contradicted: bool = True, include_superseded: bool = False) -> DataFrame:
@@ -104,19 +105,21 @@ def _count(word: str) -> Column:
     return F.size(F.filter("_tok", lambda t: t == F.lit(word)))
 
 
-def bm25(docs: DataFrame, query: Sequence[str], text: str = "memory", out: str = "bm25") -> DataFrame:
-    """``docs`` with their keyword score; terms of the query count as often as they are given; statistics are those of ``docs`` itself.
+def bm25(docs: DataFrame, query: Sequence[str], text: str = "memory", out: str = "bm25", key: str | None = None) -> DataFrame:
+    """``docs`` with their keyword score, or with ``key`` only that column and the score; terms of the query count as often as they are given; statistics are those of ``docs`` itself.
 
-    Texts are cut into tokens once: what is kept of a text is its number of tokens and the count of each term of the query. The statistics are a
-    window over one row of them.
+    What is kept of a text is its number of tokens and the count of each term of the query. With ``key`` that is written as a narrow table, so a large table's texts are cut into
+    tokens once for statistics and scores; without it they are cut for each, which suits a few candidates that carry many columns.
     """
     terms = list(dict.fromkeys(query))
+    columns = [key] if key else docs.columns
     if not terms:
-        return docs.withColumn(out, F.lit(0.0))
+        return docs.withColumn(out, F.lit(0.0)).select(*columns, out)
     rows = docs.withColumn("_tok", tokens(F.col(text)))
-    rows = rows.withColumn("_k", F.struct(F.size("_tok").alias("dl"), *[_count(w).alias(f"t{i}") for i, w in enumerate(terms)])).drop("_tok")
     counted = F.coalesce(F.col(text), F.lit("")) != ""
-    stats = rows.where(counted).agg(F.count(F.lit(1)).alias("_n"), F.avg("_k.dl").alias("_mean"), *[F.count_if(F.col(f"_k.t{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
+    rows = rows.withColumn("_k", F.struct(counted.alias("counted"), F.size("_tok").alias("dl"), *[_count(w).alias(f"t{i}") for i, w in enumerate(terms)])).select(*columns, "_k")
+    rows = written(rows, "term-counts") if key else rows
+    stats = rows.where("_k.counted").agg(F.count(F.lit(1)).alias("_n"), F.avg("_k.dl").alias("_mean"), *[F.count_if(F.col(f"_k.t{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
     joined = rows.join(F.broadcast(stats))
     total: Column = F.lit(0.0)
     for word in query:
@@ -125,7 +128,7 @@ def bm25(docs: DataFrame, query: Sequence[str], text: str = "memory", out: str =
         idf = F.when(F.col(f"_df{i}") > 0, F.log(F.col("_n") / F.col(f"_df{i}"))).otherwise(C.MISSING_IDF)
         norm = C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * F.col("_k.dl") / F.when(F.col("_mean") > 0, F.col("_mean")))
         total = total + F.when(tf > 0, idf * tf * (C.BM25_K1 + 1) / (tf + norm)).otherwise(0.0)
-    return joined.withColumn(out, total).select(*docs.columns, out)
+    return joined.withColumn(out, total).select(*columns, out)
 
 
 def hybrid_search(memory: DataFrame, query_vector: Sequence[float], query: Sequence[str], q: DataFrame | Callable[[DataFrame], DataFrame], as_of: Column, k: int = 20, candidates: int | None = None, **filters) -> DataFrame:

@@ -113,7 +113,7 @@ def vector_top_per_query(spark, sf_dir):
 
 @query(f"with {_M}, {_BM25.replace('SRC', 'm')} select id, round(bm25, 6) bm25 from bs")
 def bm25_scores(spark, sf_dir):
-    return rounded(search.bm25(V.memory_text(spark, sf_dir), QUERY).select("id", "bm25"), "bm25")
+    return rounded(search.bm25(V.memory_text(spark, sf_dir), QUERY, key="id"), "bm25")
 
 
 def _index(spark, sf_dir) -> str:
