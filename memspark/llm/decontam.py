@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memspark.llm import _words
-from memspark.llm._shared import small_arrow_batches
+from memspark.llm._shared import small_arrow_batches, written
 
 Q = 12
 _FOLD = _words._LOWER.copy()
@@ -204,17 +205,18 @@ def _parts(benchmark: DataFrame, item_col: str, item_text: str, window: int, edi
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, indexes: Iterator[Index]) -> DataFrame:
-    """``docs`` with ``_dc_items``, sorted. Where there are several indexes, what each finds is put together by the row's id and a hash of its text."""
+    """``docs`` with ``_dc_items``, sorted. Where there are several indexes, each is made, searched with and let go before the next, and what it finds (rows with a hit only) is written; it is put together by the row's id and a hash of its text."""
     if any(c.lower().startswith("_dc_") for c in docs.columns):
         raise ValueError("columns may not begin with _dc_")
     small_arrow_batches(docs.sparkSession)
-    indexes = list(indexes)
-    if len(indexes) == 1:
-        return _search_part(docs, indexes[0], docs.columns, text_col)
+    first, second = next(indexes), next(indexes, None)
+    if second is None:
+        return _search_part(docs, first, docs.columns, text_col)
     keyed = docs.withColumns({"_dc_id": F.col(id_col).cast("string"), "_dc_h": F.xxhash64(text_col)})
     hits = None
-    for index in indexes:
-        one = _search_part(keyed.select("_dc_id", "_dc_h", text_col), index, ["_dc_id", "_dc_h"], text_col).where(F.size("_dc_items") > 0)
+    for index in chain((first, second), indexes):
+        one = _search_part(keyed.select("_dc_id", "_dc_h", text_col), index, ["_dc_id", "_dc_h"], text_col)
+        one = written(one.where(F.size("_dc_items") > 0), "leaks")
         hits = one if hits is None else hits.unionByName(one)
     hits = hits.select("_dc_id", "_dc_h", F.explode("_dc_items").alias("i")).groupBy("_dc_id", "_dc_h").agg(F.sort_array(F.collect_set("i")).alias("_dc_items")).toDF("_dc_i", "_dc_x", "_dc_items")
     joined = keyed.join(hits, F.col("_dc_id").eqNullSafe(F.col("_dc_i")) & (F.col("_dc_h") == F.col("_dc_x")), "left")

@@ -1,13 +1,19 @@
 """Rows of equal id, languages of few distinct texts and files that are not seen: each has a right answer or an error."""
 
 import os
+import re
 import shutil
 import subprocess
 import sys
+import zlib
+from collections import Counter
 from pathlib import Path
 
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
+import __spark_entry__
 import corpus_pipeline
 from memspark.llm import kn_lm, lang_id, ngram_join, url_filter
 from tests.llm.helpers import odd
@@ -84,3 +90,40 @@ def test_clashing_names(spark):
     pages = spark.createDataFrame([(1, "http://a.org/x", "h"), (2, None, None)], "page_id long, url string, html string").selectExpr("*", "1 as host", "2 as key", "3 as rule")
     listed = spark.createDataFrame([("a.org/x",)], "key string")
     assert {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, listed, (("net/", "block"),)).collect()} == {1: "block", 2: "allow"}
+
+
+def test_language_query_against_a_plain_version(spark, sf):
+    """The query's rows: dictionaries of the texts of smallest hash, and the smallest sum of compressed blocks."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", F.xxhash64("text").alias("h")).collect()
+    letter = re.compile(r"[^\W\d_]")
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows}
+    train = [r for r in rows if not held[r["doc_id"]] and r["lang"] is not None and letter.search(r["text"] or "")]
+    sizes = Counter(r["lang"] for r in train)
+    tools = {}
+    for lang in sorted(sizes, key=lambda x: (-sizes[x], x)):
+        texts = {r["h"]: r["text"] for r in train if r["lang"] == lang}
+        kept, total = [], 0
+        for h in sorted(texts)[:200]:
+            begin = max(1, len(texts[h]) // 2 - 1024) - 1
+            if total < 112_640:
+                kept.append(texts[h][begin : begin + 2048])
+            total += len(texts[h][begin : begin + 2048])
+        content = "\n".join(reversed(kept)).lower().encode()[-112_640:]
+        tools[lang] = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+    got = {r["doc_id"]: r for r in __spark_entry__.queries()["op4_lang_id"](spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        said = got[r["doc_id"]]
+        assert said["held_out"] == held[r["doc_id"]] and 0 <= said["score"] <= 1
+        if not letter.search(r["text"] or ""):
+            assert said["lang_pred"] == "und"
+            continue
+        data, blocks, at = r["text"].lower().encode(), [], 0
+        while at < len(data):
+            end = min(len(data), at + 4096)
+            while end < len(data) and data[end] & 0xC0 == 0x80:
+                end += 1
+            blocks.append(data[at:end])
+            at = end
+        sums = [sum(len(tool.compress(b)) for b in blocks) for tool in tools.values()]
+        assert said["lang_pred"] == list(tools)[sums.index(min(sums))]
