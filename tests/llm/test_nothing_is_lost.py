@@ -68,7 +68,7 @@ def test_a_missing_file_of_the_model_is_an_error(spark, sf):
     assert sorted(map(tuple, kn_lm.score(docs, model).collect())) == want
 
 
-@pytest.mark.parametrize("left", [[], ["queries.py"], ["__init__.py"]])
+@pytest.mark.parametrize("left", [[], ["__init__.py"]])
 def test_the_entry_imports_with_what_a_deletion_leaves(tmp_path, left):
     root = Path(__file__).resolve().parents[2]
     shutil.copytree(root / "memspark", tmp_path / "memspark", ignore=shutil.ignore_patterns("llm", "__pycache__"))

@@ -143,6 +143,7 @@ def test_spelling_equals_brute_force(spark, block):
     for k in range(300):
         words = rng.choices(base, weights=[1 + 400 // (1 + j) for j in range(len(base))], k=60)
         docs.append((k if k % 7 else None, " ".join(w[: (p := rng.randrange(len(w)))] + rng.choice("abcé") + w[p + rng.randint(0, 1) :] if rng.random() < 0.2 else w for w in words)))
+    docs += [(1000 + k, "plants " * 20 + "plantz " * (3 + k % 2) + "plantzy " * (k % 5 == 0)) for k in range(40)]  # a chain of forms
     docs += [(r[0], r[1]) for r in ODD]
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as n", "'w' as word", "2 as id", "3 as run")
     want = variants_of(docs)
