@@ -30,7 +30,7 @@ from memspark.llm import _words
 from memspark.llm._shared import small_arrow_batches
 
 #: What a worker keeps at most; when a table is full it starts anew.
-MAX_STATES, MAX_WORDS, MAX_PAIRS, MAX_TAILS = 150_000, 200_000, 250_000, 100_000
+MAX_STATES, MAX_WORDS, MAX_PAIRS, MAX_TAILS = 300_000, 500_000, 500_000, 100_000
 #: Where a state keeps what it stands for; its other entries are bytes.
 OWN = -1
 NEVER = 1 << 60
