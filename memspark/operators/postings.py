@@ -1,17 +1,23 @@
 """Kept keyword statistics: posting lists by term, so a query reads its terms' lists and nothing else.
 
 An index is three tables under a path. ``postings`` has a row for each term and block of documents: their ids in order with counts and lengths, and the largest count and smallest length, which bound
-what the block can add to a score. It is partitioned by a hash of the term and sorted by term, so a query's scan is pruned to its terms. ``documents`` has each document's length. ``segments`` has a row for
-each batch that was added, with its number of documents and their lengths, and is written last: a batch whose row is missing does not count. Numbers of documents and of those that hold a
-term are sums over batches, so adding a batch changes no file.
+what the block can add to a score. It is partitioned by a hash of the term and sorted by term, so a query's scan is pruned to its terms; part -1 has a row of no term for each block, with all of its
+documents. ``documents`` has each document's length. ``segments`` has a row for each batch that was added, with its number of documents and their lengths, and is written last: a batch whose row is
+missing does not count. Numbers of documents and of those that hold a term are sums over batches, so adding a batch changes no file.
+
+Texts are cut once. A block is a run of documents of one task, which counts them and sends a row for each term: what is shuffled are lists and not words.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,25 +27,76 @@ from memspark.functions.text import tokens
 
 #: Documents of a block, so of a list of a term; parts that the lists are dealt to by term.
 BLOCK, PARTS = 65_536, 64
+#: Bytes of words from which on a block ends before it has as many documents, so that a task's memory does not follow their length.
+BLOCK_BYTES = 16_000_000
+_LISTS = "term string, block long, documents int, most int, least int, ids array<long>, times array<int>, lengths array<int>"
+_DOCUMENTS = "id long, length int, counted boolean, batch string"
 
 
 def _part(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
 
+def _block_lists(ids: np.ndarray, counted: np.ndarray, words: pa.Array, block: int) -> pa.RecordBatch:
+    """The lists of a block: a row for each term of ``words`` (a document's tokens, with spaces between), then the row of all documents, with 1 or 0 for counted ones in the place of counts."""
+    order = np.argsort(ids, kind="stable")
+    ids, counted = ids[order], counted[order].astype(np.int32)
+    cut = pc.split_pattern(words.take(pa.array(order)), " ")
+    coded = cut.flatten().dictionary_encode()
+    filled = np.array([t != "" for t in coded.dictionary.to_pylist()], bool)  # a text without tokens is one empty word
+    code, at = coded.indices.to_numpy(), np.repeat(np.arange(len(ids)), pc.list_value_length(cut).to_numpy())
+    keep = filled[code]
+    code, at = code[keep].astype(np.int64), at[keep]
+    length = np.bincount(at, minlength=len(ids)).astype(np.int32)
+    key = np.sort(code * len(ids) + at)
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(np.append(new, len(key))).astype(np.int32)
+    code, at = np.divmod(key[new], len(ids))
+    starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    bounds = pa.array(np.concatenate([starts, [len(code), len(code) + len(ids)]]).astype(np.int32))
+    column = lambda *x: pa.array(np.concatenate(x).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x))) for x in ((ids[at], ids), (times, counted), (length[at], length))]
+    most, least = (f.reduceat(x, starts) if len(starts) else x for f, x in ((np.maximum, times), (np.minimum, length[at])))
+    term = pa.concat_arrays([coded.dictionary.take(pa.array(code[starts])), pa.nulls(1, coded.dictionary.type)]).cast(pa.string())
+    sizes = column(np.diff(bounds.to_numpy()))
+    return pa.RecordBatch.from_arrays([term, pa.array(np.full(len(term), block)), sizes, column(most, [0]), column(least, [0]), *lists], ["term", "block", "documents", "most", "least", "ids", "times", "lengths"])
+
+
+def _lists_of(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task that takes its documents (id, counted, words) in blocks of ``block``, or of BLOCK_BYTES of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, size, name = [], 0, 0, TaskContext.get().partitionId() << 32
+
+        def lists() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            return _block_lists(whole["id"].to_numpy(), whole["counted"].to_numpy(zero_copy_only=False), whole["words"], name)
+
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                held.append(batch.slice(at, block - rows))
+                at, rows, size = at + held[-1].num_rows, rows + held[-1].num_rows, size + held[-1]["words"].nbytes
+                if rows >= block or size >= BLOCK_BYTES:
+                    yield lists()
+                    held, rows, size, name = [], 0, 0, name + 1
+        if rows:
+            yield lists()
+
+    return run
+
+
 def add_documents(docs: DataFrame, path: str, text: str = "memory", id_col: str = "id", block: int = BLOCK) -> str:
-    """Adds a batch of documents (of new ids) to the index at ``path``; the batch's name. A batch that dies on the way leaves files that no query reads."""
-    batch = uuid.uuid4().hex
-    words = docs.select(F.col(id_col).cast("long").alias("id"), tokens(F.col(text)).alias("tokens"), (F.coalesce(text, F.lit("")) != "").alias("counted"))
-    rows = words.select("id", F.size("tokens").alias("length"), "counted", F.lit(batch).alias("batch"))
-    rows.write.mode("append").partitionBy("batch").parquet(f"{path}/documents")
-    sums = docs.sparkSession.read.parquet(f"{path}/documents").where(F.col("batch") == batch).agg(F.count(F.lit(1)).alias("rows"), F.count_if("counted").alias("documents"), F.coalesce(F.sum(F.when(F.col("counted"), F.col("length"))), F.lit(0)).alias("length"))
-    n = sums.first()
-    cut = words.select("id", "tokens").repartitionByRange(1 + n["rows"] // block, "id").withColumn("block", F.spark_partition_id())
-    held = cut.select("id", "block", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).groupBy("term", "block", "id", "length").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    lists = held.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("id", "times", "length"))).alias("held"), F.max("times").alias("most"), F.min("length").alias("least"))
-    lists = lists.select("term", "block", F.size("held").alias("documents"), "most", "least", F.col("held.id").alias("ids"), F.col("held.times").alias("times"), F.col("held.length").alias("lengths"), F.lit(batch).alias("batch"), _part(F.col("term")).alias("part"))
-    lists.repartition("part").sortWithinPartitions("part", "term", "block").write.mode("append").partitionBy("part").parquet(f"{path}/postings")
+    """Adds a batch of documents (of new ids, none null) to the index at ``path``; the batch's name. A batch that dies on the way leaves files that no query reads."""
+    batch, spark = uuid.uuid4().hex, docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")  # long texts make the default of 10,000 too many
+    words = docs.select(F.col(id_col).cast("long").alias("id"), (F.coalesce(text, F.lit("")) != "").alias("counted"), F.array_join(tokens(F.col(text)), " ").alias("words"))
+    lists = words.mapInArrow(_lists_of(block), _LISTS).select("*", F.lit(batch).alias("batch"), F.when(F.col("term").isNull(), -1).otherwise(_part(F.col("term"))).alias("part"))
+    lists.hint("rebalance", "part").sortWithinPartitions("part", "term", "block").write.mode("append").partitionBy("part").parquet(f"{path}/postings")
+    held = spark.read.schema(f"{_LISTS}, batch string, part int").parquet(f"{path}/postings").where((F.col("part") == -1) & (F.col("batch") == batch)).select(F.explode(F.arrays_zip("ids", "times", "lengths")).alias("d"))
+    held.select("d.ids", "d.lengths", F.col("d.times") > 0, F.lit(batch)).toDF("id", "length", "counted", "batch").write.mode("append").partitionBy("batch").parquet(f"{path}/documents")
+    sums = spark.read.schema(_DOCUMENTS).parquet(f"{path}/documents").where(F.col("batch") == batch)
+    sums = sums.agg(F.count_if("counted").alias("documents"), F.coalesce(F.sum(F.when(F.col("counted"), F.col("length"))), F.lit(0)).alias("length"))
     sums.select(F.lit(batch).alias("batch"), "documents", "length").coalesce(1).write.mode("append").parquet(f"{path}/segments")
     return batch
 
@@ -97,7 +154,7 @@ def bm25_scores(spark: SparkSession, path: str, query: Sequence[str], k: int | N
         seen += r["documents"]
         if seen >= k:
             break
-    opened = spark.createDataFrame([(r["batch"], r["block"]) for r in first], "batch string, block int")
+    opened = spark.createDataFrame([(r["batch"], r["block"]) for r in first], "batch string, block long")
     least = scored(lists.join(F.broadcast(opened), ["batch", "block"], "left_semi")).orderBy(F.desc("bm25")).limit(k).agg(F.count(F.lit(1)).alias("n"), F.min("bm25").alias("b")).first()
     if least["n"] >= k:
         lists = lists.join(bounds.where(F.col("bound") >= least["b"] - 1e-9).select("batch", "block"), ["batch", "block"], "left_semi")
@@ -106,5 +163,5 @@ def bm25_scores(spark: SparkSession, path: str, query: Sequence[str], k: int | N
 
 def all_scores(spark: SparkSession, path: str, query: Sequence[str]) -> DataFrame:
     """id, bm25 of every document of the index: 0 for those without a term of the query."""
-    docs = spark.read.parquet(f"{path}/documents").join(F.broadcast(_segments(spark, path).select("batch")), "batch", "left_semi").select("id")
+    docs = spark.read.schema(_DOCUMENTS).parquet(f"{path}/documents").join(F.broadcast(_segments(spark, path).select("batch")), "batch", "left_semi").select("id")
     return docs.join(bm25_scores(spark, path, query), "id", "left").select("id", F.coalesce("bm25", F.lit(0.0)).alias("bm25"))
