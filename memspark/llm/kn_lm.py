@@ -99,14 +99,48 @@ class Deal:
         return (((owner >> np.uint64(32)) * np.uint64(self.parts)) >> np.uint64(32)).astype(np.int64)
 
 
+def _order(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.argsort(keys, kind="stable")`` of 64-bit hashes and the keys in that order.
+
+    Their first bits are sorted as plain numbers with their places in the last bits, which takes a fraction of the time; keys that differ in the last bits only are put in order after that.
+    """
+    low = np.uint64((1 << max(len(keys) - 1, 1).bit_length()) - 1)
+    packed = np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64))
+    order = (packed & low).astype(np.int64)
+    ordered, same = keys[order], packed[1:] ^ packed[:-1] <= low
+    apart = same & (ordered[1:] != ordered[:-1])
+    if apart.any():
+        group = np.concatenate([[0], np.cumsum(~same)])
+        mixed = np.zeros(group[-1] + 1, bool)
+        mixed[group[1:][apart]] = True
+        rows = np.flatnonzero(mixed[group])
+        order[rows] = order[rows][np.argsort(ordered[rows], kind="stable")]
+        ordered[rows] = keys[order[rows]]
+    return order, ordered
+
+
+def _new(ordered: np.ndarray) -> np.ndarray:
+    """Which of the ordered keys are not the one before."""
+    return np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(ordered)]
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key is first, in order of the keys, and which of these each key is."""
+    order, ordered = _order(keys)
+    new = _new(ordered)
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
 def _summed(grams: np.ndarray, first: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct columns of ``grams`` by ``first`` and then by hash, their ``first``, their hash and the sums of ``values``."""
-    key = gram_hash(grams)
-    order = np.lexsort((key, first))
-    key, first = key[order], first[order]
-    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (first[1:] != first[:-1])])) if len(order) else np.zeros(0, np.int64)
-    sums = [np.add.reduceat(v[order], new) if len(new) else v for v in values]
-    return (grams[:, order[new]], first[new], key[new], *sums)
+    order, key = _order(gram_hash(grams))
+    new = np.flatnonzero(_new(key))
+    key, at = key[new], order[new]
+    way, first = _order(first[at])
+    sums = [np.add.reduceat(v[order], new)[way] if len(new) else v for v in values]
+    return (grams[:, at[way]], first, key[way], *sums)
 
 
 def _by(grams: np.ndarray, part: np.ndarray) -> np.ndarray:
@@ -130,7 +164,8 @@ def _coded(grams: np.ndarray, numbers: list[np.ndarray]) -> bytes:
     """Rows of words and numbers, in order of the word that they are dealt by: each row's distinct words as differences, places in these (of the ordered row as differences), and numbers."""
     shape, blobs = [grams.shape[1]], []
     for k, row in enumerate(grams):
-        words, at = np.unique(row, return_inverse=True)
+        first, at = _distinct(row)
+        words = row[first]
         width = 2 if len(words) <= 65_536 else 4
         at = at.astype(np.uint32)
         blobs += [_planes(np.diff(words, prepend=np.uint64(0)), WORD), _planes(np.diff(at, prepend=np.uint32(0)) if k == max(len(grams) - 2, 0) else at, width)]
@@ -229,7 +264,7 @@ class Table:
     """
 
     def __init__(self, path: str):
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))  # a plain view of the map: slices of a map itself are slow to make
         head = raw[:24].view(np.int64)
         self.n, self.bits, columns = (int(x) for x in head)
         many = raw[24 : 24 + 8 * columns].view(np.int64)
@@ -247,8 +282,7 @@ class Table:
     @staticmethod
     def save(path: str, keys: np.ndarray, *columns: np.ndarray) -> int:
         """Its bytes. Written under another name and moved, so that a task that is run twice leaves one whole file."""
-        order = np.argsort(keys)
-        keys = keys[order]
+        order, keys = _order(keys)
         bits = max(0, (len(keys) >> 3).bit_length() - 1)
         parts = [np.array([len(keys), bits, len(columns)], np.int64)]
         big = [np.flatnonzero(c[order] >= 255) for c in columns]
@@ -348,9 +382,10 @@ class Model:
     def look_up(self, name: str, keys: np.ndarray, part: np.ndarray, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
         """Which keys are in the table of their part, and their numbers (0 where they are not)."""
         known, out = np.zeros(len(keys), bool), [np.zeros(len(keys), np.int64) for _ in range(columns)]
-        order = np.argsort(part, kind="stable")
-        distinct, first = np.unique(part[order], return_index=True)
-        for k, mine in zip(distinct.tolist(), np.split(order, first[1:]), strict=False):
+        order = np.argsort(part.astype(np.uint16), kind="stable")  # parts are below MOST_PARTS; two bytes are sorted by counting
+        ordered = part[order]
+        first = np.flatnonzero(_new(ordered))
+        for k, mine in zip(ordered[first].tolist(), np.split(order, first[1:]), strict=False):
             table = self.table(name, k)
             if table is not None:
                 place = table.find(keys[mine])
@@ -397,7 +432,7 @@ class Model:
         """The discounted share of each n-gram in its history, and the history's weight of the lower order."""
         d = np.array([self.totals[f"{len(grams)}.d{k}"] for k in (1, 2, 3)])
         n = self.counts(grams)
-        _, first, which = np.unique(gram_hash(grams[:-1]), return_index=True, return_inverse=True)
+        first, which = _distinct(gram_hash(grams[:-1]))
         # A history of one word that is hot has no part of its own, and needs none.
         total, *seen = self.histories(grams[:-1, first], self.deal.part_of(grams[:, first]))
         weight = np.where(total > 0, sum(k * x for k, x in zip(d, seen, strict=True)) / np.maximum(total, 1), 1.0)
@@ -407,7 +442,8 @@ class Model:
         """n_tokens, n_known, base score and log10 probability of each text."""
         toks, at = tokens(texts)
         t = self.totals
-        words, which = np.unique(toks, return_inverse=True)
+        first, which = _distinct(toks)
+        words = toks[first]
         count, cont = self.words(words)
         base = np.log10((count + 0.1) / (t["N"] + 0.1 * (t["V"] + 1)))
         d = np.array([t["1.d1"], t["1.d2"], t["1.d3"]])
@@ -417,7 +453,7 @@ class Model:
         for level in range(2, order + 1):
             spots = np.flatnonzero(longest >= level)
             grams = grams_at(line, place[spots], level)
-            _, first, gram_of = np.unique(gram_hash(grams), return_index=True, return_inverse=True)
+            first, gram_of = _distinct(gram_hash(grams))
             high, weight = self.above(grams[:, first])
             p[spots] = (high + weight * p[spots[first]])[gram_of]
         p = np.log10(p)
