@@ -5,12 +5,14 @@ what the block can add to a score. It is partitioned by a hash of the term and s
 documents. ``documents`` has each document's length. ``segments`` has a row for each batch that was added, with its number of documents and their lengths, and is written last: a batch whose row is
 missing does not count. Numbers of documents and of those that hold a term are sums over batches, so adding a batch changes no file.
 
-Texts are cut once. A block is a run of documents of one task, which counts them and sends a row for each term: what is shuffled are lists and not words.
+Texts are cut once, by their bytes. A block is a run of documents of one task, which counts them and sends a row for each term, in the order of the files: what is shuffled are lists and not words, and
+what is sorted are runs in order.
 """
 
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
@@ -23,30 +25,38 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.functions import constants as C
-from memspark.functions.text import tokens
+from memspark.functions.text import token_text
 
 #: Documents of a block, so of a list of a term; parts that the lists are dealt to by term.
 BLOCK, PARTS = 65_536, 64
-#: Bytes of words from which on a block ends before it has as many documents, so that a task's memory does not follow their length.
+#: Bytes of texts from which on a block ends before it has as many documents, so that a task's memory does not follow their length.
 BLOCK_BYTES = 16_000_000
-_LISTS = "term string, block long, documents int, most int, least int, ids array<long>, times array<int>, lengths array<int>"
+_LISTS = "term string, block long, documents int, most int, least int, ids array<long>, times array<int>, lengths array<int>, part int"
 _DOCUMENTS = "id long, length int, counted boolean, batch string"
+#: What each byte of a text is for its words: itself in a token, a sign of words that are none (_, others beyond ASCII), or a space between words.
+_BYTES = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else ord("_") if b >= 128 or chr(b).isalnum() or b == ord("_") else ord(" ") for b in range(256))
 
 
-def _part(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+def _parts(terms: pa.Array) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, terms.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.int64, len(terms)) % PARTS
 
 
-def _block_lists(ids: np.ndarray, counted: np.ndarray, words: pa.Array, block: int) -> pa.RecordBatch:
-    """The lists of a block: a row for each term of ``words`` (a document's tokens, with spaces between), then the row of all documents, with 1 or 0 for counted ones in the place of counts."""
+def _block_lists(ids: np.ndarray, counted: np.ndarray, texts: pa.Array, block: int) -> pa.RecordBatch:
+    """The lists of a block: the row of all documents, with 1 or 0 for counted ones in the place of counts, after a row for each token of ``texts`` (as ``token_text`` makes them), by part and term."""
     order = np.argsort(ids, kind="stable")
-    ids, counted = ids[order], counted[order].astype(np.int32)
-    cut = pc.split_pattern(words.take(pa.array(order)), " ")
+    ids, counted, texts = ids[order], counted[order].astype(np.int32), texts.take(pa.array(order))
+    _, bounds, data = texts.buffers()
+    cut = pc.split_pattern(pa.Array.from_buffers(texts.type, len(texts), [None, bounds, pa.py_buffer((data.to_pybytes() if data else b"").translate(_BYTES))]), " ")
     coded = cut.flatten().dictionary_encode()
-    filled = np.array([t != "" for t in coded.dictionary.to_pylist()], bool)  # a text without tokens is one empty word
-    code, at = coded.indices.to_numpy(), np.repeat(np.arange(len(ids)), pc.list_value_length(cut).to_numpy())
-    keep = filled[code]
-    code, at = code[keep].astype(np.int64), at[keep]
+    filled = np.flatnonzero(pc.match_substring_regex(coded.dictionary, "^[a-z0-9]{2,}$").to_numpy(zero_copy_only=False))  # each different word is judged once
+    filled = filled[pc.sort_indices(coded.dictionary.take(pa.array(filled))).to_numpy()]
+    parts = _parts(coded.dictionary.take(pa.array(filled)))
+    by = np.argsort(parts, kind="stable")
+    terms, parts, rank = coded.dictionary.take(pa.array(filled[by])), parts[by], np.full(len(coded.dictionary), -1, np.int64)
+    rank[filled[by]] = np.arange(len(by))
+    code, at = rank[coded.indices.to_numpy()], np.repeat(np.arange(len(ids)), pc.list_value_length(cut).to_numpy())
+    keep = code >= 0
+    code, at = code[keep], at[keep]
     length = np.bincount(at, minlength=len(ids)).astype(np.int32)
     key = np.sort(code * len(ids) + at)
     new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -57,26 +67,26 @@ def _block_lists(ids: np.ndarray, counted: np.ndarray, words: pa.Array, block: i
     column = lambda *x: pa.array(np.concatenate(x).astype(np.int32))
     lists = [pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(x))) for x in ((ids[at], ids), (times, counted), (length[at], length))]
     most, least = (f.reduceat(x, starts) if len(starts) else x for f, x in ((np.maximum, times), (np.minimum, length[at])))
-    term = pa.concat_arrays([coded.dictionary.take(pa.array(code[starts])), pa.nulls(1, coded.dictionary.type)]).cast(pa.string())
+    term = pa.concat_arrays([terms, pa.nulls(1, terms.type)]).cast(pa.string())
     sizes = column(np.diff(bounds.to_numpy()))
-    return pa.RecordBatch.from_arrays([term, pa.array(np.full(len(term), block)), sizes, column(most, [0]), column(least, [0]), *lists], ["term", "block", "documents", "most", "least", "ids", "times", "lengths"])
+    return pa.RecordBatch.from_arrays([term, pa.array(np.full(len(term), block)), sizes, column(most, [0]), column(least, [0]), *lists, column(parts, [-1])], ["term", "block", "documents", "most", "least", "ids", "times", "lengths", "part"])
 
 
 def _lists_of(block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The task that takes its documents (id, counted, words) in blocks of ``block``, or of BLOCK_BYTES of words."""
+    """The task that takes its documents (id, counted, text) in blocks of ``block``, or of BLOCK_BYTES of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, size, name = [], 0, 0, TaskContext.get().partitionId() << 32
 
         def lists() -> pa.RecordBatch:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            return _block_lists(whole["id"].to_numpy(), whole["counted"].to_numpy(zero_copy_only=False), whole["words"], name)
+            return _block_lists(whole["id"].to_numpy(), whole["counted"].to_numpy(zero_copy_only=False), whole["text"], name)
 
         for batch in batches:
             at = 0
             while at < batch.num_rows:
                 held.append(batch.slice(at, block - rows))
-                at, rows, size = at + held[-1].num_rows, rows + held[-1].num_rows, size + held[-1]["words"].nbytes
+                at, rows, size = at + held[-1].num_rows, rows + held[-1].num_rows, size + held[-1]["text"].nbytes
                 if rows >= block or size >= BLOCK_BYTES:
                     yield lists()
                     held, rows, size, name = [], 0, 0, name + 1
@@ -90,10 +100,10 @@ def add_documents(docs: DataFrame, path: str, text: str = "memory", id_col: str
     """Adds a batch of documents (of new ids, none null) to the index at ``path``; the batch's name. A batch that dies on the way leaves files that no query reads."""
     batch, spark = uuid.uuid4().hex, docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")  # long texts make the default of 10,000 too many
-    words = docs.select(F.col(id_col).cast("long").alias("id"), (F.coalesce(text, F.lit("")) != "").alias("counted"), F.array_join(tokens(F.col(text)), " ").alias("words"))
-    lists = words.mapInArrow(_lists_of(block), _LISTS).select("*", F.lit(batch).alias("batch"), F.when(F.col("term").isNull(), -1).otherwise(_part(F.col("term"))).alias("part"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), (F.coalesce(text, F.lit("")) != "").alias("counted"), token_text(F.col(text)).alias("text"))
+    lists = texts.mapInArrow(_lists_of(block), _LISTS).withColumn("batch", F.lit(batch))
     lists.hint("rebalance", "part").sortWithinPartitions("part", "term", "block").write.mode("append").partitionBy("part").parquet(f"{path}/postings")
-    held = spark.read.schema(f"{_LISTS}, batch string, part int").parquet(f"{path}/postings").where((F.col("part") == -1) & (F.col("batch") == batch)).select(F.explode(F.arrays_zip("ids", "times", "lengths")).alias("d"))
+    held = spark.read.schema(f"{_LISTS}, batch string").parquet(f"{path}/postings").where((F.col("part") == -1) & (F.col("batch") == batch)).select(F.explode(F.arrays_zip("ids", "times", "lengths")).alias("d"))
     held.select("d.ids", "d.lengths", F.col("d.times") > 0, F.lit(batch)).toDF("id", "length", "counted", "batch").write.mode("append").partitionBy("batch").parquet(f"{path}/documents")
     sums = spark.read.schema(_DOCUMENTS).parquet(f"{path}/documents").where(F.col("batch") == batch)
     sums = sums.agg(F.count_if("counted").alias("documents"), F.coalesce(F.sum(F.when(F.col("counted"), F.col("length"))), F.lit(0)).alias("length"))
@@ -112,7 +122,7 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
 
 def _lists(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
     """The lists of the terms in all batches that count."""
-    parts = [r["p"] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(_part(F.col("t")).alias("p")).distinct().collect()]
+    parts = sorted({*_parts(pa.array(terms, pa.string())).tolist()})
     lists = spark.read.parquet(f"{path}/postings").where(F.col("part").isin(parts) & F.col("term").isin(terms))
     return lists.join(F.broadcast(_segments(spark, path).select("batch")), "batch", "left_semi")
 
